@@ -98,24 +98,28 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
         wanted.sort()
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         table = left.combine_chunks()
-        rows = []
-        for k, t in zip(table.column(key).to_pylist(), table.column(text).cast(pa.binary()).to_pylist()):
-            words = (t or b"").split()
-            whole = k is None or len(words) < window
-            gone = not whole and str(k) in copied
-            h = None if whole or gone else hash_words(words)
-            rows.append((k, words, gone, h))
-            if h is not None and len(wanted):
-                phrase = rolling(h, PHRASE)
-                for p in np.flatnonzero(np.isin(phrase, wanted)).tolist():
-                    automaton.add_word(tuple((h[p : p + PHRASE] >> np.uint64(32)).tolist()), 1)
+        keys, lists = table.column(key).to_pylist(), [(t or b"").split() for t in table.column(text).cast(pa.binary()).to_pylist()]
+        copy = [k is not None and len(w) >= window and str(k) in copied for k, w in zip(keys, lists)]
+        live = [k is not None and len(w) >= window and not c for k, w, c in zip(keys, lists, copy)]
+        h_all = hash_words([w for words, x in zip(lists, live) if x for w in words])
+        lengths = np.array([len(w) if x else 0 for w, x in zip(lists, live)], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        short = (h_all >> np.uint64(32)).tolist()
+        if len(wanted) and len(h_all):
+            phrase = rolling(h_all, PHRASE)
+            phrase, first = np.unique(phrase, return_index=True)
+            at = np.minimum(np.searchsorted(wanted, phrase), len(wanted) - 1)
+            # A phrase over the border of two documents is found in neither.
+            for p in first[wanted[at] == phrase].tolist():
+                automaton.add_word(tuple(short[p : p + PHRASE]), 1)
         if len(automaton):
             automaton.make_automaton()
+        rows = [(k, w, c, h_all[b : b + n] if x else None, b) for k, w, c, x, b, n in zip(keys, lists, copy, live, begin.tolist(), lengths.tolist())]
         out: list[tuple] = []
-        for k, words, gone, h in rows:
+        for k, words, gone, h, b in rows:
             starts = np.zeros(0, np.int64)
             if h is not None and len(automaton):
-                ends = np.fromiter((e for e, _ in automaton.iter(tuple((h >> np.uint64(32)).tolist()))), np.int64)
+                ends = np.fromiter((e for e, _ in automaton.iter(tuple(short[b : b + len(words)]))), np.int64)
                 last = len(words) - window
                 mark = np.zeros(last + 2, np.int32)
                 np.add.at(mark, np.clip(ends + 1 - window, 0, last + 1), 1)
