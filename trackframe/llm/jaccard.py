@@ -59,6 +59,17 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def to_bytes(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, which tell the shingles of two sets apart as well."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_bytes(x: pa.Buffer) -> np.ndarray:
+    out = np.zeros((x.size // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.view(">u8")[:, 0].astype(np.uint64)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -200,7 +211,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         for b in batches:
             sets = [shingles(t, words) for t in text_bytes(b, text)]
             own = b.column(0).to_pylist()
-            rows = [(c, s.tobytes()) for c, s in zip(own, sets) if class_of(s) == c]  # rows that share a key may differ
+            rows = [(c, to_bytes(s)) for c, s in zip(own, sets) if class_of(s) == c]  # rows that share a key may differ
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "set"])
 
     texts = docs.join(wanted, docs[key] == wanted["rep"]).select("class", text)
@@ -208,7 +219,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3))]
+            ok = [linked(from_bytes(x.as_buffer()), from_bytes(y.as_buffer()), percent) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def verified(candidates: DataFrame) -> DataFrame:
