@@ -42,7 +42,7 @@ def tracks(spark: SparkSession, path: str, first: int | None = None, last: int |
 
 def json_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Whole JSON files as one typed column ``doc``."""
-    return spark.read.option("wholetext", True).text(path).select(F.from_json("value", kind).alias("doc"), F.col("_metadata.file_path").alias("path"))
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("doc"), F.col("_metadata.file_path").alias("path"))
 
 
 def anchors(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +104,7 @@ def listing(spark: SparkSession, path: str, extensions: Sequence[str] = VIDEO_EX
 
 def keypoint_csv(spark: SparkSession, path: str) -> DataFrame:
     """Wide keypoints under four header lines (scorer, individual, bodypart, coordinate) as one row a point."""
-    lines = spark.read.option("wholetext", True).text(path).select(stem(F.col("_metadata.file_path")).alias("video"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("video"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("l"))
     head = lambda i: F.split(F.get("l", F.lit(i)), ",")
     rows = lines.select("video", head(1).alias("who"), head(2).alias("part"), head(3).alias("coord"), F.explode(F.slice("l", 5, 1_000_000_000)).alias("line"))
     cells = rows.select("video", F.split("line", ",").alias("v"), "who", "part", "coord").select("video", F.get("v", F.lit(0)).cast("long").alias("frame"), F.posexplode(F.arrays_zip("who", "part", "coord", "v")).alias("i", "c")).where("i > 0")
