@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import hash_words, keyed, mix, text_bytes
+from trackframe.llm.common import REMEMBERED, keyed, mix, slices, text_bytes
 
 #: 1 keeps a word, 0 ignores it.
 MASKS = ("111010010101", "1101100011001", "11111111")
@@ -29,20 +30,35 @@ BLOCK_ITEMS = 5_000
 EDGES = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
 
+class _Plain(dict):
+    """Hash of a lower-case word without the punctuation at its ends, remembered for a bounded number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word.strip(EDGES) or word)
+        return value
+
+
+_plain = _Plain()
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    return hash_words([w.strip(EDGES) or w for w in text.lower().split()])
+    words = text.lower().split()
+    return np.fromiter(map(_plain.__getitem__, words), np.uint64, len(words))
 
 
 def masked(h: np.ndarray, mask: str) -> np.ndarray:
-    """The mask's hash at each position."""
+    """The mask's hash at each position: kept words' hashes times odd numbers, added and mixed."""
     n = len(h) - len(mask) + 1
     if n <= 0:
         return h[:0]
-    out = np.full(n, len(mask), np.uint64)
+    out, factor = np.full(n, len(mask), np.uint64), 0x9E3779B97F4A7C15
     for i, keep in enumerate(mask):
         if keep == "1":
-            out = mix(out + h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-    return out
+            out += h[i : i + n] * np.uint64(factor)
+            factor = (factor * 0xD1342543DE82EF95 + 2) & (2**64 - 1) | 1
+    return mix(out)
 
 
 class Seeds:
@@ -62,15 +78,18 @@ class Seeds:
         self.table[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self.short = {h.tobytes(): i for i, h in reversed(items) if 0 < len(h) < min(map(len, MASKS))}
 
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, diagonal) pairs of a document's masked hashes; the diagonal is where the item would start."""
-        out: set[tuple[int, int]] = set()
+    def hits(self, h: np.ndarray, begin: np.ndarray) -> dict[int, set[tuple[int, int]]]:
+        """By document, (item, diagonal) pairs; the documents lie end to end and start at ``begin``. The diagonal is where the item would start."""
+        out: dict[int, set[tuple[int, int]]] = {}
         for mask in MASKS:
             x = masked(h, mask)
             at = np.flatnonzero(self.table[(x >> np.uint64(64 - self.bits)).astype(np.int64)])
             lo, hi = np.searchsorted(self.keys, x[at], "left"), np.searchsorted(self.keys, x[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                out.update((int(self.owner[k]), p - int(self.place[k])) for k in range(a, b))
+            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+            doc = np.searchsorted(begin, at, "right") - 1
+            inside = doc == np.searchsorted(begin, at + len(mask) - 1, "right") - 1
+            for d, p, a, b in zip(doc[inside].tolist(), (at - begin[doc])[inside].tolist(), lo[inside].tolist(), hi[inside].tolist()):
+                out.setdefault(d, set()).update((int(self.owner[k]), p - int(self.place[k])) for k in range(a, b))
         return out
 
 
@@ -109,16 +128,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             seeds = shared.value
             for b in batches:
                 keys, texts, out = b.column(0).to_pylist(), text_bytes(b, text), []
-                for k, t in zip(keys, texts):
-                    h = word_hashes(t)
-                    best: dict[int, int] = {}
-                    for i, diagonal in seeds.hits(h):
-                        n = overlap(h, seeds.items[i][1], diagonal, least, share)
-                        best[i] = max(best.get(i, 0), n)
-                    out += [(k, seeds.items[i][0], n, len(seeds.items[i][1])) for i, n in best.items() if n]
-                    if seeds.short:
-                        found = {(i, len(s) // 8) for s, i in seeds.short.items() if s in h.tobytes() and any(h[p : p + len(s) // 8].tobytes() == s for p in range(len(h)))}
-                        out += [(k, i, n, n) for i, n in found]
+                for i, j in slices(texts):
+                    each = [word_hashes(t) for t in texts[i:j]]
+                    begin = np.cumsum([0, *(len(h) for h in each)])[:-1]
+                    hits = seeds.hits(np.concatenate(each), begin)
+                    for d in sorted(hits):
+                        best: dict[int, int] = {}
+                        for k, diagonal in hits[d]:
+                            best[k] = max(best.get(k, 0), overlap(each[d], seeds.items[k][1], diagonal, least, share))
+                        out += [(keys[i + d], seeds.items[k][0], n, len(seeds.items[k][1])) for k, n in best.items() if n]
+                    for d, h in enumerate(each) if seeds.short else ():
+                        raw = h.tobytes()
+                        found = {(k, len(s) // 8) for s, k in seeds.short.items() if s in raw and any(raw[p : p + len(s)] == s for p in range(0, len(raw), 8))}
+                        out += [(keys[i + d], k, n, n) for k, n in found]
                 yield pa.RecordBatch.from_pydict({key: pa.array([r[0] for r in out], b.schema.field(0).type), item: pa.array([r[1] for r in out], pa.int64() if item_kind == "bigint" else None), "n_agree": pa.array([r[2] for r in out], pa.int64()), "item_words": pa.array([r[3] for r in out], pa.int64())})
 
         return keyed(docs, key, text).mapInArrow(run, schema)
