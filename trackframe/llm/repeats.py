@@ -125,6 +125,9 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
                 np.add.at(mark, np.clip(ends + 1 - window, 0, last + 1), 1)
                 np.add.at(mark, np.clip(ends - PHRASE + 2, 0, last + 1), -1)
                 starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                if len(starts):  # a window can recur only if its own anchor does
+                    own = sliding_min(rolling(h, PHRASE), window - PHRASE + 1)[starts]
+                    starts = starts[wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own]
             n = len(words)
             if gone:
                 out.append((k, n, n, b"", None, None))
