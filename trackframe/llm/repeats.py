@@ -4,7 +4,8 @@ A window is ``window`` consecutive words of one document; each word that is cove
 in a document with a smaller key is removed. Four steps:
 
 1. In every window the phrase of ``PHRASE`` words with the smallest hash is its anchor, so equal windows have equal anchors.
-   Anchors that stand in two different texts are confirmed as recurring; exact copies are told by their digest.
+   Anchors that stand in two different texts are confirmed as recurring; exact copies are told by their digest (128 bits),
+   different texts by 64 bits of it.
 2. Documents are dealt to shards by key, and each shard gets the recurring anchors that stand in it. From the phrases the shard compiles
    one automaton over word numbers and streams all of its documents through it, which gives every occurrence.
 3. Windows around occurrences are told by 128 bits; per window the smallest key is found by a partial aggregate,
@@ -71,23 +72,26 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
                     words = t.split()
                     if k is not None and len(words) >= window:
                         d, a = digest(words), anchors(hash_words(words), window).view(np.int64)
-                        rows.append((k, s, d, np.append(a, 0), np.append(np.ones(len(a), bool), False)))
+                        rows.append((k, s, d, int.from_bytes(d[:8], "little", signed=True), a))
                 if rows:
-                    n = [len(r[3]) for r in rows]
-                    where = np.repeat(np.arange(len(rows)), n)
-                    take = lambda x, t: pa.array(x, t).take(pa.array(where))
-                    yield pa.RecordBatch.from_arrays([take([r[0] for r in rows], key_type), take([r[1] for r in rows], pa.int32()), take([r[2] for r in rows], pa.binary()), pa.array(np.concatenate([r[3] for r in rows])), pa.array(np.concatenate([r[4] for r in rows]))], [key, "shard", "digest", "anchor", "is_anchor"])
+                    n, each = [len(r[4]) for r in rows], np.arange(len(rows))
+                    where, none = pa.array(np.concatenate([each, np.repeat(each, n)])), np.repeat([False, True], [len(rows), sum(n)])
+                    take = lambda x, t: pa.array(x, t).take(where)
+                    digests = pa.array([*(r[2] for r in rows), *[None] * sum(n)], pa.binary())
+                    found = pa.array(np.concatenate([np.zeros(len(rows), np.int64), *(r[4] for r in rows)]), mask=~none)
+                    yield pa.RecordBatch.from_arrays([take([r[0] for r in rows], key_type), take([r[1] for r in rows], pa.int32()), digests, take([r[3] for r in rows], pa.int64()), found], [key, "shard", "digest", "text_hash", "anchor"])
 
-    seen = written(docs.select(key, text, shard.alias("shard")).mapInArrow(to_anchors, f"`{key}` {kind}, shard int, digest binary, anchor long, is_anchor boolean"), "anchors")
+    seen = written(docs.select(key, text, shard.alias("shard")).mapInArrow(to_anchors, f"`{key}` {kind}, shard int, digest binary, text_hash long, anchor long"), "anchors")
 
-    # Copies: the rows without an anchor, one a document.
-    texts = seen.where(~F.col("is_anchor")).select(key, "shard", "digest")
+    # Copies: the rows with a digest, one a document.
+    texts = seen.where(F.col("digest").isNotNull()).select(key, "shard", "digest")
     firsts = texts.groupBy("digest").agg(F.min(key).alias("first"), F.max(key).alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
     copies = texts.join(firsts, "digest").where(F.col(key) > F.col("first")).select("shard", F.col(key).cast("string").alias("copy"), F.lit(None).cast("long").alias("anchor"))
-    # Recurring anchors, first per shard so that a frequent one has few rows.
-    per_shard = seen.where("is_anchor").groupBy("anchor", "shard").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
-    recurring = per_shard.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("low") != F.col("high")).select("anchor")
-    phrases = per_shard.select("anchor", "shard").join(recurring, "anchor").select("shard", F.lit(None).cast("string").alias("copy"), "anchor")
+    # Recurring anchors, written so that a frequent one's rows can be split in the join. A shard gets one at most once a document.
+    stood = seen.where(F.col("anchor").isNotNull())
+    texts_of = stood.groupBy("anchor").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
+    recurring = written(texts_of.where(F.col("low") != F.col("high")).select("anchor"), "recurring")
+    phrases = stood.select("anchor", "shard").join(recurring, "anchor", "left_semi").select("shard", F.lit(None).cast("string").alias("copy"), "anchor")
 
     found_type = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("at", pa.int32())])
     found_schema = f"`{key}` {kind}, n_words long, n_removed long, kept binary, text binary, found array<struct<a:long,b:long,at:int>>"
@@ -95,7 +99,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         copied = {x for x in right.column("copy").to_pylist() if x is not None}
         wanted = np.array([x for x in right.column("anchor").to_pylist() if x is not None], np.int64).view(np.uint64)
-        wanted.sort()
+        wanted = np.unique(wanted)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         table = left.combine_chunks()
         keys, lists = table.column(key).to_pylist(), [(t or b"").split() for t in table.column(text).cast(pa.binary()).to_pylist()]
