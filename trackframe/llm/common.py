@@ -44,6 +44,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
+    """As ``written``, in buckets by ``column``: grouping by it afterwards needs no shuffle."""
+    spark, path, name = df.sparkSession, scratch(df.sparkSession, label), f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(min(shuffle_partitions(spark), 100_000), column).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

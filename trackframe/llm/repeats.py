@@ -8,8 +8,8 @@ in a document with a smaller key is removed. Four steps:
    different texts by 64 bits of it.
 2. Documents are dealt to shards by key, and each shard gets the recurring anchors that stand in it. From the phrases the shard compiles
    one automaton over word numbers and streams all of its documents through it, which gives every occurrence.
-3. Windows around occurrences are told by 128 bits; per window the smallest key is found by a partial aggregate,
-   and later windows are joined with it.
+3. Windows around occurrences are told by 96 bits; per window the smallest key is found by a partial aggregate,
+   and later windows are joined with it. They meet the texts in buckets by shard, which are not shuffled again.
 4. Covered words go. A copy of a document with a smaller key is covered as a whole if it has a window.
 
 Null text has no words. A document shorter than the window stays whole. Rows that share a key are one document in the
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import hash_words, keyed, mix, rolling, shuffle_partitions, text_bytes, written
+from trackframe.llm.common import bucketed, hash_words, keyed, mix, rolling, shuffle_partitions, text_bytes, written
 
 PHRASE = 8
 SHARD_DOCS = 2000
@@ -93,8 +93,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     recurring = written(texts_of.where(F.col("low") != F.col("high")).select("anchor"), "recurring")
     phrases = stood.select("anchor", "shard").join(recurring, "anchor", "left_semi").select("shard", F.lit(None).cast("string").alias("copy"), "anchor")
 
-    found_type = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("at", pa.int32())])
-    found_schema = f"`{key}` {kind}, n_words long, n_removed long, kept binary, text binary, found array<struct<a:long,b:long,at:int>>"
+    found_type = pa.struct([("a", pa.int64()), ("b", pa.int32()), ("at", pa.int32())])
+    found_schema = f"`{key}` {kind}, n_words long, n_removed long, kept binary, text binary, found array<struct<a:long,b:int,at:int>>, shard int"
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         copied = {x for x in right.column("copy").to_pylist() if x is not None}
@@ -138,38 +138,42 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
             elif not len(starts):
                 out.append((k, n, 0, b" ".join(words), None, None))
             else:
-                a, b = rolling(h, window)[starts].view(np.int64), rolling(mix(h ^ OTHER), window)[starts].view(np.int64)
+                a, b = rolling(h, window)[starts].view(np.int64), (rolling(mix(h ^ OTHER), window)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 out.append((k, n, 0, None, b" ".join(words), pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(starts.astype(np.int32))], fields=list(found_type))))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[5]) if r[5] is not None else 0 for r in out)]).astype(np.int32)), pa.concat_arrays([r[5] for r in out if r[5] is not None] or [pa.array([], found_type)]))
         kinds = [key_type, pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([*(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), lists], [key, "n_words", "n_removed", "kept", "text", "found"])
+        shard_of = pa.array(table.column("shard").to_pylist(), pa.int32())
+        return pa.Table.from_arrays([*(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), lists, shard_of], [key, "n_words", "n_removed", "kept", "text", "found", "shard"])
 
     dealt = docs.select(key, text, shard.alias("shard")).groupBy("shard")
-    located = written(dealt.cogroup(copies.unionByName(phrases).groupBy("shard")).applyInArrow(locate, found_schema), "located")
-
-    windows = located.where(F.col("text").isNotNull()).select(key, F.explode("found").alias("w")).select(key, "w.a", "w.b", "w.at")
-    owners = windows.groupBy("a", "b").agg(F.min(key).alias("first"), F.max(key).alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first")
-    later = windows.join(owners, ["a", "b"]).where(F.col(key) > F.col("first")).groupBy(F.col(key).alias("later_key")).agg(F.collect_set("at").alias("starts"))
-    pending = located.where(F.col("text").isNotNull()).select(key, "n_words", "text")
-    pending = pending.join(later, F.col(key) == F.col("later_key"), "left").select(key, "n_words", "text", "starts")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            removed, kept = [], []
-            for n, t, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-                if not starts.is_valid:
-                    removed.append(0)
-                    kept.append(t)
-                    continue
-                at = starts.values.to_numpy()
-                mark = np.zeros(n + 1, np.int32)
-                np.add.at(mark, at, 1)
-                np.add.at(mark, at + window, -1)
-                gone = np.cumsum(mark[:-1]) > 0
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join(w for w, g in zip(t.split(b" "), gone.tolist()) if not g))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], [key, "n_words", "n_removed", "kept"])
-
+    located = bucketed(dealt.cogroup(copies.unionByName(phrases).groupBy("shard")).applyInArrow(locate, found_schema), "located", "shard")
+
+    pending = located.where(F.col("text").isNotNull())
+    windows = pending.select(key, F.explode("found").alias("w")).select(key, "w.a", "w.b", "w.at")
+    owners = windows.groupBy("a", "b").agg(F.min(key).alias("first"))
+    later = windows.join(owners, ["a", "b"]).where(F.col(key) > F.col("first")).select(F.col(key).alias("later_key"), "at", shard.alias("shard"))
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = right.select(["later_key", "at"]).group_by("later_key").aggregate([("at", "list")])
+        starts_of = dict(zip(order.column("later_key").to_pylist(), order.column("at_list").combine_chunks() if order.num_rows else []))
+        keys, counts, texts = (left.column(c).to_pylist() for c in (key, "n_words", "text"))
+        removed, kept = [], []
+        for k, n, t in zip(keys, counts, texts):
+            if k not in starts_of:
+                removed.append(0)
+                kept.append(t)
+                continue
+            at = np.unique(starts_of[k].values.to_numpy())
+            at = at[at <= n - window]  # rows that share a key can differ in length
+            mark = np.zeros(n + 1, np.int32)
+            mark[at] += 1
+            mark[at + window] -= 1
+            gone = np.cumsum(mark[:-1]) > 0
+            removed.append(int(gone.sum()))
+            kept.append(b" ".join(w for w, g in zip(t.split(b" "), gone.tolist()) if not g))
+        return pa.Table.from_arrays([pa.array(keys, key_type), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], [key, "n_words", "n_removed", "kept"])
+
+    out_schema = f"`{key}` {kind}, n_words long, n_removed long, kept binary"
     done = located.where(F.col("text").isNull()).select(key, "n_words", "n_removed", "kept")
-    both = done.unionByName(pending.mapInArrow(cut, f"`{key}` {kind}, n_words long, n_removed long, kept binary"))
+    both = done.unionByName(pending.select(key, "n_words", "text", "shard").groupBy("shard").cogroup(later.groupBy("shard")).applyInArrow(cut, out_schema))
     return both.select(key, "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").cast("string").alias("kept"))
