@@ -150,7 +150,9 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     pending = located.where(F.col("text").isNotNull())
     windows = pending.select(key, F.explode("found").alias("w")).select(key, "w.a", "w.b", "w.at")
-    owners = windows.groupBy("a", "b").agg(F.min(key).alias("first"))
+    # As above: written, so that the join can split a common window's rows. Windows of one document alone have no later one.
+    firsts_of = windows.groupBy("a", "b").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    owners = written(firsts_of.where(F.col("first") < F.col("last")).select("a", "b", "first"), "owners")
     later = windows.join(owners, ["a", "b"]).where(F.col(key) > F.col("first")).select(F.col(key).alias("later_key"), "at", shard.alias("shard"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
