@@ -157,6 +157,38 @@ def test_katz_sums_to_one_and_beats_the_base(spark, docs):
         assert (10 ** pairs.log10(model, np.full(len(classes), h), classes, c)).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("vocabulary", [0, 12, 50_000])
+def test_katz_counts_every_pair_at_any_vocabulary(spark, docs, vocabulary):
+    rows = [[*(r[1] or "").encode().lower().split(), b"\n"] for r in corpus()]
+    held = [zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in corpus()]
+    unigrams, bigrams, follow = {}, {}, {}
+    for ws in (w for w, h in zip(rows, held) if not h):
+        for a, b in zip([b"\n", *ws], ws):
+            unigrams[b] = unigrams.get(b, 0) + 1
+            bigrams[a, b] = bigrams.get((a, b), 0) + 1
+    for (a, b), c in bigrams.items():
+        follow.setdefault(a, {})[b] = c
+    d = katz.discounts([0, *(sum(c == r for c in bigrams.values()) for r in range(1, katz.K + 2))])
+    model, _ = katz.count_words(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 1), vocabulary=vocabulary)
+    own = lambda w: float(model.own(np.array(unigrams.get(w, 0))))
+    weight = {}
+    for a, next_words in follow.items():
+        total = sum(next_words.values())
+        seen, rest = sum(d[min(c, katz.K + 1)] * c for c in next_words.values()) / total, 1 - sum(map(own, next_words))
+        free = max(1 - seen, 0.5 / (total + 1)) if rest > 1e-9 else 0
+        weight[a] = (free / max(rest, 1e-9), (1 - free) / seen / total)
+    want = []
+    for r, ws in zip(corpus(), rows):
+        score = pairs = 0
+        for a, b in zip([b"\n", *ws], ws):
+            c = bigrams.get((a, b), 0)
+            back, scale = weight.get(a, (1.0, 0.0))
+            score, pairs = score + math.log10(scale * d[min(c, katz.K + 1)] * c if c else back * own(b)), pairs + (c > 0)
+        want.append((r[0], pairs, pytest.approx(score)))
+    out = katz.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, vocabulary=vocabulary).collect()
+    assert sorted((r.doc_id, r.n_pairs_seen, r.score) for r in out) == sorted(want, key=lambda x: x[0])
+
+
 def test_discounts():
     d = katz.discounts([0, 1000, 400, 200, 120, 80, 55])
     assert all(0 < x < 1 for x in d[1:6]) and d[6] == 1

@@ -4,10 +4,11 @@ Good-Turing discounts (counts up to ``K``) free probability for unseen events; e
 what makes its probabilities sum to one. A token is evaluated recursively: the discounted pair count, else the
 history's backoff weight times the word's own probability, which again is a discounted count or a share of the unseen words' mass.
 
-Words beyond the ``vocabulary`` most frequent ones form one class as histories and successors; within
-the class a word has its share by its own discounted count, so the model stays normalised over all words and the
-tables that go to every task have a fixed bound. Word and pair counts of all training documents are kept in tables
-partitioned by hash; keys of ever more words or pairs only add rows. Occurrences are combined in each task before they are shuffled, so a frequent word
+Every pair is counted, whatever its words. The ``vocabulary`` most frequent words have dense tables that go to every
+task and have a fixed bound; it changes where a number is kept, never the number. A rarer word meets its own count and
+its pairs in the bucket of its hash, as a successor and again as a history: there its share of a pair's probability is
+added (a count and the successor's own probability in the successor's bucket, a total and a backoff weight in the history's). Keys of ever
+more words or pairs only add rows. Occurrences are combined in each task before they are shuffled, so a frequent word
 or pair costs a task one entry for each document at most.
 
 Words are lower-case (A-Z) runs of characters other than white space; a document ends with one end token, which is also
@@ -17,11 +18,11 @@ With nothing to train on every word is unknown. Words are told by 64-bit hashes.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,13 +97,17 @@ class Pairs:
         n = [0, *(int(by_count[:, r - 1].sum()) // r for r in range(1, K + 1)), n_last]
         self.d = discounts(n)
         self.total = by_count.sum(1)
-        some = self.total > 0
-        seen = np.where(some, (by_count * self.d[1 : K + 2]).sum(1) / np.maximum(self.total, 1), 0)
+        self.backoff, self.scale = self.weights(self.total, (by_count * self.d[1 : K + 2]).sum(1), lower)
+
+    @staticmethod
+    def weights(total: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backoff weights and scales of histories by their counts' sum, that sum discounted, and the seen successors' own probability."""
+        some = total > 0
+        seen = np.where(some, kept / np.maximum(total, 1), 0)
         rest = 1 - lower
         # Frequent successors are not discounted: a history that has no others keeps half an event for the rest.
-        free = np.where(rest > 1e-9, np.maximum(1 - seen, 0.5 / (self.total + 1)), 0)
-        self.backoff = np.where(some, free / np.maximum(rest, 1e-9), 1.0)
-        self.scale = np.where(some, (1 - free) / np.maximum(seen, 1e-12), 1.0)
+        free = np.where(rest > 1e-9, np.maximum(1 - seen, 0.5 / (total + 1)), 0)
+        return np.where(some, free / np.maximum(rest, 1e-9), 1.0), np.where(some, (1 - free) / np.maximum(seen, 1e-12), 1.0)
 
     def log10(self, words: Words, history: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
         seen = self.scale[history] * self.d[np.minimum(count, K + 1)] * count / np.maximum(self.total[history], 1)
@@ -115,16 +120,14 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hash_words([w for ws in words for w in ws]), np.array([len(w) for w in words], np.int64)
 
 
-def pair_keys(words: Words, h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """History class and word class of every token in 32 bits."""
+def pair_ids(words: Words, h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """History and word of every token: a frequent word's class, else the word's hash."""
     c = words.classes(h)
-    starts = np.cumsum(lengths) - lengths
-    history = np.empty_like(c)
-    history[1:] = c[:-1]
-    c = np.where(h == END_HASH, np.uint32(END), c)
-    history = np.where(np.append(True, h[:-1] == END_HASH)[: len(h)], np.uint32(END), history)
-    history[starts] = END
-    return history * np.uint32(CLASSES) + c
+    word = np.where(h == END_HASH, np.uint64(END), np.where(c == OTHER, h, c.astype(np.uint64)))
+    history = np.empty_like(word)
+    history[1:] = word[:-1]
+    history[np.cumsum(lengths) - lengths] = END
+    return history, word
 
 
 END_HASH = hash_words([END_WORD])[0]
@@ -142,6 +145,42 @@ def pair_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
+def grouped(owner: np.ndarray, other: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """Equal (owner, other, document) as one entry with their number, cut by the owner's bucket: owners, their entries' numbers, others, documents, numbers."""
+    order = np.lexsort((doc, other, owner))
+    o, x, d = owner[order], other[order], doc[order]
+    first = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (x[1:] != x[:-1]) | (d[1:] != d[:-1])))
+    n = np.diff(np.append(first, len(o))).astype(np.uint32)
+    o, x, d = o[first], x[first], d[first]
+    own = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
+    size = np.diff(np.append(own, len(o))).astype(np.uint32)
+    key_part = pair_bucket(o[own], buckets)
+    part = np.repeat(key_part, size)
+    ids, entries = packed(np.argsort(part, kind="stable"), part, x, d, n)
+    _, keys = packed(np.argsort(key_part, kind="stable"), key_part, o[own], size)
+    return ids, [*keys, *entries]
+
+
+def joined(values: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind)
+
+
+class Tally:
+    """Entries (owner, other, number) of a bucket: each entry's pair and owner, and by pair and owner the sum of what counts."""
+
+    def __init__(self, owner: np.ndarray, other: np.ndarray, n: np.ndarray):
+        order = np.lexsort((other, owner))
+        o, x = owner[order], other[order]
+        new_owner = np.append(True, o[1:] != o[:-1])
+        new = np.append(True, (o[1:] != o[:-1]) | (x[1:] != x[:-1]))
+        self.pair, self.owner = np.empty(len(o), np.int64), np.empty(len(o), np.int64)
+        self.pair[order], self.owner[order] = np.cumsum(new) - 1, np.cumsum(new_owner) - 1
+        self.owners, self.others = o[new_owner], x[new]
+        self.owner_of_pair = (np.cumsum(new_owner) - 1)[new]
+        self.count = np.bincount(self.pair, n).astype(np.int64)
+        self.total = np.bincount(self.owner, n).astype(np.int64)
+
+
 def count_words(training: DataFrame, text: str = "text", vocabulary: int = 50_000) -> tuple[Words, DataFrame]:
     """Word counts of all training documents, as statistics and as a table (word, count)."""
 
@@ -168,8 +207,46 @@ def count_words(training: DataFrame, text: str = "text", vocabulary: int = 50_00
     return Words(s[0] or 0, s[1], [0, *(x or 0 for x in s[3:])], frequent, s[2] or 0), table
 
 
-def count_pairs(training: DataFrame, words: Words, buckets: int, text: str = "text") -> tuple[Pairs, DataFrame]:
-    """Pair counts of all training documents, as statistics by history and as a table partitioned by bucket."""
+def count_rare(training: DataFrame, words: Words, buckets: int, text: str = "text") -> DataFrame:
+    """Of all training pairs with a word outside the vocabulary, by bucket: sums for the frequent histories, and rare histories' seen rare successors' own probability."""
+    shared = training.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = text_bytes(b, text)
+            for i, j in slices(texts, 12_000_000):
+                history, word = pair_ids(shared.value, *tokens(texts[i:j]))
+                tail = word >= CLASSES
+                for kind, some, owner, other in ((2, tail, word, history), (3, ~tail & (history >= CLASSES), history, word)):
+                    if some.any():
+                        ids, (k, size, x, _, n) = grouped(owner[some], other[some], np.zeros(int(some.sum()), np.uint8), buckets)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([kind] * len(ids), pa.int32()), k, size, x, n], ["bucket", "kind", "keys", "sizes", "others", "counts"])
+
+    def merge(bucket: pa.Table) -> pa.Table:
+        model, cells, last, lower = shared.value, [], 0, (np.zeros(0, np.uint64), np.zeros(0))
+        for kind in (2, 3):
+            rows = bucket.filter(pa.compute.equal(bucket.column("kind"), kind))
+            if not rows.num_rows:
+                continue
+            keys, sizes, others, n = (joined(rows.column(c).to_pylist(), t) for c, t in (("keys", np.uint64), ("sizes", np.uint32), ("others", np.uint64), ("counts", np.uint32)))
+            t = Tally(np.repeat(keys, sizes), others, n)
+            history = np.minimum(t.others, OTHER).astype(np.int64) if kind == 2 else np.full(len(t.others), OTHER)  # rare ones in one row: only their counts' counts are needed
+            cells.append((history * (K + 1) + np.minimum(t.count, K + 1) - 1, t.count))
+            last += int((t.count == K + 1).sum())
+            if kind == 2:
+                ids, place = np.unique(t.others, return_inverse=True)
+                lower = ids, np.bincount(place, model.own(t.total)[t.owner_of_pair], len(ids))
+        cell, place = np.unique(np.concatenate([c for c, _ in cells]), return_inverse=True)
+        sums = np.bincount(place, np.concatenate([n for _, n in cells]), len(cell))
+        values = [cell.astype(np.uint32), sums, *lower]
+        return pa.table([pa.array([last], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=["last", "cells", "sums", "histories", "lower"])
+
+    found = training.select(text).mapInArrow(run, "bucket long, kind int, keys binary, sizes binary, others binary, counts binary")
+    return written(found.groupBy("bucket").applyInArrow(merge, "last long, cells binary, sums binary, histories binary, lower binary"), "rare")
+
+
+def count_pairs(training: DataFrame, words: Words, buckets: int, text: str = "text", rare: DataFrame | None = None) -> tuple[Pairs, DataFrame]:
+    """Pair counts of all training documents, as statistics by frequent history and, of frequent words, as a table partitioned by bucket. ``rare``: what ``count_rare`` found."""
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(words)
 
@@ -177,7 +254,11 @@ def count_pairs(training: DataFrame, words: Words, buckets: int, text: str = "te
         for b in batches:
             texts = text_bytes(b, text)
             for i, j in slices(texts, 12_000_000):
-                keys, n = np.unique(pair_keys(shared.value, *tokens(texts[i:j])), return_counts=True)
+                history, word = pair_ids(shared.value, *tokens(texts[i:j]))
+                both = (history < CLASSES) & (word < CLASSES)
+                if not both.any():
+                    continue
+                keys, n = np.unique((history[both] << np.uint64(16) | word[both]).astype(np.uint32), return_counts=True)
                 part = pair_bucket(keys, buckets)
                 ids, (k, c) = packed(np.argsort(part, kind="stable"), part, keys, n.astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), k, c], ["bucket", "keys", "counts"])
@@ -203,8 +284,22 @@ def count_pairs(training: DataFrame, words: Words, buckets: int, text: str = "te
                 by_count += np.bincount(h.astype(np.int64) * (K + 1) + np.minimum(n, K + 1) - 1, n, CLASSES * (K + 1)).reshape(CLASSES, K + 1)
                 lower += np.bincount(h, shared.value.p[w], CLASSES)
                 last += int((n == K + 1).sum())
+        yield chunks(by_count, lower, last)
+
+    def rare_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_count, lower, last = np.zeros(CLASSES * (K + 1)), np.zeros(CLASSES), 0
+        for b in batches:
+            for more, *values in zip(*(b.column(i).to_pylist() for i in range(5))):
+                cell, n, h, p = (np.frombuffer(v, t) for v, t in zip(values, (np.uint32, np.float64, np.uint64, np.float64)))
+                by_count += np.bincount(cell, n, CLASSES * (K + 1))
+                dense = h < CLASSES
+                lower += np.bincount(h[dense].astype(np.int64), p[dense], CLASSES)
+                last += more
+        yield chunks(by_count.reshape(CLASSES, K + 1), lower, last)
+
+    def chunks(by_count: np.ndarray, lower: np.ndarray, last: int) -> pa.RecordBatch:
         all_of = np.concatenate([by_count, lower[:, None], np.eye(1, CLASSES).T * last], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in np.split(all_of, CHUNKS)], pa.binary())], ["chunk", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in np.split(all_of, CHUNKS)], pa.binary())], ["chunk", "sums"])
 
     def add(chunk: pa.Table) -> pa.Table:
         total = np.zeros(CLASSES // CHUNKS * (K + 3))
@@ -212,7 +307,10 @@ def count_pairs(training: DataFrame, words: Words, buckets: int, text: str = "te
             total += np.frombuffer(x)
         return pa.table({"chunk": pa.array([chunk.column("chunk")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    rows = table.mapInArrow(stats, "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect()  # 65 536 histories, 4 MB
+    parts = table.mapInArrow(stats, "chunk int, sums binary")
+    if rare is not None:
+        parts = parts.unionByName(rare.mapInArrow(rare_stats, "chunk int, sums binary"))
+    rows = parts.groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect()  # 65 536 histories, 4 MB
     sums = np.concatenate([np.frombuffer(r["sums"]).reshape(-1, K + 3) for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else np.zeros((CLASSES, K + 3))
     return Pairs(words, sums[:, : K + 1], int(sums[:, K + 2].sum()), sums[:, K + 1]), table
 
@@ -226,13 +324,14 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     training = docs.where(~F.col("held_out"))
     words, _ = count_words(training, text, vocabulary)
     buckets = max(2 * shuffle_partitions(spark), -(-words.total // BUCKET))
-    pairs, table = count_pairs(training, words, buckets, text)
+    rare = count_rare(training, words, buckets, text)
+    pairs, table = count_pairs(training, words, buckets, text, rare)
     shared = spark.sparkContext.broadcast((words, pairs))  # fixed size: 65 536 classes
-    row = "slice string, bucket long, kind int, keys binary, sizes binary, at binary, counts binary"
-    names = ["slice", "bucket", "kind", "keys", "sizes", "at", "counts"]
+    row = "slice string, bucket long, kind int, keys binary, sizes binary, others binary, at binary, counts binary"
+    names = ["slice", "bucket", "kind", "keys", "sizes", "others", "at", "counts"]
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: documents of a slice with what is known of them. Kind 1: pairs, kind 2: words outside the vocabulary, by document."""
+        """Kind 0: documents of a slice with what is known of them. By document, kind 1: pairs of frequent words; kind 2: other words, each with its histories; kind 3: other histories, each with its successors."""
         model, _ = shared.value
         task, number = TaskContext.get().partitionId(), 0
         for b in batches:
@@ -240,9 +339,9 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             for i, j in slices(texts):
                 h, lengths = tokens(texts[i:j])
                 doc = np.repeat(np.arange(j - i), lengths)
-                keys = pair_keys(model, h, lengths)
-                c = keys & np.uint32(CLASSES - 1)
-                tail = c == OTHER
+                history, word = pair_ids(model, h, lengths)
+                tail, after = word >= CLASSES, history >= CLASSES
+                c = np.minimum(word, OTHER).astype(np.int64)
                 base = np.bincount(doc[~tail], model.base(model.counts[c[~tail]]), j - i)
                 known = np.bincount(doc[~tail], model.counts[c[~tail]] > 0, j - i)
                 name = f"{task}-{number}"
@@ -252,82 +351,105 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                 with pa.ipc.new_stream(sink, plain.schema) as w:
                     w.write_batch(plain)
                 none = pa.nulls(1, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number % buckets], pa.int64()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), none, none, none], names)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number % buckets], pa.int64()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), none, none, none, none], names)
                 train = np.where(held[i:j], 0, 1).astype(np.uint32)
-                for what, values, at in ((1, keys.astype(np.uint64), doc), (2, h[tail], doc[tail])):
-                    if not len(values):
+                mark = (doc.astype(np.uint32) << np.uint32(1)) | train[doc]
+                both = ~tail & ~after
+                for what, some, owner, other in ((1, both, history << np.uint64(16) | word, None), (2, tail, word, history), (3, after, history, word)):
+                    if not some.any():
                         continue
-                    order = np.lexsort((at, values)) if what == 2 else np.argsort(values << np.uint64(24) | at.astype(np.uint64), kind="stable") if j - i < 1 << 24 else np.lexsort((at, values))
-                    v, d = values[order], at[order]
-                    new = np.append(True, (v[1:] != v[:-1]) | (d[1:] != d[:-1]))
-                    first = np.flatnonzero(new)
-                    n = np.diff(np.append(first, len(v))).astype(np.uint32)
-                    v, d = v[first], d[first]
-                    own = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-                    size = np.diff(np.append(own, len(v)))
-                    key_part = pair_bucket(v[own], buckets)
-                    part = np.repeat(key_part, size)
-                    by_entry, by_key = np.argsort(part, kind="stable"), np.argsort(key_part, kind="stable")
-                    mark = (d.astype(np.uint32) << np.uint32(1)) | train[d]
-                    ids_of, (a, cnt) = packed(by_entry, part, mark, n)
-                    _, (k, s) = packed(by_key, key_part, v[own].astype(np.uint32) if what == 1 else v[own], size.astype(np.uint32))
+                    owner, at = owner[some], mark[some]
+                    ids_of, (k, s, x, a, cnt) = grouped(owner, np.zeros(len(owner), np.uint8) if other is None else other[some], at, buckets)
                     m = len(ids_of)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array(ids_of), pa.array([what] * m, pa.int32()), k, s, a, cnt], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array(ids_of), pa.array([what] * m, pa.int32()), k, s, pa.nulls(m, pa.binary()) if other is None else x, a, cnt], names)
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         """By slice and document, the sums of a bucket's occurrences; kind 0 passes through."""
         model, pair_model = shared.value
-        known_keys, known_counts = (np.frombuffer(right.column(c)[0].as_py(), t) if right.num_rows else np.zeros(0, t) for c, t in (("keys", np.uint32), ("counts", np.int64)))
+        of = [right.filter(pa.compute.equal(right.column("kind"), kind)) for kind in (1, 3)]
+        (known_keys, known_counts), (low_keys, low_sums) = ([joined(t.column(c).to_pylist(), x) for c, x in zip(("keys", "counts"), kinds)] for t, kinds in zip(of, ((np.uint32, np.int64), (np.uint64, np.float64))))
         out: list[tuple] = []
-        tails = []
-        for name, what, k, s, a, n in zip(*(left.column(c).to_pylist() for c in ("slice", "kind", "keys", "sizes", "at", "counts"))):
+        rest: dict[int, list[tuple]] = {2: [], 3: []}
+        for name, what, k, s, x, a, n in zip(*(left.column(c).to_pylist() for c in ("slice", "kind", "keys", "sizes", "others", "at", "counts"))):
             if what == 0:
-                out.append((name, k, None, None, None, None))
+                out.append((name, k, None, None, None, None, None))
                 continue
-            keys, size, at, n = np.frombuffer(k, np.uint32 if what == 1 else np.uint64), np.frombuffer(s, np.uint32), np.frombuffer(a, np.uint32), np.frombuffer(n, np.uint32)
-            if what == 2:
-                tails.append((name, np.repeat(keys, size), at, n))
+            keys, size, at, n = np.frombuffer(k, np.uint64), np.frombuffer(s, np.uint32), np.frombuffer(a, np.uint32), np.frombuffer(n, np.uint32)
+            if what != 1:
+                rest[what].append((name, np.repeat(keys, size), np.frombuffer(x, np.uint64), at, n))
                 continue
             place = np.minimum(np.searchsorted(known_keys, keys), max(len(known_keys) - 1, 0))
             count = np.where(known_keys[place] == keys, known_counts[place], 0) if len(known_keys) else np.zeros(len(keys), np.int64)
-            value = pair_model.log10(model, (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(CLASSES - 1)).astype(np.int64), count)
-            out.append((name, None, *sums_of(at >> np.uint32(1), np.repeat(value, size) * n, np.repeat(count > 0, size) * n, None)))
-        if tails:
-            trained = [(k[(a & 1) == 1], n[(a & 1) == 1]) for _, k, a, n in tails]
-            all_keys, inverse = np.unique(np.concatenate([x[0] for x in trained]), return_inverse=True)
-            totals = np.bincount(inverse, np.concatenate([x[1] for x in trained]), len(all_keys)).astype(np.int64)
-            share = math.log10(model.p[OTHER])
-            for name, keys, at, n in tails:
-                place = np.minimum(np.searchsorted(all_keys, keys), max(len(all_keys) - 1, 0))
-                count = np.where(all_keys[place] == keys, totals[place], 0) if len(all_keys) else np.zeros(len(keys), np.int64)
-                out.append((name, None, *sums_of(at >> np.uint32(1), (np.log10(model.own(count)) - share) * n, (count > 0) * n, model.base(count) * n)))
-        kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["slice", "docs", "at", "score", "known", "base"])
-
-    def sums_of(doc: np.ndarray, value: np.ndarray, known: np.ndarray, base: np.ndarray | None) -> tuple:
+            value = pair_model.log10(model, (keys >> np.uint64(16)).astype(np.int64), (keys & np.uint64(CLASSES - 1)).astype(np.int64), count)
+            out.append((name, None, *sums_of(at >> np.uint32(1), np.repeat(value, size) * n, np.repeat(count > 0, size) * n)))
+        for what, entries in rest.items():
+            if not entries:
+                continue
+            owner, other, at, n = (np.concatenate([e[i] for e in entries]) for i in range(1, 5))
+            t = Tally(owner, other, n * (at & 1))
+            c, seen = t.count, t.count > 0
+            kept = pair_model.d[np.minimum(c, K + 1)] * c
+            dense = t.others < CLASSES
+            other_class = np.where(dense, t.others, OTHER).astype(np.int64)
+            known = base = None
+            if what == 2:  # by the word: counts, and the share of frequent histories
+                total = t.total[t.owner_of_pair]
+                backoff, scale = (np.where(dense, v[other_class], 1.0) for v in (pair_model.backoff, pair_model.scale / np.maximum(pair_model.total, 1)))
+                value = np.where(seen, kept * scale, model.own(total) * backoff)
+                known, base = (total > 0)[t.pair], model.base(total)[t.pair]
+            else:  # by the history: its backoff weight, and counts of frequent words
+                lower = np.bincount(t.owner_of_pair, np.where(dense & seen, model.p[other_class], 0.0), len(t.owners))
+                if len(low_keys):
+                    place = np.searchsorted(t.owners, low_keys)  # each is there, since training documents are scored too
+                    lower += np.bincount(place, low_sums, len(t.owners))
+                backoff, scale = Pairs.weights(t.total, np.bincount(t.owner_of_pair, kept, len(t.owners)), lower)
+                scale = (scale / np.maximum(t.total, 1))[t.owner_of_pair]
+                value = np.where(seen, scale * np.where(dense, kept, 1.0), backoff[t.owner_of_pair] * np.where(dense, model.p[other_class], 1.0))
+            value = np.log10(np.maximum(value, 1e-300))[t.pair]
+            found = (seen & (dense if what == 3 else True))[t.pair]
+            begin = 0
+            for name, _, _, a, m in entries:
+                e = slice(begin, begin + len(a))
+                begin += len(a)
+                out.append((name, None, *sums_of(a >> np.uint32(1), value[e] * m, found[e] * m, *(() if base is None else (known[e] * m, base[e] * m)))))
+        kinds = [pa.string(), *[pa.binary()] * 6]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["slice", "docs", "at", "score", "pairs", "known", "base"])
+
+    def sums_of(doc: np.ndarray, value: np.ndarray, pairs: np.ndarray, known: np.ndarray | None = None, base: np.ndarray | None = None) -> tuple:
         ids, inverse = np.unique(doc, return_inverse=True)
-        add = lambda x: np.bincount(inverse, x, len(ids)).tobytes()
-        return ids.astype(np.uint32).tobytes(), add(value), add(known), None if base is None else add(base)
+        return ids.astype(np.uint32).tobytes(), *(None if x is None else np.bincount(inverse, x, len(ids)).tobytes() for x in (value, pairs, known, base))
 
     def gather(part: pa.Table) -> pa.Table:
         plain, sums = None, []
-        for docs_of, at, s, k, base in zip(*(part.column(c).to_pylist() for c in ("docs", "at", "score", "known", "base"))):
+        for docs_of, at, *values in zip(*(part.column(c).to_pylist() for c in ("docs", "at", "score", "pairs", "known", "base"))):
             if docs_of is not None:
                 plain = pa.ipc.open_stream(docs_of).read_all().combine_chunks()
             else:
-                sums.append((np.frombuffer(at, np.uint32), np.frombuffer(s), np.frombuffer(k), base and np.frombuffer(base)))
+                sums.append((np.frombuffer(at, np.uint32), *(None if v is None else np.frombuffer(v) for v in values)))
         base, known = plain.column("base").to_numpy().copy(), plain.column("known").to_numpy().copy()
         value, pairs_seen = np.zeros(len(base)), np.zeros(len(base))
-        for at, s, k, b in sorted(sums, key=lambda x: (x[3] is None, x[0].tobytes(), x[1].tobytes())):  # in a fixed order, for equal sums
+        for at, s, q, k, b in sorted(sums, key=lambda x: (x[4] is None, x[0].tobytes(), x[1].tobytes(), x[2].tobytes())):  # in a fixed order, for equal sums
             value[at] += s
-            if b is None:
-                pairs_seen[at] += k
-            else:
+            pairs_seen[at] += q
+            if b is not None:
                 base[at] += b
                 known[at] += k.astype(np.int64)
         n = len(base)
         return pa.table({key: plain.column("key").cast(key_type), "held_out": plain.column("held_out"), "n_tokens": plain.column("n"), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, words.total)), "base_score": pa.array(base), "score": pa.array(value), "n_pairs_seen": pa.array(pairs_seen.astype(np.int64))})
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rare histories' sums to their own buckets."""
+        for b in batches:
+            for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h, p = np.frombuffer(h, np.uint64), np.frombuffer(p)
+                h, p = h[h >= CLASSES], p[h >= CLASSES]
+                if len(h):
+                    part = pair_bucket(h, buckets)
+                    ids, (k, v) = packed(np.argsort(part, kind="stable"), part, h, p)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([3] * len(ids), pa.int32()), k, v], ["bucket", "kind", "keys", "counts"])
+
+    lows = rare.select("histories", "lower").mapInArrow(spread, "bucket long, kind int, keys binary, counts binary")
+    counted = table.select("bucket", F.lit(1).alias("kind"), "keys", "counts").unionByName(lows)
     found = docs.select(key, text, "held_out").mapInArrow(occurrences, row)
-    looked = found.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(look_up, "slice string, docs binary, at binary, score binary, known binary, base binary")
+    looked = found.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(look_up, "slice string, docs binary, at binary, score binary, pairs binary, known binary, base binary")
     return looked.groupBy("slice").applyInArrow(gather, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_pairs_seen long")
