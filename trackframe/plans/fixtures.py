@@ -19,8 +19,8 @@ FROM (SELECT user_id AS video, 1000*(row_number() OVER (PARTITION BY user_id ORD
     "known": "SELECT video, frame, unix, event_id FROM {anchors} k WHERE unix IS NOT NULL",
     "probes": "SELECT DISTINCT video, frame + 500 * (event_id % 3) - 1 AS frame FROM {anchors} p",
     "ocr": """SELECT event_id, user_id AS video, event_id AS frame, CASE WHEN event_id % 13 = 0 THEN '[no text]' WHEN event_id % 5 = 0 THEN CLOCK(ts) || ' EST ' || DATED(ts) WHEN event_id % 11 = 0 THEN SHORT(ts) || ' EST' WHEN event_id % 19 = 0 THEN replace(CLOCK(ts), '0', 'O') || '  EST' ELSE CLOCK(ts) || ' EST' END AS text, EPOCH(ts) AS t FROM {events}""",
-    "stimuli": "SELECT grp, start_ts, start_ts + 100 + n AS end_ts FROM (SELECT user_id % 6 AS grp, EPOCH(ts) AS start_ts, event_id % 90 AS n FROM {events} WHERE event_type = 'error' AND user_id < 60) a",
-    "valid": """SELECT grp, start_ts, nxt - 60*(event_id % 5) AS end_ts FROM (SELECT user_id % 6 AS grp, event_id, EPOCH(ts) AS start_ts, lead(EPOCH(ts)) OVER (PARTITION BY user_id % 6 ORDER BY ts, event_id) AS nxt FROM {events} WHERE event_type = 'view' AND user_id < 30) a WHERE nxt IS NOT NULL AND nxt - 60*(event_id % 5) > start_ts""",
+    "stimuli": "SELECT grp, start_ts, start_ts + 100 + n AS end_ts FROM (SELECT user_id AS grp, EPOCH(ts) AS start_ts, event_id % 90 AS n FROM {events} WHERE event_type = 'error') a",
+    "valid": """SELECT grp, start_ts, nxt - 60*(event_id % 5) AS end_ts FROM (SELECT user_id AS grp, event_id, EPOCH(ts) AS start_ts, lead(EPOCH(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM {events} WHERE event_type = 'view') a WHERE nxt IS NOT NULL AND nxt - 60*(event_id % 5) > start_ts""",
     "clips": """SELECT o_orderkey AS clip_id, 'ch_' || CAST(o_custkey % 5 AS STRING) AS chamber, 'wave' || CAST(o_custkey % 3 AS STRING) AS wave, CASE WHEN o_orderstatus = 'P' THEN 'legacy' ELSE 'structured' END AS layout, 'vid_' || CAST(o_custkey % 40 AS STRING) || '_RGB.mkv' AS source_video, 'vid_' || CAST(o_custkey % 40 AS STRING) AS video, 'clips/c' || CAST(o_orderkey AS STRING) || '.mp4' AS clip_path, CAST(o_orderkey % 7200 AS DOUBLE) AS start_sec, CAST(o_orderkey % 7200 + 3 AS DOUBLE) AS end_sec FROM {orders}""",
     "taken": "SELECT video, start_sec, end_sec FROM {clips} c WHERE clip_id % 32 = 0",
     "candidates": "SELECT DISTINCT video, start_sec, end_sec FROM {clips} c WHERE clip_id % 2 = 1",
