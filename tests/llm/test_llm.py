@@ -364,6 +364,19 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(4, 21))
+def test_seeds_hit_every_pattern_of_substitutions(n):
+    import itertools
+
+    item = common.hash_words([f"q{i}".encode() for i in range(n)])
+    other = common.hash_words([f"z{i}".encode() for i in range(n)])
+    changed = [c for m in range(n // 5 + 1) for c in itertools.combinations(range(n), m)]
+    docs = [np.concatenate([other[:3], np.where(np.isin(np.arange(n), c), other, item), other[:2]]) for c in changed]
+    hits = decontaminate.Seeds([(7, item)]).hits(np.concatenate(docs), np.arange(len(docs)) * (n + 5))
+    assert [c for d, c in enumerate(changed) if (0, 3) not in hits.get(d, ())] == []
+    assert all(decontaminate.overlap(d, item, 3, 13, 0.8) for d in docs)
+
+
 PAGE = '<html><head><title>t</title><script>if (a < b) "</p>"</script></head><body><nav><a>menu</a></nav><div class="ad">buy</div><article><h1>A &amp; B</h1><p>one <b>two</b><br>three<p>four</p><div class="comments"><p>me</p></div></article><footer>f</footer></body></html>'
 
 
