@@ -330,6 +330,27 @@ def test_language_id(spark, docs):
     assert langid.predict(docs, langid.Model([])).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_id_reads_runs_without_spaces_whole(spark):
+    draw = random.Random(4)
+    head = "".join(chr(0x4E00 + i) for i in range(45))
+    kinds = {"aa": range(0x5000, 0x5030), "bb": range(0x6000, 0x6030)}
+    rows = [(i, head + "".join(chr(draw.choice(kinds["aa" if i % 2 else "bb"])) for _ in range(draw.choice([200, 9_000]))), "aa" if i % 2 else "bb") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.predict(docs, langid.fit(docs)).collect()
+    assert all(r.lang_pred == ("aa" if r.doc_id % 2 else "bb") for r in out)
+    assert langid.byte_pieces(rows[0][1].encode()) == [p.encode() for p in langid.pieces(rows[0][1])]
+    assert "".join(langid.pieces(rows[0][1])) == rows[0][1]
+
+
+def test_language_id_learns_rare_languages_and_long_texts(spark):
+    rows = [(100 * y + i, " ".join(f"{chr(97 + y % 26)}{chr(97 + y // 26)}{chr(97 + k % 26)}{'xy'[k % 2]}" for k in range(3_000 if y == 67 else 30)), f"l{y:02d}") for y in range(68) for i in range(1 if y >= 66 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 68 and min(len(r[1]) for r in rows if r[2] == "l67") > 8_000
+    out = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert sum(out[r[0]] == r[2] for r in rows) >= 0.9 * len(rows) and (out[6600], out[6700]) == ("l66", "l67")
+
+
 def test_forward_backward_matches_enumeration():
     import itertools
 

@@ -2,8 +2,9 @@
 
 A word's score for a language sums the weights of its affixes, character n-grams (hashed) and lexicon entries;
 learned transitions tie neighbouring words. Forward-backward gives each word's probabilities, for code-switched text
-too. Training takes a bounded sample of labelled documents (``per_lang`` a language, texts of at most ``max_chars``)
-and splices their runs into sequences that switch language, so that transitions can be learned.
+too. Runs without white space are cut into pieces of at most ``PIECE`` characters, each a word of the chain, so that scripts
+without spaces are read whole. Training takes a bounded sample of labelled documents (``per_lang`` of every language, of longer
+texts ``max_chars`` from the first letter on) and splices their runs into sequences that switch language, so that transitions can be learned.
 
 A document's language is the one with the largest summed probability over its words that have a letter; ``score`` is
 that sum's share. Null text, and text without a letter, is ``und`` with score 0. With nothing to learn from,
@@ -28,11 +29,28 @@ from trackframe.llm.common import keyed, slices, text_bytes
 BITS = 16
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
+#: Characters of a run without white space that make one word.
+PIECE = 40
+
+
+def pieces(text: str) -> list[str]:
+    """The words of a text, long ones in pieces."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+
+
+def byte_pieces(text: bytes) -> list[bytes]:
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [x for w in words for x in ([w] if len(w) <= PIECE else (p.encode() for p in pieces(w.decode("utf-8", "replace"))))]
 
 
 def word_features(word: str) -> list[int]:
     """Hashed affixes of up to 4 characters, inner pairs and triples, and the whole word as a lexicon entry."""
-    w = f"^{word.lower()[:40]}$"
+    w = f"^{word.lower()}$"
     grams = {w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)}
     grams.update((w[:4], w[:5], w[-4:], w[-5:], "=" + w))
     return [crc32(g.encode()) & ((1 << BITS) - 1) for g in grams]
@@ -90,12 +108,16 @@ def teach(rows: list[tuple[str, str]], length: int = 40, sequences: int = 3000,
     """Fit on (text, language) rows: sequences spliced from runs of words of one language each."""
     langs = sorted({lang for _, lang in rows})
     model = Model(langs)
-    words = {y: [t.split() for t, lang in rows if lang == lang_y and t.split()] for y, lang_y in enumerate(langs)}
+    words = {y: [] for y in range(len(langs))}
+    place = {lang: y for y, lang in enumerate(langs)}
+    for t, lang in rows:
+        if t.split():
+            words[place[lang]].append(pieces(t))
     if len(langs) < 1 or not all(words.values()):
         return model
     draw = random.Random(seed)
     seqs, tags = [], []
-    for _ in range(sequences):
+    for _ in range(max(sequences, 40 * len(langs))):
         seq, tag = [], []
         while len(seq) < length:
             y = draw.randrange(len(langs))
@@ -134,23 +156,25 @@ def teach(rows: list[tuple[str, str]], length: int = 40, sequences: int = 3000,
             seen += grad * grad
             model.weights += rate * grad / np.sqrt(seen)
             # Moves: counts seen less counts expected, the latter from neighbouring words' probabilities.
-            joint = p[:, :-1, :, None] * np.exp(model.moves)[None, None] * np.exp(scores - scores.max(1, keepdims=True)).reshape(len(x), length, n)[:, 1:, None, :]
-            joint /= joint.sum((2, 3), keepdims=True)
+            ahead = np.exp(scores - scores.max(1, keepdims=True)).reshape(len(x), length, n)[:, 1:].reshape(-1, n)
+            here, go = p[:, :-1].reshape(-1, n), np.exp(model.moves)
+            joint = go * ((here / np.maximum(((here @ go) * ahead).sum(1, keepdims=True), 1e-30)).T @ ahead)
             counted = np.zeros((n, n), np.float32)
             np.add.at(counted, (y[:, :-1].reshape(-1), y[:, 1:].reshape(-1)), 1)
-            g = counted - joint.sum((0, 1))
+            g = counted - joint
             moves_seen += g * g
             model.moves += 0.1 * rate * g / np.sqrt(moves_seen)
     return model
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 150, max_chars: int = 8_000, max_langs: int = 64) -> Model:
-    """Learn from at most ``per_lang`` documents of each of at most ``max_langs`` languages, lowest key hash first."""
-    rows = keyed(docs, key, text, lang).where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= max_chars))
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 150, max_chars: int = 8_000) -> Model:
+    """Learn from at most ``per_lang`` documents of each language, lowest key hash first."""
+    rows = keyed(docs, key, text, lang).where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     # A hash bound before the ranking keeps a language with most of the rows out of one task.
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_langs)
+    counts = rows.groupBy(lang).count()
+    part = F.when(F.length(text) <= max_chars, F.col(text)).otherwise(F.regexp_extract(text, rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0))
     place = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_000))
-    near = rows.join(counts, lang).where(place * F.col("count") <= F.lit(3 * per_lang + 60) * 1_000_000)
+    near = rows.join(counts, lang).where(place * F.col("count") <= F.lit(3 * per_lang + 60) * 1_000_000).withColumn(text, part)
     some = near.withColumn("_rank", F.row_number().over(Window.partitionBy(lang).orderBy(place, key, text))).where(F.col("_rank") <= per_lang)
     return teach([(r[0], r[1]) for r in some.select(text, lang).orderBy(lang, "_rank").collect()])
 
@@ -162,6 +186,7 @@ class _Scores(dict):
 
     def __init__(self, model: Model):
         super().__init__()
+        self.limit = max(10_000, min(self.LIMIT, self.LIMIT * 64 // max(len(model.langs), 1)))
         self.model, self.table, self.fresh = model, np.zeros((4096, len(model.langs)), np.float32), []
         self.letter = np.zeros(4096, bool)
 
@@ -180,7 +205,7 @@ class _Scores(dict):
 def _label(seen: _Scores, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     """Language and share of each text."""
     langs = seen.model.langs
-    words = [t.split() for t in texts]
+    words = [byte_pieces(t) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     ids = np.fromiter((seen[w] for ws in words for w in ws), np.int64, int(lengths.sum()))
     some = np.flatnonzero(lengths)
@@ -205,8 +230,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
         seen = _Scores(own)
         for b in batches:
             texts = text_bytes(b, text)
-            for i, j in slices(texts, 4_000_000):
-                if len(seen) > _Scores.LIMIT:
+            for i, j in slices(texts, 4_000_000 * 16 // max(len(langs), 16)):
+                if len(seen) > seen.limit:
                     seen = _Scores(own)
                 best, share = _label(seen, texts[i:j]) if langs else ([UND] * (j - i), np.zeros(j - i))
                 part = b.slice(i, j - i)
