@@ -235,6 +235,17 @@ def test_pii_model_adds_spans(spark):
     assert (out[102].n_email, out[102].n_ip, out[102].n_card, out[102].n_phone) == (1, 3, 1, 1)
 
 
+def test_pii_model_sees_texts_without_digits_and_long_spans(spark):
+    draw = random.Random(6)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    model = pii.teach([f'some text password = "{word(20)}" and more' for _ in range(60)])
+    text = f'some text password = "{word(20)}" and more'
+    out = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame([(1, text), (2, text + " 7")], "doc_id long, text string"), model).collect()}
+    assert out[1] == out[2] and "secret:" in out[1]
+    long = f'token="{word(600)}1"'
+    assert any(b - a > 600 for words in pii.islands(long) for row in pii.lattice(long, words) for _, a, b, _ in row)
+
+
 def test_pii_segmentation_is_the_best_of_all():
     """The dynamic program against every segmentation of a short island."""
     model = pii.teach([f"call +1 (068) 555-27{i:02d} or token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\"" for i in range(20)])

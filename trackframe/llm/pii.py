@@ -158,7 +158,7 @@ def lattice(text: str, words: list[tuple[int, int, bool]]) -> list[list[tuple[in
             if not words[i][2]:
                 continue
             a, b = trimmed(text, words[i][0], end)
-            if b - a < 6 or b - a > 400 or a >= words[i][1]:
+            if b - a < 6 or a >= words[i][1]:
                 continue
             before = text[words[i - 1][0] : words[i - 1][1]] if i else ""
             cue = text[max(0, a - 12) : a] if "=" in text[max(0, a - 4) : a] else before
@@ -306,7 +306,7 @@ def find_personal_data(docs: DataFrame, model: Model | None = None, key: str = "
         for b in batches:
             rows = []
             for t in b.column(1).to_pylist():
-                if not t or not re.search("[0-9@]", t):
+                if not t or not re.search("[0-9@\"'=]", t):
                     rows.append((0, 0, 0, 0, EMPTY, "", 0))
                     continue
                 base = base_spans(t)
