@@ -349,7 +349,6 @@ def test_language_id_reads_runs_without_spaces_whole(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = langid.predict(docs, langid.fit(docs)).collect()
     assert all(r.lang_pred == ("aa" if r.doc_id % 2 else "bb") for r in out)
-    assert langid.byte_pieces(rows[0][1].encode()) == [p.encode() for p in langid.pieces(rows[0][1])]
     assert "".join(langid.pieces(rows[0][1])) == rows[0][1]
 
 
@@ -362,13 +361,14 @@ def test_language_id_learns_rare_languages_and_long_texts(spark):
     assert sum(out[r[0]] == r[2] for r in rows) >= 0.9 * len(rows) and (out[6600], out[6700]) == ("l66", "l67")
 
 
-def test_forward_backward_matches_enumeration():
+@pytest.mark.parametrize("block", [1, 2, 3, 64])
+def test_forward_backward_matches_enumeration(block):
     import itertools
 
     draw = np.random.default_rng(4)
-    moves, lengths = draw.normal(size=(2, 2)), np.array([3, 1, 4])
-    scores = draw.normal(size=(8, 2))
-    got = langid.forward_backward(scores, lengths, moves)
+    moves, lengths = draw.normal(size=(2, 2)), np.array([3, 0, 1, 5, 4])
+    scores = draw.normal(size=(13, 2))
+    got = langid.forward_backward(langid.likelihoods(scores), lengths, moves, block)
     at = 0
     for n in lengths:
         p = np.zeros((n, 2))
@@ -376,10 +376,40 @@ def test_forward_backward_matches_enumeration():
             w = np.exp(sum(scores[at + i, y] for i, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
             for i, y in enumerate(path):
                 p[i, y] += w
-        assert np.allclose(got[at : at + n], p / p.sum(1, keepdims=True))
+        assert n == 0 or np.allclose(got[at : at + n], p / p.sum(1, keepdims=True))
         at += n
 
 
+def test_forward_backward_over_a_long_text():
+    draw = np.random.default_rng(6)
+    moves, emit = draw.normal(size=(4, 4)), np.exp(draw.normal(size=(20_000, 4)) * 3)
+    go, fore, aft = np.exp(moves), np.empty_like(emit), np.ones_like(emit)
+    fore[0] = emit[0] / emit[0].sum()
+    for t in range(1, len(emit)):
+        x = (fore[t - 1] @ go) * emit[t]
+        fore[t] = x / x.sum()
+    for t in range(len(emit) - 2, -1, -1):
+        x = go @ (aft[t + 1] * emit[t + 1])
+        aft[t] = x / x.sum()
+    want = fore * aft
+    got = langid.forward_backward(emit, np.array([20_000]), moves)
+    assert np.allclose(got, want / want.sum(1, keepdims=True))
+
+
+def test_word_features_do_not_depend_on_neighbours():
+    words = ["a", "The", "Straße", "x²", "½", "12", "über", "abcdefgh", "中文"]
+    weights = np.random.default_rng(2).normal(size=(1 << langid.BITS, 3)).astype(np.float32)
+    together = langid.Features(words)
+    assert together.letter.tolist() == [True, True, True, True, False, False, True, True, True]
+    for i, w in enumerate(words):
+        assert np.allclose(langid.Features([w]).scores(weights)[0], together.scores(weights)[i], atol=1e-4)
+    feat, own = together.listed()
+    sums = np.zeros((len(words), 3))
+    np.add.at(sums, own, weights[feat])
+    assert np.allclose(sums, together.scores(weights), atol=1e-4)
+    assert len(langid.Features([]).scores(weights)) == 0
+
+
 def test_decontamination(spark):
     draw = random.Random(9)
     item = [f"q{draw.randrange(500)}" for _ in range(30)]

@@ -1,22 +1,26 @@
 """Language of every word by a linear-chain conditional random field, and of a document by its words.
 
-A word's score for a language sums the weights of its affixes, character n-grams (hashed) and lexicon entries;
+A word's score for a language sums the weights of its affixes, character n-grams (hashed) and lexicon entry;
 learned transitions tie neighbouring words. Forward-backward gives each word's probabilities, for code-switched text
-too. Runs without white space are cut into pieces of at most ``PIECE`` characters, each a word of the chain, so that scripts
-without spaces are read whole. Training takes a bounded sample of labelled documents (``per_lang`` of every language, of longer
-texts ``max_chars`` from the first letter on) and splices their runs into sequences that switch language, so that transitions can be learned.
-
-A document's language is the one with the largest summed probability over its words that have a letter; ``score`` is
-that sum's share. Null text, and text without a letter, is ``und`` with score 0. With nothing to learn from,
-everything is ``und``. Repeated rows give repeated results. Only key, text and (for training) language are read.
+too. Words are what ``str.split`` gives, in training as in prediction; runs without white space are cut into pieces of at
+most ``PIECE`` characters, each a word of the chain, so that scripts without spaces are read whole. Long texts are cut into
+blocks of ``BLOCK`` words whose transfer matrices carry the probabilities over the borders, which changes no result.
+Training takes a bounded sample of labelled documents (``per_lang`` of every language, of longer texts ``max_chars`` from
+the first letter on) and splices their runs into sequences that switch language, so that transitions can be learned.
+
+A document's language is the one with the largest summed probability over its words that have a letter (Unicode category
+L); equal sums go to the first by name. ``score`` is that sum's share. Null text, empty text, and text without a letter is
+``und`` with score 0. With nothing to learn from (an empty table among it), everything is ``und``. Repeated rows give
+repeated results. Texts of any length are read whole. Only key, text and (for training) language are read.
 """
 
 from __future__ import annotations
 
+import functools
 import random
-import re
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +28,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackframe.llm.common import keyed, slices, text_bytes
+from trackframe.llm.common import keyed
 
 BITS = 16
-LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 #: Characters of a run without white space that make one word.
 PIECE = 40
+#: Words of a block of a long text.
+BLOCK = 64
+#: Bytes of text that a task labels at once, for up to 16 languages.
+SLICE = 6_000_000
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """By code point, whether it is a letter."""
+    return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
+
+
+def has_letter(word: str) -> bool:
+    return any(unicodedata.category(c)[0] == "L" for c in word)
 
 
 def pieces(text: str) -> list[str]:
@@ -41,19 +58,56 @@ def pieces(text: str) -> list[str]:
     return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
-def byte_pieces(text: bytes) -> list[bytes]:
-    words = text.split()
-    if max(map(len, words), default=0) <= PIECE:
-        return words
-    return [x for w in words for x in ([w] if len(w) <= PIECE else (p.encode() for p in pieces(w.decode("utf-8", "replace"))))]
-
+def _hashed(*parts: np.ndarray) -> np.ndarray:
+    """Feature numbers of equally long runs of code points; the number of parts tells kinds apart."""
+    out, factor = np.full(len(parts[0]), len(parts) * 0x9E3779B1 & 0xFFFFFFFF, np.uint32), 0x85EBCA6B
+    for x in parts:
+        out += x * np.uint32(factor)
+        out ^= out >> np.uint32(15)
+        factor = factor * 0xC2B2AE35 + 2 & 0xFFFFFFFF | 1
+    out *= np.uint32(0x27D4EB2F)
+    return out >> np.uint32(32 - BITS)
+
+
+class Features:
+    """Feature numbers of words: pairs and triples of characters with the word's borders, affixes, the whole word."""
+
+    def __init__(self, words: list[str]):
+        text = np.frombuffer("\n".join(["", *words, ""]).lower().encode("utf-32-le"), np.uint32)
+        border = np.flatnonzero(text == 10)  # white space stands in no word
+        self.start, end = border[:-1], border[1:]
+        self.letter = np.logical_or.reduceat(letters()[text], self.start) if len(words) else np.zeros(0, bool)
+        self.pairs = _hashed(text[:-1], text[1:])
+        self.triples = _hashed(text[:-2], text[1:-1], text[2:]) if len(text) > 2 else text[:0]
+        self.inside = text[1:-1] != 10  # a triple over a border belongs to no word
+        at = np.arange(len(text) - 1, dtype=np.uint32) - np.repeat(self.start, np.diff(border)).astype(np.uint32)
+        whole = np.add.reduceat(_hashed(text[:-1], at, at, at).astype(np.uint32) * np.uint32(0x9E3779B1) + text[:-1], self.start, dtype=np.uint32) if len(words) else text[:0]
+        head = [text[np.minimum(self.start + k, end)] for k in range(5)]
+        tail = [text[np.maximum(end - k, self.start)] for k in range(5)]
+        mark = np.ones(len(words), np.uint32)
+        self.once = [_hashed(whole, mark, mark, mark, mark), _hashed(*head[:4], mark), _hashed(*head, mark), _hashed(*tail[:4], mark * 2), _hashed(*tail, mark * 2)]
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """(words, languages): summed weights; zero for a word without a letter."""
+        out = np.empty((len(self.start), weights.shape[1]), np.float32)
+        for y in range(weights.shape[1] if len(self.start) else 0):
+            w = np.ascontiguousarray(weights[:, y])
+            total = np.add.reduceat(w[self.pairs], self.start)
+            total += np.add.reduceat(np.append(w[self.triples] * self.inside, np.float32(0)), self.start)
+            for f in self.once:
+                total += w[f]
+            out[:, y] = total
+        out[~self.letter] = 0
+        return out
 
-def word_features(word: str) -> list[int]:
-    """Hashed affixes of up to 4 characters, inner pairs and triples, and the whole word as a lexicon entry."""
-    w = f"^{word.lower()}$"
-    grams = {w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)}
-    grams.update((w[:4], w[:5], w[-4:], w[-5:], "=" + w))
-    return [crc32(g.encode()) & ((1 << BITS) - 1) for g in grams]
+    def listed(self) -> tuple[np.ndarray, np.ndarray]:
+        """All features of words with a letter, and the word of each."""
+        n = len(self.start)
+        owner = np.repeat(np.arange(n), np.diff(np.append(self.start, len(self.pairs))))
+        feat = np.concatenate([self.pairs, self.triples[self.inside], *self.once])
+        own = np.concatenate([owner, owner[:-1][self.inside], *[np.arange(n)] * len(self.once)])
+        kept = self.letter[own]
+        return feat[kept].astype(np.int64), own[kept]
 
 
 class Model:
@@ -62,46 +116,71 @@ class Model:
         self.weights = np.zeros((1 << BITS, n), np.float32)
         self.moves = np.eye(n, dtype=np.float32) * 2
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        """Log-scores (words, languages); zero for a word without a letter."""
-        out = np.zeros((len(words), len(self.langs)), np.float32)
-        for i, w in enumerate(words):
-            if LETTER.search(w):
-                out[i] = self.weights[word_features(w)].sum(0)
-        return out
 
+def forward_backward(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Probabilities of each word's language, for sequences laid end to end, all at once.
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Probabilities of each word's language, for sequences laid end to end, all at once, longest first inside.
-
-    scores: (total words, languages), log. Each step handles the words of one position over all sequences long enough.
+    emit: (total words, languages), the exponentials of the words' scores, any scale a word. Sequences are cut into blocks. A
+    step handles one place of all blocks, so there are at most ``block`` steps each way, besides one for each border of the longest.
     """
-    order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    sizes = lengths[order]
-    alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right") if len(sizes) and sizes[0] else np.zeros(0, int)
-    emit = np.exp(scores - scores.max(1, keepdims=True, initial=-80)) + 1e-30
-    go = np.exp(moves - moves.max())
-    fore = np.empty_like(emit)
-    state = None
-    for t, n in enumerate(alive):
-        at = starts[:n] + t
-        state = emit[at] if state is None else (state[:n] @ go) * emit[at]
-        state /= state.sum(1, keepdims=True)
-        fore[at] = state
-    back = None
+    lengths = np.asarray(lengths, np.int64)
+    n = emit.shape[1]
+    if not lengths.sum():
+        return np.zeros_like(emit)
+    go = np.exp(moves - moves.max()).astype(emit.dtype)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    blocks_of = -(-lengths // block)  # an empty sequence has none
+    first = np.cumsum(blocks_of) - blocks_of
+    place = np.arange(int(blocks_of.sum())) - np.repeat(first, blocks_of)
+    starts = np.repeat(np.cumsum(lengths) - lengths, blocks_of) + place * block
+    sizes = np.minimum(np.repeat(lengths, blocks_of) - place * block, block)
+    # Blocks by size, the longest first; words by place in their block: each step is one slice.
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")
+    at = np.concatenate([starts[:m] + t for t, m in enumerate(alive)])
+    cut = np.concatenate([[0], np.cumsum(alive)])
+    step = emit[at]
+    entry, leave = np.ones((len(starts), n), emit.dtype), np.ones((len(starts), n), emit.dtype)
+    many = np.repeat(blocks_of > 1, blocks_of)[order]
+    if many.any():
+        some = np.flatnonzero(many)
+        whole = np.eye(n, dtype=emit.dtype)[None] * step[: len(starts)][some][:, None, :]
+        for t in range(1, len(alive)):
+            m = int(np.searchsorted(some, alive[t]))  # blocks in order of size, so those still running come first
+            new = (whole[:m] @ go) * step[cut[t] : cut[t + 1]][some[:m]][:, None, :]
+            whole[:m] = new / new.sum((1, 2), keepdims=True)
+        row = np.empty(len(starts), np.int64)
+        row[order[some]] = np.arange(len(some))
+        seqs = np.flatnonzero(blocks_of > 1)
+        seqs = seqs[np.argsort(-blocks_of[seqs], kind="stable")]
+        slot = np.empty(len(starts), np.int64)
+        slot[order] = np.arange(len(starts))
+        for k in range(1, int(blocks_of[seqs[0]])):  # border k: what enters block k
+            b = first[seqs[: np.searchsorted(-blocks_of[seqs], -k, "left")]] + k
+            come = np.einsum("bi,bij->bj", entry[slot[b - 1]], whole[row[b - 1]])
+            entry[slot[b]] = norm(come @ go)
+        for k in range(int(blocks_of[seqs[0]]) - 1, 0, -1):
+            b = first[seqs[: np.searchsorted(-blocks_of[seqs], -k, "left")]] + k
+            back = np.einsum("bij,bj->bi", whole[row[b]], leave[slot[b]])
+            leave[slot[b - 1]] = norm(back @ go.T)
+    fore = np.empty_like(step)
+    state = norm(entry * step[: len(starts)])
+    fore[: len(starts)] = state
+    for t in range(1, len(alive)):
+        state = norm((state[: alive[t]] @ go) * step[cut[t] : cut[t + 1]])
+        fore[cut[t] : cut[t + 1]] = state
     for t in range(len(alive) - 1, -1, -1):
-        n = alive[t]
-        at = starts[:n] + t
-        new = np.ones((n, emit.shape[1]), emit.dtype)
-        if back is not None:
-            m = len(back)
-            new[:m] = (back * emit[at[:m] + 1]) @ go.T
-            new[:m] /= new[:m].sum(1, keepdims=True)
-        back = new
-        p = fore[at] * new
-        fore[at] = p / p.sum(1, keepdims=True)
-    return fore
+        m, here = alive[t], slice(cut[t], cut[t + 1])
+        fore[here] *= leave[:m]
+        leave[:m] = norm((leave[:m] * step[here]) @ go.T)
+    out = np.empty_like(emit)
+    out[at] = norm(fore)
+    return out
+
+
+def likelihoods(scores: np.ndarray) -> np.ndarray:
+    return np.exp(scores - scores.max(1, keepdims=True, initial=-80)) + np.float32(1e-30)
 
 
 def teach(rows: list[tuple[str, str]], length: int = 40, sequences: int = 3000, rounds: int = 6, rate: float = 0.3, seed: int = 5) -> Model:
@@ -124,15 +203,13 @@ def teach(rows: list[tuple[str, str]], length: int = 40, sequences: int = 3000,
             text = draw.choice(words[y])
             run = min(length - len(seq), draw.choice((5, 10, 20, 40)))
             at = draw.randrange(max(1, len(text) - run + 1))
-            part = [w for w in text[at : at + run]]
+            part = text[at : at + run]
             seq += part
             tag += [y] * len(part)
         seqs.append(seq)
         tags.append(tag)
     kinds = {w: i for i, w in enumerate(sorted({w for s in seqs for w in s}))}
-    features = [word_features(w) if LETTER.search(w) else [] for w in kinds]
-    owner = np.repeat(np.arange(len(kinds)), [len(f) for f in features])
-    flat = np.fromiter((x for f in features for x in f), np.int64)
+    flat, owner = Features(list(kinds)).listed()
     ids, truth = np.array([[kinds[w] for w in s] for s in seqs]), np.array(tags)
     n = len(langs)
     seen, moves_seen = np.full_like(model.weights, 1e-3), np.full_like(model.moves, 1e-3)
@@ -145,7 +222,7 @@ def teach(rows: list[tuple[str, str]], length: int = 40, sequences: int = 3000,
             own, feat = np.searchsorted(used, owner[mask]), flat[mask]
             emit = np.zeros((len(used), n), np.float32)
             np.add.at(emit, own, model.weights[feat])
-            scores = emit[place.reshape(-1)]
+            scores = likelihoods(emit)[place.reshape(-1)]
             p = forward_backward(scores, np.full(len(x), length), model.moves).reshape(len(x), length, n)
             wrong = np.eye(n, dtype=np.float32)[y] - p
             per_word = np.zeros((len(used), n), np.float32)
@@ -156,7 +233,7 @@ def teach(rows: list[tuple[str, str]], length: int = 40, sequences: int = 3000,
             seen += grad * grad
             model.weights += rate * grad / np.sqrt(seen)
             # Moves: counts seen less counts expected, the latter from neighbouring words' probabilities.
-            ahead = np.exp(scores - scores.max(1, keepdims=True)).reshape(len(x), length, n)[:, 1:].reshape(-1, n)
+            ahead = scores.reshape(len(x), length, n)[:, 1:].reshape(-1, n)
             here, go = p[:, :-1].reshape(-1, n), np.exp(model.moves)
             joint = go * ((here / np.maximum(((here @ go) * ahead).sum(1, keepdims=True), 1e-30)).T @ ahead)
             counted = np.zeros((n, n), np.float32)
@@ -179,39 +256,19 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return teach([(r[0], r[1]) for r in some.select(text, lang).orderBy(lang, "_rank").collect()])
 
 
-class _Scores(dict):
-    """Row of a word's scores in a growing table; starts anew beyond a bounded number of words."""
-
-    LIMIT = 400_000
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.limit = max(10_000, min(self.LIMIT, self.LIMIT * 64 // max(len(model.langs), 1)))
-        self.model, self.table, self.fresh = model, np.zeros((4096, len(model.langs)), np.float32), []
-        self.letter = np.zeros(4096, bool)
-
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self)
-        if i >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.letter = np.concatenate([self.letter, np.zeros_like(self.letter)])
-        w = word.decode("utf-8", "replace")
-        if LETTER.search(w):
-            self.letter[i] = True
-            self.table[i] = self.model.weights[word_features(w)].sum(0)
-        return i
-
-
-def _label(seen: _Scores, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+def _label(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and share of each text."""
-    langs = seen.model.langs
-    words = [byte_pieces(t) for t in texts]
+    langs = model.langs
+    words = [pieces(t) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    ids = np.fromiter((seen[w] for ws in words for w in ws), np.int64, int(lengths.sum()))
-    some = np.flatnonzero(lengths)
-    p = forward_backward(seen.table[ids], lengths[some], seen.model.moves)
-    p[~seen.letter[ids]] = 0
-    sums = np.zeros((len(texts), len(langs)))
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    ids = np.fromiter((i for ws in words for i in map(number.__getitem__, ws)), np.int32, int(lengths.sum()))
+    del words
+    found = Features(list(number))
+    p = forward_backward(likelihoods(found.scores(model.weights))[ids], lengths, model.moves)
+    p[~found.letter[ids]] = 0
+    some, sums = np.flatnonzero(lengths), np.zeros((len(texts), len(langs)))
     if len(some):
         sums[some] = np.add.reduceat(p, (np.cumsum(lengths) - lengths)[some], axis=0, dtype=np.float64)
     total, top = sums.sum(1), sums.argmax(1)
@@ -219,6 +276,18 @@ def _label(seen: _Scores, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     return [langs[t] if s > 0 else UND for t, s in zip(top, total)], np.clip(share, 0, 1)
 
 
+def runs(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``limit`` characters each; a longer text stands alone."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """(key, lang_pred, score) of every document; no other column takes part. ``carry``: its row too, as struct ``doc``."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights.astype(np.float16), model.moves))  # 65 536 x languages, in halves
@@ -227,13 +296,10 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
         langs, weights, moves = shared.value
         own = Model(langs)
         own.weights, own.moves = weights.astype(np.float32), moves
-        seen = _Scores(own)
         for b in batches:
-            texts = text_bytes(b, text)
-            for i, j in slices(texts, 4_000_000 * 16 // max(len(langs), 16)):
-                if len(seen) > seen.limit:
-                    seen = _Scores(own)
-                best, share = _label(seen, texts[i:j]) if langs else ([UND] * (j - i), np.zeros(j - i))
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for i, j in runs(texts, SLICE * 16 // max(len(langs), 16)):
+                best, share = _label(own, texts[i:j]) if langs else ([UND] * (j - i), np.zeros(j - i))
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.string()), pa.array(share, pa.float64()), *part.columns[2:]], names)
 
