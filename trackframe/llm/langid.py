@@ -248,7 +248,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Learn from at most ``per_lang`` documents of each language, lowest key hash first."""
     rows = keyed(docs, key, text, lang).where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     # A hash bound before the ranking keeps a language with most of the rows out of one task.
-    counts = rows.groupBy(lang).count()
+    counts = F.broadcast(rows.groupBy(lang).count())  # a row a language, each of which has a whole column of weights in the model
     part = F.when(F.length(text) <= max_chars, F.col(text)).otherwise(F.regexp_extract(text, rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0))
     place = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_000))
     near = rows.join(counts, lang).where(place * F.col("count") <= F.lit(3 * per_lang + 60) * 1_000_000).withColumn(text, part)
