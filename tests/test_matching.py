@@ -75,3 +75,69 @@ def test_trackers(spark):
 def test_score_frames_batches(spark):
     seen = tracking.score_frames(spark.range(100).repartition(1), lambda pdf: pdf.assign(n=len(pdf)), "id long, n long", 32)
     assert seen.agg(F.max("n"), F.count("*")).first()[:] == (32, 100)
+
+
+def test_kalman_by_hand(spark):
+    """One box over three frames against the filter's equations written out for one axis: centre and its change."""
+    xs = [100.0, 104.0, 111.0]
+    out = tracking.track(dets(spark, [(0, f + 1, 0, x - 10, 0.0, 20.0, 20.0, 0.9) for f, x in enumerate(xs)]), "kalman", n=1).orderBy("frame").collect()
+    p, v, a, b, c = xs[0], 0.0, 10.0, 0.0, 100.0  # state and covariance [[a, b], [b, c]]
+    want = [p]
+    for z in xs[1:]:
+        p, a, b, c = p + v, a + 2 * b + c + 1.0, b + c, c + 0.1
+        k, m, y = a / (a + 1.0), b / (a + 1.0), z - p
+        p, v, a, b, c = p + k * y, v + m * y, (1 - k) * a, (1 - k) * b, c - m * b
+        want.append(p)
+    assert [r.x + 10 for r in out] == pytest.approx(want)
+
+
+def test_single_target_by_hand(spark):
+    """Predicted from frame 1 on; the first detection, in frame 3, sets the position and nothing else."""
+    seen = {3: 50.0, 4: 53.0, 6: 60.0}
+    out = tracking.track(dets(spark, [(0, f, 0, x - 5, 0.0, 10.0, 10.0, 0.8) for f, x in seen.items()]), "single", first=1).orderBy("frame").collect()
+    p, v, a, b, c, want, ready = 0.0, 0.0, 1000.0, 0.0, 1000.0, [], False
+    for f in range(1, 7):
+        p, a, b, c = p + v, a + 2 * b + c + 0.001, b + c, c + 0.001
+        if f in seen and ready:
+            k, m, y = a / (a + 5.0), b / (a + 5.0), seen[f] - p
+            p, v, a, b, c = p + k * y, v + m * y, (1 - k) * a, (1 - k) * b, c - m * b
+        elif f in seen:
+            p, ready = seen[f], True
+        if ready:
+            want.append((f, pytest.approx(p), 0.8 if f in seen else 0.5))
+    assert [(r.frame, r.x, r.conf) for r in out] == want
+
+
+def test_contested_frames_match_brute_force(spark):
+    draw = np.random.default_rng(3)
+    box = lambda f, i: (0, f, i, float(draw.integers(0, 12)), float(draw.integers(0, 12)), 10.0, 10.0)
+    gt, pred = [box(f, i) for f in range(40) for i in range(4)], [box(f, i) for f in range(40) for i in range(5)]
+    found = matching.match(spark.createDataFrame(gt, BOXES), spark.createDataFrame(pred, BOXES), 0.0).groupBy("frame").agg(F.sum("iou").alias("s")).collect()
+    for r in found:
+        a, b = (np.array([[x, y, x + w, y + h] for _, f, _, x, y, w, h in side if f == r.frame]) for side in (gt, pred))
+        assert r.s == pytest.approx(brute(tracking.iou_table(a, b)))
+    assert len(found) == 40
+
+
+def test_detection_quality_counts_switches_once(spark):
+    gt = spark.createDataFrame([(0, f, 1, 0.0, 0.0, 10.0, 10.0) for f in range(6)], BOXES)
+    pred = spark.createDataFrame([(0, f, 7 if f in (0, 1, 4) else 8, 0.0, 0.0, 10.0, 10.0) for f in range(6)], BOXES)
+    assert metrics.detection_quality(gt, pred).first().idsw == matching.switches(matching.match(gt, pred)).count() == 3
+
+
+def test_gap_fill_carries_confidence(spark):
+    t = spark.createDataFrame([(0, 1, 1, 0.0, 0.0, 1.0, 1.0, 0.42), (0, 3, 1, 4.0, 8.0, 1.0, 1.0, None)], BOXES + ", conf double")
+    assert [(r.frame, round(r.conf, 6), r["class"]) for r in tracks.track_table(tracks.fill_gaps(t, 5)).orderBy("frame").collect()] == [(1, 0.42, 1), (2, 1.0, 1), (3, 1.0, 1)]
+
+
+def test_gated_filled_and_compare(spark):
+    d = dets(spark, [(0, f, 0, float(f), 0.0, 20.0, 20.0, 0.9) for f in (1, 2, 5, 6)])
+    filled = {(r.frame, r.id, r.x, r.filled) for r in tracking.track(d, "gated", max_gap=2, n=1).collect()}
+    assert filled == {(1, 1, 1.0, False), (2, 1, 2.0, False), (3, 1, 3.0, True), (4, 1, 4.0, True), (5, 1, 5.0, False), (6, 1, 6.0, False)}
+    both = tracking.compare(d, {"a": {"method": "gated"}, "b": {"method": "slots"}}).groupBy("method").count().collect()
+    assert {(r.method, r["count"]) for r in both} == {("a", 4), ("b", 4)}
+
+
+def test_repeated_ids_are_counted(spark):
+    t = spark.createDataFrame([(0, 1, 1, 0.0, 0.0, 1.0, 1.0), (0, 1, 1, 2.0, 0.0, 1.0, 1.0), (0, 2, 1, 0.0, 0.0, 1.0, 1.0)], BOXES)
+    assert matching.repeated_ids(t).first().repeated == 1 and matching.unique_ids(t).count() == 2

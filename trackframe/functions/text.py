@@ -6,14 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Zone names that are dropped from recognised text.
-ZONES = ("EST", "EDT", "CST", "CDT", "MST", "MDT", "PST", "PDT", "AKST", "AKDT", "HST", "AST", "ADT", "BST", "CET", "CEST", "EET", "EEST", "IST", "JST", "KST", "AEST", "AEDT", "NZST", "NZDT")
+ZONES = ("EST", "EDT", "CST", "CDT", "MST", "MDT", "PST", "PDT", "AST", "ADT", "HST", "AKST", "AKDT", "UTC", "GMT", "BST", "CET", "CEST", "IST", "JST", "KST", "AEST", "AEDT", "NZST", "NZDT")
 # Formats of recognised text in order of trial, and whether they have a date.
 TIME_FORMATS = (
-    ("h:m:s a", False), ("H:m:s", False), ("h:m a", False), ("H:m", False),
-    ("yyyy-M-d H:m:s", True), ("yyyy/M/d H:m:s", True), ("M/d/yy h:m:s a", True), ("M/d/yyyy h:m:s a", True),
-    ("M/d/yyyy H:m:s", True), ("d-MMM-yy h:m:s a", True), ("h:m:s a d-MMM-yy", True), ("d/M/yyyy H:m:s", True), ("d.M.yyyy H:m:s", True),
-)
-USER_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy/M/d H:m:s", "yyyy/M/d H:m", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy h:m:s a", "M/d/yyyy h:m a")
+    ("h:m:s a d-MMM-yy", True),
+    ("h:m:s a d-MMM-yyyy", True),
+    ("h:m:s a d/M/yyyy", True),
+    ("h:m:s a d/M/yy", True),
+    ("h:m:s a M/d/yyyy", True),
+    ("H:m:s d-MMM-yy", True),
+    ("H:m:s d-MMM-yyyy", True),
+    ("H:m:s d/M/yyyy", True),
+    ("H:m:s d/M/yy", True),
+    ("h:m:s a", False),
+    ("H:m:s", False),
+    ("h:m a", False),
+    ("H:m", False),
+)
+# Formats of times that users type, in order of trial.
+USER_FORMATS = (
+    "yyyy-M-d H:m:s",
+    "yyyy-M-d H:m",
+    "yyyy-M-d'T'H:m:s",
+    "yyyy-M-d'T'H:m",
+    "M/d/yyyy H:m",
+    "M/d/yyyy h:m a",
+    "yyyy-M-d h:m a",
+    "yyyy-M-d h:m:s a",
+)
 
 
 def modality(name: Column, rule: str = "catalogue") -> Column:
@@ -52,9 +72,9 @@ def clean_ocr(text: Column, keep_months: bool = False) -> Column:
     """O to 0 everywhere (``keep_months``: only beside digits), o and l between digits, zones and offsets out, spaces squeezed."""
     out = F.regexp_replace(text, r"(?<=[\d:])O|O(?=[\d:])", "0") if keep_months else F.regexp_replace(text, "O", "0")
     out = F.regexp_replace(F.regexp_replace(out, r"(?<=\d)o(?=\d)", "0"), r"(?<=\d)l(?=\d)", "1")
-    out = F.regexp_replace(out, r"(?i)\b(?:UTC|GMT)(?:\s*[+-]\s*\d{1,2}(?::?\d{2})?)?", " ")
-    out = F.regexp_replace(out, rf"\b(?:{'|'.join(ZONES)})\b", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(out, r"(?i)\b(?:UTC|GMT)\s*[+-]?\d{1,2}(?::?\d{2})?\b", "")
+    out = F.regexp_replace(out, rf"(?i)\b(?:{'|'.join(ZONES)})\b", "")
+    return F.regexp_replace(F.regexp_replace(out, r"\s{2,}", " "), r"^\s+|\s+$", "")
 
 
 def time_format(text: Column) -> Column:
@@ -79,8 +99,37 @@ def parse_time(text: Column, fmt: Column, base_date: Column, day_offset: Column,
 
 
 def add_seconds(text: Column) -> Column:
-    """``H:MM AM`` becomes ``H:MM:00 AM``; other text stays."""
-    return F.regexp_replace(text, r"^(\d{1,2}:\d{2})(\s*[AaPp][Mm].*)$", "$1:00$2")
+    """``H:MM AM`` becomes ``H:MM:00 AM``; other text, and such without a space before AM or PM, stays."""
+    return F.regexp_replace(text, r"(?i)^(\d{1,2}:\d{2})\s+(AM|PM)\b(.*)$", "$1:00 $2$3")
+
+
+def repair_seconds(text: Column, fmt: str, base_date: Column, day_offset: Column, zone: str = "America/New_York") -> Column:
+    """Unix seconds of cleaned text that lacks its seconds, read again with them in the recording's own format; null for all other text."""
+    fixed = add_seconds(text)
+    return F.when(fixed != text, parse_time(fixed, F.lit(fmt), base_date, day_offset, zone))
+
+
+def frame_of(seconds: Column, rate: Column) -> Column:
+    """Frame of a second, cut off."""
+    return (seconds * rate).cast("int")
+
+
+def second_of(frame: Column, rate: Column) -> Column:
+    return frame / rate
+
+
+def ocr_calls(frames: Column, interval: int) -> Column:
+    return F.floor(frames / interval) + 1
+
+
+def ocr_cost(calls: Column, free: int = 0, per_thousand: float = 1.5) -> Column:
+    """Price of ``calls`` beyond those that are free."""
+    return F.greatest(calls - free, F.lit(0)) * F.lit(per_thousand) / 1000
+
+
+def actual_rate(frames: Column, seconds: Column, nominal: float) -> Column:
+    """Frames a second between two frames; the nominal rate where no time passes."""
+    return F.when(seconds == 0, F.lit(nominal)).otherwise(F.abs(frames) / seconds)
 
 
 def user_time(text: Column, zone: str = "America/New_York") -> Column:
@@ -107,9 +156,11 @@ def label_issues(line: Column, classes: int) -> Column:
 
 
 def fingerprint(document: Column) -> Column:
-    """SHA-256 of a flat JSON object that does not depend on key order or white space."""
-    entries = F.array_sort(F.map_entries(F.from_json(document, "map<string,string>")))
-    return F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"), e["value"].alias("v"))))), "\n"), 256)
+    """SHA-256 of a JSON document that depends neither on key order nor on white space, at any depth.
+
+    The document is read as a variant, whose objects hold their keys in order; null where it is no JSON.
+    """
+    return F.sha2(F.to_json(F.try_parse_json(document)), 256)
 
 
 def dhash(grid: Column, rows: int, columns: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.functions.text import stem
+from trackframe.operators.ranks import placed, seeded
 
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp")
 
@@ -112,9 +113,7 @@ def reconcile(old: DataFrame, listing: DataFrame) -> DataFrame:
 
 def ratio_split(rows: DataFrame, ratios: dict[str, float], stratum: str | None, key: str, seed: int) -> DataFrame:
     """Every row in one split: seeded order within its stratum, cut at half-even rounded shares. Splits of ratio 0 are absent."""
-    by = Window.partitionBy(stratum) if stratum else Window.partitionBy(F.lit(0))
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    ranked = rows.withColumns({"_r": F.row_number().over(by.orderBy(order, key)), "_n": F.count("*").over(by)})
+    ranked = placed(rows, seeded(seed, F.col(key)), F.col(key), [stratum] if stratum else [])
     parts, total, split = [(k, v) for k, v in ratios.items() if v > 0], sum(ratios.values()), None
     acc = 0.0
     for i, (name, share) in enumerate(parts):
@@ -125,30 +124,114 @@ def ratio_split(rows: DataFrame, ratios: dict[str, float], stratum: str | None,
 
 
 def hold_out(frames: DataFrame, share: float, seed: int) -> DataFrame:
-    """Whole clips to val: max(1, int(clips x share)); where that would take all clips, single frames instead."""
-    clips = frames.select("clip").distinct()
-    rank = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("clip").cast("string")))))  # a row a clip
-    n = clips.withColumns({"_r": rank, "_n": F.count("*").over(Window.partitionBy())})
+    """Whole clips to val: max(1, int(clips x share)); where that would take all clips, max(1, int(frames x share)) single frames instead."""
+    clips = placed(frames.select("clip").distinct(), seeded(seed, F.col("clip")), F.col("clip"))
     take = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    return frames.join(n.withColumn("_val", (F.col("_r") <= take) & (take < F.col("_n"))).withColumn("_all", take >= F.col("_n")).drop("_r", "_n"), "clip").withColumn("split", F.when(F.col("_val") | (F.col("_all") & (F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("clip").cast("string"), F.lit("|"), F.col("frame").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(1000)) < int(share * 1000))), "val").otherwise("train")).drop("_val", "_all")
+    by_clip = clips.select(F.col("clip").alias("_clip"), (F.col("_r") <= take).alias("_val"), (take >= F.col("_n")).alias("_all"))
+    single = placed(frames, seeded(seed, F.col("clip"), F.col("frame")), F.col("frame"))
+    own = F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))
+    rows = single.join(by_clip, F.col("clip") == F.col("_clip"))
+    return rows.withColumn("split", F.when(F.when(F.col("_all"), own).otherwise(F.col("_val")), "val").otherwise("train")).select(*frames.columns, "split")
 
 
 def sample_rows(rows: DataFrame, n: int, key: Column, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """``n`` rows of each group in seeded hash order."""
     order = F.md5(F.concat(F.lit(f"{seed}|"), key))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return rows.withColumn("_r", F.row_number().over(w.orderBy(order))).where(F.col("_r") <= n).drop("_r")
+    if not by:
+        return rows.orderBy(order).limit(n)
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_r") <= n).drop("_r")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows by key, the last write wins; null text becomes "", booleans 0 and 1."""
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], written: str | None = None) -> DataFrame:
+    """Rows by key, the last write wins; null text becomes "", booleans 0 and 1.
+
+    ``written`` orders several new rows of one key; without it the one with the greatest values in column order wins.
+    """
     both = old.withColumn("_w", F.lit(0)).unionByName(new.withColumn("_w", F.lit(1)), allowMissingColumns=True)
-    last = Window.partitionBy(*keys).orderBy(F.desc("_w"))
+    ties = [F.desc(written)] if written else []
+    last = Window.partitionBy(*keys).orderBy(F.desc("_w"), *ties, *(F.desc(F.col(c).cast("string")) for c in new.columns))
     rows = both.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_w")
     flat = lambda f: F.col(f.name).cast("int").alias(f.name) if f.dataType.simpleString() == "boolean" else F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name)
     return rows.select(*map(flat, rows.schema.fields))
 
 
+def register_sources(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Sources (chamber_id, drive_uuid, drive_label, waves array) after registering ``new`` ones (chamber_id, drive_uuid, drive_label).
+
+    A known chamber takes the new drive, keeps its waves, and keeps its label where the new one is blank; an unknown one starts
+    without waves. ``created`` tells which. New rows of one chamber: the greatest drive wins.
+    """
+    n = new.groupBy("chamber_id").agg(F.max(F.struct("drive_uuid", "drive_label")).alias("_new"))
+    waves = F.coalesce("waves", F.array().cast("array<string>")).alias("waves")
+    label = F.when(F.col("_new").isNull(), F.coalesce("drive_label", F.lit(""))).otherwise(F.coalesce(F.nullif("_new.drive_label", F.lit("")), "drive_label", F.lit("")))
+    rows = old.withColumn("_old", F.lit(True)).join(n, "chamber_id", "full_outer")
+    return rows.select("chamber_id", F.coalesce("_new.drive_uuid", "drive_uuid").alias("drive_uuid"), label.alias("drive_label"), waves, F.col("_old").isNull().alias("created"))
+
+
+def triage(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected): the manifest with each frame's decision (frame key, status), rejected frames split out."""
+    marked = manifest.join(decisions.select("frame_key", "status"), "frame_key", "left").withColumn("status", F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("pending")))
+    return marked.where("status <> 'rejected'"), marked.where("status = 'rejected'")
+
+
+def mark_annotated(manifest: DataFrame, labels: DataFrame) -> DataFrame:
+    """``annotated`` yes or no by whether a frame has a label."""
+    has = labels.select("frame_key").distinct().withColumn("_has", F.lit(True))
+    return manifest.join(has, "frame_key", "left").withColumn("annotated", F.when(F.col("_has"), "yes").otherwise("no")).drop("_has")
+
+
+def tallies(rows: DataFrame, status: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows approved, rejected and pending; a blank status is pending."""
+    s = F.coalesce(F.nullif(F.lower(F.trim(status)), F.lit("")), F.lit("pending"))
+    return rows.groupBy(*by).agg(*(F.count_if(s == k).alias(k) for k in ("approved", "rejected", "pending")))
+
+
+def outcomes(rows: DataFrame, status: str = "status") -> DataFrame:
+    return rows.groupBy(status).agg(F.count("*").alias("n"))
+
+
+def split_counts(manifest: DataFrame, split: str) -> DataFrame:
+    """Frames of one split by clip, with where the clip comes from."""
+    return manifest.where(F.col("split") == split).groupBy("clip").agg(F.min("chamber").alias("chamber"), F.min("wave").alias("wave"), F.count("*").alias("n_frames"))
+
+
+def dataset_summary(manifest: DataFrame) -> DataFrame:
+    """By split: frames, clips, and the chambers and waves in order."""
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return manifest.groupBy("split").agg(F.count("*").alias("frames"), F.countDistinct("clip").alias("clips"), listed("chamber").alias("chambers"), listed("wave").alias("waves"))
+
+
+def progress(expected: DataFrame, state: DataFrame, keys: Sequence[str] = ("wave", "split")) -> DataFrame:
+    """Batches collected for each expected pair, zeros too; ``missing`` where there is none."""
+    n = state.groupBy(*keys).agg(F.count("*").alias("n"))
+    return expected.select(*keys).distinct().join(n, list(keys), "left").na.fill(0, ["n"]).withColumn("missing", F.col("n") == 0)
+
+
+def new_batches(found: DataFrame, state: DataFrame) -> DataFrame:
+    """Batches not yet in state, by source, wave, split and batch."""
+    return found.join(state, ["source", "wave", "split", "batch"], "left_anti")
+
+
+def video_files(videos: DataFrame, tracks: DataFrame, rois: DataFrame) -> DataFrame:
+    """Videos with their track file and region by stem; ``warning`` names what is missing."""
+    v = videos.withColumn("stem", stem(F.col("path")))
+    t, r = tracks.select(stem(F.col("path")).alias("stem"), F.col("path").alias("track")), rois.select("stem", "roi")
+    out = v.join(t, "stem", "left").join(r, "stem", "left")
+    return out.withColumn("warning", F.concat_ws(",", F.when(F.col("track").isNull(), "track"), F.when(F.col("roi").isNull(), "roi")))
+
+
+def listing_by(rows: DataFrame, column: str, descending: bool = True) -> DataFrame:
+    """Rows sorted by a column as text, null as blank."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return rows.orderBy(text.desc() if descending else text.asc())
+
+
+def next_pending(items: DataFrame, current: int, total: int, pending: Column, index: str = "idx") -> DataFrame:
+    """The next pending item after ``current``, going round."""
+    ahead = F.pmod(F.col(index) - F.lit(current + 1) + F.lit(total), F.lit(total))
+    return items.where(pending).orderBy(ahead).limit(1)
+
+
 def next_number(names: DataFrame, prefix: str, name: str = "name") -> DataFrame:
     """Largest numeric suffix after ``prefix`` plus one, as two digits."""
     n = F.regexp_extract(name, f"^{prefix}_?([0-9]+)$", 1).try_cast("int")

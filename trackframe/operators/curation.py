@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from trackframe.functions.geometry import iou
 from trackframe.functions.text import hamming
+from trackframe.operators.scratch import written
 
-THRESHOLDS = (0.80, 0.85, 0.88, 0.90, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98)
+# Thresholds of the simulation.
+THRESHOLDS = (0.70, 0.75, 0.80, 0.85, 0.88, 0.90, 0.92, 0.94, 0.96, 0.98)
 BOX = "xywh"
 
 
@@ -30,10 +32,11 @@ def percentiles(values: DataFrame, by: str, value: str) -> DataFrame:
     return values.groupBy(by).agg(F.count("*").alias("n"), q.alias("_q")).select(by, "n", *(F.round(F.get("_q", F.lit(i)), 6).alias(k) for i, k in enumerate(names)))
 
 
-def simulate(values: DataFrame, clips: int, train_share: float = 0.85) -> DataFrame:
-    """Frames kept at each threshold: those with a smaller least IoU, and one a clip; split into train and val."""
-    kept = values.agg(*(F.count_if(F.col("min_iou") < t).alias(str(i)) for i, t in enumerate(THRESHOLDS)))
-    rows = kept.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), (F.col(str(i)) + clips).alias("kept")) for i, t in enumerate(THRESHOLDS)))).alias("r")).select("r.*")
+def simulate(values: DataFrame, boxes: DataFrame, train_share: float = 0.85) -> DataFrame:
+    """Frames kept at each threshold: those with a smaller least IoU, and one for each clip of ``boxes``; split into train and val."""
+    counts = values.agg(*(F.count_if(F.col("min_iou") < t).alias(str(i)) for i, t in enumerate(THRESHOLDS)))
+    both = counts.crossJoin(F.broadcast(boxes.select("clip").distinct().agg(F.count("*").alias("clips"))))  # one row each
+    rows = both.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), (F.col(str(i)) + F.col("clips")).alias("kept")) for i, t in enumerate(THRESHOLDS)))).alias("r")).select("r.*")
     train = F.floor(F.col("kept") * train_share)
     return rows.select("threshold", "kept", train.alias("train"), (F.col("kept") - train).alias("val"))
 
@@ -70,12 +73,13 @@ def keep_frames(boxes: DataFrame, threshold: float, rule: str = "iou") -> DataFr
 def first_wins(hashes: DataFrame, threshold: int, bits: int = 64, write=None) -> DataFrame:
     """Rows (seq, hash) that are further than ``threshold`` bits from every kept row before them.
 
-    Two hashes within the threshold agree in one of threshold + 1 bands. The earliest undecided row is kept and
-    removes its neighbours, round after round; ``write`` cuts the lineage of each round (default: checkpoint).
+    Equal hashes stand or fall with the first of them. Two hashes within the threshold agree in one of threshold + 1 bands. The
+    earliest undecided row is kept and removes its neighbours, round after round; ``write`` cuts the lineage of each round (default: checkpoint).
     """
     if threshold <= 0:
         return hashes
-    write = write or _written
+    write = write or written
+    hashes = write(hashes.groupBy("hash").agg(F.min("seq").alias("seq")).select("seq", "hash"))
     edges = np.linspace(0, bits, threshold + 2).astype(int)
     bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", int(a)).bitwiseAND(F.lit((1 << int(b - a)) - 1)).alias("part")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:]))))
     banded = hashes.select("seq", "hash", F.explode(bands).alias("b")).select("seq", "hash", "b.band", "b.part")
@@ -91,15 +95,3 @@ def first_wins(hashes: DataFrame, threshold: int, bits: int = 64, write=None) ->
             return kept
         near = write(near.join(rest.select("seq"), "seq", "left_semi").join(rest.select(F.col("seq").alias("later")), "later", "left_semi").select("seq", "later"))
         open_rows, kept = rest, write(kept)
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Through the shared folder of spark.checkpoint.dir, or one of our own where that is unset."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -13,27 +13,42 @@ def recording_gaps(valid: DataFrame, least: float = 120.0) -> DataFrame:
 
 
 def spanning(spans: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Spans (grp, a, b) that a gap cuts: a < gap end and b > gap start."""
-    g = gaps.select(F.col("grp").alias("_g"), "gap_start", "gap_end")
-    return spans.join(g, (F.col("grp") == F.col("_g")) & (F.col("a") < F.col("gap_end")) & (F.col("b") > F.col("gap_start")), "left_semi")
+    """Spans (grp, a, b) that a gap cuts: a < gap end and b > gap start.
+
+    Of the gaps that start before b only the latest end matters: one union ordered by time, no pairs of spans and gaps.
+    """
+    g = gaps.select("grp", F.col("gap_start").alias("_t"), F.lit(1).alias("_kind"), "gap_end")
+    s = spans.select("grp", F.col("b").alias("_t"), F.lit(0).alias("_kind"), F.struct(*spans.columns).alias("_row"))
+    before = Window.partitionBy("grp").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = s.unionByName(g, allowMissingColumns=True).withColumn("_end", F.max("gap_end").over(before))
+    return both.where((F.col("_kind") == 0) & (F.col("_row.a") < F.col("_end"))).select("_row.*")
 
 
 def before_gaps(events: DataFrame, gaps: DataFrame) -> DataFrame:
-    """The last event at or before each gap's start."""
-    pairs = gaps.join(events.select(F.col("grp").alias("_g"), F.col("start_ts")), (F.col("grp") == F.col("_g")) & (F.col("start_ts") <= F.col("gap_start")))
-    return pairs.groupBy("grp", "gap_start").agg(F.max("start_ts").alias("last_event"))
+    """The last event before each gap's start; an event at the very start is not before it."""
+    e = events.select("grp", F.col("start_ts").alias("_t"), F.lit(1).alias("_kind"), F.col("start_ts").alias("last_event"))
+    g = gaps.select("grp", F.col("gap_start").alias("_t"), F.lit(0).alias("_kind"), "gap_start")
+    before = Window.partitionBy("grp").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = e.unionByName(g, allowMissingColumns=True).withColumn("last_event", F.max("last_event").over(before))
+    return both.where("_kind = 0 AND last_event IS NOT NULL").select("grp", "gap_start", "last_event").distinct()
 
 
 def onset_classes(events: DataFrame, gaps: DataFrame, near: float = 600.0, far: float = 4320.0) -> DataFrame:
-    """Onset-to-onset intervals: skip where a gap cuts it, cluster below ``near``, drift above ``far``, else normal; pre_reboot marks a normal onset that is the last before a gap."""
+    """(grp, a, b, seconds, kind, interval) of every event at a; b, seconds and interval are null for a group's last.
+
+    interval: skip where a gap cuts the way to the next onset, cluster below ``near``, drift above ``far``, else normal.
+    kind: cluster for the events at both ends of an interval below ``near``, pre_reboot for another that is the last before
+    a gap, else normal.
+    """
     order = Window.partitionBy("grp").orderBy("start_ts")
-    spans = events.select("grp", F.col("start_ts").alias("a"), F.lead("start_ts").over(order).alias("b")).where("b IS NOT NULL")
-    cut = spanning(spans, gaps).withColumn("cut", F.lit(True))
+    rows = events.select("grp", F.col("start_ts").alias("a"), F.lead("start_ts").over(order).alias("b"), F.lag("start_ts").over(order).alias("_before"))
+    cut = spanning(rows.where("b IS NOT NULL").select("grp", "a", "b"), gaps).distinct().withColumn("cut", F.lit(True))
     last = before_gaps(events, gaps).select("grp", F.col("last_event").alias("a")).distinct().withColumn("last", F.lit(True))
-    rows = spans.join(cut, ["grp", "a", "b"], "left").join(last, ["grp", "a"], "left")
+    rows = rows.join(cut, ["grp", "a", "b"], "left").join(last, ["grp", "a"], "left")
     gap = F.col("b") - F.col("a")
-    kind = F.when(F.col("cut"), "skip").when(gap < near, "cluster").when(gap > far, "drift").when(F.col("last"), "pre_reboot").otherwise("normal")
-    return rows.select("grp", "a", "b", F.round(gap, 6).alias("seconds"), kind.alias("kind"))
+    interval = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("cut"), "skip").when(gap < near, "cluster").when(gap > far, "drift").otherwise("normal")
+    kind = F.when((gap < near) | (F.col("a") - F.col("_before") < near), "cluster").when(F.col("last"), "pre_reboot").otherwise("normal")
+    return rows.select("grp", "a", "b", F.round(gap, 6).alias("seconds"), kind.alias("kind"), interval.alias("interval"))
 
 
 def rolling_mean(points: DataFrame, width: int = 10) -> DataFrame:

@@ -66,6 +66,12 @@ def unique_ids(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 
 
+def repeated_ids(boxes: DataFrame) -> DataFrame:
+    """(clip, repeated): boxes beyond the first of an id and frame."""
+    n = boxes.groupBy("clip", "frame", "id").agg(F.count("*").alias("n"))
+    return n.groupBy("clip").agg((F.sum("n") - F.count("*")).alias("repeated"))
+
+
 def frame_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """(clip, frame, gid, pid, iou) of all pairs of boxes in the same frame."""
     g = gt.select("clip", "frame", F.col("id").alias("gid"), *(F.col(c).alias(f"g{c}") for c in "xywh"))
@@ -79,7 +85,7 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
     for _, f in group.groupby("frame", sort=True):
         gids, pids = np.unique(f["gid"]), np.unique(f["pid"])
         weight = np.zeros((len(gids), len(pids)))
-        weight[np.searchsorted(gids, f["gid"]), np.searchsorted(pids, f["pid"])] = f["iou"]
+        np.maximum.at(weight, (np.searchsorted(gids, f["gid"]), np.searchsorted(pids, f["pid"])), f["iou"])
         rows = assign(-weight)
         keep = [(g, p) for g, p in enumerate(rows) if p >= 0 and weight[g, p] > 0]
         out += [(f["clip"].iloc[0], f["frame"].iloc[0], gids[g], pids[p], weight[g, p]) for g, p in keep]
@@ -89,6 +95,7 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
 def match(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, span: int = 512) -> DataFrame:
     """One-to-one pairs that maximise the sum of IoU in each frame; of those, the ones with IoU >= ``threshold``.
 
+    Of several boxes with one id in a frame the best-fitting one takes part (``unique_ids`` leaves the first, ``repeated_ids`` counts them).
     Frames where every box overlaps at most one other need no solver. Only contested frames go to Python, many frames a group.
     """
     pairs = frame_pairs(gt, pred).where("iou > 0")

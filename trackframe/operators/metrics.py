@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.operators.matching import assign, match, switches
+from trackframe.operators.matching import assign, match
 
 ALPHAS = [0.05 + i * 0.05 for i in range(19)]
 
@@ -23,10 +23,9 @@ def totals(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 def detection_quality(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """TP, FP, FN, precision, recall and F1 (4 places, 0 where undefined) and identity switches by clip."""
-    matched = match(gt, pred, threshold)
-    hits = matched.groupBy("clip").agg(F.count("*").alias("tp"))
-    moved = switches(matched).groupBy("clip").agg(F.count("*").alias("idsw"))
-    out = totals(gt, pred).join(hits, "clip", "left").join(moved, "clip", "left").na.fill(0, ["tp", "idsw"])
+    before = F.lag("pid").over(Window.partitionBy("clip", "gid").orderBy("frame"))
+    hits = match(gt, pred, threshold).withColumn("_before", before).groupBy("clip").agg(F.count("*").alias("tp"), F.count_if(F.col("_before") != F.col("pid")).alias("idsw"))
+    out = totals(gt, pred).join(hits, "clip", "left").na.fill(0, ["tp", "idsw"])
     tp, p, r = F.col("tp"), ratio(F.col("tp"), F.col("n_pred")), ratio(F.col("tp"), F.col("n_gt"))
     return out.select("clip", "tp", (F.col("n_pred") - tp).alias("fp"), (F.col("n_gt") - tp).alias("fn"), "idsw", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(ratio(2 * p * r, p + r), 4).alias("f1"))
 

@@ -21,8 +21,8 @@ def best_epochs(metrics: DataFrame, score: Column) -> DataFrame:
 
 def leaderboard(best: DataFrame, n: int | None = None) -> DataFrame:
     """Runs by score, ties by name, with their rank."""
-    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "run")))  # a row a run
-    return ranked if n is None else ranked.where(F.col("rank") <= n)
+    top = best if n is None else best.orderBy(F.desc("score"), "run").limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "run")))  # a row a run
 
 
 def composite(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -43,3 +43,23 @@ def lineage(artifacts: DataFrame, metadata: DataFrame, levels: int = 10) -> Data
     steps = artifacts.select("path", F.explode(up).alias("u")).select("path", "u.depth", "u.dir")
     nearest = steps.join(metadata, "dir").groupBy("path").agg(F.min_by(F.struct("dir", "kind", "depth"), "depth").alias("n"))
     return artifacts.join(nearest, "path", "left").select("path", F.col("n.dir").alias("dir"), F.coalesce("n.kind", F.lit("unknown")).alias("kind"), F.col("n.depth").alias("depth"))
+
+
+#: Levels that experiments and batches are searched upwards.
+EXPERIMENT_LEVELS, BATCH_LEVELS = 10, 5
+
+
+def trace(artifacts: DataFrame, experiments: DataFrame, batches: DataFrame) -> DataFrame:
+    """Where an artifact comes from: the nearest experiment at most ten levels up, else the nearest batch at most five up and that batch's experiment.
+
+    experiments: (dir, root, chamber_type, name). batches: (dir, root, chamber_type, experiment_name). ``kind``: experiment for what lies
+    under one, batch for what lies under a batch, unknown otherwise. A batch whose experiment is not there keeps a null experiment.
+    """
+    def nearest(meta: DataFrame, levels: int, name: str) -> DataFrame:
+        found = lineage(artifacts, meta.select("dir", F.lit(name).alias("kind")), levels)
+        return found.select("path", F.col("dir").alias(f"{name}_dir"))
+
+    of_batch = batches.select(F.col("dir").alias("batch_dir"), "root", "chamber_type", F.col("experiment_name").alias("name")).join(experiments.select(F.col("dir").alias("_of_batch"), "root", "chamber_type", "name"), ["root", "chamber_type", "name"], "left").groupBy("batch_dir").agg(F.min("_of_batch").alias("_of_batch"))
+    rows = artifacts.select("path").distinct().join(nearest(experiments, EXPERIMENT_LEVELS, "experiment"), "path").join(nearest(batches, BATCH_LEVELS, "batch"), "path").join(of_batch, "batch_dir", "left")
+    kind = F.when(F.col("experiment_dir").isNotNull(), "experiment").when(F.col("batch_dir").isNotNull(), "batch").otherwise("unknown")
+    return rows.select("path", kind.alias("kind"), F.coalesce("experiment_dir", "_of_batch").alias("experiment_dir"), "batch_dir")

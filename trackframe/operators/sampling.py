@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Slots of the unit interval for weighted draws.
+SLOTS = 4096
+
 
 def uniform(seed: int, *parts) -> Column:
     """A number in [0, 1) from the hash of a seed and columns."""
@@ -18,8 +21,11 @@ def draw_candidates(videos: DataFrame, tries: int, duration: float, seed: int) -
     order = Window.orderBy("video")  # a row a video
     w = videos.withColumn("_hi", F.sum("frames").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("frames").over(Window.partitionBy()))
     w = w.select("video", "seconds", ((F.col("_hi") - F.col("frames")) / F.col("_all")).alias("_lo"), (F.col("_hi") / F.col("_all")).alias("_hi"))
+    # Both sides meet in slots of the unit interval, so that a try sees only the videos of its slot.
+    slot = lambda c: F.floor(F.least(c, F.lit(1 - 1e-12)) * SLOTS)
+    w = w.withColumn("_slot", F.explode(F.sequence(slot(F.col("_lo")), slot(F.col("_hi")))))
     t = videos.sparkSession.range(1, tries + 1).select(F.col("id").alias("try")).withColumns({"_u": uniform(seed, F.col("try"), "video"), "_s": uniform(seed, F.col("try"), "start")})
-    picked = t.join(w, (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+    picked = t.withColumn("_at", slot(F.col("_u"))).join(w, (F.col("_at") == F.col("_slot")) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
     start = F.lit(5.0) + F.col("_s") * (F.col("seconds") - duration - 10.0)
     return picked.select("try", "video", F.round(start, 6).alias("start_sec"), F.round(start + duration, 6).alias("end_sec"))
 
@@ -42,25 +48,14 @@ def accept(candidates: DataFrame, n: int, gap: float) -> DataFrame:
 
 
 def segments(spans: DataFrame, n: int, length: int, seed: int) -> DataFrame:
-    """Up to ``n`` segments of ``length`` frames for each video (video, first, last), without overlap and sorted; the whole range where it is shorter."""
-    schema = spans.select("video").schema.simpleString()[7:-1] + ", first long, last long"
-    schema = schema.replace("video:", "video ")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import random
-
-        video, first, last = pdf.iloc[0][["video", "first", "last"]]
-        if last - first + 1 <= length:
-            out = [(video, first, last)]
-        else:
-            draw, taken = random.Random(f"{seed}|{video}"), []
-            for _ in range(50 * n):
-                if len(taken) == n:
-                    break
-                s = draw.randint(int(first), int(last) - length + 1)
-                if all(abs(s - t) >= length for t in taken):
-                    taken.append(s)
-            out = [(video, s, s + length - 1) for s in sorted(taken)]
-        return pd.DataFrame(out, columns=["video", "first", "last"])
-
-    return spans.select("video", "first", "last").groupBy("video").applyInPandas(one, schema)
+    """``n`` segments of ``length`` frames for each video (video, first, last), without overlap and sorted; as many as fit where fewer do, the whole range where it is shorter.
+
+    The frames that no segment takes are dealt by sorted seeded numbers, so that every draw fits.
+    """
+    size = F.col("last") - F.col("first") + 1
+    k = F.least(F.lit(n), F.floor(size / length))
+    free = size - k * length
+    at = F.array_sort(F.transform(F.sequence(F.lit(1), k), lambda i: F.floor(uniform(seed, F.col("video"), i) * (free + 1))))
+    some = F.transform(at, lambda x, i: F.struct((F.col("first") + x + i * length).cast("long").alias("first"), (F.col("first") + x + (i + 1) * length - 1).cast("long").alias("last")))
+    all_of = F.array(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")))
+    return spans.select("video", F.explode(F.when(size <= length, all_of).otherwise(some)).alias("s")).select("video", "s.first", "s.last")

@@ -102,6 +102,17 @@ def repair_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.select("video", "missing_before", "missing_after", "interpolated", percent.alias("recovery"), "violations")
 
 
-def spans(anchors: DataFrame) -> DataFrame:
-    """First and last time, hours and anchors of each video."""
-    return anchors.where("unix IS NOT NULL").groupBy("video").agg(F.min("unix").alias("start"), F.max("unix").alias("end"), F.round((F.max("unix") - F.min("unix")) / 3600, 6).alias("hours"), F.count("*").alias("n_samples"))
+def spans(anchors: DataFrame, videos: DataFrame) -> DataFrame:
+    """Time of frame 0 and of the last frame, hours between them, and anchors of each video (video, total_frames) with two anchors or more."""
+    known = anchors.where("unix IS NOT NULL")
+    enough = known.groupBy("video").agg(F.count("*").alias("n_samples")).where("n_samples >= 2")
+    ends = videos.join(enough, "video").select("video", "n_samples", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("frame"), F.lit(True).alias("first")), F.struct((F.col("total_frames") - 1).cast("long").alias("frame"), F.lit(False).alias("first")))).alias("e")).select("video", "n_samples", "e.*")
+    kind = anchors.schema["frame"].dataType
+    at = frame_to_unix(known, ends.select("video", F.col("frame").cast(kind).alias("frame")).distinct())
+    both = ends.withColumn("frame", F.col("frame").cast(kind)).join(at, ["video", "frame"]).groupBy("video").agg(F.max(F.when(F.col("first"), F.col("unix"))).alias("start"), F.max(F.when(~F.col("first"), F.col("unix"))).alias("end"), F.max("n_samples").alias("n_samples"))
+    return both.select("video", "start", "end", F.round((F.col("end") - F.col("start")) / 3600, 6).alias("hours"), "n_samples")
+
+
+def range_hours(ranges: DataFrame) -> DataFrame:
+    """Ranges and their hours by video (video, range_start, range_end in seconds)."""
+    return ranges.groupBy("video").agg(F.count("*").alias("n_ranges"), F.round(F.sum(F.col("range_end") - F.col("range_start")) / 3600, 6).alias("hours"))

@@ -80,8 +80,9 @@ class Filter:
 
     def __init__(self, box: np.ndarray, ident: int):
         self.x, self.id, self.age = np.concatenate([self.measure(box), np.zeros(4)]), ident, 0
-        self.P = np.diag([10.0] * 4 + [1000.0] * 4)
-        self.Q = np.diag([1.0] * 4 + [0.01] * 4)
+        # Variances at the start, of a step, and of a measurement.
+        self.P = np.diag([10.0, 10.0, 20.0, 20.0, 100.0, 100.0, 100.0, 100.0])
+        self.Q = np.diag([1.0, 1.0, 10.0, 10.0, 0.1, 0.1, 1.0, 1.0])
         self.R = np.diag([1.0, 1.0, 10.0, 10.0])
 
     @staticmethod
@@ -131,7 +132,8 @@ class Kalman:
 
 
 class Single:
-    """One target: position and velocity; predicts every frame, gives the detection's confidence or 0.5 when coasting, nothing before the first detection."""
+    """One target: position and velocity, predicted in every frame from the first on. The first detection sets the position alone; later
+    ones update. Gives the detection's confidence, or 0.5 when coasting; nothing before the first detection."""
 
     def __init__(self) -> None:
         self.x, self.P, self.ready = np.zeros(4), np.eye(4) * 1000.0, False
@@ -140,12 +142,12 @@ class Single:
         move, see = np.eye(4) + np.eye(4, k=2), np.eye(2, 4)
         best = int(np.argmax(conf)) if len(conf) else -1
         at = (boxes[best, :2] + boxes[best, 2:]) / 2 if best >= 0 else None
+        self.x, self.P = move @ self.x, move @ self.P @ move.T + np.eye(4) * 0.001
         if not self.ready:
             if at is None:
                 return []
-            self.x, self.ready = np.array([*at, 0.0, 0.0]), True
-        self.x, self.P = move @ self.x, move @ self.P @ move.T + np.eye(4) * 0.001
-        if at is not None:
+            self.x[:2], self.ready = at, True
+        elif at is not None:
             gain = self.P @ see.T @ np.linalg.inv(see @ self.P @ see.T + np.eye(2) * 5.0)
             self.x = self.x + gain @ (at - see @ self.x)
             self.P = (np.eye(4) - gain @ see) @ self.P
@@ -175,17 +177,18 @@ def run_frames(tracker, pdf: pd.DataFrame, first: int | None = None) -> list[tup
     return out
 
 
-def run_clip(pdf: pd.DataFrame, method: str, **options) -> pd.DataFrame:
-    out = pd.DataFrame(run_frames(METHODS[method](**options), pdf), columns=["frame", "id", "x", "y", "w", "h", "conf"])
+def run_clip(pdf: pd.DataFrame, method: str, first: int | None = None, **options) -> pd.DataFrame:
+    out = pd.DataFrame(run_frames(METHODS[method](**options), pdf, first), columns=["frame", "id", "x", "y", "w", "h", "conf"])
     out.insert(0, "clip", pdf["clip"].iloc[0])
     return out
 
 
-def track(detections: DataFrame, method: str = "gated", max_gap: int | None = None, **options) -> DataFrame:
-    """Identities for detections (clip, frame, id as order, box, conf); parallel by clip. ``max_gap`` fills short gaps afterwards."""
+def track(detections: DataFrame, method: str = "gated", max_gap: int | None = None, first: int | None = None, **options) -> DataFrame:
+    """Identities for detections (clip, frame, id as order, box, conf); parallel by clip, from frame ``first`` on (default: the first with a
+    detection). ``max_gap`` fills short gaps afterwards."""
     kind = detections.schema["clip"].dataType.simpleString()
     rows = detections.select("clip", "frame", "id", "x", "y", "w", "h", "conf")
-    out = rows.groupBy("clip").applyInPandas(lambda pdf: run_clip(pdf, method, **options), OUT.format(kind))
+    out = rows.groupBy("clip").applyInPandas(lambda pdf: run_clip(pdf, method, first, **options), OUT.format(kind))
     return out if max_gap is None else fill_gaps(out, max_gap, whole=True)
 
 

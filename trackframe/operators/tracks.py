@@ -33,15 +33,21 @@ def postfilter(boxes: DataFrame, n: int) -> DataFrame:
     return compact_ids(kept.join(most_seen(kept, n).select("clip", "id"), ["clip", "id"], "left_semi"))
 
 
+#: What a filled row has in columns other than its box.
+FILLED = {"conf": 1.0, "class": 1, "vis": -1.0}
+
+
 def fill_gaps(tracks: DataFrame, max_gap: int = 30, whole: bool = False) -> DataFrame:
     """Linear positions for missing frames of each track, with ``filled`` marking them.
 
     By default the first ``max_gap`` frames of every gap are filled, longer gaps included; with ``whole`` a gap is
-    filled if it has at most ``max_gap`` frames and else left empty. Of several boxes in a frame the first stays.
+    filled if it has at most ``max_gap`` frames and else left empty. Of several boxes in a frame the first stays. ``conf``, ``class``
+    and ``vis`` are carried where they are there; filled rows, and rows without a value, have 1, 1 and -1.
     """
+    more = [c for c in FILLED if c in tracks.columns]
     own = Window.partitionBy("clip", "id")
     first = Window.partitionBy("clip", "id", "frame").orderBy(*BOX)
-    once = tracks.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("clip", "id", "frame", *BOX)
+    once = tracks.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("clip", "id", "frame", *BOX, *more)
     order = own.orderBy("frame")
     ahead = once.withColumn("_next", F.lead(F.struct("frame", *BOX)).over(order))
     gap = F.col("_next.frame") - F.col("frame") - 1
@@ -50,13 +56,19 @@ def fill_gaps(tracks: DataFrame, max_gap: int = 30, whole: bool = False) -> Data
     rows = ahead.withColumn("_s", F.explode(F.transform(steps, lambda s: s.cast("int"))))
     t = F.col("_s") / (F.col("_next.frame") - F.col("frame"))
     place = lambda c: F.when(F.col("_s") > 0, F.col(c) + (F.col(f"_next.{c}") - F.col(c)) * t).otherwise(F.col(c)).alias(c)
-    return rows.select("clip", "id", (F.col("frame") + F.col("_s")).alias("frame"), *map(place, BOX), (F.col("_s") > 0).alias("filled"))
+    value = lambda c: F.when(F.col("_s") > 0, F.lit(FILLED[c])).otherwise(F.coalesce(c, F.lit(FILLED[c]))).cast(tracks.schema[c].dataType).alias(c)
+    return rows.select("clip", "id", (F.col("frame") + F.col("_s")).alias("frame"), *map(place, BOX), *map(value, more), (F.col("_s") > 0).alias("filled"))
 
 
-def track_table(filled: DataFrame) -> DataFrame:
-    """Narrow types for storage: filled rows have confidence 1 and class 1."""
+def track_table(filled: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Narrow types for storage. Rows without confidence or class have 1. ``times`` (clip, frame, unix) adds ``unix_time``, NaN where unknown."""
     c = F.col
-    return filled.select("clip", c("frame").cast("int"), c("id").cast("smallint"), *(c(k).cast("float") for k in BOX), F.lit(1.0).cast("float").alias("conf"), F.lit(1).cast("tinyint").alias("class"))
+    or_one = lambda k: c(k) if k in filled.columns else F.lit(1.0)
+    out = filled.select("clip", c("frame").cast("int"), c("id").cast("smallint"), *(c(k).cast("float") for k in BOX), or_one("conf").cast("float").alias("conf"), or_one("class").cast("tinyint").alias("class"))
+    if times is None:
+        return out
+    at = times.select("clip", c("frame").cast("int").alias("frame"), c("unix").cast("double").alias("unix_time"))
+    return out.join(at, ["clip", "frame"], "left").withColumn("unix_time", F.coalesce("unix_time", F.lit(float("nan"))))
 
 
 def trail(boxes: DataFrame, length: int = 20) -> DataFrame:
@@ -83,3 +95,33 @@ def context(frames: DataFrame, value: str, length: int) -> DataFrame:
 def mot_line(frame: Column, ident: Column, box: tuple[Column, ...], base: int = 1) -> Column:
     """``frame,id,x,y,w,h,-1,-1,-1`` with two places."""
     return F.format_string("%d,%d,%.2f,%.2f,%.2f,%.2f,-1,-1,-1", (frame + (base - 0)).cast("long"), ident.cast("long"), *(b.cast("double") for b in box))
+
+
+def mot_row(frame: Column, ident: Column, box: tuple[Column, ...], conf: Column, cls: Column) -> Column:
+    """The stored form of eight columns, without a header: ``frame,id,x,y,w,h,conf,class``, numbers with two places."""
+    return F.format_string("%d,%d,%.2f,%.2f,%.2f,%.2f,%.2f,%d", frame.cast("long"), ident.cast("long"), *(b.cast("double") for b in box), conf.cast("double"), cls.cast("int"))
+
+
+def frames_of(*tables: DataFrame) -> DataFrame:
+    """(clip, frame) of every frame that any of the tables has."""
+    out = tables[0].select("clip", "frame")
+    for t in tables[1:]:
+        out = out.unionByName(t.select("clip", "frame"))
+    return out.distinct()
+
+
+def shared_tracks(boxes: DataFrame) -> DataFrame:
+    """(clip, frame, n): tracks that a frame shares with the one before."""
+    before = boxes.select("clip", "id", (F.col("frame") + 1).alias("frame"))
+    return boxes.select("clip", "id", "frame").join(before, ["clip", "id", "frame"]).groupBy("clip", "frame").agg(F.count("*").alias("n"))
+
+
+def explode_keypoints(boxes: DataFrame) -> DataFrame:
+    """A row a keypoint of ``keypoints`` (array of label, x, y, likelihood)."""
+    return boxes.select("clip", "frame", "id", F.explode("keypoints").alias("k")).select("clip", "frame", "id", "k.*")
+
+
+def to_boxes(points: DataFrame) -> DataFrame:
+    """The box around each animal's keypoints."""
+    x, y = F.min("x"), F.min("y")
+    return points.groupBy("clip", "frame", "id").agg(x.alias("x"), y.alias("y"), (F.max("x") - x).alias("w"), (F.max("y") - y).alias("h"))

@@ -8,6 +8,7 @@ from trackframe.functions import geometry as g
 from trackframe.functions import text as t
 from trackframe.operators import curation, matching, metrics, tracking, tracks
 from trackframe.plans.fixtures import view
+from trackframe.sources import writers
 
 XYWH = "xywh"
 IOU = "greatest(0, least(g.x+g.w, p.x+p.w) - greatest(g.x, p.x)) * greatest(0, least(g.y+g.h, p.y+p.h) - greatest(g.y, p.y))"
@@ -31,14 +32,14 @@ v AS (SELECT n.clip, coalesce(tp, 0) / (n_gt + n_pred - coalesce(tp, 0)) AS det,
 SELECT clip, round(avg(sqrt(det * ass)), 4) AS hota, round(avg(det), 4) AS deta, round(avg(ass), 4) AS assa FROM v GROUP BY clip"""
 
 
-FILL = """WITH f AS (SELECT clip, id, frame, x, y, w, h, lead(frame) OVER o AS nf, lead(x) OVER o AS nx, lead(y) OVER o AS ny, lead(w) OVER o AS nw, lead(h) OVER o AS nh FROM {gt} g WINDOW o AS (PARTITION BY clip, id ORDER BY frame)),
+FILL = """WITH f AS (SELECT clip, id, frame, x, y, w, h, conf, lead(frame) OVER o AS nf, lead(x) OVER o AS nx, lead(y) OVER o AS ny, lead(w) OVER o AS nw, lead(h) OVER o AS nh FROM {pred} g WINDOW o AS (PARTITION BY clip, id ORDER BY frame)),
 r AS (SELECT *, unnest(range(0, 1 + CASE WHEN nf - frame > 1 THEN %s ELSE 0 END)) AS s FROM f)
-SELECT clip, id, frame + s AS frame, round(CASE WHEN s > 0 THEN x + (nx - x) * s / (nf - frame) ELSE x END, 6) AS x, round(CASE WHEN s > 0 THEN y + (ny - y) * s / (nf - frame) ELSE y END, 6) AS y, w, h, s > 0 AS filled FROM r"""
+SELECT clip, id, frame + s AS frame, round(CASE WHEN s > 0 THEN x + (nx - x) * s / (nf - frame) ELSE x END, 6) AS x, round(CASE WHEN s > 0 THEN y + (ny - y) * s / (nf - frame) ELSE y END, 6) AS y, round(CASE WHEN s > 0 THEN w + (nw - w) * s / (nf - frame) ELSE w END, 6) AS w, round(CASE WHEN s > 0 THEN h + (nh - h) * s / (nf - frame) ELSE h END, 6) AS h, round(CASE WHEN s > 0 THEN 1 ELSE conf END, 6) AS conf, s > 0 AS filled FROM r"""
 
 
 def filled(s, d, whole):
-    out = tracks.fill_gaps(view(s, d, "gt"), 5, whole)
-    return out.select("clip", "id", "frame", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "w", "h", "filled")
+    out = tracks.fill_gaps(view(s, d, "pred"), 5, whole)
+    return out.select("clip", "id", "frame", *(F.round(c, 6).alias(c) for c in (*XYWH, "conf")), "filled")
 
 
 def merged(s, d):
@@ -95,7 +96,7 @@ QUERIES = {
         "SELECT clip, frame, id, '0 ' || printf('%.6f %.6f %.6f %.6f', round_even(least(1, greatest(0, (x + w / 2) / 640)), 6), round_even(least(1, greatest(0, (y + h / 2) / 480)), 6), round_even(w / 640, 6), round_even(h / 480, 6)) AS line FROM {gt} g",
     ),
     "p20_frame_of_second": (
-        lambda s, d: view(s, d, "clips").select("clip_id", (F.col("start_sec") * 29.97).cast("int").alias("first"), F.round((F.col("start_sec") * 29.97).cast("int") / 29.97, 6).alias("at")),
+        lambda s, d: view(s, d, "clips").select("clip_id", t.frame_of(F.col("start_sec"), F.lit(29.97)).alias("first"), F.round(t.second_of(t.frame_of(F.col("start_sec"), F.lit(29.97)), F.lit(29.97)), 6).alias("at")),
         "SELECT clip_id, CAST(trunc(start_sec * 29.97) AS INT) AS first, round(trunc(start_sec * 29.97) / 29.97, 6) AS at FROM {clips} c",
     ),
     "p23_badges": (
@@ -167,24 +168,24 @@ QUERIES = {
         lambda s, d: view(s, d, "pred").select("clip", tracks.mot_line(F.col("frame"), F.col("id"), tuple(map(F.col, XYWH))).alias("line")),
         "SELECT clip, printf('%d,%d,%.2f,%.2f,%.2f,%.2f,-1,-1,-1', frame + 1, id, x, y, w, h) AS line FROM {pred} p",
     ),
-    "s4_track_table": (
-        lambda s, d: tracks.track_table(tracks.fill_gaps(view(s, d, "gt"), 5)).groupBy("clip", "id").agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.sum("class").alias("classes")),
-        "WITH o AS (" + FILL % "least(nf - frame - 1, 5)" + ") SELECT clip, CAST(id AS SMALLINT) AS id, count(*) AS n, CAST(min(frame) AS INT) AS first, count(*) AS classes FROM o GROUP BY clip, id",
+    "s2_mot_rows": (
+        lambda s, d: view(s, d, "pred").select("clip", tracks.mot_row(F.col("frame"), F.col("id"), tuple(map(F.col, XYWH)), F.col("conf"), F.lit(1)).alias("line")),
+        "SELECT clip, printf('%d,%d,%.2f,%.2f,%.2f,%.2f,%.2f,1', frame, id, x, y, w, h, conf) AS line FROM {pred} p",
     ),
-    "s5_track_range": (
-        lambda s, d: view(s, d, "gt").where("frame BETWEEN 100 AND 200").join(view(s, d, "frames").where("frame % 10 = 0").select("clip", "frame"), ["clip", "frame"], "left_semi").groupBy("clip").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n")),
-        "SELECT clip, min(frame) AS first, max(frame) AS last, count(*) AS n FROM {gt} g WHERE frame BETWEEN 100 AND 200 AND frame % 10 = 0 GROUP BY clip",
+    "s4_track_table": (
+        lambda s, d: tracks.track_table(tracks.fill_gaps(view(s, d, "pred"), 5), view(s, d, "frames").select("clip", "frame", (F.col("frame") * 2.5).alias("unix"))).groupBy("clip", "id").agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.sum("class").alias("classes"), F.round(F.sum("conf"), 3).alias("conf"), F.round(F.sum(F.nanvl("unix_time", F.lit(0.0))), 1).alias("unix")),
+        "WITH o AS (" + FILL % "least(nf - frame - 1, 5)" + ") SELECT o.clip, CAST(id AS SMALLINT) AS id, count(*) AS n, CAST(min(o.frame) AS INT) AS first, count(*) AS classes, round(sum(conf), 3) AS conf, round(sum(CASE WHEN f.frame IS NULL THEN 0 ELSE o.frame * 2.5 END), 1)::DOUBLE AS unix FROM o LEFT JOIN {frames} f ON f.clip = o.clip AND f.frame = o.frame GROUP BY o.clip, id",
     ),
     "s19_yolo_texts": (
-        lambda s, d: view(s, d, "gt").withColumn("line", g.yolo_label(*map(F.col, XYWH), 1280.0, 720.0)).groupBy("clip", "frame").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text")),
+        lambda s, d: writers.label_text(view(s, d, "gt").withColumn("line", g.yolo_label(*map(F.col, XYWH), 1280.0, 720.0))),
         "SELECT clip, frame, string_agg(l, chr(10) ORDER BY l) AS text FROM (SELECT clip, frame, '0 ' || printf('%.6f %.6f %.6f %.6f', round_even((x + w / 2) / 1280, 6), round_even((y + h / 2) / 720, 6), round_even(w / 1280, 6), round_even(h / 720, 6)) AS l FROM {gt} g) z GROUP BY clip, frame",
     ),
     "u1_frames_union": (
-        lambda s, d: view(s, d, "gt").select("clip", "frame").union(view(s, d, "pred").select("clip", "frame")).distinct().groupBy("clip").agg(F.count("*").alias("n")),
+        lambda s, d: tracks.frames_of(view(s, d, "gt"), view(s, d, "pred")).groupBy("clip").agg(F.count("*").alias("n")),
         "SELECT clip, count(*) AS n FROM (SELECT clip, frame FROM {gt} g UNION SELECT clip, frame FROM {pred} p) z GROUP BY clip",
     ),
     "u4_shared_tracks": (
-        lambda s, d: view(s, d, "gt").select("clip", "id", "frame").join(view(s, d, "gt").select("clip", "id", (F.col("frame") + 1).alias("frame")), ["clip", "id", "frame"]).groupBy("clip", "frame").agg(F.count("*").alias("n")),
+        lambda s, d: tracks.shared_tracks(view(s, d, "gt")),
         "SELECT clip, frame, count(*) AS n FROM (SELECT clip, id, frame FROM {gt} g INTERSECT SELECT clip, id, frame + 1 FROM {gt} h) z GROUP BY clip, frame",
     ),
     "j3_min_iou": (
@@ -196,12 +197,12 @@ QUERIES = {
         f"WITH {MIN_IOU} SELECT clip, count(*) AS n, " + ", ".join(f"round(quantile_cont(min_iou, {q}), 6) AS p{int(q * 100)}" for q in (0, 0.05, 0.25, 0.5, 0.75, 0.95, 1)) + " FROM mi GROUP BY clip",
     ),
     "a8_threshold_simulation": (
-        lambda s, d: curation.simulate(curation.min_ious(view(s, d, "gt")), 20),
-        f"WITH {MIN_IOU}, th AS (SELECT unnest([{', '.join(map(str, curation.THRESHOLDS))}])::DOUBLE AS threshold), k AS (SELECT threshold, count(*) FILTER (min_iou < threshold) + 20 AS kept FROM th CROSS JOIN mi GROUP BY threshold) SELECT threshold, kept, CAST(floor(kept * 0.85) AS BIGINT) AS train, kept - CAST(floor(kept * 0.85) AS BIGINT) AS val FROM k",
+        lambda s, d: curation.simulate(curation.min_ious(view(s, d, "gt")), view(s, d, "gt")),
+        f"WITH {MIN_IOU}, th AS (SELECT unnest([0.70, 0.75, 0.80, 0.85, 0.88, 0.90, 0.92, 0.94, 0.96, 0.98])::DOUBLE AS threshold), k AS (SELECT threshold, count(*) FILTER (min_iou < threshold) + (SELECT count(DISTINCT clip) FROM {{gt}} c) AS kept FROM th CROSS JOIN mi GROUP BY threshold) SELECT threshold, kept, CAST(floor(kept * 0.85) AS BIGINT) AS train, kept - CAST(floor(kept * 0.85) AS BIGINT) AS val FROM k",
     ),
     "d2_keypoints": (
-        lambda s, d: view(s, d, "gt").select("clip", "frame", "id", F.explode(F.array(F.struct(F.lit("nose").alias("label"), F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.lit("tail").alias("label"), (F.col("x") + F.col("w")).alias("x"), (F.col("y") + F.col("h")).alias("y")))).alias("k")).groupBy("clip", "k.label").agg(F.count("*").alias("n"), F.sum("k.x").alias("sx")),
-        "SELECT clip, label, count(*) AS n, sum(x) AS sx FROM (SELECT clip, 'nose' AS label, x FROM {gt} g UNION ALL SELECT clip, 'tail', x + w FROM {gt} h) z GROUP BY clip, label",
+        lambda s, d: tracks.to_boxes(tracks.explode_keypoints(view(s, d, "gt").withColumn("keypoints", F.array(F.struct(F.lit("nose").alias("label"), F.col("x").alias("x"), (F.col("y") + F.col("h")).alias("y"), F.lit(0.5).alias("likelihood")), F.struct(F.lit("tail").alias("label"), (F.col("x") + F.col("w")).alias("x"), F.col("y").alias("y"), F.lit(0.5).alias("likelihood")))))),
+        "SELECT clip, frame, id, x, y, x + w - x AS w, y + h - y AS h FROM {gt} g",
     ),
     "q1_slots": (lambda s, d: q_rows(s, d, "slots", n=9), None),
     "q2_gated": (lambda s, d: q_rows(s, d, "gated", n=9), None),
@@ -210,5 +211,5 @@ QUERIES = {
     "q6_keep_by_iou": (lambda s, d: curation.keep_frames(view(s, d, "gt"), 0.9), None),
     "q7_keep_by_displacement": (lambda s, d: curation.keep_frames(view(s, d, "gt"), 6.0, "displacement"), None),
     "q9_compare": (lambda s, d: tracking.compare(view(s, d, "pred"), {"gated": {"method": "gated"}, "slots": {"method": "slots"}}).groupBy("method", "clip").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")), None),
-    "x2_single_target": (lambda s, d: q_rows(s, d, "single"), None),
+    "x2_single_target": (lambda s, d: q_rows(s, d, "single", first=1), None),
 }

@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
-#: SQL by name. ``DIV`` is integer division, ``EPOCH(x)`` unix seconds, ``CLOCK(x)`` and ``DATED(x)`` texts of a time; {name} is a table or another view.
+#: SQL by name. ``DIV`` is integer division, ``EPOCH(x)`` unix seconds, ``T12(x)`` and others of ``CLOCKS`` texts of a time; {name} is a table or another view.
 VIEWS = {
     "gt": """SELECT clip, frame, id, CAST(90*id + 2*abs((frame + 3*id) % 20 - 10) AS DOUBLE) AS x, CAST(40 + 3*abs((frame + id) % 30 - 15) AS DOUBLE) AS y, CAST(40 + id AS DOUBLE) AS w, CAST(36 + id AS DOUBLE) AS h, q, d
-FROM (SELECT ok % 20 AS clip, ok DIV 20 + 1 AS frame, id, q, d FROM (SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS id, CAST(min(l_quantity) AS BIGINT) AS q, CAST(round(100*min(l_discount)) AS BIGINT) AS d FROM {lineitem} GROUP BY l_orderkey, l_linenumber) a) b""",
+FROM (SELECT ok DIV 2000 AS clip, ok % 2000 + 1 AS frame, id, q, d FROM (SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS id, CAST(min(l_quantity) AS BIGINT) AS q, CAST(round(100*min(l_discount)) AS BIGINT) AS d FROM {lineitem} GROUP BY l_orderkey, l_linenumber) a) b""",
     "pred": """SELECT clip, frame, CASE WHEN id IN (1, 2) AND (frame DIV 40 + clip) % 3 = 0 THEN 3 - id ELSE id END AS id, x + q % 5 - 2 AS x, y + (q DIV 5) % 5 - 2 + CASE WHEN q % 25 = 0 THEN 30 ELSE 0 END AS y, w, h, CAST(50 + q AS DOUBLE) / 100 AS conf FROM {gt} g WHERE d % 10 <> 0
 UNION ALL SELECT clip, frame, 90 + id, CAST(720 + 60*id AS DOUBLE), CAST(300 AS DOUBLE), CAST(40 AS DOUBLE), CAST(40 AS DOUBLE), CAST(50 AS DOUBLE) / 100 FROM {gt} g WHERE q = 49""",
     "anchors": """SELECT video, frame, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 23 = 0 THEN t - 864000 ELSE t END AS unix, event_id
 FROM (SELECT user_id AS video, 1000*(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS frame, EPOCH(ts) AS t, event_id FROM {events}) a""",
     "known": "SELECT video, frame, unix, event_id FROM {anchors} k WHERE unix IS NOT NULL",
     "probes": "SELECT DISTINCT video, frame + 500 * (event_id % 3) - 1 AS frame FROM {anchors} p",
-    "ocr": """SELECT event_id, user_id AS video, event_id AS frame, CASE WHEN event_id % 13 = 0 THEN '[no text]' WHEN event_id % 5 = 0 THEN CLOCK(ts) || ' EST ' || DATED(ts) WHEN event_id % 11 = 0 THEN SHORT(ts) || ' EST' WHEN event_id % 19 = 0 THEN replace(CLOCK(ts), '0', 'O') || '  EST' ELSE CLOCK(ts) || ' EST' END AS text, EPOCH(ts) AS t FROM {events}""",
+    "ocr": """SELECT event_id, user_id AS video, event_id AS frame, EPOCH(ts) AS t, CASE event_id % 16 WHEN 0 THEN '[no text]'
+WHEN 1 THEN T12(ts) || ' ' || DMY_NAME2(ts) WHEN 2 THEN T12(ts) || ' EST ' || DMY_NAME4(ts) WHEN 3 THEN T12(ts) || ' ' || DMY4(ts) WHEN 4 THEN T12(ts) || ' ' || DMY2(ts) WHEN 5 THEN T12(ts) || ' ' || MDY4(ts)
+WHEN 6 THEN T24(ts) || ' ' || DMY_NAME2(ts) WHEN 7 THEN T24(ts) || ' est ' || DMY_NAME4(ts) WHEN 8 THEN T24(ts) || ' ' || DMY4(ts) WHEN 9 THEN T24(ts) || ' ' || DMY2(ts)
+WHEN 10 THEN T12(ts) || ' EST' WHEN 11 THEN T24(ts) WHEN 12 THEN S12(ts) || '  Est' WHEN 13 THEN S24(ts) || ' GMT' WHEN 14 THEN replace(T12(ts), '0', 'O') || '  EST' ELSE T24(ts) || ' utc-05:00' END AS text FROM {events}""",
     "stimuli": "SELECT grp, start_ts, start_ts + 100 + n AS end_ts FROM (SELECT user_id AS grp, EPOCH(ts) AS start_ts, event_id % 90 AS n FROM {events} WHERE event_type = 'error') a",
     "valid": """SELECT grp, start_ts, nxt - 60*(event_id % 5) AS end_ts FROM (SELECT user_id AS grp, event_id, EPOCH(ts) AS start_ts, lead(EPOCH(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM {events} WHERE event_type = 'view') a WHERE nxt IS NOT NULL AND nxt - 60*(event_id % 5) > start_ts""",
     "clips": """SELECT o_orderkey AS clip_id, 'ch_' || CAST(o_custkey % 5 AS STRING) AS chamber, 'wave' || CAST(o_custkey % 3 AS STRING) AS wave, CASE WHEN o_orderstatus = 'P' THEN 'legacy' ELSE 'structured' END AS layout, 'vid_' || CAST(o_custkey % 40 AS STRING) || '_RGB.mkv' AS source_video, 'vid_' || CAST(o_custkey % 40 AS STRING) AS video, 'clips/c' || CAST(o_orderkey AS STRING) || '.mp4' AS clip_path, CAST(o_orderkey % 7200 AS DOUBLE) AS start_sec, CAST(o_orderkey % 7200 + 3 AS DOUBLE) AS end_sec FROM {orders}""",
@@ -36,24 +39,40 @@ FROM (SELECT user_id AS video, 1000*(row_number() OVER (PARTITION BY user_id ORD
     "new_listing": "SELECT p_name || CAST(p_partkey AS STRING) AS path, CAST(p_size + 1 AS BIGINT) AS size, p_partkey % 33 <> 0 AS readable FROM {part} WHERE p_partkey % 10 <> 1",
     "artifacts": "SELECT DISTINCT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) || '/phase' || CAST(p_partkey % 3 AS STRING) || '/run' || CAST(p_partkey AS STRING) || '/weights/best.pt' AS path FROM {part}",
     "meta": "SELECT DISTINCT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) AS dir, 'experiment' AS kind FROM {part} WHERE p_size % 2 = 0 UNION SELECT DISTINCT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) || '/phase1', 'batch' FROM {part} WHERE p_size % 5 = 0",
+    "experiments": "SELECT DISTINCT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) AS dir, p_brand AS root, 'collective' AS chamber_type, 'exp' || CAST(p_size AS STRING) AS name FROM {part} WHERE p_size % 2 = 0",
+    "runs_of": "SELECT DISTINCT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) || '/phase1' AS dir, p_brand AS root, 'collective' AS chamber_type, 'exp' || CAST(p_size + 1 AS STRING) AS experiment_name FROM {part} WHERE p_size % 3 = 0",
     "videos": "SELECT video, count(*) * 900 AS frames, CAST(count(*) * 30 AS DOUBLE) AS seconds, CAST(min(clip_id) % 2 * 30 AS DOUBLE) AS fps FROM {clips} c GROUP BY video",
     "customers": "SELECT c_custkey, 'Cam' || CAST(c_custkey AS STRING) || CASE c_custkey % 5 WHEN 0 THEN '_RGB' WHEN 1 THEN '_IR' WHEN 2 THEN '_RGB_IR' WHEN 3 THEN '_Bird' ELSE '' END || '.mkv' AS file, c_nationkey AS nation FROM {customer}",
 }
 
 
+#: Texts of a time: name, Spark pattern, pattern of the other engine.
+CLOCKS = (
+    ("T12", "hh:mm:ss a", "%I:%M:%S %p"),
+    ("T24", "HH:mm:ss", "%H:%M:%S"),
+    ("S12", "hh:mm a", "%I:%M %p"),
+    ("S24", "HH:mm", "%H:%M"),
+    ("DMY_NAME2", "dd-MMM-yy", "%d-%b-%y"),
+    ("DMY_NAME4", "dd-MMM-yyyy", "%d-%b-%Y"),
+    ("DMY4", "dd/MM/yyyy", "%d/%m/%Y"),
+    ("DMY2", "dd/MM/yy", "%d/%m/%y"),
+    ("MDY4", "MM/dd/yyyy", "%m/%d/%Y"),
+)
+
+
 def spark_text(sql: str) -> str:
     sql = re.sub(r"EPOCH\((\w+)\)", r"(unix_micros(CAST(\1 AS TIMESTAMP)) / 1000000D)", sql)
-    sql = re.sub(r"CLOCK\((\w+)\)", r"date_format(\1, 'hh:mm:ss a')", sql)
-    sql = re.sub(r"DATED\((\w+)\)", r"date_format(\1, 'dd-MMM-yy')", sql)
-    return re.sub(r"SHORT\((\w+)\)", r"date_format(\1, 'hh:mm a')", sql)
+    for name, pattern, _ in CLOCKS:
+        sql = re.sub(rf"\b{name}\((\w+)\)", rf"date_format(\1, '{pattern}')", sql)
+    return sql
 
 
 def duck_text(sql: str) -> str:
     sql = sql.replace(" DIV ", " // ")
     sql = re.sub(r"EPOCH\((\w+)\)", r"epoch(\1)", sql)
-    sql = re.sub(r"CLOCK\((\w+)\)", r"strftime(\1, '%I:%M:%S %p')", sql)
-    sql = re.sub(r"DATED\((\w+)\)", r"strftime(\1, '%d-%b-%y')", sql)
-    return re.sub(r"SHORT\((\w+)\)", r"strftime(\1, '%I:%M %p')", sql)
+    for name, _, pattern in CLOCKS:
+        sql = re.sub(rf"\b{name}\((\w+)\)", rf"strftime(\1, '{pattern}')", sql)
+    return sql
 
 
 def needs(sql: str) -> list[str]:

@@ -19,6 +19,20 @@ def md5_order(seed: int, key: str) -> str:
     return f"md5('{seed}|' || {key})"
 
 
+CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(text, 'O', '0'), '(?i)\b(UTC|GMT)\s*[+-]?\d\d?(:?\d\d)?\b', '', 'g'), '(?i)\b(EST|GMT)\b', '', 'g'), '\s{2,}', ' ', 'g'))"
+#: By event_id % 16: the format that the recognised text has; Oct loses its O, and a day of at most 12 is read as the month's number.
+FORMATS = "CASE event_id % 16 WHEN 1 THEN 'h:m:s a d-MMM-yy' WHEN 2 THEN 'h:m:s a d-MMM-yyyy' WHEN 3 THEN 'h:m:s a d/M/yyyy' WHEN 4 THEN 'h:m:s a d/M/yy' WHEN 5 THEN CASE WHEN day(ts) <= 12 THEN 'h:m:s a d/M/yyyy' ELSE 'h:m:s a M/d/yyyy' END WHEN 6 THEN 'H:m:s d-MMM-yy' WHEN 7 THEN 'H:m:s d-MMM-yyyy' WHEN 8 THEN 'H:m:s d/M/yyyy' WHEN 9 THEN 'H:m:s d/M/yy' WHEN 10 THEN 'h:m:s a' WHEN 11 THEN 'H:m:s' WHEN 12 THEN 'h:m a' WHEN 13 THEN 'H:m' WHEN 14 THEN 'h:m:s a' WHEN 15 THEN 'H:m:s' END"
+NO_TIME = "event_id % 16 = 0 OR (event_id % 16 IN (1, 2, 6, 7) AND month(ts) = 10)"
+#: Formats that users type, by event_id % 8, and whether they have seconds.
+TYPED = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd H:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-M-d'T'HH:mm", "M/d/yyyy H:mm", "M/d/yyyy h:mm a", "yyyy-MM-dd h:mm a", "yyyy-MM-dd h:mm:ss a")
+
+
+def typed(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").select("event_id", "ts")
+    text = F.coalesce(*(F.when(F.col("event_id") % 8 == i, F.date_format("ts", f)) for i, f in enumerate(TYPED)))
+    return e.select("event_id", t.user_time(F.concat(F.lit(" "), text), "UTC").alias("unix"))
+
+
 def accuracy_checks(s, d):
     a = view(s, d, "known")
     return a.select(F.col("video") % 50, (F.pmod(F.col("event_id") * 7, F.lit(41)) / 10 - 2.0).alias("delta")).toDF("video", "delta")
@@ -42,8 +56,11 @@ def gaps_of(s, d):
 
 GAPS = "gp AS (SELECT grp, end_ts AS gap_start, nx AS gap_end FROM (SELECT *, lead(start_ts) OVER (PARTITION BY grp ORDER BY start_ts) AS nx FROM {valid} v) z WHERE nx - end_ts > 120)"
 ONSETS = "sp AS (SELECT * FROM (SELECT grp, start_ts AS a, lead(start_ts) OVER (PARTITION BY grp ORDER BY start_ts) AS b FROM {stimuli} s) z WHERE b IS NOT NULL)"
-LASTS = "la AS (SELECT gp.grp, gap_start, max(start_ts) AS last_event FROM gp JOIN {stimuli} s ON s.grp = gp.grp AND start_ts <= gap_start GROUP BY gp.grp, gap_start)"
-KINDS = f"{GAPS}, {ONSETS}, {LASTS}, oc AS (SELECT grp, a, b, round(b - a, 6) AS seconds, CASE WHEN EXISTS (SELECT 1 FROM gp WHERE gp.grp = sp.grp AND a < gap_end AND b > gap_start) THEN 'skip' WHEN b - a < 600 THEN 'cluster' WHEN b - a > 4320 THEN 'drift' WHEN EXISTS (SELECT 1 FROM la WHERE la.grp = sp.grp AND last_event = a) THEN 'pre_reboot' ELSE 'normal' END AS kind FROM sp)"
+LASTS = "la AS (SELECT gp.grp, gap_start, max(start_ts) AS last_event FROM gp JOIN {stimuli} s ON s.grp = gp.grp AND start_ts < gap_start GROUP BY gp.grp, gap_start)"
+ONSET = "ev AS (SELECT grp, start_ts AS a, lead(start_ts) OVER o AS b, lag(start_ts) OVER o AS before FROM {stimuli} s WINDOW o AS (PARTITION BY grp ORDER BY start_ts))"
+KINDS = f"""{GAPS}, {ONSET}, {LASTS}, oc AS (SELECT grp, a, b, round(b - a, 6) AS seconds,
+CASE WHEN b - a < 600 OR a - before < 600 THEN 'cluster' WHEN EXISTS (SELECT 1 FROM la WHERE la.grp = ev.grp AND last_event = a) THEN 'pre_reboot' ELSE 'normal' END AS kind,
+CASE WHEN b IS NULL THEN NULL WHEN EXISTS (SELECT 1 FROM gp WHERE gp.grp = ev.grp AND a < gap_end AND b > gap_start) THEN 'skip' WHEN b - a < 600 THEN 'cluster' WHEN b - a > 4320 THEN 'drift' ELSE 'normal' END AS interval FROM ev)"""
 
 
 def onsets(s, d):
@@ -90,6 +107,28 @@ def best_runs(s, d):
 BEST = "be AS (SELECT run, epoch, score FROM (SELECT run, epoch, TRY_CAST(coalesce(nullif(trim(a), ''), nullif(trim(b), '')) AS DOUBLE) AS score, row_number() OVER (PARTITION BY run ORDER BY TRY_CAST(coalesce(nullif(trim(a), ''), nullif(trim(b), '')) AS DOUBLE) DESC NULLS LAST, epoch) AS r FROM {metrics} m) z WHERE r = 1 AND score > -1)"
 HEX = "CAST(('0x' || substr(md5('9|' || CAST(i AS STRING) || '|WHAT'), 1, 8)) AS BIGINT)::DOUBLE / 4294967296"
 
+BATCH = "chamber AS source, wave, layout AS split, video AS batch"
+
+
+def batches(s, d, condition="true"):
+    return view(s, d, "clips").where(condition).select(F.col("chamber").alias("source"), "wave", F.col("layout").alias("split"), F.col("video").alias("batch"))
+
+
+def triaged(s, d):
+    """Both outputs of a triage, told apart by folder."""
+    key = F.concat(F.lit("c"), F.col("clip").cast("string"), F.lit("/f"), F.col("frame").cast("string")).alias("frame_key")
+    frames = view(s, d, "frames").select(key, "frame")
+    decided = frames.select("frame_key", F.when(F.col("frame") % 5 == 0, "rejected").when(F.col("frame") % 5 == 1, "approved").otherwise(" ").alias("status")).where("status <> ' '")
+    labels = view(s, d, "labels_of").select(F.concat("clip", F.lit("/"), "stem").alias("frame_key"))
+    kept, rejected = catalog.triage(catalog.mark_annotated(frames.select("frame_key"), labels), decided)
+    return kept.withColumn("folder", F.lit("")).unionByName(rejected.withColumn("folder", F.lit("_rejected")))
+
+
+def sources_of(s, d, condition):
+    c = view(s, d, "customers").where(condition)
+    return c.select(F.concat(F.lit("ch"), F.col("c_custkey").cast("string")).alias("chamber_id"), F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("drive_uuid"), F.concat(F.lit("label"), F.col("nation").cast("string")).alias("drive_label"))
+
+
 QUERIES = {
     # Time
     "j5_asof_time": (
@@ -127,35 +166,35 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
     ),
     "p9_clean_text": (
         lambda s, d: view(s, d, "ocr").select("event_id", t.clean_ocr(F.col("text")).alias("clean")),
-        r"SELECT event_id, trim(regexp_replace(regexp_replace(replace(text, 'O', '0'), '\b(EST)\b', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM {ocr} o",
+        f"SELECT event_id, {CLEAN} AS clean FROM {{ocr}} o",
     ),
     "p10_time_format": (
-        lambda s, d: ocr_parsed(s, d).groupBy("fmt").agg(F.count("*").alias("n")),
-        "SELECT CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 5 = 0 THEN CASE WHEN DATED(ts) LIKE '%O%' THEN NULL ELSE 'h:m:s a d-MMM-yy' END WHEN event_id % 11 = 0 THEN 'h:m a' ELSE 'h:m:s a' END AS fmt, count(*) AS n FROM {events} e GROUP BY 1",
+        lambda s, d: ocr_parsed(s, d).select("event_id", "fmt"),
+        f"SELECT event_id, CASE WHEN {NO_TIME} THEN NULL ELSE {FORMATS} END AS fmt FROM {{events}} e",
     ),
     "p11_parse_time": (
         lambda s, d: ocr_parsed(s, d).select("event_id", F.round("unix", 3).alias("unix")),
-        "SELECT event_id, CASE WHEN event_id % 13 = 0 OR (event_id % 5 = 0 AND DATED(ts) LIKE '%O%') THEN NULL WHEN event_id % 11 = 0 AND event_id % 5 <> 0 THEN epoch(date_trunc('minute', ts)) ELSE epoch(date_trunc('second', ts)) END AS unix FROM {events} e",
+        f"SELECT event_id, CASE WHEN {NO_TIME} THEN NULL WHEN event_id % 16 IN (12, 13) THEN epoch(date_trunc('minute', ts)) WHEN event_id % 16 = 5 AND day(ts) <= 12 THEN epoch(make_timestamp(year(ts), day(ts), month(ts), hour(ts), minute(ts), floor(second(ts)))) ELSE epoch(date_trunc('second', ts)) END AS unix FROM {{events}} e",
     ),
     "p12_missing_seconds": (
-        lambda s, d: view(s, d, "ocr").select("event_id", t.add_seconds(t.clean_ocr(F.col("text"))).alias("text")),
-        r"SELECT event_id, regexp_replace(trim(regexp_replace(regexp_replace(replace(text, 'O', '0'), '\b(EST)\b', ' ', 'g'), '\s+', ' ', 'g')), '^(\d?\d:\d\d)(\s*[AaPp][Mm].*)$', '\1:00\2') AS text FROM {ocr} o",
+        lambda s, d: ocr_parsed(s, d).select("event_id", t.add_seconds(F.col("clean")).alias("text"), t.repair_seconds(F.col("clean"), "h:m:s a", F.to_date(F.timestamp_micros((F.col("t") * 1_000_000).cast("long"))), F.lit(0), "UTC").alias("unix")),
+        rf"SELECT event_id, regexp_replace({CLEAN}, '(?i)^(\d?\d:\d\d)\s+(AM|PM)\b(.*)$', '\1:00 \2\3') AS text, CASE WHEN event_id % 16 = 12 THEN floor(t / 60) * 60 END AS unix FROM {{ocr}} o",
     ),
     "p13_user_time": (
-        lambda s, d: view(s, d, "ocr").select("event_id", t.user_time(F.date_format(F.timestamp_micros((F.col("t") * 1_000_000).cast("long")), "M/d/yyyy H:mm"), "UTC").alias("unix")),
-        "SELECT event_id, CAST(epoch(date_trunc('minute', ts)) AS DOUBLE) AS unix FROM {events} e",
+        typed,
+        "SELECT event_id, CAST(epoch(date_trunc(CASE WHEN event_id % 8 IN (0, 2, 7) THEN 'second' ELSE 'minute' END, ts)) AS DOUBLE) AS unix FROM {events} e",
     ),
     "p19_local_string": (
         lambda s, d: view(s, d, "anchors").select("event_id", t.local_string(F.col("unix"), "UTC").alias("at")),
         "SELECT event_id, CASE WHEN unix IS NULL THEN '—' ELSE strftime(make_timestamp(CAST(trunc(unix * 1000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS at FROM {anchors} a",
     ),
     "p25_ocr_cost": (
-        lambda s, d: view(s, d, "videos").select("video", (F.floor(F.col("frames") / 1000) + 1).alias("calls"), F.round((F.floor(F.col("frames") / 1000) + 1) * 0.0015, 6).alias("cost")),
-        "SELECT video, frames // 1000 + 1 AS calls, round((frames // 1000 + 1) * 0.0015, 6) AS cost FROM {videos} v",
+        lambda s, d: view(s, d, "videos").select("video", t.ocr_calls(F.col("frames"), 1000).alias("calls"), F.round(t.ocr_cost(t.ocr_calls(F.col("frames"), 1000), 20), 6).alias("cost")),
+        "SELECT video, frames // 1000 + 1 AS calls, round(greatest(frames // 1000 + 1 - 20, 0) * 1.5 / 1000, 6) AS cost FROM {videos} v",
     ),
     "p26_actual_rate": (
-        lambda s, d: view(s, d, "known").withColumns({"f0": F.lag("frame").over(Window.partitionBy("video").orderBy("frame")), "u0": F.lag("unix").over(Window.partitionBy("video").orderBy("frame"))}).where("f0 IS NOT NULL").select("video", "frame", F.round(F.when(F.col("unix") == F.col("u0"), F.lit(30.0)).otherwise((F.col("frame") - F.col("f0")) / (F.col("unix") - F.col("u0"))), 6).alias("fps")),
-        "SELECT video, frame, round(CASE WHEN unix = u0 THEN 30 ELSE (frame - f0) / (unix - u0) END, 6) AS fps FROM (SELECT *, lag(frame) OVER o AS f0, lag(unix) OVER o AS u0 FROM {known} k WINDOW o AS (PARTITION BY video ORDER BY frame)) z WHERE f0 IS NOT NULL",
+        lambda s, d: view(s, d, "known").withColumns({"f0": F.lag("frame").over(Window.partitionBy("video").orderBy("frame")), "u0": F.lag("unix").over(Window.partitionBy("video").orderBy("frame"))}).where("f0 IS NOT NULL").select("video", "frame", F.round(t.actual_rate(F.col("frame") - F.col("f0"), F.col("unix") - F.col("u0"), 30.0), 6).alias("fps")),
+        "SELECT video, frame, round(CASE WHEN unix = u0 THEN 30 ELSE abs(frame - f0) / (unix - u0) END, 6) AS fps FROM (SELECT *, lag(frame) OVER o AS f0, lag(unix) OVER o AS u0 FROM {known} k WINDOW o AS (PARTITION BY video ORDER BY frame)) z WHERE f0 IS NOT NULL",
     ),
     "a15_accuracy": (
         lambda s, d: timemap.accuracy(accuracy_checks(s, d)),
@@ -166,8 +205,14 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
         "WITH mo AS (SELECT video, count(*) AS n FROM (SELECT *, max(unix) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {known} k) z WHERE m IS NULL OR unix > m GROUP BY video), b AS (SELECT a.video, count(*) FILTER (unix IS NULL) AS missing_before, any_value(coalesce(n, 0)) AS n FROM {anchors} a LEFT JOIN mo ON mo.video = a.video GROUP BY a.video) SELECT video, missing_before, CASE WHEN n >= 2 THEN 0 ELSE missing_before END AS missing_after, CASE WHEN n >= 2 THEN missing_before ELSE 0 END AS interpolated, CASE WHEN missing_before = 0 OR n >= 2 THEN 100.0 ELSE 0.0 END AS recovery FROM b",
     ),
     "a20_spans": (
-        lambda s, d: timemap.spans(view(s, d, "known")),
-        "SELECT video, min(unix) AS start, max(unix) AS end, round((max(unix) - min(unix)) / 3600, 6) AS hours, count(*) AS n_samples FROM {known} k GROUP BY video",
+        lambda s, d: timemap.spans(view(s, d, "known"), view(s, d, "known").groupBy("video").agg((F.max("frame") - 249).alias("total_frames"))).select("video", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("hours", 4).alias("hours"), "n_samples"),
+        f"""WITH {ASOF}, pr AS (SELECT video, 0 AS frame, n FROM (SELECT video, max(frame) AS m, count(*) AS n FROM {{known}} k GROUP BY video) z UNION SELECT video, m - 250, n FROM (SELECT video, max(frame) AS m, count(*) AS n FROM {{known}} k GROUP BY video) z),
+r AS (SELECT pr.video, pr.frame, n, CASE WHEN pr.frame < lo THEN v WHEN p2 IS NULL OR pr.frame = p THEN v ELSE v + (v2 - v) * (pr.frame - p) / (p2 - p) END AS u FROM pr JOIN seg ON seg.video = pr.video AND ((pr.frame >= p AND (p2 IS NULL OR pr.frame < p2)) OR (pr.frame < lo AND p = lo)))
+SELECT video, round(min_by(u, frame), 3) AS start, round(max_by(u, frame), 3) AS end, round(round((max_by(u, frame) - min_by(u, frame)) / 3600, 6), 4) AS hours, max(n) AS n_samples FROM r WHERE n >= 2 GROUP BY video""",
+    ),
+    "a20_range_hours": (
+        lambda s, d: timemap.range_hours(view(s, d, "ranges")),
+        "SELECT video, count(*) AS n_ranges, round(sum(range_end - range_start) / 3600, 6) AS hours FROM {ranges} r GROUP BY video",
     ),
     # Intervals
     "w5_recording_gaps": (gaps_of, f"WITH {GAPS} SELECT grp, gap_start, gap_end FROM gp"),
@@ -176,18 +221,18 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
         f"WITH {GAPS}, {ONSETS} SELECT grp, a, b FROM sp WHERE EXISTS (SELECT 1 FROM gp WHERE gp.grp = sp.grp AND a < gap_end AND b > gap_start)",
     ),
     "j12_before_gaps": (lambda s, d: intervals.before_gaps(view(s, d, "stimuli"), gaps_of(s, d)), f"WITH {GAPS}, {LASTS} SELECT grp, gap_start, last_event FROM la"),
-    "w4_onset_classes": (onsets, f"WITH {KINDS} SELECT grp, a, b, seconds, kind FROM oc"),
+    "w4_onset_classes": (onsets, f"WITH {KINDS} SELECT grp, a, b, seconds, kind, interval FROM oc"),
     "w6_rolling_mean": (
-        lambda s, d: intervals.rolling_mean(onsets(s, d).where("kind <> 'skip'")),
-        f"WITH {KINDS} SELECT grp, a, round(m, 6) AS mean FROM (SELECT grp, a, avg(seconds) OVER (PARTITION BY grp ORDER BY a ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY grp ORDER BY a) AS r, count(*) OVER (PARTITION BY grp) AS n FROM oc WHERE kind <> 'skip') z WHERE r >= 10 AND n > 10",
+        lambda s, d: intervals.rolling_mean(onsets(s, d).where("interval <> 'skip'")),
+        f"WITH {KINDS} SELECT grp, a, round(m, 6) AS mean FROM (SELECT grp, a, avg(seconds) OVER (PARTITION BY grp ORDER BY a ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY grp ORDER BY a) AS r, count(*) OVER (PARTITION BY grp) AS n FROM oc WHERE interval <> 'skip') z WHERE r >= 10 AND n > 10",
     ),
     "w14_by_day": (
         lambda s, d: intervals.by_day(view(s, d, "valid")),
         "WITH z AS (SELECT grp, start_ts, end_ts, unnest(generate_series(CAST(floor(start_ts / 86400) AS BIGINT), CAST(floor(end_ts / 86400) AS BIGINT))) AS k FROM {valid} v), r AS (SELECT grp, DATE '1970-01-01' + CAST(k AS INT) AS day, round(greatest(start_ts - k * 86400, 0) / 3600, 6) AS from_hour, round(least(end_ts - k * 86400, 86400) / 3600, 6) AS to_hour FROM z) SELECT * FROM r WHERE to_hour > from_hour",
     ),
     "a13_interval_summary": (
-        lambda s, d: onsets(s, d).groupBy("grp").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("skip", "cluster", "drift", "normal", "pre_reboot")), F.round(F.avg(F.when(F.col("kind") != "skip", F.col("seconds"))), 6).alias("mean")),
-        f"WITH {KINDS} SELECT grp, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("skip", "cluster", "drift", "normal", "pre_reboot")) + ", round(avg(seconds) FILTER (kind <> 'skip'), 6) AS mean FROM oc GROUP BY grp",
+        lambda s, d: onsets(s, d).groupBy("grp").agg(*(F.count_if(F.col("interval") == k).alias(k) for k in ("skip", "cluster", "drift", "normal")), F.count_if(F.col("kind") == "pre_reboot").alias("pre_reboot"), F.round(F.avg(F.when(F.col("interval") != "skip", F.col("seconds"))), 6).alias("mean")),
+        f"WITH {KINDS} SELECT grp, " + ", ".join(f"count(*) FILTER (interval = '{k}') AS {k}" for k in ("skip", "cluster", "drift", "normal")) + ", count(*) FILTER (kind = 'pre_reboot') AS pre_reboot, round(avg(seconds) FILTER (interval <> 'skip'), 6) AS mean FROM oc GROUP BY grp",
     ),
     "a14_duration_summary": (
         lambda s, d: intervals.duration_summary(view(s, d, "stimuli"), 140.0),
@@ -215,8 +260,8 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
         "SELECT c_custkey, c_custkey % 3 = 0 AS ok FROM {customers} c",
     ),
     "p21_fingerprint": (
-        lambda s, d: view(s, d, "customers").select("c_custkey", (t.fingerprint(F.format_string('{"a": "%d", "b":"x"}', "c_custkey")) == t.fingerprint(F.format_string('{"b":"x",  "a":"%d"}', "c_custkey"))).alias("same"), (t.fingerprint(F.format_string('{"a": "%d"}', "c_custkey")) == t.fingerprint(F.lit('{"a": "7"}'))).alias("seven")),
-        "SELECT c_custkey, true AS same, c_custkey = 7 AS seven FROM {customers} c",
+        lambda s, d: view(s, d, "customers").select("c_custkey", t.fingerprint(F.format_string('{"b": {"y": [1, %d], "x" : "t"},  "a": %d}', F.col("c_custkey") % 10, "nation")).alias("hash")),
+        """SELECT c_custkey, sha256('{"a":' || nation || ',"b":{"x":"t","y":[1,' || c_custkey % 10 || ']}}') AS hash FROM {customers} c""",
     ),
     "p24_metric_names": (
         lambda s, d: view(s, d, "metrics").select("run", "epoch", runs.first_filled("a", "b").alias("score")),
@@ -268,8 +313,8 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
         "SELECT video, start_sec, end_sec FROM {candidates} c WHERE EXISTS (SELECT 1 FROM {ranges} r WHERE r.video = c.video AND ((c.start_sec >= range_start AND c.end_sec <= range_end) OR NOT EXISTS (SELECT 1 FROM {anchored} a WHERE a.video = c.video)))",
     ),
     "j4_video_files": (
-        lambda s, d: view(s, d, "customers").select("c_custkey", t.stem(F.col("file")).alias("stem")).join(view(s, d, "customers").where("c_custkey % 3 = 0").select(t.stem(F.concat(F.lit("/out/"), F.regexp_replace("file", "mkv", "parquet"))).alias("stem"), F.lit(True).alias("t")), "stem", "left").select("c_custkey", F.coalesce("t", F.lit(False)).alias("has_tracks")),
-        "SELECT c_custkey, c_custkey % 3 = 0 AS has_tracks FROM {customers} c",
+        lambda s, d: catalog.video_files(view(s, d, "customers").select("c_custkey", F.concat(F.lit("/in/"), "file").alias("path")), view(s, d, "customers").where("c_custkey % 3 = 0").select(F.concat(F.lit("/out/"), F.regexp_replace("file", "mkv", "parquet")).alias("path")), view(s, d, "customers").where("c_custkey % 4 <> 0").select(t.stem(F.col("file")).alias("stem"), F.lit("r").alias("roi"))).select("c_custkey", "track", "warning"),
+        "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '/out/' || replace(file, 'mkv', 'parquet') END AS track, concat_ws(',', CASE WHEN c_custkey % 3 <> 0 THEN 'track' END, CASE WHEN c_custkey % 4 = 0 THEN 'roi' END) AS warning FROM {customers} c",
     ),
     "j13_image_pairs": (
         lambda s, d: catalog.pair_images(*images(s, d)).select("clip", "stem", "ext"),
@@ -277,8 +322,8 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
     ),
     "u2_orphan_labels": (lambda s, d: catalog.orphans(*images(s, d)).select("clip", "stem"), "SELECT clip, stem FROM {labels_of} l EXCEPT SELECT clip, stem FROM {images} i"),
     "j14_annotated": (
-        lambda s, d: view(s, d, "frames").select(F.concat(F.lit("c"), F.col("clip").cast("string")).alias("clip"), F.concat(F.lit("f"), F.col("frame").cast("string")).alias("stem")).join(view(s, d, "labels_of"), ["clip", "stem"], "left_anti").groupBy("clip").agg(F.count("*").alias("n")),
-        "SELECT 'c' || CAST(clip AS STRING) AS clip, count(*) AS n FROM {frames} f WHERE frame % 7 = 0 GROUP BY clip",
+        lambda s, d: catalog.browse_clips(view(s, d, "clips"), view(s, d, "clips").where("clip_id % 3 = 0").select("clip_path"), annotated=False).select("clip_id"),
+        "SELECT clip_id FROM {clips} c WHERE clip_path NOT IN (SELECT clip_path FROM {clips} d WHERE clip_id % 3 = 0)",
     ),
     "j15_fallback": (
         lambda s, d: catalog.with_fallback(view(s, d, "customers").select("c_custkey", F.col("file").alias("video")), view(s, d, "customers").where("c_custkey % 4 < 2").select(F.when(F.col("c_custkey") % 4 == 0, F.col("file")).otherwise(t.stem(F.col("file"))).alias("name"), F.col("c_custkey").alias("value")).unionByName(s.range(1).select(F.lit("_default").alias("name"), F.lit(-1).cast("long").alias("value")))).select("c_custkey", "value"),
@@ -290,28 +335,28 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
     ),
     "j17_reconcile": (catalog_rows, RECON),
     "j18_new_batches": (
-        lambda s, d: view(s, d, "clips").select("chamber", "wave", "layout", "video").distinct().join(view(s, d, "clips").where("clip_id % 32 = 0").select("chamber", "wave", "layout", "video").distinct(), ["chamber", "wave", "layout", "video"], "left_anti"),
-        "SELECT DISTINCT chamber, wave, layout, video FROM {clips} c EXCEPT SELECT chamber, wave, layout, video FROM {clips} d WHERE clip_id % 32 = 0",
+        lambda s, d: catalog.new_batches(batches(s, d).distinct(), batches(s, d, "clip_id % 32 = 0").distinct()),
+        f"SELECT DISTINCT {BATCH} FROM {{clips}} c EXCEPT SELECT {BATCH} FROM {{clips}} d WHERE clip_id % 32 = 0",
     ),
     "a9_split_counts": (
-        lambda s, d: split_frames(s, d).where("split = 'val'").groupBy("clip").agg(F.count("*").alias("n")),
-        "SELECT clip, CAST(round_even(0.8::DOUBLE * n, 0) - round_even(0.6::DOUBLE * n, 0) AS BIGINT) AS n FROM (SELECT clip, count(*) AS n FROM {frames} f GROUP BY clip) z WHERE round_even(0.8::DOUBLE * n, 0) > round_even(0.6::DOUBLE * n, 0)",
+        lambda s, d: catalog.split_counts(split_frames(s, d).withColumns({"chamber": F.concat(F.lit("ch"), F.col("clip") % 5), "wave": F.concat(F.lit("w"), F.col("clip") % 3)}), "val"),
+        "SELECT clip, 'ch' || clip % 5 AS chamber, 'w' || clip % 3 AS wave, CAST(round_even(0.8::DOUBLE * n, 0) - round_even(0.6::DOUBLE * n, 0) AS BIGINT) AS n_frames FROM (SELECT clip, count(*) AS n FROM {frames} f GROUP BY clip) z WHERE round_even(0.8::DOUBLE * n, 0) > round_even(0.6::DOUBLE * n, 0)",
     ),
     "a10_dataset_summary": (
-        lambda s, d: view(s, d, "clips").groupBy("layout").agg(F.count("*").alias("clips"), F.array_join(F.sort_array(F.collect_set("chamber")), ",").alias("chambers"), F.count_if(F.col("clip_id") % 3 != 0).alias("skipped")),
-        "SELECT layout, count(*) AS clips, string_agg(DISTINCT chamber, ',' ORDER BY chamber) AS chambers, count(*) FILTER (clip_id % 3 <> 0) AS skipped FROM {clips} c GROUP BY layout",
+        lambda s, d: catalog.dataset_summary(view(s, d, "clips").select(F.col("layout").alias("split"), F.col("video").alias("clip"), "chamber", "wave")),
+        "SELECT layout AS split, count(*) AS frames, count(DISTINCT video) AS clips, string_agg(DISTINCT chamber, ',' ORDER BY chamber) AS chambers, string_agg(DISTINCT wave, ',' ORDER BY wave) AS waves FROM {clips} c GROUP BY layout",
     ),
     "a11_triage": (
-        lambda s, d: view(s, d, "clips").withColumn("status", F.element_at(F.array(F.lit("approved"), F.lit("rejected"), F.lit(" "), F.lit("pending")), (F.col("clip_id") % 4 + 1).cast("int"))).groupBy("chamber").agg(F.count_if(F.col("status") == "approved").alias("approved"), F.count_if(F.col("status") == "rejected").alias("rejected"), F.count_if((F.trim("status") == "") | (F.col("status") == "pending")).alias("pending")),
+        lambda s, d: catalog.tallies(view(s, d, "clips").withColumn("status", F.element_at(F.array(F.lit("approved"), F.lit("rejected"), F.lit(" "), F.lit("pending")), (F.col("clip_id") % 4 + 1).cast("int"))), "status", ["chamber"]),
         "SELECT chamber, count(*) FILTER (clip_id % 4 = 0) AS approved, count(*) FILTER (clip_id % 4 = 1) AS rejected, count(*) FILTER (clip_id % 4 >= 2) AS pending FROM {clips} c GROUP BY chamber",
     ),
     "a12_progress": (
-        lambda s, d: view(s, d, "clips").select("wave").distinct().crossJoin(s.createDataFrame([("legacy",), ("structured",), ("other",)], "layout string")).join(view(s, d, "clips").select("wave", "layout", F.lit(1).alias("one")), ["wave", "layout"], "left").groupBy("wave", "layout").agg(F.count("one").alias("n")),
-        "SELECT w.wave, l.layout, count(c.clip_id) AS n FROM (SELECT DISTINCT wave FROM {clips} c) w CROSS JOIN (VALUES ('legacy'), ('structured'), ('other')) l(layout) LEFT JOIN {clips} c ON c.wave = w.wave AND c.layout = l.layout GROUP BY ALL",
+        lambda s, d: catalog.progress(view(s, d, "clips").select("wave", F.explode(F.array(F.lit("legacy"), F.lit("structured"), F.lit("other"))).alias("split")), view(s, d, "clips").select("wave", F.col("layout").alias("split"))),
+        "SELECT w.wave, l.layout AS split, count(c.clip_id) AS n, count(c.clip_id) = 0 AS missing FROM (SELECT DISTINCT wave FROM {clips} c) w CROSS JOIN (VALUES ('legacy'), ('structured'), ('other')) l(layout) LEFT JOIN {clips} c ON c.wave = w.wave AND c.layout = l.layout GROUP BY ALL",
     ),
     "a19_outcomes": (
-        lambda s, d: catalog_rows(s, d).groupBy("status").agg(F.count("*").alias("n"), F.count_if("newly_missing").alias("newly")),
-        f"SELECT status, count(*) AS n, count(*) FILTER (newly_missing) AS newly FROM ({RECON}) z GROUP BY status",
+        lambda s, d: catalog.outcomes(catalog_rows(s, d)),
+        f"SELECT status, count(*) AS n FROM ({RECON}) z GROUP BY status",
     ),
     "r1_candidates": (
         lambda s, d: sampling.draw_candidates(view(s, d, "videos"), 2000, 3.0, 9),
@@ -326,26 +371,35 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
         lambda s, d: catalog.hold_out(view(s, d, "frames"), 0.15, 5).groupBy("clip", "split").agg(F.count("*").alias("n")),
         f"WITH k AS (SELECT clip, row_number() OVER (ORDER BY {md5_order(5, 'CAST(clip AS STRING)')}) AS r, count(*) OVER () AS m FROM (SELECT DISTINCT clip FROM {{frames}} f) y) SELECT f.clip, CASE WHEN r <= greatest(1, floor(m * 0.15)) THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM {{frames}} f JOIN k ON k.clip = f.clip GROUP BY ALL",
     ),
+    "r3_hold_out_frames": (
+        lambda s, d: catalog.hold_out(view(s, d, "frames").where("clip = 0"), 0.15, 5),
+        f"SELECT clip, frame, CASE WHEN row_number() OVER (ORDER BY {md5_order(5, 'k')}) <= greatest(1, floor(count(*) OVER () * 0.15)) THEN 'val' ELSE 'train' END AS split FROM (SELECT clip, frame, CAST(clip AS STRING) || '|' || CAST(frame AS STRING) AS k FROM {{frames}} f WHERE clip = 0) y",
+    ),
     "r4_sample": (
         lambda s, d: catalog.sample_rows(view(s, d, "frames"), 40, F.concat_ws("/", F.col("clip").cast("string"), F.col("frame").cast("string")), 3, ["clip"]),
         f"SELECT clip, frame FROM (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY {md5_order(3, 'k')}) AS r FROM (SELECT clip, frame, CAST(clip AS STRING) || '/' || CAST(frame AS STRING) AS k FROM {{frames}} f) y) z WHERE r <= 40",
     ),
-    "r5_segments": (lambda s, d: sampling.segments(view(s, d, "frames").groupBy(F.col("clip").alias("video")).agg(F.min("frame").alias("first"), F.max("frame").alias("last")), 3, 50, 4), None),
+    "r5_segments": (
+        lambda s, d: sampling.segments(view(s, d, "frames").groupBy(F.col("clip").alias("video")).agg(F.min("frame").alias("first"), F.max("frame").alias("last")), 3, 50, 4),
+        """WITH v AS (SELECT clip AS video, min(frame) AS first, max(frame) AS last FROM {frames} f GROUP BY clip), k AS (SELECT *, least(3, (last - first + 1) // 50) AS k, last - first + 1 - 50 * least(3, (last - first + 1) // 50) AS free FROM v WHERE last - first + 1 > 50),
+d AS (SELECT video, first, row_number() OVER (PARTITION BY video ORDER BY x) - 1 AS i, x FROM (SELECT video, first, CAST(floor(CAST(('0x' || substr(md5('4|' || CAST(video AS STRING) || '|' || CAST(i AS STRING)), 1, 8)) AS BIGINT)::DOUBLE / 4294967296 * (free + 1)) AS BIGINT) AS x FROM k JOIN range(1, 4) r(i) ON i <= k) z)
+SELECT video, first + x + i * 50 AS first, first + x + i * 50 + 49 AS last FROM d UNION ALL SELECT video, first, last FROM v WHERE last - first + 1 <= 50""",
+    ),
     "r6_audit": (
         lambda s, d: catalog.sample_rows(view(s, d, "frames").where("frame % 100 <> 0 AND frame % 10 = 0"), 5, F.concat_ws("/", F.col("clip").cast("string"), F.col("frame").cast("string")), 8, ["clip"]),
         f"SELECT clip, frame FROM (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY {md5_order(8, 'k')}) AS r FROM (SELECT clip, frame, CAST(clip AS STRING) || '/' || CAST(frame AS STRING) AS k FROM {{frames}} f WHERE frame % 100 <> 0 AND frame % 10 = 0) y) z WHERE r <= 5",
     ),
     "k3_listing": (
-        lambda s, d: view(s, d, "clips").select("clip_id", F.row_number().over(Window.partitionBy("chamber").orderBy(F.desc(F.col("start_sec").cast("int").cast("string")), "clip_id")).alias("place")),
-        "SELECT clip_id, row_number() OVER (PARTITION BY chamber ORDER BY CAST(CAST(start_sec AS INT) AS STRING) DESC, clip_id) AS place FROM {clips} c",
+        lambda s, d: catalog.listing_by(view(s, d, "clips").select("clip_id", "start_sec"), "start_sec").limit(20).select(F.col("start_sec")).distinct(),
+        "SELECT DISTINCT start_sec FROM (SELECT start_sec FROM {clips} c ORDER BY CAST(start_sec AS STRING) DESC LIMIT 20) z",
     ),
     "k6_next_number": (
         lambda s, d: catalog.next_number(view(s, d, "customers").select(F.concat(F.lit("batch_"), (F.col("c_custkey") % 57).cast("string")).alias("name")), "batch"),
         "SELECT lpad(CAST(max(c_custkey % 57) + 1 AS STRING), 2, '0') AS next_number FROM {customers} c",
     ),
     "k7_next_pending": (
-        lambda s, d: view(s, d, "clips").where("clip_id % 5 = 2").groupBy("chamber").agg(F.min_by("clip_id", F.pmod(F.col("clip_id") - 501, F.lit(1_000_000_000))).alias("next_id")),
-        "SELECT chamber, arg_min(clip_id, ((clip_id - 501) % 1000000000 + 1000000000) % 1000000000) AS next_id FROM {clips} c WHERE clip_id % 5 = 2 GROUP BY chamber",
+        lambda s, d: catalog.next_pending(view(s, d, "clips"), 501, 1_000_000_000, F.col("clip_id") % 5 == 2, "clip_id").select("clip_id"),
+        "SELECT arg_min(clip_id, ((clip_id - 502) % 1000000000 + 1000000000) % 1000000000) AS clip_id FROM {clips} c WHERE clip_id % 5 = 2",
     ),
     "u3_union_listing": (
         lambda s, d: view(s, d, "clips").where("clip_id % 2 = 0").select("source_video").union(view(s, d, "clips").where("clip_id % 3 = 0").select("source_video")).dropDuplicates(["source_video"]),
@@ -356,20 +410,20 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
         "SELECT video, count(*) AS n FROM (SELECT * FROM {taken} t UNION ALL SELECT * FROM {candidates} c) z GROUP BY video",
     ),
     "m1_upsert": (
-        lambda s, d: catalog.upsert(view(s, d, "old_catalog").withColumn("note", F.lit(None).cast("string")), view(s, d, "new_listing").select("path", "size", F.col("readable").alias("missing"), F.lit("new").alias("note")), ["path"]),
-        "SELECT coalesce(n.path, o.path) AS path, coalesce(n.size, o.size) AS size, CAST(coalesce(n.readable, o.missing) AS INT) AS missing, CASE WHEN n.path IS NULL THEN '' ELSE 'new' END AS note FROM {old_catalog} o FULL JOIN {new_listing} n ON n.path = o.path",
+        lambda s, d: catalog.upsert(view(s, d, "old_catalog").withColumn("note", F.lit(None).cast("string")), view(s, d, "new_listing").select("path", F.col("size"), F.col("readable").alias("missing"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("note")).withColumn("at", F.when(F.col("note") == "a", 2).otherwise(1)), ["path"], "at").drop("at"),
+        "SELECT coalesce(n.path, o.path) AS path, coalesce(n.size, o.size) AS size, CAST(coalesce(n.readable, o.missing) AS INT) AS missing, CASE WHEN n.path IS NULL THEN '' ELSE 'a' END AS note FROM {old_catalog} o FULL JOIN {new_listing} n ON n.path = o.path",
     ),
     "m5_dataset": (
         lambda s, d: split_frames(s, d).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("clip").alias("clips")),
         "SELECT split, count(*) AS n, count(DISTINCT clip) AS clips FROM (SELECT clip, CASE WHEN r <= round_even(0.6::DOUBLE * n, 0) THEN 'train' WHEN r <= round_even(0.8::DOUBLE * n, 0) THEN 'val' ELSE 'test' END AS split FROM (SELECT clip, row_number() OVER (PARTITION BY clip) AS r, count(*) OVER (PARTITION BY clip) AS n FROM {frames} f) y) z GROUP BY split",
     ),
     "m6_triage_marks": (
-        lambda s, d: view(s, d, "frames").select(F.concat(F.lit("c"), F.col("clip").cast("string")).alias("clip"), F.concat(F.lit("f"), F.col("frame").cast("string")).alias("stem")).join(view(s, d, "labels_of").select("clip", "stem", F.lit("yes").alias("annotated")), ["clip", "stem"], "left").na.fill("no", ["annotated"]),
-        "SELECT 'c' || CAST(clip AS STRING) AS clip, 'f' || CAST(frame AS STRING) AS stem, CASE WHEN frame % 7 <> 0 THEN 'yes' ELSE 'no' END AS annotated FROM {frames} f",
+        lambda s, d: triaged(s, d),
+        "SELECT frame_key, CASE WHEN frame % 7 <> 0 THEN 'yes' ELSE 'no' END AS annotated, CASE WHEN frame % 5 = 0 THEN 'rejected' WHEN frame % 5 = 1 THEN 'approved' ELSE 'pending' END AS status, CASE WHEN frame % 5 = 0 THEN '_rejected' ELSE '' END AS folder FROM (SELECT frame, 'c' || CAST(clip AS STRING) || '/f' || CAST(frame AS STRING) AS frame_key FROM {frames} f) z",
     ),
     "m7_register": (
-        lambda s, d: view(s, d, "clips").groupBy("chamber").agg(F.array_join(F.sort_array(F.array_union(F.collect_set(F.when(F.col("clip_id") % 2 == 0, F.col("wave"))), F.collect_set(F.when(F.col("clip_id") % 2 == 1, F.col("wave"))))), ",").alias("waves")),
-        "SELECT chamber, string_agg(DISTINCT wave, ',' ORDER BY wave) AS waves FROM {clips} c GROUP BY chamber",
+        lambda s, d: catalog.register_sources(sources_of(s, d, "c_custkey % 3 <> 0").withColumn("waves", F.array(F.col("drive_uuid"))), sources_of(s, d, "c_custkey % 2 = 0").withColumn("drive_uuid", F.concat(F.lit("new"), "drive_uuid")).withColumn("drive_label", F.when(F.col("drive_uuid").endswith("4"), "").otherwise(F.col("drive_label")))).select("chamber_id", "drive_uuid", "drive_label", F.array_join("waves", ",").alias("waves"), "created"),
+        "SELECT 'ch' || c_custkey AS chamber_id, CASE WHEN c_custkey % 2 = 0 THEN 'newd' ELSE 'd' END || c_custkey AS drive_uuid, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 10 = 4 THEN '' ELSE 'label' || nation END AS drive_label, CASE WHEN c_custkey % 3 <> 0 THEN 'd' || c_custkey ELSE '' END AS waves, c_custkey % 3 = 0 AS created FROM {customers} c WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     ),
     "s18_video_index": (
         lambda s, d: writers.video_index(view(s, d, "clips").select("wave", F.col("clip_path").alias("path"), "start_sec")).select("wave", "n_videos", F.explode(F.from_json("document", "array<struct<path:string,start_sec:double>>")).alias("v")).groupBy("wave", "n_videos").agg(F.count("v.path").alias("n"), F.sum("v.start_sec").alias("seconds")),
@@ -387,6 +441,11 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
         lambda s, d: runs.lineage(view(s, d, "artifacts"), view(s, d, "meta")),
         "SELECT path, dir, coalesce(kind, 'unknown') AS kind, depth FROM (SELECT a.path, m.dir, m.kind, CAST(len(string_split(a.path, '/')) - len(string_split(m.dir, '/')) AS INT) AS depth, row_number() OVER (PARTITION BY a.path ORDER BY length(m.dir) DESC NULLS LAST) AS r FROM {artifacts} a LEFT JOIN {meta} m ON starts_with(a.path, m.dir || '/')) z WHERE r = 1",
     ),
+    "j19_trace": (
+        lambda s, d: runs.trace(view(s, d, "artifacts"), view(s, d, "experiments"), view(s, d, "runs_of")),
+        """SELECT path, CASE WHEN e.dir IS NOT NULL THEN 'experiment' WHEN b.dir IS NOT NULL THEN 'batch' ELSE 'unknown' END AS kind, coalesce(e.dir, x.dir) AS experiment_dir, b.dir AS batch_dir FROM {artifacts} a
+LEFT JOIN {experiments} e ON starts_with(a.path, e.dir || '/') LEFT JOIN {runs_of} b ON starts_with(a.path, b.dir || '/') LEFT JOIN {experiments} x ON x.root = b.root AND x.chamber_type = b.chamber_type AND x.name = b.experiment_name""",
+    ),
     "a21_softmax": (
         lambda s, d: heatmap.softmax(grid(s, d)).select("frame", "kp", "yy", "xx", F.round("p", 8).alias("p")),
         f"WITH {GRID} SELECT frame, kp, yy, xx, round(p, 8) AS p FROM sm",

@@ -13,7 +13,9 @@ VIDEO_EXTENSIONS = ("mp4", "avi", "mkv", "mov", "webm")
 
 
 def clip_of_path() -> Column:
-    return stem(F.col("_metadata.file_path"))
+    """The clip's folder (clip=...), else the file's stem."""
+    path = F.col("_metadata.file_path")
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"/clip=([^/]+)/", 1), F.lit("")), stem(path))
 
 
 def mot(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -29,7 +31,8 @@ def mot(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
 
 def detections_csv(spark: SparkSession, path: str) -> DataFrame:
     """frame_idx, x1, y1, x2, y2, conf with a header, frames from 0."""
-    return spark.read.option("header", True).schema("frame_idx int, x1 double, y1 double, x2 double, y2 double, conf double").csv(path).select(clip_of_path().alias("clip"), "*")
+    fields = ["frame_idx", "x1", "y1", "x2", "y2", "conf"]
+    return spark.read.option("header", True).schema("frame_idx int, x1 double, y1 double, x2 double, y2 double, conf double").csv(path).select(clip_of_path().alias("clip"), *fields)
 
 
 def tracks(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, frames: DataFrame | None = None) -> DataFrame:
@@ -112,9 +115,9 @@ def keypoint_csv(spark: SparkSession, path: str) -> DataFrame:
     return cells.groupBy("video", "frame", F.col("c.who").alias("individual"), F.col("c.part").alias("bodypart")).agg(pick("x"), pick("y"), pick("likelihood"))
 
 
-def metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON records by a fixed schema: unknown keys go, absent ones are null, unreadable files are skipped."""
-    rows = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema + ", _bad string").json(path)
+def metadata(spark: SparkSession, path: str, schema: str, whole_files: bool = True) -> DataFrame:
+    """JSON records by a fixed schema: unknown keys go, absent ones are null, unreadable files (or lines) are skipped."""
+    rows = spark.read.option("multiLine", whole_files).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema + ", _bad string").json(path)
     return rows.where("_bad IS NULL").drop("_bad")
 
 

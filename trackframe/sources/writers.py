@@ -73,3 +73,25 @@ def update_rows(table: DataFrame, key: str, value, **changes) -> DataFrame:
 def with_provenance(df: DataFrame, **fields) -> DataFrame:
     """Constant columns that say which run made the rows."""
     return df.withColumns({k: F.lit(v) for k, v in fields.items()})
+
+
+def run_summary(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row a run: its provenance columns and its number of rows."""
+    return rows.groupBy(*fields).agg(F.count("*").alias("n_rows"))
+
+
+def write_metadata(rows: DataFrame, path: str) -> None:
+    """JSON records, absent values left out."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
+
+
+def rebuild_index(found: DataFrame, path: str, key: str) -> None:
+    """Write the index anew from metadata records: one row a key, the greatest where several are; records without the key go."""
+    last = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*(c for c in found.columns if c != key))).alias("r"))
+    last.select(key, "r.*").write.mode("overwrite").parquet(path)
+
+
+def write_dataset(manifest: DataFrame, path: str) -> DataFrame:
+    """Write the manifest in a folder a split and return the counts by split as written."""
+    manifest.write.mode("errorifexists").partitionBy("split").parquet(path)
+    return manifest.sparkSession.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))

@@ -56,8 +56,8 @@ def collect_new(stream: DataFrame, target: str, checkpoint: str) -> None:
 
 
 def collect_newest(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Append each trigger's newest frames."""
+    """Each trigger's newest frames in a folder of its number: a trigger that runs again after a failure replaces what it wrote."""
     def one(batch: DataFrame, number: int) -> None:
-        newest(batch).write.mode("append").parquet(target)
+        newest(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
