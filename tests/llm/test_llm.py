@@ -218,6 +218,16 @@ def test_line_dedup_keeps_columns(spark):
     assert out == {None: ("a\nb\nc", 7, 0), 1: ("d", 5, 3), 2: ("x", 6, 3), 4: (None, 8, 0)}
 
 
+def test_line_dedup_with_clashing_names_long_texts_and_repeated_rows(spark):
+    long = "\n".join(f"l{i}" for i in range(20_000))
+    rows = [(1, long, 1, 2, 3, 4), (2, f"x\n{long}", 1, 2, 3, 4), (2, f"x\n{long}", 1, 2, 3, 4), (3, "", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__dedup_key` int, key int, covered int, lines int")
+    out = linededup.drop_repeated_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text, r.n_removed, r["key"]) for r in out.collect()) == [(1, long, 0, 2), (2, "x", 20_000, 2), (2, "x", 20_000, 2), (3, "", 0, 2)]
+    assert linededup.drop_repeated_lines(docs.limit(0)).count() == 0
+
+
 PII = "Mail a.b@c-d.org, x@y or @z.com; 1.2.3.4 and 999.1.1.1 and 1.2.3.4.5.6.7.8; 4111 1111 1111 1111 or 4111111111111112; +1 (068) 555-2748, +12. " 'token = "9dd3c80004c73dc9e548fee51b23b527780d4f20"'
 
 
@@ -285,7 +295,7 @@ def test_telephony_round_trip(spark, docs):
         payload = telephony.pad(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(texts[r.doc_id]), len(payload), zlib.crc32(payload[-64:]))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
-        assert len(r.pcm16k) == 4 * len(payload)
+        assert len(r.pcm16k) == 4 * len(payload) and r.media_bytes == len(telephony.to_wav(payload)) and r.media_sha256 == hashlib.sha256(telephony.to_wav(payload)).hexdigest()
         assert np.array_equal(np.frombuffer(r.pcm16k, np.int16)[::2], telephony.MU[np.frombuffer(payload, np.uint8)])
 
 

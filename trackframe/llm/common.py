@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackframe.operators.scratch import shared_path
+
 #: Runs of characters other than ASCII white space; ``bytes.split()`` cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words whose hash a Python worker remembers; beyond that it starts anew.
@@ -24,17 +25,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: list[str] = []
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share."""
+    return shared_path(spark, label)
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; in one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="spark-"))
-        base = f"file://{_own[0]}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -34,7 +34,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.load(telephony.store(read(spark, sf_dir, "documents")), with_pcm=False)
+    return telephony.load(telephony.store(read(spark, sf_dir, "documents")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Telephony audio: G.711 and IMA ADPCM columns, decoded with lookup tables and numpy across blocks.
 
-``store`` keeps a payload of bytes as mu-law samples in a WAV file, one byte a sample and so without loss;
-``load`` reads that file, expands it by table, decodes it as 64-byte ADPCM blocks too, and resamples to 16 kHz PCM.
+``store`` keeps each payload of bytes as mu-law samples in a WAV file, one byte a sample and so without loss, in a column of a
+Parquet table that it writes. ``load`` reads that table back: it takes the codes out of the file, expands them by both G.711
+tables, decodes them as 64-byte ADPCM blocks too, and gives the audio resampled to 16 kHz PCM as a column beside digests and features.
 
 Null text counts as empty; an empty payload becomes 64 zero bytes. Equal texts give equal values in every column
-but ``doc_id``. Repeated rows stay. Columns other than the key and the text are not carried.
+but ``doc_id``. Repeated rows stay; an empty table gives an empty one. A long text is taken whole, by itself. Columns other than the
+key and the text are not carried.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trackframe.llm.common import keyed, slices, text_bytes
+from trackframe.llm.common import keyed, scratch, slices, text_bytes
 
 BLOCK = 64
 RATE = 8000
+#: Bytes of payloads that a task handles at once.
+SLICE = 2_000_000
 
 # The step sizes and index changes of IMA ADPCM.
 STEPS = np.array(
@@ -118,20 +122,27 @@ def from_wav(media: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
-def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media): each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as a mu-law WAV file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = text_bytes(b, text)
-            for i, j in slices(data):
-                media = [to_wav(pad(x)) for x in data[i:j]]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(x) for x in data[i:j]], pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
+            for i, j in slices(data, SLICE):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(x) for x in data[i:j]], pa.int64()), pa.array([to_wav(pad(x)) for x in data[i:j]], pa.binary())], [key, "n_bytes", "media"])
 
     kind = docs.schema[key].dataType.simpleString()
     return keyed(docs, key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
+def store(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """Write what ``encode`` gives as a Parquet table to ``path`` (default: a new one in the shared folder), and return that table."""
+    spark, encoded = docs.sparkSession, encode(docs, key, text)
+    path = path or scratch(spark, "telephony")
+    encoded.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(encoded.schema).parquet(path)
+
+
 def _features(codes: list[bytes]) -> list[tuple[str, bytes]]:
     """A feature string and the 16 kHz PCM of each payload; ADPCM is decoded over all their blocks at once."""
     each = [np.frombuffer(x, np.uint8) for x in codes]
@@ -149,21 +160,18 @@ def _features(codes: list[bytes]) -> list[tuple[str, bytes]]:
     return out
 
 
-def load(stored: DataFrame, key: str = "doc_id", with_pcm: bool = True) -> DataFrame:
-    """Read ``media`` back: digests of payload and file, features, and the resampled PCM (16-bit, little-endian) if asked for."""
+def load(stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Read ``media`` back: digests of payload and file, features, and the resampled PCM (16-bit, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm16k"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         for b in batches:
-            files, size = b.column(2).to_pylist(), b.column(1).to_pylist()
-            for i, j in slices(files):
+            size, files = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for i, j in slices(files, SLICE):
                 codes = [from_wav(x) for x in files[i:j]]
-                seen = _features(codes)
-                rows = [(n, len(c), hashlib.sha256(c).hexdigest(), zlib.crc32(c[-BLOCK:]), len(f), hashlib.sha256(f).hexdigest(), s[0]) for n, c, f, s in zip(size[i:j], codes, files[i:j], seen)]
-                cols = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] + ([pa.array([s[1] for s in seen], pa.binary())] if with_pcm else [])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *cols], [key, *names, *(["pcm16k"] if with_pcm else [])])
+                rows = [(n, len(c), hashlib.sha256(c).hexdigest(), zlib.crc32(c[-BLOCK:]), len(f), hashlib.sha256(f).hexdigest(), *s) for n, c, f, s in zip(size[i:j], codes, files[i:j], _features(codes))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], [key, *names])
 
     kind = stored.schema[key].dataType.simpleString()
-    more = ", pcm16k binary" if with_pcm else ""
-    return stored.select(key, "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string{more}")
+    return stored.select(key, "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm16k binary")
