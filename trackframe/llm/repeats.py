@@ -6,19 +6,22 @@ in a document with a smaller key is removed. Four steps:
 1. In every window the phrase of ``PHRASE`` words with the smallest hash is its anchor, so equal windows have equal anchors.
    Anchors that stand in two different texts are confirmed as recurring; exact copies are told by their digest (128 bits),
    different texts by 64 bits of it.
-2. Documents are dealt to shards by key, and each shard gets the recurring anchors that stand in it. From the phrases the shard compiles
-   one automaton over word numbers and streams all of its documents through it, which gives every occurrence.
+2. Documents are dealt to shards of bounded bytes by key. A shard gets each recurring anchor that stands in it with one place (key
+   and position), reads the passage's words there and compiles them into its automaton, over numbers for words. All documents
+   stream through the automaton of the phrases that can stand in them, and every occurrence is one that the automaton reports.
 3. Windows around occurrences are told by 96 bits; per window the smallest key is found by a partial aggregate,
    and later windows are joined with it. They meet the texts in buckets by shard, which are not shuffled again.
 4. Covered words go. A copy of a document with a smaller key is covered as a whole if it has a window.
 
-Null text has no words. A document shorter than the window stays whole. Rows that share a key are one document in the
-comparison and are returned each. Rows with a null key are compared with nothing and stay whole. Only key and text are read.
+Null text has no words. A document shorter than the window stays whole; a very long one is one document of its shard and is
+located and cut whole. Rows that share a key are one document in the comparison and are returned each. Rows with a null key
+are compared with nothing and stay whole. An empty table gives an empty one. Only key and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from trackframe.llm.common import bucketed, hash_words, keyed, mix, rolling, shuffle_partitions, text_bytes, written
 
 PHRASE = 8
-SHARD_DOCS = 2000
+#: Bytes of text that a shard should hold.
+SHARD_BYTES = 16_000_000
 OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -43,11 +47,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :])
 
 
-def anchors(h: np.ndarray, window: int) -> np.ndarray:
-    """Hashes of the anchor phrases of all windows."""
+def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the anchor phrases of all windows, and the first position of each."""
     if len(h) < window:
-        return h[:0]
-    return np.unique(sliding_min(rolling(h, PHRASE), window - PHRASE + 1))
+        return h[:0], np.zeros(0, np.int32)
+    phrases = rolling(h, PHRASE)
+    found = np.unique(sliding_min(phrases, window - PHRASE + 1))
+    at = np.minimum(np.searchsorted(found, phrases), len(found) - 1)
+    places = np.flatnonzero(found[at] == phrases)
+    return found, places[np.unique(at[places], return_index=True)[1]].astype(np.int32)
 
 
 def digest(words: list[bytes]) -> bytes:
@@ -60,7 +68,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     docs = keyed(docs, key, text)
     kind = docs.schema[key].dataType.simpleString()
     key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    shards = max(2 * shuffle_partitions(docs.sparkSession), -(-docs.count() // SHARD_DOCS))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = max(2 * shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
     shard = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(shards)).cast("int")
 
     def to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,82 +80,84 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
                 for k, s, t in zip(keys[i : i + 500], shard_of[i : i + 500], texts[i : i + 500]):
                     words = t.split()
                     if k is not None and len(words) >= window:
-                        d, a = digest(words), anchors(hash_words(words), window).view(np.int64)
-                        rows.append((k, s, d, int.from_bytes(d[:8], "little", signed=True), a))
+                        d, (a, at) = digest(words), anchors(hash_words(words), window)
+                        rows.append((k, s, d, int.from_bytes(d[:8], "little", signed=True), a.view(np.int64), at))
                 if rows:
                     n, each = [len(r[4]) for r in rows], np.arange(len(rows))
                     where, none = pa.array(np.concatenate([each, np.repeat(each, n)])), np.repeat([False, True], [len(rows), sum(n)])
                     take = lambda x, t: pa.array(x, t).take(where)
                     digests = pa.array([*(r[2] for r in rows), *[None] * sum(n)], pa.binary())
-                    found = pa.array(np.concatenate([np.zeros(len(rows), np.int64), *(r[4] for r in rows)]), mask=~none)
-                    yield pa.RecordBatch.from_arrays([take([r[0] for r in rows], key_type), take([r[1] for r in rows], pa.int32()), digests, take([r[3] for r in rows], pa.int64()), found], [key, "shard", "digest", "text_hash", "anchor"])
+                    found, at = (pa.array(np.concatenate([np.zeros(len(rows), t), *(r[i] for r in rows)]), mask=~none) for i, t in ((4, np.int64), (5, np.int32)))
+                    yield pa.RecordBatch.from_arrays([take([r[0] for r in rows], key_type), take([r[1] for r in rows], pa.int32()), digests, take([r[3] for r in rows], pa.int64()), found, at], [key, "shard", "digest", "text_hash", "anchor", "at"])
 
-    seen = written(docs.select(key, text, shard.alias("shard")).mapInArrow(to_anchors, f"`{key}` {kind}, shard int, digest binary, text_hash long, anchor long"), "anchors")
+    seen = written(docs.select(key, text, shard.alias("shard")).mapInArrow(to_anchors, f"`{key}` {kind}, shard int, digest binary, text_hash long, anchor long, at int"), "anchors")
 
-    # Copies: the rows with a digest, one a document.
+    # Copies: the rows with a digest, one a document. What is joined is written first, so that the join can split a frequent key's rows.
     texts = seen.where(F.col("digest").isNotNull()).select(key, "shard", "digest")
-    firsts = texts.groupBy("digest").agg(F.min(key).alias("first"), F.max(key).alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
-    copies = texts.join(firsts, "digest").where(F.col(key) > F.col("first")).select("shard", F.col(key).cast("string").alias("copy"), F.lit(None).cast("long").alias("anchor"))
-    # Recurring anchors, written so that a frequent one's rows can be split in the join. A shard gets one at most once a document.
+    firsts = written(texts.groupBy("digest").agg(F.min(key).alias("first"), F.max(key).alias("last")).where(F.col("first") < F.col("last")).select("digest", "first"), "firsts")
+    copies = texts.join(firsts, "digest").where(F.col(key) > F.col("first")).select("shard", F.col(key).alias("place"), F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("int").alias("at"))
+    # Recurring anchors, and one place of each in every shard where it stands.
     stood = seen.where(F.col("anchor").isNotNull())
     texts_of = stood.groupBy("anchor").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
     recurring = written(texts_of.where(F.col("low") != F.col("high")).select("anchor"), "recurring")
-    phrases = stood.select("anchor", "shard").join(recurring, "anchor", "left_semi").select("shard", F.lit(None).cast("string").alias("copy"), "anchor")
+    places = stood.select("anchor", "shard", key, "at").join(recurring, "anchor", "left_semi").groupBy("shard", "anchor").agg(F.min(key).alias("place"), F.min_by("at", key).alias("at")).select("shard", "place", "anchor", "at")
 
     found_type = pa.struct([("a", pa.int64()), ("b", pa.int32()), ("at", pa.int32())])
     found_schema = f"`{key}` {kind}, n_words long, n_removed long, kept binary, text binary, found array<struct<a:long,b:int,at:int>>, shard int"
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
-        copied = {x for x in right.column("copy").to_pylist() if x is not None}
-        wanted = np.array([x for x in right.column("anchor").to_pylist() if x is not None], np.int64).view(np.uint64)
-        wanted = np.unique(wanted)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        places, wanted, positions = (right.column(c).to_pylist() for c in ("place", "anchor", "at"))
+        copied = {k for k, x in zip(places, wanted) if x is None}
         table = left.combine_chunks()
         keys, lists = table.column(key).to_pylist(), [(t or b"").split() for t in table.column(text).cast(pa.binary()).to_pylist()]
-        copy = [k is not None and len(w) >= window and str(k) in copied for k, w in zip(keys, lists)]
-        live = [k is not None and len(w) >= window and not c for k, w, c in zip(keys, lists, copy)]
-        h_all = hash_words([w for words, x in zip(lists, live) if x for w in words])
-        lengths = np.array([len(w) if x else 0 for w, x in zip(lists, live)], np.int64)
-        begin = np.cumsum(lengths) - lengths
-        short = (h_all >> np.uint64(32)).tolist()
-        if len(wanted) and len(h_all):
-            phrase = rolling(h_all, PHRASE)
-            phrase, first = np.unique(phrase, return_index=True)
-            at = np.minimum(np.searchsorted(wanted, phrase), len(wanted) - 1)
-            # A phrase over the border of two documents is found in neither.
-            for p in first[wanted[at] == phrase].tolist():
-                automaton.add_word(tuple(short[p : p + PHRASE]), 1)
+        rows_of: dict = {}
+        for i, k in enumerate(keys):
+            rows_of.setdefault(k, []).append(i)
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k, x, at in zip(places, wanted, positions):
+            for i in rows_of.get(k, ()) if x is not None else ():
+                phrase = lists[i][at : at + PHRASE]
+                if len(phrase) == PHRASE:
+                    automaton.add_word(tuple(map(number.__getitem__, phrase)), 1)
         if len(automaton):
             automaton.make_automaton()
-        rows = [(k, w, c, h_all[b : b + n] if x else None, b) for k, w, c, x, b, n in zip(keys, lists, copy, live, begin.tolist(), lengths.tolist())]
+        wanted = np.unique(np.array([x for x in wanted if x is not None], np.int64).view(np.uint64))
+        none = len(number)  # a word of no phrase
         out: list[tuple] = []
-        for k, words, gone, h, b in rows:
+        for k, words in zip(keys, lists):
+            n = len(words)
+            if k is None or n < window:
+                out.append((k, n, 0, b" ".join(words), None, None))
+                continue
+            if k in copied:
+                out.append((k, n, n, b"", None, None))
+                continue
             starts = np.zeros(0, np.int64)
-            if h is not None and len(automaton):
-                ends = np.fromiter((e for e, _ in automaton.iter(tuple(short[b : b + len(words)]))), np.int64)
-                last = len(words) - window
+            ends = np.fromiter((e for e, _ in automaton.iter(tuple([number.get(w, none) for w in words]))), np.int64) if len(automaton) else starts
+            if len(ends):
+                last = n - window
                 mark = np.zeros(last + 2, np.int32)
                 np.add.at(mark, np.clip(ends + 1 - window, 0, last + 1), 1)
                 np.add.at(mark, np.clip(ends - PHRASE + 2, 0, last + 1), -1)
                 starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                if len(starts):  # a window can recur only if its own anchor does
-                    own = sliding_min(rolling(h, PHRASE), window - PHRASE + 1)[starts]
-                    starts = starts[wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own]
-            n = len(words)
-            if gone:
-                out.append((k, n, n, b"", None, None))
-            elif not len(starts):
+            if len(starts):  # a window can recur only if its own anchor does
+                h = hash_words(words)
+                own = sliding_min(rolling(h, PHRASE), window - PHRASE + 1)[starts]
+                starts = starts[wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own]
+            if not len(starts):
                 out.append((k, n, 0, b" ".join(words), None, None))
-            else:
-                a, b = rolling(h, window)[starts].view(np.int64), (rolling(mix(h ^ OTHER), window)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                out.append((k, n, 0, None, b" ".join(words), pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(starts.astype(np.int32))], fields=list(found_type))))
+                continue
+            a, b = rolling(h, window)[starts].view(np.int64), (rolling(mix(h ^ OTHER), window)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            out.append((k, n, 0, None, b" ".join(words), pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(starts.astype(np.int32))], fields=list(found_type))))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[5]) if r[5] is not None else 0 for r in out)]).astype(np.int32)), pa.concat_arrays([r[5] for r in out if r[5] is not None] or [pa.array([], found_type)]))
         kinds = [key_type, pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         shard_of = pa.array(table.column("shard").to_pylist(), pa.int32())
         return pa.Table.from_arrays([*(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), lists, shard_of], [key, "n_words", "n_removed", "kept", "text", "found", "shard"])
 
     dealt = docs.select(key, text, shard.alias("shard")).groupBy("shard")
-    located = bucketed(dealt.cogroup(copies.unionByName(phrases).groupBy("shard")).applyInArrow(locate, found_schema), "located", "shard")
+    located = bucketed(dealt.cogroup(copies.unionByName(places).groupBy("shard")).applyInArrow(locate, found_schema), "located", "shard")
 
     pending = located.where(F.col("text").isNotNull())
     windows = pending.select(key, F.explode("found").alias("w")).select(key, "w.a", "w.b", "w.at")
