@@ -102,6 +102,47 @@ def test_long_lists_lose_no_link(spark):
     assert got == label
 
 
+def test_blocks_of_long_lists_hold_every_pair_of_different_components(spark):
+    draw = random.Random(8)
+    lists = [(t, 1000 * t + i, 9, i, g) for t, n in ((1, 90), (2, 30), (3, 12)) for i in range(n) for g in [draw.choice([7, 7, 7, 7, 20 + i % 9, 500 + i]) if t < 3 else 7]]
+    table = spark.createDataFrame([x[:4] for x in lists], "token long, class long, size int, pos int")
+    so_far = spark.createDataFrame([(x[1], x[4]) for x in lists], "node long, component long")
+    pairs, sizes = set(), {}
+    for r in jaccard.block_members(table, so_far, 8).collect():
+        sizes.setdefault((r.token, r.one, r.two), []).append((r["class"], r.group, r.side))
+    for (token, _, _), members in sizes.items():
+        assert len(members) <= 40
+        pairs |= {(token, *sorted((a[0], b[0]))) for a in members for b in members if a[0] != b[0] and a[1] != b[1] and (a[2] == 0 or a[2] != b[2])}
+    want = {(a[0], *sorted((a[1], b[1]))) for a in lists for b in lists if a[0] == b[0] and a[4] != b[4]}
+    assert pairs == want and not any(t == 3 for t, _, _ in sizes)
+
+
+def test_dealt_lists_lose_no_link(spark, monkeypatch):
+    """Lists that the sketch tells to be long are dealt to several groups."""
+    monkeypatch.setattr(jaccard, "LIST", 10)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(draw.choice([w, w, w, w, w, w, w, w, w, w, w, w, f"x{draw.randrange(30)}"]) for w in base)) for i in range(120)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    label = {i: i for i in sets}
+    for _ in range(12):
+        for i in sets:
+            for j in sets:
+                if label[j] < label[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    label[i] = label[j]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == label
+
+
+def test_rows_that_share_a_key_are_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    rows = [(4, a), (5, a), (5, b), (6, b), (7, "c d e f g h"), (8, None), (8, "")]
+    got = [(r.doc_id, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(4, 4), (5, 4), (5, 4), (6, 4), (7, 7), (8, 8), (8, 8)]
+    assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_block_pairs_skip_nothing_needed():
     draw = np.random.default_rng(5)
     pos, size = np.sort(draw.integers(0, 30, 700)), draw.integers(20, 60, 700)

@@ -3,18 +3,20 @@
 A document's set holds the hashes of its distinct shingles (runs of ``words`` lower-case words). Two sets link when their
 Jaccard similarity is ``percent`` or more. Steps:
 
-1. Equal sets become one class, with its smallest key. A fixed-size sketch counts how many documents hold a shingle of each hash bucket.
+1. Equal sets become one class, with its smallest key. A sketch of bounded size counts how many documents hold a shingle of each hash bucket.
 2. Every class puts its rarest shingles (by the sketch, then by hash), as many as a linked set must share at least one of,
-   into index lists, with set size and position.
+   into index lists, with set size and position. Lists that the sketch tells to be long are dealt to several groups by class.
 3. Index lists are ordered by position in blocks. A block whose position or size bound cannot reach the similarity is skipped whole.
    Short lists give all other pairs. In long lists every set first meets only the list's first set, its most typical one.
 4. Pairs are checked exactly. A set that links to a long list's first set takes over its answers: in the second round, long
-   lists give pairs of sets of different components only; what the first set links to is derived, not searched again.
+   lists give pairs of sets of different components only; what the first set links to is derived, not searched again. There a list is
+   cut into blocks of bounded size, each of one component or of small components together, and each pair of blocks that can hold
+   a pair of different components is a group of its own: no list, however long, comes to one task.
 5. Components by smallest label with pointer jumping, over written tables.
 
 With fewer words than a shingle the whole sequence is the set's one element; without words the set is empty and links with
-nothing. Null text counts as empty. Rows that share a key are one document for components. Shingles and classes are told by 64-bit hashes.
-Only key and text are read.
+nothing. Null text counts as empty. Rows that share a key are one document: what each of them links to is one component. An empty
+table gives an empty one. A very long text is one set, whole. Shingles and classes are told by 64-bit hashes. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -26,10 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import hash_words, keyed, mix, rolling, shuffle_partitions, slices, text_bytes, written
+from trackframe.llm.common import hash_words, keyed, mix, rolling, shuffle_partitions, slices, text_bytes, unused, written
 
-SKETCH_BITS = 20
+#: Buckets of the sketch: 2 ** SKETCH_BITS for small inputs, 2 ** MOST_BITS (64 MB) at most.
+SKETCH_BITS, MOST_BITS = 20, 24
 SKETCH_PARTS = 64
+#: Bytes of text whose index entries make one group of lists.
+BUCKET_BYTES = 12_000_000
+#: Entries of a block of a long list.
+BLOCK = 2048
+#: Entries of a list in one group, as told by the sketch.
+LIST = 50_000
 #: Lists of more sets than this take two rounds.
 SHORT = 8
 
@@ -50,8 +59,8 @@ def class_of(s: np.ndarray) -> int:
     return int(mix(total + np.uint64(len(s))).view(np.int64)[0])
 
 
-def bucket_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def bucket_of(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def needed(n: int, percent: int) -> int:
@@ -59,17 +68,6 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def to_bytes(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, which tell the shingles of two sets apart as well."""
-    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def from_bytes(x: pa.Buffer) -> np.ndarray:
-    out = np.zeros((x.size // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return out.view(">u8")[:, 0].astype(np.uint64)
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -111,21 +109,48 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             return labels
 
 
+def block_members(lists: DataFrame, so_far: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Entries of index lists (token, class, size, pos), with their component as ``group``, in every pair of blocks (one, two) they take part in.
+
+    Lists of one component are left out. A component with more than ``block`` entries in a list has blocks of its own, which are
+    paired with all but each other; the others share blocks, which are paired with all and with themselves (side 0).
+    """
+    grouped = lists.join(so_far.select(F.col("node").alias("class"), F.col("component").alias("group")), "class", "left").withColumn("group", F.coalesce("group", "class")).distinct()
+    grouped = written(grouped.select("token", "class", "size", "pos", "group"), "lists")
+    sizes = grouped.groupBy("token", "group").agg(F.count("*").alias("n"))
+    small = F.col("n") <= block
+    several = sizes.groupBy("token").agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("rest")).where("groups > 1")
+    # By component in a list: its first block's name and how many it has; the shared ones count from 0.
+    shared = F.greatest(F.ceil(F.col("rest") / block), F.lit(1)).cast("long")
+    of = written(sizes.join(several, "token").select("token", "group", F.when(small, F.lit(0)).otherwise(F.col("group")).alias("owner"), F.when(small, F.lit(None)).otherwise(F.ceil(F.col("n") / block)).cast("long").alias("parts"), shared.alias("shared")), "blocks")
+    number = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("group"), F.col("shared"))).otherwise(F.pmod(F.xxhash64("class"), F.col("parts")))
+    name = F.struct(F.col("parts").isNotNull().alias("own"), "owner", number.alias("number"))
+    placed = grouped.join(of, ["token", "group"]).withColumn("block", name).select("token", "class", "size", "pos", "group", "block")
+    every = written(placed.select("token", "block").distinct(), "every")
+    other = every.select("token", F.col("block").alias("two"))
+    apart = (F.col("one.own") == F.col("two.own")) & F.col("one.own") & (F.col("one.owner") == F.col("two.owner"))
+    pairs = every.select("token", F.col("block").alias("one")).join(other, "token").where((F.col("one") <= F.col("two")) & ~apart)
+    each = pairs.select("token", "one", "two", F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.col("one").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("one").alias("block"), F.lit(1).alias("side")), F.struct(F.col("two").alias("block"), F.lit(2).alias("side"))))).alias("m"))
+    return placed.join(each.select("token", "one", "two", "m.block", "m.side"), ["token", "block"]).select("token", F.xxhash64("one").alias("one"), F.xxhash64("two").alias("two"), "class", "size", "pos", "group", "side")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id): components by their smallest key."""
     spark = docs.sparkSession
     docs = keyed(docs, key, text)
     kind = docs.schema[key].dataType.simpleString()
     key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    parts = 2 * shuffle_partitions(spark)
+    total_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(2 * shuffle_partitions(spark), -(-total_bytes // BUCKET_BYTES))
+    bits = min(max(SKETCH_BITS, (total_bytes // 4096).bit_length()), MOST_BITS)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        counts = np.zeros(1 << bits, np.int32)
         names = [key, "n_shingles", "class", "part", "counts"]
         for b in batches:
             sets = [shingles(t, words) for t in text_bytes(b, text)]
             for s in sets:
-                np.add.at(counts, bucket_of(s), 1)
+                np.add.at(counts, bucket_of(s, bits), 1)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         p = SKETCH_PARTS
@@ -135,14 +160,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     meta = surveyed.where(F.col("part").isNull()).select(key, "n_shingles", "class")
 
     def total(part: pa.Table) -> pa.Table:
-        counts = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
+        counts = np.zeros((1 << bits) // SKETCH_PARTS, np.int64)
         for x in part.column("counts").to_pylist():
             counts += np.frombuffer(x, np.int32)
         return pa.table({"part": pa.array([part.column("part")[0].as_py()], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
     rows = surveyed.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInArrow(total, "part int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))  # 4 MB whatever the input
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(1 << bits, np.int64)
+    sketch = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))  # 4 to 64 MB, by ``bits``
+    limit = max(LIST, 8 * int(counts.mean()))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,12 +181,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                     if not len(s) or c in done:
                         continue
                     done.add(c)
-                    order = np.lexsort((s, sketch.value[bucket_of(s)]))[: len(s) - needed(len(s), percent) + 1]
-                    cols.append((s[order], np.full(len(order), c, np.int64), np.full(len(order), len(s), np.int32), np.arange(len(order), dtype=np.int32)))
+                    seen = sketch.value[bucket_of(s, bits)]
+                    order = np.lexsort((s, seen))[: len(s) - needed(len(s), percent) + 1]
+                    cols.append((s[order], np.full(len(order), c, np.int64), np.full(len(order), len(s), np.int32), np.arange(len(order), dtype=np.int32), seen[order] // limit + 1))
                 if not cols:
                     continue
-                token, cls, size, pos = (np.concatenate(x) for x in zip(*cols))
-                part = (mix(token) % np.uint64(parts)).astype(np.int64)
+                token, cls, size, pos, deal = (np.concatenate(x) for x in zip(*cols))
+                salt = mix(cls.view(np.uint64)) % deal.astype(np.uint64)
+                part = (mix(token + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 ids, at = np.unique(part[order], return_index=True)
                 cuts = np.append(at, len(order))
@@ -170,6 +198,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     entries = docs.select(key, text).mapInArrow(index, "bucket long, token binary, class binary, size binary, pos binary")
 
     def search(bucket: pa.Table) -> pa.Table:
+        deal = sketch.value
         get = lambda name, t: np.frombuffer(b"".join(bucket.column(name).to_pylist()), t)
         token, cls, size, pos = get("token", np.uint64), get("class", np.int64), get("size", np.int32).astype(np.int64), get("pos", np.int32).astype(np.int64)
         order = np.lexsort((cls, pos, token))
@@ -179,10 +208,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))[: len(token)]
         length = np.diff(np.append(starts, len(token)))
         pairs, long = [], []
-        for at, n in zip(starts[length > 1].tolist(), length[length > 1].tolist()):
+        some = (length > 1) | (deal[bucket_of(token[starts], bits)] > limit)
+        for at, n in zip(starts[some].tolist(), length[some].tolist()):
             run = slice(at, at + n)
             c = cls[run]
-            if n <= SHORT:
+            if n <= SHORT and deal[int(bucket_of(token[at : at + 1], bits)[0])] <= limit:
                 for i, j in block_pairs(pos[run], size[run], None, percent):
                     pairs.append(np.stack([c[i], c[j]]))
             else:
@@ -211,7 +241,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         for b in batches:
             sets = [shingles(t, words) for t in text_bytes(b, text)]
             own = b.column(0).to_pylist()
-            rows = [(c, to_bytes(s)) for c, s in zip(own, sets) if class_of(s) == c]  # rows that share a key may differ
+            rows = [(c, s.tobytes()) for c, s in zip(own, sets) if class_of(s) == c]  # rows that share a key may differ
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "set"])
 
     texts = docs.join(wanted, docs[key] == wanted["rep"]).select("class", text)
@@ -219,7 +249,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(from_bytes(x.as_buffer()), from_bytes(y.as_buffer()), percent) for x, y in zip(b.column(2), b.column(3))]
+            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def verified(candidates: DataFrame) -> DataFrame:
@@ -230,22 +260,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     first = written(verified(pairs), "links")
     so_far = components(first)
 
-    def across(one_list: pa.Table) -> pa.Table:
-        cls, size, pos, group = (one_list.column(k).to_numpy().astype(np.int64) for k in ("class", "size", "pos", "group"))
+    def across(part: pa.Table) -> pa.Table:
+        cls, size, pos, group, side = (part.column(k).to_numpy().astype(np.int64) for k in ("class", "size", "pos", "group", "side"))
         order = np.lexsort((cls, pos))
-        cls, size, pos, group = cls[order], size[order], pos[order], group[order]
-        out = [np.stack([cls[i], cls[j]]) for i, j in block_pairs(pos, size, group, percent)] if (group != group[0]).any() else []
+        cls, size, pos, group, side = cls[order], size[order], pos[order], group[order], side[order]
+        out = []
+        for i, j in block_pairs(pos, size, group, percent):
+            apart = (side[i] == 0) | (side[i] != side[j])  # side 0: one block of small components with itself
+            out.append(np.stack([cls[i][apart], cls[j][apart]]))
         p = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         p.sort(axis=0)
         return pa.table({"a": pa.array(p[0]), "b": pa.array(p[1])})
 
-    grouped = lists.join(so_far.select(F.col("node").alias("class"), F.col("component").alias("group")), "class", "left").withColumn("group", F.coalesce("group", "class"))
-    more = grouped.select("token", "class", "size", "pos", "group").groupBy("token").applyInArrow(across, "a long, b long").distinct()
-    second = written(verified(more), "links")
+    second = written(verified(block_members(lists, so_far).groupBy("token", "one", "two").applyInArrow(across, "a long, b long").distinct()), "links")
 
     # Links in keys; the class with the smallest key gives the component's name.
     rep = lambda c, name: reps.select(F.col("class").alias(c), F.col("rep").alias(name))
-    links = first.unionByName(second).join(rep("a", "x"), "a").join(rep("b", "y"), "b").select("x", "y")
+    # Rows that share a key tie their classes together.
+    by_key = meta.where((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy(key).agg(F.min("class").alias("a"), F.max("class").alias("last")).where(F.col("a") < F.col("last"))
+    tied = meta.where(F.col("n_shingles") > 0).join(by_key, key).where(F.col("class") > F.col("a")).select("a", F.col("class").alias("b"))
+    links = first.unionByName(second).unionByName(tied).join(rep("a", "x"), "a").join(rep("b", "y"), "b").select("x", "y")
     final = components(links, "x", "y")
     named = reps.join(final, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     return meta.join(named, "class", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
@@ -253,6 +287,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest key. A null key stays."""
+    gone = unused(docs, "gone")
     found = near_duplicates(docs, key, text, words, percent)
-    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone_key")).distinct()
-    return docs.join(gone, docs[key] == F.col("__gone_key"), "left_anti")
+    later = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(gone)).distinct()
+    return docs.join(later, F.col(f"`{key}`") == F.col(gone), "left_anti")
