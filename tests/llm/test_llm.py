@@ -502,9 +502,93 @@ def test_wrappers(spark):
     assert out[3] == out[1] and out[4] == out[5] == ""
 
 
+def prose(draw, n):
+    return " ".join(f"{draw.choice('bcdfgklmnprst')}{draw.choice('aeiou')}{draw.choice('bcdfgklmnprst')}{draw.randrange(99)}" for _ in range(n))
+
+
+def labelled(seed, hosts=12, pages=9):
+    """(page_id, url, html, main text): hosts with layouts of neutral class names, some with misleading ones."""
+    draw, out = random.Random(seed), []
+    for h in range(hosts):
+        wrap = draw.choice(["section", "div", "main", "article"])
+        body, head, foot, side = (f"{x}{draw.choice('abcdefghij')}" for x in ("k", "m", "r", "v"))
+        body = draw.choice([body, "related-work", "post"])
+        same, notice, title_in = prose(draw, 6), prose(draw, 12), draw.random() < 0.5
+        for i in range(pages):
+            title, paragraphs = prose(draw, 5), [prose(draw, draw.randrange(8, 60)) for _ in range(draw.randrange(2, 9))]
+            menu = "".join(f"<li><a href=/{k}>{prose(draw, 1)}</a></li>" for k in range(draw.randrange(3, 8)))
+            extra = f"<div class='{side}'><p>{notice}</p></div>" if draw.random() < 0.7 else ""
+            comments = "<div class=comments>" + "".join(f"<p>{prose(draw, 9)}</p>" for _ in range(draw.randrange(4))) + "</div>"
+            inner = "".join(f"<p>{p}</p>" for p in paragraphs)
+            block = f"<{wrap} class='{body}'><h1>{title}</h1>{inner}{comments}</{wrap}>" if title_in else f"<h1>{title}</h1><{wrap} class='{body}'>{inner}{comments}</{wrap}>"
+            html = f"<html><head><title>{title}</title></head><body><div class='{head}'><b>{same}</b></div><ul class='nav'>{menu}</ul>{extra}<article class=teaser><p>{prose(draw, 4)}</p></article>{block}<div class='{foot}'>{same} {notice}</div></body></html>"
+            out.append((100 * h + i, f"http://h{h}.org/{i}", html, [title, *paragraphs]))
+    return out
+
+
+def test_main_text_of_labelled_pages(spark):
+    cases = labelled(3)
+    got = {r.page_id: r.text.split("\n") for r in wrappers.extract(spark.createDataFrame([c[:3] for c in cases], "page_id long, url string, html string").repartition(5)).collect()}
+    words = lambda blocks: sum(len(x.split()) for x in blocks)
+    hit = sum(words([x for x in got[k] if x in want]) for k, _, _, want in cases)
+    recall, precision = hit / sum(words(c[3]) for c in cases), hit / sum(map(words, got.values()))
+    assert recall >= 0.98 and precision >= 0.95, (recall, precision)
+
+
+def host_text(pages):
+    wrapper = None
+    for html in pages:
+        own = wrappers.as_wrapper(wrappers.parse(html)[0])
+        wrapper = own if wrapper is None else wrappers.align(wrapper, own)
+    wrappers.content(wrapper)
+    return [wrappers.main_text(html, wrapper) for html in pages]
+
+
+def test_constant_slots_are_template():
+    draw = random.Random(1)
+    body = [[prose(draw, 30) for _ in range(3)] for _ in range(8)]
+    pages = ["<div class=c7>Sign in / All rights kept</div><div class=x>" + "".join(f"<p>{p}</p>" for p in ps) + "</div><div class=c8>Same foot</div>" for ps in body]
+    assert host_text(pages) == ["\n".join(ps) for ps in body]
+
+
+def test_names_do_not_hide_the_body():
+    draw = random.Random(2)
+    for name in ("related-work", "has-sidebar", "no-header"):
+        body = [[prose(draw, 30) for _ in range(3)] for _ in range(3)]
+        assert host_text([f"<nav><a href=x>menu</a></nav><div class={name}>" + "".join(f"<p>{p}</p>" for p in ps) + "</div><footer>f</footer>" for ps in body]) == ["\n".join(ps) for ps in body]
+
+
+def test_a_teaser_does_not_win_over_the_body():
+    draw = random.Random(3)
+    body = [[prose(draw, 30) for _ in range(6)] for _ in range(3)]
+    assert host_text([f"<article class=teaser><p>{prose(draw, 5)}</p></article><div class=m>" + "".join(f"<p>{p}</p>" for p in ps) + "</div>" for ps in body]) == ["\n".join(ps) for ps in body]
+
+
+@pytest.mark.parametrize("html", ["<a " * 30_000, '<a "' * 30_000, "<div>" * 30_000 + "x", "<x><li>" * 10_000, "</q>" * 30_000, "<!--" * 30_000, "".join(f"<div class={'ab'[i * 7919 % 101 % 2]}>t{i}</div>" for i in range(5_000))])
+def test_odd_pages_take_no_long_time(html):
+    import time
+
+    began = time.time()
+    wrappers.main_text(html, None)
+    assert time.time() - began < 8
+
+
 def test_wrapper_alignment():
-    a, b = (wrappers.tree(wrappers.blocks(x)[0]) for x in ("<div><h1>t</h1><p>a</p><p>b</p></div>", "<div><p>a</p><ul><li>x</li></ul></div>"))
+    a, b = (wrappers.as_wrapper(wrappers.parse(x)[0]) for x in ("<div><h1>t</h1><p>a</p><p>b</p></div>", "<div><p>a</p><ul><li>x</li></ul></div>"))
     assert wrappers.printed(wrappers.align(a, b)) == "<div>(<h1>#</h1>)?(<p>#</p>)+(<ul><li>#</li></ul>)?</div>"
+    long = wrappers.as_wrapper(wrappers.parse("".join(f"<h{k}>{i}</h{k}>" for i in range(3) for k in range(1, 7)) + "<p>x</p>")[0])
+    assert wrappers.printed(long) == "(" + "".join(f"<h{k}>#</h{k}>" for k in range(1, 7)) + ")+<p>#</p>"
+    for x, y in (("abcde", "axcze"), ("", "ab"), ("abab", "baba")):
+        for limit in (0, 10**9):
+            pairs = list(wrappers.matched(list(x), list(y)))
+            assert [i for i, _ in pairs if i is not None] == list(range(len(x))) and [j for _, j in pairs if j is not None] == list(range(len(y))), limit
+
+
+def test_hosts_are_joined_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "FAN", 2)
+    cases = [(k, "http://one.org/", html, want) for k, _, html, want in labelled(5, 1, 9)]
+    table = spark.createDataFrame([c[:3] for c in cases], "page_id long, url string, html string").repartition(9)
+    assert {r.page_id: r.text.split("\n") for r in wrappers.extract(table).collect()} == {k: want for k, _, _, want in cases}
 
 
 def test_empty_tables(spark, docs):
