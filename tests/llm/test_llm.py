@@ -527,7 +527,7 @@ def labelled(seed, hosts=12, pages=9):
 
 
 def test_main_text_of_labelled_pages(spark):
-    cases = labelled(3)
+    cases = [(10_000 * s + k, url.replace('//', f'//s{s}'), html, want) for s in (3, 4, 5) for k, url, html, want in labelled(s)]
     got = {r.page_id: r.text.split("\n") for r in wrappers.extract(spark.createDataFrame([c[:3] for c in cases], "page_id long, url string, html string").repartition(5)).collect()}
     words = lambda blocks: sum(len(x.split()) for x in blocks)
     hit = sum(words([x for x in got[k] if x in want]) for k, _, _, want in cases)
