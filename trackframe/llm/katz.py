@@ -5,15 +5,15 @@ what makes its probabilities sum to one. A token is evaluated recursively: the d
 history's backoff weight times the word's own probability, which again is a discounted count or a share of the unseen words' mass.
 
 Every pair is counted, whatever its words. The ``vocabulary`` most frequent words have dense tables that go to every
-task and have a fixed bound; it changes where a number is kept, never the number. A rarer word meets its own count and
-its pairs in the bucket of its hash, as a successor and again as a history: there its share of a pair's probability is
-added (a count and the successor's own probability in the successor's bucket, a total and a backoff weight in the history's). Keys of ever
-more words or pairs only add rows. Occurrences are combined in each task before they are shuffled, so a frequent word
-or pair costs a task one entry for each document at most.
+task and have a fixed bound, as has the table of the ``TOP`` most frequent pairs of such words, which tasks score where they read the text;
+both numbers change where a number is kept, never the number. A rarer word meets its own count and its pairs in the bucket of
+its hash, as a successor and again as a history: there its share of a pair's probability is added (a count and the successor's own
+probability in the successor's bucket, a total and a backoff weight in the history's). Keys of ever more words or pairs only add rows.
 
 Words are lower-case (A-Z) runs of characters other than white space; a document ends with one end token, which is also
-the history of its first word. Null text counts as empty: the end token alone. Rows that share a key are scored each.
-With nothing to train on every word is unknown. Words are told by 64-bit hashes. Only key and text are read.
+the history of its first word. Null and empty texts are the end token alone. Rows that share a key, and repeated rows, are scored each. A very
+long text is scored whole, in a slice of its own. With nothing to train on every word is unknown; an empty table gives an empty one. Words are
+told by 64-bit hashes; partial sums of the base score travel as 32-bit numbers, to seven digits. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import hash_words, keyed, mix, shuffle_partitions, slices, text_bytes, written
+from trackframe.llm.common import SLICE_BYTES, hash_words, keyed, mix, shuffle_partitions, slices, text_bytes, written
 
 K = 5
 CLASSES = 1 << 16
@@ -36,6 +36,10 @@ END_WORD = b"\n"
 CHUNKS = 16
 #: Pair entries that one bucket should hold.
 BUCKET = 2_000_000
+#: Most frequent pairs of frequent words, kept in every task (2 MB).
+TOP = 200_000
+#: Documents of a slice at most, so that a place and a mark fit in 16 bits.
+SLICE_DOCS = 32_000
 
 
 def discounts(n: list[int], k: int = K) -> np.ndarray:
@@ -145,20 +149,42 @@ def pair_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def grouped(owner: np.ndarray, other: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, list[pa.Array]]:
-    """Equal (owner, other, document) as one entry with their number, cut by the owner's bucket: owners, their entries' numbers, others, documents, numbers."""
-    order = np.lexsort((doc, other, owner))
-    o, x, d = owner[order], other[order], doc[order]
-    first = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (x[1:] != x[:-1]) | (d[1:] != d[:-1])))
-    n = np.diff(np.append(first, len(o))).astype(np.uint32)
-    o, x, d = o[first], x[first], d[first]
-    own = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-    size = np.diff(np.append(own, len(o))).astype(np.uint32)
-    key_part = pair_bucket(o[own], buckets)
-    part = np.repeat(key_part, size)
-    ids, entries = packed(np.argsort(part, kind="stable"), part, x, d, n)
-    _, keys = packed(np.argsort(key_part, kind="stable"), key_part, o[own], size)
-    return ids, [*keys, *entries]
+def grouped(owner: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Rows by owner, cut by the owner's bucket: owners, the number of rows of each (an owner with more than 255 stands again), and the columns."""
+    order = np.argsort(owner, kind="stable")
+    o = owner[order]
+    first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
+    size = np.diff(np.append(first, len(o)))
+    again = (size - 1) // 255 + 1
+    keys, sizes = np.repeat(o[first], again), np.full(int(again.sum()), 255, np.uint8)
+    sizes[np.cumsum(again) - 1] = size - 255 * (again - 1)
+    key_part = pair_bucket(keys, buckets)
+    part = np.repeat(key_part, sizes)
+    ids, out = packed(np.argsort(key_part, kind="stable"), key_part, keys, sizes)
+    return ids, out + packed(np.argsort(part, kind="stable"), part, *(c[order] for c in columns))[1]
+
+
+def counted(owner: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs with their numbers in 16 bits; a pair with more stands again."""
+    order = np.lexsort((other, owner))
+    o, x = owner[order], other[order]
+    first = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (x[1:] != x[:-1])))
+    n = np.diff(np.append(first, len(o)))
+    again = (n - 1) // 65_535 + 1
+    most = np.full(int(again.sum()), 65_535, np.uint16)
+    most[np.cumsum(again) - 1] = n - 65_535 * (again - 1)
+    return np.repeat(o[first], again), np.repeat(x[first], again), most
+
+
+def pieces(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
+    for i, j in slices(texts, limit):
+        yield from ((k, min(k + SLICE_DOCS, j)) for k in range(i, j, SLICE_DOCS))
+
+
+#: Types of partial sums: score, pairs seen, words known, base score.
+SUMS = (np.float64, np.uint32, np.uint32, np.float32)
+#: Kinds of rows by what the other word of a pair is: a frequent one's class, or a hash.
+OTHERS = {2: np.uint16, 4: np.uint64, 3: np.uint16, 5: np.uint64}
 
 
 def joined(values: list[bytes], kind: type) -> np.ndarray:
@@ -217,19 +243,25 @@ def count_rare(training: DataFrame, words: Words, buckets: int, text: str = "tex
             for i, j in slices(texts, 12_000_000):
                 history, word = pair_ids(shared.value, *tokens(texts[i:j]))
                 tail = word >= CLASSES
-                for kind, some, owner, other in ((2, tail, word, history), (3, ~tail & (history >= CLASSES), history, word)):
+                after = history >= CLASSES
+                for kind, some, owner, other in ((2, tail & ~after, word, history), (4, tail & after, word, history), (3, ~tail & after, history, word)):
                     if some.any():
-                        ids, (k, size, x, _, n) = grouped(owner[some], other[some], np.zeros(int(some.sum()), np.uint8), buckets)
+                        o, x, n = counted(owner[some], other[some])
+                        ids, (k, size, x, n) = grouped(o, buckets, x.astype(OTHERS[kind]), n)
                         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([kind] * len(ids), pa.int32()), k, size, x, n], ["bucket", "kind", "keys", "sizes", "others", "counts"])
 
     def merge(bucket: pa.Table) -> pa.Table:
         model, cells, last, lower = shared.value, [], 0, (np.zeros(0, np.uint64), np.zeros(0))
-        for kind in (2, 3):
-            rows = bucket.filter(pa.compute.equal(bucket.column("kind"), kind))
-            if not rows.num_rows:
+        for kind, kinds in ((2, (2, 4)), (3, (3,))):
+            entries = []
+            for k in kinds:
+                rows = bucket.filter(pa.compute.equal(bucket.column("kind"), k))
+                keys, sizes, others, n = (joined(rows.column(c).to_pylist(), x) for c, x in (("keys", np.uint64), ("sizes", np.uint8), ("others", OTHERS[k]), ("counts", np.uint16)))
+                entries.append((np.repeat(keys, sizes), others.astype(np.uint64), n))
+            owner, other, n = (np.concatenate([e[i] for e in entries]) for i in range(3))
+            if not len(owner):
                 continue
-            keys, sizes, others, n = (joined(rows.column(c).to_pylist(), t) for c, t in (("keys", np.uint64), ("sizes", np.uint32), ("others", np.uint64), ("counts", np.uint32)))
-            t = Tally(np.repeat(keys, sizes), others, n)
+            t = Tally(owner, other, n)
             history = np.minimum(t.others, OTHER).astype(np.int64) if kind == 2 else np.full(len(t.others), OTHER)  # rare ones in one row: only their counts' counts are needed
             cells.append((history * (K + 1) + np.minimum(t.count, K + 1) - 1, t.count))
             last += int((t.count == K + 1).sum())
@@ -315,6 +347,37 @@ def count_pairs(training: DataFrame, words: Words, buckets: int, text: str = "te
     return Pairs(words, sums[:, : K + 1], int(sums[:, K + 2].sum()), sums[:, K + 1]), table
 
 
+def top_pairs(table: DataFrame, most: int = TOP) -> tuple[np.ndarray, np.ndarray]:
+    """Of a table of pairs, those with the highest counts: all above the least count (in steps of a twentieth of a doubling) that leaves at most ``most``."""
+    step = lambda n: np.floor(np.log2(n) * 20).astype(np.int64)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(64 * 20, np.int64)
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                total += np.bincount(step(np.frombuffer(n, np.int64)), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["step", "n"])
+
+    limit, held = None, 0
+    for row in table.select("counts").mapInArrow(spread, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect():
+        held += row["n"]
+        if held > most:
+            break
+        limit = row["step"]
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                k, n = np.frombuffer(keys, np.uint32), np.frombuffer(n, np.int64)
+                some = step(n) >= limit
+                yield pa.RecordBatch.from_arrays([pa.array([k[some].tobytes()], pa.binary()), pa.array([n[some].tobytes()], pa.binary())], ["keys", "counts"])
+
+    rows = [] if limit is None else table.select("keys", "counts").mapInArrow(above, "keys binary, counts binary").collect()
+    keys, n = joined([r["keys"] for r in rows], np.uint32), joined([r["counts"] for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", vocabulary: int = 50_000) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_pairs_seen) of every document; the model learns from those not held out."""
     spark = docs.sparkSession
@@ -326,17 +389,17 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     buckets = max(2 * shuffle_partitions(spark), -(-words.total // BUCKET))
     rare = count_rare(training, words, buckets, text)
     pairs, table = count_pairs(training, words, buckets, text, rare)
-    shared = spark.sparkContext.broadcast((words, pairs))  # fixed size: 65 536 classes
-    row = "slice string, bucket long, kind int, keys binary, sizes binary, others binary, at binary, counts binary"
-    names = ["slice", "bucket", "kind", "keys", "sizes", "others", "at", "counts"]
+    shared = spark.sparkContext.broadcast((words, pairs, *top_pairs(table)))  # fixed size: 65 536 classes, 200 000 pairs
+    row = "slice string, bucket long, kind int, keys binary, sizes binary, others binary, at binary"
+    names = ["slice", "bucket", "kind", "keys", "sizes", "others", "at"]
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: documents of a slice with what is known of them. By document, kind 1: pairs of frequent words; kind 2: other words, each with its histories; kind 3: other histories, each with its successors."""
-        model, _ = shared.value
+        """Kind 0: documents of a slice with what is known of them. By document, kind 1: pairs of frequent words; kinds 2 and 4: other words, each with its histories; kinds 3 and 5: other histories, each with its successors."""
+        model, pair_model, top, top_counts = shared.value
         task, number = TaskContext.get().partitionId(), 0
         for b in batches:
             texts, ids, held = text_bytes(b, text), b.column(0), b.column(2).to_numpy(zero_copy_only=False)
-            for i, j in slices(texts):
+            for i, j in pieces(texts, SLICE_BYTES):
                 h, lengths = tokens(texts[i:j])
                 doc = np.repeat(np.arange(j - i), lengths)
                 history, word = pair_ids(model, h, lengths)
@@ -346,47 +409,51 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                 known = np.bincount(doc[~tail], model.counts[c[~tail]] > 0, j - i)
                 name = f"{task}-{number}"
                 number += 1
-                plain = pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(held[i:j]), pa.array(lengths), pa.array(base), pa.array(known.astype(np.int64))], ["key", "held_out", "n", "base", "known"])
+                both = ~tail & ~after
+                keys = (history << np.uint64(16) | word).astype(np.uint32)
+                at = np.minimum(np.searchsorted(top, keys), max(len(top) - 1, 0))
+                often = both & (top[at] == keys) if len(top) else np.zeros(len(keys), bool)
+                value = pair_model.log10(model, history[often].astype(np.int64), word[often].astype(np.int64), top_counts[at[often]])
+                sums = np.bincount(doc[often], value, j - i).astype(float), np.bincount(doc[often], minlength=j - i)
+                both &= ~often
+                plain = pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(held[i:j]), pa.array(lengths), pa.array(base), pa.array(known.astype(np.int64)), *map(pa.array, sums)], ["key", "held_out", "n", "base", "known", "score", "pairs"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, plain.schema) as w:
                     w.write_batch(plain)
                 none = pa.nulls(1, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number % buckets], pa.int64()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), none, none, none, none], names)
-                train = np.where(held[i:j], 0, 1).astype(np.uint32)
-                mark = (doc.astype(np.uint32) << np.uint32(1)) | train[doc]
-                both = ~tail & ~after
-                for what, some, owner, other in ((1, both, history << np.uint64(16) | word, None), (2, tail, word, history), (3, after, history, word)):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number % buckets], pa.int64()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), none, none, none], names)
+                mark = (doc << 1 | np.where(held[i:j], 0, 1)[doc]).astype(np.uint16)
+                for what, some, owner, other in ((1, both, keys, None), (2, tail & ~after, word, history), (4, tail & after, word, history), (3, after & ~tail, history, word), (5, after & tail, history, word)):
                     if not some.any():
                         continue
-                    owner, at = owner[some], mark[some]
-                    ids_of, (k, s, x, a, cnt) = grouped(owner, np.zeros(len(owner), np.uint8) if other is None else other[some], at, buckets)
+                    ids_of, (k, s, *x, a) = grouped(owner[some], buckets, *([] if other is None else [other[some].astype(OTHERS[what])]), mark[some])
                     m = len(ids_of)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array(ids_of), pa.array([what] * m, pa.int32()), k, s, pa.nulls(m, pa.binary()) if other is None else x, a, cnt], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array(ids_of), pa.array([what] * m, pa.int32()), k, s, x[0] if x else pa.nulls(m, pa.binary()), a], names)
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         """By slice and document, the sums of a bucket's occurrences; kind 0 passes through."""
-        model, pair_model = shared.value
+        model, pair_model, _, _ = shared.value
         of = [right.filter(pa.compute.equal(right.column("kind"), kind)) for kind in (1, 3)]
         (known_keys, known_counts), (low_keys, low_sums) = ([joined(t.column(c).to_pylist(), x) for c, x in zip(("keys", "counts"), kinds)] for t, kinds in zip(of, ((np.uint32, np.int64), (np.uint64, np.float64))))
         out: list[tuple] = []
         rest: dict[int, list[tuple]] = {2: [], 3: []}
-        for name, what, k, s, x, a, n in zip(*(left.column(c).to_pylist() for c in ("slice", "kind", "keys", "sizes", "others", "at", "counts"))):
+        for name, what, k, s, x, a in zip(*(left.column(c).to_pylist() for c in ("slice", "kind", "keys", "sizes", "others", "at"))):
             if what == 0:
                 out.append((name, k, None, None, None, None, None))
                 continue
-            keys, size, at, n = np.frombuffer(k, np.uint64), np.frombuffer(s, np.uint32), np.frombuffer(a, np.uint32), np.frombuffer(n, np.uint32)
+            keys, size, at = np.frombuffer(k, np.uint32 if what == 1 else np.uint64), np.frombuffer(s, np.uint8), np.frombuffer(a, np.uint16)
             if what != 1:
-                rest[what].append((name, np.repeat(keys, size), np.frombuffer(x, np.uint64), at, n))
+                rest[2 + what % 2].append((name, np.repeat(keys, size), np.frombuffer(x, OTHERS[what]).astype(np.uint64), at))
                 continue
             place = np.minimum(np.searchsorted(known_keys, keys), max(len(known_keys) - 1, 0))
             count = np.where(known_keys[place] == keys, known_counts[place], 0) if len(known_keys) else np.zeros(len(keys), np.int64)
             value = pair_model.log10(model, (keys >> np.uint64(16)).astype(np.int64), (keys & np.uint64(CLASSES - 1)).astype(np.int64), count)
-            out.append((name, None, *sums_of(at >> np.uint32(1), np.repeat(value, size) * n, np.repeat(count > 0, size) * n)))
+            out.append((name, None, *sums_of(at >> 1, np.repeat(value, size), np.repeat(count > 0, size))))
         for what, entries in rest.items():
             if not entries:
                 continue
-            owner, other, at, n = (np.concatenate([e[i] for e in entries]) for i in range(1, 5))
-            t = Tally(owner, other, n * (at & 1))
+            owner, other, at = (np.concatenate([e[i] for e in entries]) for i in range(1, 4))
+            t = Tally(owner, other, at & 1)
             c, seen = t.count, t.count > 0
             kept = pair_model.d[np.minimum(c, K + 1)] * c
             dense = t.others < CLASSES
@@ -408,16 +475,17 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             value = np.log10(np.maximum(value, 1e-300))[t.pair]
             found = (seen & (dense if what == 3 else True))[t.pair]
             begin = 0
-            for name, _, _, a, m in entries:
+            for name, _, _, a in entries:
                 e = slice(begin, begin + len(a))
                 begin += len(a)
-                out.append((name, None, *sums_of(a >> np.uint32(1), value[e] * m, found[e] * m, *(() if base is None else (known[e] * m, base[e] * m)))))
+                out.append((name, None, *sums_of(a >> 1, value[e], found[e], *(() if base is None else (known[e], base[e])))))
         kinds = [pa.string(), *[pa.binary()] * 6]
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["slice", "docs", "at", "score", "pairs", "known", "base"])
 
     def sums_of(doc: np.ndarray, value: np.ndarray, pairs: np.ndarray, known: np.ndarray | None = None, base: np.ndarray | None = None) -> tuple:
         ids, inverse = np.unique(doc, return_inverse=True)
-        return ids.astype(np.uint32).tobytes(), *(None if x is None else np.bincount(inverse, x, len(ids)).tobytes() for x in (value, pairs, known, base))
+        sums = ((v, t) for v, t in zip((value, pairs, known, base), SUMS))
+        return ids.astype(np.uint16).tobytes(), *(None if v is None else np.bincount(inverse, v, len(ids)).astype(t).tobytes() for v, t in sums)
 
     def gather(part: pa.Table) -> pa.Table:
         plain, sums = None, []
@@ -425,9 +493,9 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             if docs_of is not None:
                 plain = pa.ipc.open_stream(docs_of).read_all().combine_chunks()
             else:
-                sums.append((np.frombuffer(at, np.uint32), *(None if v is None else np.frombuffer(v) for v in values)))
+                sums.append((np.frombuffer(at, np.uint16), *(None if v is None else np.frombuffer(v, t) for v, t in zip(values, SUMS))))
         base, known = plain.column("base").to_numpy().copy(), plain.column("known").to_numpy().copy()
-        value, pairs_seen = np.zeros(len(base)), np.zeros(len(base))
+        value, pairs_seen = plain.column("score").to_numpy().copy(), plain.column("pairs").to_numpy().astype(np.int64)
         for at, s, q, k, b in sorted(sums, key=lambda x: (x[4] is None, x[0].tobytes(), x[1].tobytes(), x[2].tobytes())):  # in a fixed order, for equal sums
             value[at] += s
             pairs_seen[at] += q
