@@ -477,17 +477,48 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", range(4, 21))
+@pytest.mark.parametrize("n", range(1, 21))
 def test_seeds_hit_every_pattern_of_substitutions(n):
+    """Every placing of the allowed substitutions has the least number of hits on its diagonal, whether the item is as long or longer."""
     import itertools
 
     item = common.hash_words([f"q{i}".encode() for i in range(n)])
-    other = common.hash_words([f"z{i}".encode() for i in range(n)])
-    changed = [c for m in range(n // 5 + 1) for c in itertools.combinations(range(n), m)]
-    docs = [np.concatenate([other[:3], np.where(np.isin(np.arange(n), c), other, item), other[:2]]) for c in changed]
-    hits = decontaminate.Seeds([(7, item)]).hits(np.concatenate(docs), np.arange(len(docs)) * (n + 5))
-    assert [c for d, c in enumerate(changed) if (0, 3) not in hits.get(d, ())] == []
-    assert all(decontaminate.overlap(d, item, 3, 13, 0.8) for d in docs)
+    seeds, places = decontaminate.seeds_of(item)
+    least = max((h for m, h in decontaminate.LEAST_HITS.items() if m == min(n, 13)), default=1)
+    for c in (c for m in range(n // 5 + 1) for c in itertools.combinations(range(n), m)):
+        changed = np.where(np.isin(np.arange(n), c), item ^ np.uint64(1), item)
+        doc = np.concatenate([item[:1] ^ np.uint64(5), changed])
+        hits = sum(int(((x := decontaminate.masked(doc, m))[p + 1 : p + 2] == s).any()) for m in decontaminate.masks_of(n) for s, p in zip(seeds.tolist(), places.tolist()) if len(doc) >= len(m))
+        assert hits >= least, c
+        assert decontaminate.overlap(doc, item, 1, 13, 0.8)
+
+
+def test_decontamination_matches_brute_force(spark):
+    """Against every diagonal of every pair, over texts with random substitutions, repeated and null rows."""
+    draw = random.Random(21)
+    word = lambda: f"w{draw.randrange(60)}"
+    items = [[word() for _ in range(draw.choice([1, 2, 3, 4, 5, 6, 8, 10, 12, 13, 15, 20, 40]))] for _ in range(25)]
+    rows = []
+    for i in range(150):
+        text = [f"z{draw.randrange(999)}" for _ in range(draw.randrange(30))]
+        for _ in range(draw.randrange(3)):
+            part = list(draw.choice(items))
+            lo = draw.randrange(max(1, len(part) - 12))
+            part = [draw.choice([w, w, w, w, w, w, "X"]) for w in part[lo:]]
+            at = draw.randrange(len(text) + 1)
+            text[at:at] = part
+        rows.append((i, " ".join(text)))
+    rows += [rows[3], rows[3], (200, None), (201, ""), (202, "y " * 20_000 + " ".join(items[-1]))]
+    want = []
+    for i, t in rows:
+        h = decontaminate.word_hashes((t or "").encode())
+        for k, words in enumerate(items):
+            o = decontaminate.word_hashes(" ".join(words).encode())
+            best = max((decontaminate.overlap(h, o, d, 13, 0.8) for d in range(-len(o), len(h))), default=0)
+            want += [(i, k, best)] if best and words not in items[:k] else []
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.n_agree) for r in decontaminate.contaminated(odd(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 60
 
 
 PAGE = '<html><head><title>t</title><script>if (a < b) "</p>"</script></head><body><nav><a>menu</a></nav><div class="ad">buy</div><article><h1>A &amp; B</h1><p>one <b>two</b><br>three<p>four</p><div class="comments"><p>me</p></div></article><footer>f</footer></body></html>'

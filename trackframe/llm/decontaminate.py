@@ -1,17 +1,22 @@
 """Benchmark decontamination by spaced seeds.
 
 A fixed mask keeps some of the words in a span and ignores the others, so a hash over the kept words survives
-substitutions at the ignored places. Masked hashes of the benchmark's words meet those of every document's words;
-around each hit the words are compared along its diagonal, and an overlap of at least ``least`` words of which ``share``
-agree is reported. Words are compared in lower case without punctuation at their ends.
+substitutions at the ignored places. Four steps:
+
+1. Every item's masked hashes become a table of seeds. A bit table of bounded size (16 MB at most) tells which hashes can be among them.
+2. One scan hashes all documents and keeps, of those with a hash that passes the bit table, their words' hashes and the hits.
+3. Hits and seeds are joined on the hash. A document, an item and a diagonal (where the item would start) that share
+   at least as many hits as any allowed overlap has are a candidate.
+4. Around the hits the words are compared along the diagonal, and an overlap of at least ``least`` words of which ``share``
+   agree is reported. Words are compared in lower case without punctuation at their ends.
 
 The masks miss none, for a share of 0.8 or more: of L words at most L // 5 differ, so the equal ones lie in at most L // 5 + 1
-runs, and from 6 words on one run has four words or two runs of at least two are parted by a single word. Items of five words have two masks more.
+runs, and from 6 words on one run has four words or two runs of at least two are parted by a single word. Items of five words have
+two masks more; shorter ones must stand in the text word by word.
 
-The benchmark is a query set: it is taken in blocks of at most ``BLOCK_ITEMS`` items, each broadcast against all documents, so any
-number of items fits. Items of fewer than ``least`` words must agree as a whole to the same share; items of fewer than
-four words must stand in the text word by word. Null or empty texts and items match nothing. Repeated documents are each reported;
-repeated items are reported by the smallest id. Only keys and texts are read.
+Items of fewer than ``least`` words must agree as a whole to the same share. Null or empty texts and items match nothing, and empty
+tables give an empty one. Repeated documents are each reported; repeated items are reported by the smallest id. Very long texts are
+hashed whole. Only keys and texts are read.
 """
 
 from __future__ import annotations
@@ -21,16 +26,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import REMEMBERED, keyed, mix, slices, text_bytes
+from trackframe.llm.common import REMEMBERED, keyed, mix, slices, text_bytes, unused, written
 
 #: 1 keeps a word, 0 ignores it.
 MASKS = ("1111", "11011")
-#: For items of exactly five words, beside the others.
-FIVE = ("10111", "11101")
-BLOCK_ITEMS = 5_000
+#: By words of an item: the masks of shorter ones.
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: (*MASKS, "10111", "11101")}
+#: The least number of hits on a diagonal for an item's words to be allowed an overlap, 1 where none is given; the last for all longer items.
+LEAST_HITS = {8: 2, 9: 3, 11: 2, 12: 3, 13: 3}
+#: The bit table has 2 to the power of this many bits at most.
+MOST_BITS = 27
 #: Characters stripped from the ends of words.
 EDGES = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
@@ -66,37 +75,32 @@ def masked(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-class Seeds:
-    """Sorted hashes of some items with where they come from, and a bit table that most other hashes miss."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = items
-        self.masks = MASKS + FIVE * any(len(h) == 5 for _, h in items)
-        rows = [(masked(h, m), k) for m in self.masks for k, (_, h) in enumerate(items) if m in MASKS or len(h) == 5]
-        # Each mask hashes differently, so one table serves all.
-        keys = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64)
-        owner = np.concatenate([np.full(len(r[0]), r[1]) for r in rows]) if rows else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(r[0])) for r in rows]) if rows else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.place = keys[order], owner[order].astype(np.int32), place[order].astype(np.int32)
-        self.bits = max(16, int(len(keys) * 16).bit_length())
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.short = {h.tobytes(): i for i, h in reversed(items) if 0 < len(h) < min(map(len, MASKS))}
-
-    def hits(self, h: np.ndarray, begin: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-        """By document, (item, diagonal) pairs; the documents lie end to end and start at ``begin``. The diagonal is where the item would start."""
-        out: dict[int, set[tuple[int, int]]] = {}
+def masks_of(words: int) -> tuple[str, ...]:
+    return SHORT.get(words, MASKS)
+
+
+def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An item's masked hashes, and where each starts. Each mask hashes differently, so one table serves all."""
+    rows = [masked(h, m) for m in masks_of(len(h))] if len(h) else [h]
+    return np.concatenate(rows), np.concatenate([np.arange(len(r)) for r in rows]).astype(np.int32)
+
+
+class Passing:
+    """A bit table of masked hashes, and the masks in use."""
+
+    def __init__(self, bits: int, table: np.ndarray, masks: list[str]):
+        self.bits, self.table, self.masks = bits, table, masks
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of ``h`` that pass, and where they start."""
+        found, places = [h[:0]], [np.zeros(0, np.int64)]
         for mask in self.masks:
             x = masked(h, mask)
-            at = np.flatnonzero(self.table[(x >> np.uint64(64 - self.bits)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.keys, x[at], "left"), np.searchsorted(self.keys, x[at], "right")
-            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-            doc = np.searchsorted(begin, at, "right") - 1
-            inside = doc == np.searchsorted(begin, at + len(mask) - 1, "right") - 1
-            for d, p, a, b in zip(doc[inside].tolist(), (at - begin[doc])[inside].tolist(), lo[inside].tolist(), hi[inside].tolist()):
-                out.setdefault(d, set()).update((int(self.owner[k]), p - int(self.place[k])) for k in range(a, b))
-        return out
+            slot = x >> np.uint64(64 - self.bits)
+            at = np.flatnonzero(self.table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            found.append(x[at])
+            places.append(at)
+        return np.concatenate(found), np.concatenate(places)
 
 
 def overlap(h: np.ndarray, item: np.ndarray, diagonal: int, least: int, share: float) -> int:
@@ -121,43 +125,79 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """(key, item, n_agree, item_words): overlaps of documents with benchmark items, the best for each pair."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item}` {item_kind}, n_agree long, item_words long"
-    items = keyed(benchmark, item, item_text).where(F.length(F.trim(item_text)) > 0).groupBy(item_text).agg(F.min(item).alias(item))
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-
-    def against(block: int) -> DataFrame:
-        # At most about BLOCK_ITEMS items: the block is dealt by hash.
-        rows = items.where(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == block).select(item, item_text).collect()
-        shared = spark.sparkContext.broadcast(Seeds([(r[0], word_hashes(r[1].encode())) for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = shared.value
-            for b in batches:
-                keys, texts, out = b.column(0).to_pylist(), text_bytes(b, text), []
-                for i, j in slices(texts):
-                    each = [word_hashes(t) for t in texts[i:j]]
-                    begin = np.cumsum([0, *(len(h) for h in each)])[:-1]
-                    hits = seeds.hits(np.concatenate(each), begin)
-                    for d in sorted(hits):
-                        best: dict[int, int] = {}
-                        for k, diagonal in hits[d]:
-                            best[k] = max(best.get(k, 0), overlap(each[d], seeds.items[k][1], diagonal, least, share))
-                        out += [(keys[i + d], seeds.items[k][0], n, len(seeds.items[k][1])) for k, n in best.items() if n]
-                    for d, h in enumerate(each) if seeds.short else ():
-                        raw = h.tobytes()
-                        found = {(k, len(s) // 8) for s, k in seeds.short.items() if s in raw and any(raw[p : p + len(s)] == s for p in range(0, len(raw), 8))}
-                        out += [(keys[i + d], k, n, n) for k, n in found]
-                yield pa.RecordBatch.from_pydict({key: pa.array([r[0] for r in out], b.schema.field(0).type), item: pa.array([r[1] for r in out], pa.int64() if item_kind == "bigint" else None), "n_agree": pa.array([r[2] for r in out], pa.int64()), "item_words": pa.array([r[3] for r in out], pa.int64())})
-
-        return keyed(docs, key, text).mapInArrow(run, schema)
-
-    out = against(0)
-    for block in range(1, blocks):
-        out = out.unionByName(against(block))
-    return out
+
+    def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [word_hashes(t) for t in text_bytes(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in each], pa.int32()), pa.array([h.tobytes() for h in each], pa.binary())], ["item", "n", "item_words"])
+
+    distinct = benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")).where(F.length(F.trim("text")) > 0).groupBy("text").agg(F.min("item").alias("item")).select("item", "text")
+    items = written(distinct.mapInArrow(to_words, f"item {item_kind}, n int, item_words binary"), "items")
+
+    def to_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [seeds_of(np.frombuffer(w, np.uint64)) for w in b.column(2).to_pylist()]
+            if each:
+                times = np.repeat(np.arange(len(each)), [len(x) for x, _ in each])
+                seeds, places = np.concatenate([x for x, _ in each]), np.concatenate([p for _, p in each])
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), b.column(0).take(pa.array(times)), b.column(1).take(pa.array(times)), pa.array(places, pa.int32())], ["seed", "item", "n", "place"])
+
+    seeds = written(items.mapInArrow(to_seeds, f"seed long, item {item_kind}, n int, place int"), "seeds")
+    bits = min(max(16, (seeds.count() * 16).bit_length()), MOST_BITS)
+
+    def to_bits(part: pa.Table) -> pa.Table:
+        table = np.zeros(1 << bits - 8, bool)
+        table[(part.column("seed").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) & (1 << bits - 8) - 1] = True
+        return pa.table([pa.array([part.column("part")[0].as_py()], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    parts = seeds.select("seed", F.shiftrightunsigned("seed", 56).cast("int").alias("part")).groupBy("part").applyInArrow(to_bits, "part int, bits binary").collect()  # 256 parts of a table of bounded size
+    table = np.zeros((256, 1 << bits - 11), np.uint8)
+    for r in parts:
+        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    lengths = [r[0] for r in items.select(F.least("n", F.lit(6))).distinct().collect()]
+    shared = spark.sparkContext.broadcast(Passing(bits, table.reshape(-1), sorted({m for n in lengths for m in masks_of(n)})))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passing, task, number = shared.value, TaskContext.get().partitionId(), 0
+        for b in batches:
+            texts = text_bytes(b, text)
+            for i, j in slices(texts):
+                rows: list[tuple] = []
+                each = [word_hashes(t) for t in texts[i:j]]
+                begin = np.cumsum([0, *(len(h) for h in each)])
+                found, at = passing.hits(np.concatenate(each))
+                doc = np.searchsorted(begin, at, "right") - 1
+                order = np.argsort(doc, kind="stable")
+                docs_of, first = np.unique(doc[order], return_index=True)
+                for d, some in zip(docs_of.tolist(), np.split(order, first[1:])):
+                    rows.append((number, i + d, each[d].tobytes(), found[some].view(np.int64), (at[some] - begin[d]).astype(np.int32)))  # one over the border of two documents finds no agreement
+                    number += 1
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[k]) for r in rows)]).astype(np.int32)), pa.array(np.concatenate([r[k] for r in rows] or [np.zeros(0, t)]))) for k, t in ((3, np.int64), (4, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{r[0]}" for r in rows], pa.string()), b.column(0).take(pa.array([r[1] for r in rows], pa.int64())), pa.array([r[2] for r in rows], pa.binary()), *lists], ["row", key, "words", "seeds", "places"])
+
+    found = written(keyed(docs, key, text).mapInArrow(scan, f"row string, `{key}` {kind}, words binary, seeds array<long>, places array<int>"), "hits")
+    hits = found.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("row", F.col("h.seeds").alias("seed"), F.col("h.places").alias("position"))
+    enough = F.lit(1)
+    for n, h in LEAST_HITS.items():
+        enough = F.when(F.col("n") >= n if n == max(LEAST_HITS) else F.col("n") == n, h).otherwise(enough)
+    diagonals = hits.join(seeds, "seed").groupBy("row", "item", "n", (F.col("position") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("hits")).where(F.col("hits") >= enough)
+    candidates = diagonals.groupBy("row", "item").agg(F.collect_list("diagonal").alias("diagonals"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = []
+            for words, of, diagonals in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                h, other = np.frombuffer(words, np.uint64), np.frombuffer(of, np.uint64)
+                best.append(max(overlap(h, other, d, least, share) for d in diagonals))
+            n = pa.array([len(x) // 8 for x in b.column(3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.int64()), n], [key, item, "n_agree", "item_words"]).filter(pa.array([x > 0 for x in best], pa.bool_()))
+
+    both = candidates.join(items.select("item", "item_words"), "item").join(found.select("row", F.col(f"`{key}`").alias("key"), "words"), "row")
+    return both.select("key", "item", "words", "item_words", "diagonals").mapInArrow(verify, f"`{key}` {kind}, `{item}` {item_kind}, n_agree long, item_words long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item; a null key is never dropped."""
-    found = contaminated(docs, benchmark, key, **options).select(F.col(key).alias("__found_key")).distinct()
-    return docs.join(found, docs[key] == F.col("__found_key"), "left_anti")
+    gone = unused(docs, "gone")
+    found = contaminated(docs, benchmark, key, **options).select(F.col(key).alias(gone)).distinct()
+    return docs.join(found, F.col(f"`{key}`") == F.col(gone), "left_anti")
