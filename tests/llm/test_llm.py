@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -297,13 +298,31 @@ def test_pii_model_sees_texts_without_digits_and_long_spans(spark):
     assert any(b - a > 600 for words in pii.islands(long) for row in pii.lattice(long, words) for _, a, b, _ in row)
 
 
+def test_pii_islands_close_with_a_word_and_know_no_characters():
+    text = "aa bb 11 " + "x" * 200 + " " + "y" * 90 + ' 22 cc dd ee ff gg hh token="short" end'
+    words = [[text[a:b] for a, b, _ in w] for w in pii.islands(text)]
+    assert words == [["bb", "11", "x" * 200, "y" * 90, "22", "cc"], ["hh", 'token="short"', "end"]]
+    assert [len(w) for w in pii.islands("1")] == [1] and list(pii.islands("")) == [] and list(pii.islands("a b")) == []
+    assert any(text[a:b] == "short" for w in pii.islands(text) for row in pii.lattice(text, w) for _, a, b, _ in row)
+    long = "7 " + "w " * 100_000 + "8 " + "v" * 1_000_000 + " 9"
+    assert [len(w) for w in pii.islands(long)] == [2, 4]
+
+
+def test_pii_repeated_rows_and_clashing_names(spark):
+    rows = [(1, PII), (1, PII), (2, None), (3, "")]
+    docs = odd(spark.createDataFrame(rows, "doc_id long, text string")).withColumns({"spans": F.lit(1), "n_email": F.lit(1), "n_spans": F.lit(1)})
+    out = sorted((r.doc_id, r.n_email, r.spans, r.n_spans) for r in pii.find_personal_data(docs).collect())
+    assert len(out) == 4 and out[0] == out[1] and out[0][1] == 1 and out[0][3] == len(out[0][2].split(",")) and out[2:] == [(2, 0, "", 0), (3, 0, "", 0)]
+
+
 def test_pii_segmentation_is_the_best_of_all():
     """The dynamic program against every segmentation of a short island."""
     model = pii.teach([f"call +1 (068) 555-27{i:02d} or token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\"" for i in range(20)])
-    text = "11 22 at 33@x 44 55"
+    text = "so 11 22 at 33@x 44 55 and"
     for words in pii.islands(text):
         segments = pii.lattice(text, words)
 
+        @functools.cache
         def best(j, y):
             if j == 0:
                 return 0.0 if y == 0 else -np.inf

@@ -3,13 +3,15 @@
 Patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers. The model adds spans that the
 patterns leave out: credentials (``secret``) and long identifying numbers (``number``). It scores whole candidate spans
 of at most ``MAX_WORDS`` words by features of the span, and a dynamic program over spans picks boundaries and types
-together. Only words with a digit, an at sign or a quote can start or end a span; all others carry no type, so the
-program falls apart into islands of words near such words, and leaving out the rest changes nothing. Pattern spans stay
-as they are: model spans that touch one are dropped.
-
-The model learns from a bounded sample of documents (``sample`` rows by key hash) whose spans come from patterns
-and from key = value assignments. Null text counts as empty. Positions are code points, ends exclusive. Repeated rows
-give repeated results; an empty table gives an empty result; columns other than key and text are not carried.
+together. Only words with a digit, an at sign, a quote or an equals sign can start or end a span; all others carry no type, so the
+program falls apart into islands of words around such words. An island takes in the word before and the word after it, so that the
+moves from and to untyped words count, and what lies between islands is the same in every segmentation. Pattern spans stay
+as they are: model spans that touch one are dropped. Spans are bounded in words alone, whatever the characters in them.
+
+The model learns from a bounded sample of documents (``sample`` rows by key hash, at most ``max_chars`` characters each, islands of at
+most 60 words) whose spans come from patterns and from key = value assignments; prediction takes every text and island whole. Null and
+empty texts have no spans; very long texts are searched whole. Positions are code points, ends exclusive. Repeated rows give
+repeated results; an empty table gives an empty result; columns other than key and text are not carried.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ASSIGNED = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\s*[=:]\s*["']?([A-Za-z0-9+/_\-]{12,})["']?""")
-EVIDENCE = re.compile(r"""[^ \t-\r]*[0-9@"'=][^ \t-\r]*""")
+EVIDENCE = re.compile(r"""[0-9@"'=]""")
+REST = re.compile(r"[^ \t-\r]*")
 WORDS = re.compile(r"[^ \t-\r]+")
 
 
@@ -83,26 +86,49 @@ TYPES = ("O", *KINDS, *ADDED)
 LEFT, RIGHT = "\"'([{<#$%&*!|", "\"')]}>#$%&*!|.,;:?"
 
 
+SPACE = frozenset(" \t\n\v\f\r")
+
+
+def words_before(text: str, end: int, start: int, most: int) -> list[tuple[int, int, bool]]:
+    """The last words, ``most`` at most, between two positions, without evidence and in order."""
+    out: list[tuple[int, int, bool]] = []
+    while len(out) < most:
+        while end > start and text[end - 1] in SPACE:
+            end -= 1
+        if end <= start:
+            break
+        at = end
+        while at > start and text[at - 1] not in SPACE:
+            at -= 1
+        out.append((at, end, False))
+        end = at
+    return out[::-1]
+
+
 def islands(text: str) -> Iterator[list[tuple[int, int, bool]]]:
-    """Runs of words (start, end, evidence): words with evidence at most ``MAX_WORDS`` - 1 words apart, and one before."""
+    """Runs of words (start, end, evidence): words with evidence at most ``MAX_WORDS`` - 1 words apart, one word before and one after."""
     words: list[tuple[int, int, bool]] = []
-    last = -1
-    for m in EVIDENCE.finditer(text):
-        between = [(last + w.start(), last + w.end(), False) for w in WORDS.finditer(text[last : m.start()])] if words and m.start() - last < 60 else None
-        if between is None or len(between) >= MAX_WORDS - 1:
-            if words:
-                yield words
-            words = []
-            before = re.search(r"([^ \t-\r]+)[ \t-\r]+$", text[max(0, m.start() - 40) : m.start()])
-            if before:
-                at = max(0, m.start() - 40) + before.start(1)
-                words.append((at, at + len(before[1]), False))
-        else:
+    last = 0
+    while m := EVIDENCE.search(text, last):
+        start, end = m.start(), REST.match(text, m.start()).end()
+        while start > last and text[start - 1] not in SPACE:
+            start -= 1
+        between = words_before(text, start, last, MAX_WORDS)
+        if words and len(between) < MAX_WORDS:
             words += between
-        words.append((*m.span(), True))
-        last = m.end()
+        else:
+            if words:
+                yield closed(text, words)
+            words = between[-1:]
+        words.append((start, end, True))
+        last = end
     if words:
-        yield words
+        yield closed(text, words)
+
+
+def closed(text: str, words: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
+    after = WORDS.search(text, words[-1][1])
+    return words + [(*after.span(), False)] if after else words
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -158,7 +184,7 @@ def lattice(text: str, words: list[tuple[int, int, bool]]) -> list[list[tuple[in
             if not words[i][2]:
                 continue
             a, b = trimmed(text, words[i][0], end)
-            if b - a < 6 or a >= words[i][1]:
+            if b <= a or a >= words[i][1]:
                 continue
             before = text[words[i - 1][0] : words[i - 1][1]] if i else ""
             cue = text[max(0, a - 12) : a] if "=" in text[max(0, a - 4) : a] else before
@@ -299,7 +325,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
 
 
 def find_personal_data(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): the counts are those of the patterns' spans."""
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans): the counts by kind are those of the patterns' spans, ``n_spans`` counts all."""
     model = model or fit(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,16 +333,16 @@ def find_personal_data(docs: DataFrame, model: Model | None = None, key: str = "
             rows = []
             for t in b.column(1).to_pylist():
                 if not t or not re.search("[0-9@\"'=]", t):
-                    rows.append((0, 0, 0, 0, EMPTY, "", 0))
+                    rows.append((0, 0, 0, 0, EMPTY, "", 0, 0))
                     continue
                 base = base_spans(t)
                 more = added_spans(model, t, base)
                 counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more), len(more)))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x), k) for x, k in zip(zip(*rows) if rows else [()] * 7, kinds))], NAMES)
+                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more), len(more), len(base) + len(more)))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x), k) for x, k in zip(zip(*rows) if rows else [()] * 8, kinds))], NAMES)
 
     EMPTY = hashlib.sha256(b"").hexdigest()
-    NAMES = [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+    NAMES = [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"]
     kind = docs.schema[key].dataType.simpleString()
-    return keyed(docs, key, text).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return keyed(docs, key, text).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
