@@ -36,7 +36,7 @@ SKETCH_PARTS = 64
 #: Bytes of text whose index entries make one group of lists.
 BUCKET_BYTES = 12_000_000
 #: Entries of a block of a long list.
-BLOCK = 2048
+BLOCK = 512
 #: Entries of a list in one group, as told by the sketch.
 LIST = 50_000
 #: Lists of more sets than this take two rounds.
@@ -115,8 +115,11 @@ def block_members(lists: DataFrame, so_far: DataFrame, block: int = BLOCK) -> Da
     Lists of one component are left out. A component with more than ``block`` entries in a list has blocks of its own, which are
     paired with all but each other; the others share blocks, which are paired with all and with themselves (side 0).
     """
-    grouped = lists.join(so_far.select(F.col("node").alias("class"), F.col("component").alias("group")), "class", "left").withColumn("group", F.coalesce("group", "class")).distinct()
+    grouped = lists.join(so_far.select(F.col("node").alias("class"), F.col("component").alias("group")), "class", "left").withColumn("group", F.coalesce("group", "class"))
     grouped = written(grouped.select("token", "class", "size", "pos", "group"), "lists")
+    # Most lists are of one component by now: only the others go on.
+    tokens = written(grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") < F.col("high")).select("token"), "tokens")
+    grouped = written(grouped.join(tokens, "token"), "open")
     sizes = grouped.groupBy("token", "group").agg(F.count("*").alias("n"))
     small = F.col("n") <= block
     several = sizes.groupBy("token").agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("rest")).where("groups > 1")
