@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the documents it keeps. ``run`` writes
 each stage's result to the shared folder and reads it again for the next.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, empty tables and further columns, whatever their
+names: null and empty texts, which have no language, go in the first stage; rows that share a key stand or fall together in the
+others; a null key is never dropped as a copy or as contaminated; of ties the smallest key stays; empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -17,13 +21,13 @@ LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose words agree on a language."""
+    """Keep documents whose words agree on a language; null texts and texts without a letter have none."""
     model = langid.fit(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(True))))
     return langid.kept(docs, model, LEAST_SHARE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines of three-line windows that stand earlier in the corpus; n_chars follows the text."""
+    """Remove lines of three-line windows that stand earlier in the corpus; n_chars follows the text (null for a null text). No document goes."""
     out = linededup.drop_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
@@ -34,12 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that overlap a benchmark item."""
+    """Drop documents that overlap a benchmark item; null and empty ones overlap none. An empty benchmark drops nothing."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; null and empty texts give none. A null source is a source."""
     return mixing.mix_sources(docs)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from trackframe.operators import metrics
+from trackframe.operators import metrics, tracking
 from trackframe.operators.scratch import shared_path
 from trackframe.plans.fixtures import view
 from trackframe.sources import readers, writers
+from trackframe.streaming import online
 
 #: Documents that the videos of a table are dealt to.
 DOCUMENTS = 16
@@ -102,6 +104,63 @@ def provenance(s, d):
     return writers.run_summary(s.read.parquet(path).withColumn("chamber", F.col("chamber").cast("string")), ["run", "wave"])
 
 
+def range_files(s, d):
+    text = lambda c: F.date_format(F.timestamp_micros((F.lit(1_700_000_000) + F.col(c)).cast("long") * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss")
+    videos = view(s, d, "ranges").groupBy("video").agg(F.sort_array(F.collect_list(F.struct(text("range_start").alias("start"), text("range_end").alias("end")))).alias("ranges"))
+    path = written(s, "ranges", documents(videos, "video", F.col("ranges")))
+    return readers.valid_ranges(s, path, "UTC").select("video", (F.col("range_start") - 1_700_000_000).alias("range_start"), (F.col("range_end") - 1_700_000_000).alias("range_end"))
+
+
+def changed_rows(s, d):
+    """One row's field changed in a table."""
+    return writers.update_rows(view(s, d, "clips").select("clip_id", "chamber", "wave"), "clip_id", 4, wave="moved")
+
+
+def appended_manifest(s, d):
+    path, clips = shared_path(s, "clips"), view(s, d, "clips").select("clip_id", "chamber")
+    for rows in (clips.where("clip_id % 2 = 0"), clips.where("clip_id % 2 = 1"), clips.where("clip_id < 0")):
+        writers.append_manifest(rows, path)
+    return s.read.parquet(path).groupBy("chamber").agg(F.count("*").alias("n"))
+
+
+def guarded(s, d):
+    """A second write to the same place is refused and leaves the first as it is."""
+    path, clips = shared_path(s, "guarded"), view(s, d, "clips").select("clip_id", "chamber")
+    writers.write_guarded(clips, path)
+    refused = False
+    try:
+        writers.write_guarded(clips.where("clip_id < 0"), path)
+    except AnalysisException:
+        refused = True
+    return s.read.parquet(path).groupBy("chamber").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
+
+
+def batched_scores(s, d):
+    """A detector that sees frames in batches: here the box of a frame is told by its number."""
+    frames = view(s, d, "frames").select(F.col("clip").cast("long").alias("clip"), F.col("frame").cast("long").alias("frame"))
+    return tracking.score_frames(frames, lambda pdf: pdf.assign(x=pdf["frame"] * 2.0, conf=(pdf["frame"] % 10) / 10), "clip long, frame long, x double, conf double")
+
+
+def detections_stream(s, d, label: str):
+    path = shared_path(s, label)
+    view(s, d, "pred").select(*(F.col(c).cast("long").alias(c) for c in ("clip", "frame", "id")), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "conf"))).write.parquet(path)
+    return online.live_frames(s, path, files_per_trigger=1_000_000)
+
+
+def newest_frames(s, d):
+    """Live detections whose whole backlog comes in one trigger: the newest frame of each clip is left."""
+    target = shared_path(s, "newest")
+    online.collect_newest(detections_stream(s, d, "live"), target, shared_path(s, "newest-state"))
+    return s.read.schema(online.DETECTIONS).parquet(target).select("clip", "frame", "id", "conf")
+
+
+def streamed_tracks(s, d):
+    """Gated tracks of a stream, which agree with those of the batch."""
+    target = shared_path(s, "tracks")
+    online.collect_new(online.track_stream(detections_stream(s, d, "live"), "gated", n=9), target, shared_path(s, "tracks-state"))
+    return s.read.parquet(target).select("clip", "frame", "id", *(F.round(c, 4).alias(c) for c in "xywh"))
+
+
 QUERIES = {
     "s1_mot_files": (mot_files, "SELECT CAST(clip AS STRING) AS clip, count(*) AS n, sum(frame) AS frames, sum(x) AS x, sum(w) AS w FROM {pred} p GROUP BY clip"),
     "s3_detection_files": (detection_files, "SELECT CAST(clip AS STRING) AS clip, count(*) AS n, CAST(min(frame) AS INT) AS first, sum(x + w) AS x2, round(sum(conf), 4) AS conf FROM {pred} p GROUP BY clip"),
@@ -114,4 +173,11 @@ QUERIES = {
     "s16_metadata_files": (metadata_files, "SELECT 'exp' || CAST(c_custkey AS STRING) AS experiment_name, CAST(nation AS BIGINT) AS n_clips, CAST(NULL AS STRING) AS notes FROM {customers} c"),
     "s17_score_files": (score_files, None),
     "m8_provenance": (provenance, "SELECT 'r1' AS run, 'w' AS wave, count(*) AS n_rows FROM {clips} c"),
+    "s8_range_files": (range_files, "SELECT video, range_start, range_end FROM {ranges} r"),
+    "m3_changed_rows": (changed_rows, "SELECT clip_id, chamber, CASE WHEN clip_id = 4 THEN 'moved' ELSE wave END AS wave FROM {clips} c"),
+    "s10_appended_manifest": (appended_manifest, "SELECT chamber, count(*) AS n FROM {clips} c GROUP BY chamber"),
+    "m4_guarded": (guarded, "SELECT chamber, count(*) AS n, true AS refused FROM {clips} c GROUP BY chamber"),
+    "d1_batched_scores": (batched_scores, "SELECT CAST(clip AS BIGINT) AS clip, CAST(frame AS BIGINT) AS frame, frame * 2.0::DOUBLE AS x, (frame % 10) / 10 AS conf FROM {frames} f"),
+    "x1_newest_frames": (newest_frames, "SELECT clip, frame, id, conf FROM (SELECT *, max(frame) OVER (PARTITION BY clip) AS top FROM {pred} p) z WHERE frame = top"),
+    "x3_streamed_tracks": (streamed_tracks, None),
 }
