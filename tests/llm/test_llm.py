@@ -399,6 +399,16 @@ def test_mixing(spark, docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_deals_rows_without_a_key(spark):
+    """Null keys are dealt to shards by their text, and the quota is kept."""
+    rows = [(None, " ".join(f"w{i}" for _ in range(1 + i % 9)), "a" if i % 2 else None) for i in range(400)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=8, shard_docs=20).collect()
+    assert len(out) == 400 and all(0 <= r.taken <= 3 * r.size for r in out)
+    for source in ("a", None):
+        some = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in some) - some[0].target) <= 0.1 * some[0].target
+
+
 def test_language_id(spark, docs):
     rows = [r for r in corpus() if r[1] and len(r[1]) > 20]
     model = langid.fit(docs)
@@ -653,6 +663,24 @@ def test_empty_tables(spark, docs):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pipeline_stages_take_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "q w e r t y u i o p a s d f"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(None, "der und schön über Straße", None, None, None), (1, None, "de", "s", 3), (2, "", "de", None, 0), (3, long, "de", "s", 5), (3, long, "de", "s", 5), (4, long, None, "t", 5), (5, "1 2 3", "de", "s", 5)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit(1) for n in ("gone", "covered", "lines", "key", "size", "class", "shard", "doc", "lang_pred", "score")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path)).collect()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name == "language_id":
+            assert {r.doc_id for r in out} <= {None, 3, 4}
+        elif name == "near_duplicates":
+            assert sorted(str(r.doc_id) for r in out) == ["1", "2", "3", "3", "5", "None"]
+        else:
+            assert len(out) == len(rows), name
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -5,8 +5,10 @@ shared again by weight. Whole blocks of ``block`` words go to sources, and withi
 quotients. A shard's documents stand in seeded order as one stream of words cut into blocks; full passes come first,
 the rest are blocks picked by a seeded step.
 
-Null text has no words. A null source is a source of its own, ordered last. Rows that share a key are separate
-documents with one place in the seeded order. Empty input gives an empty result. Only key, text and source are read.
+Null and empty texts have no words; a very long one spans as many blocks as it fills. A null source is a source of its own, ordered
+last. Rows that share a key (a null one too) are separate documents, dealt to shards and ordered by key and text; repeated rows stand
+beside each other. Equal quotients go to the earlier source or shard. Empty input gives an empty result. One task sees a row a source,
+and a row a shard of one source. Only key, text and source are read.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def word_count(text: Column) -> Column:
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", block: int = 64, shard_docs: int = 2000, seed: int = 17, max_epochs: int = 3) -> DataFrame:
     """(key, source, size, source_size, target, taken): how many words of each document the mix takes, repeats counted."""
-    sized = written(keyed(docs, key, "source", "text").select(key, "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = written(keyed(docs, key, "source", "text").select(key, "source", word_count(F.col("text")).alias("size"), F.xxhash64(key, "text").alias("mark")), "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), max_epochs=max_epochs)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
 
@@ -72,7 +74,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", block: int = 64, shard_doc
 
     names = ["source", "source_size", "docs", "target"]
     granted = written(sources.select(*names).groupBy().applyInPandas(to_sources, "source string, source_size long, docs long, target double, seats long"), "sources")
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.ceil(F.col("docs") / shard_docs))
+    place = F.pmod(F.xxhash64(F.lit(seed), "mark"), F.ceil(F.col("docs") / shard_docs))
     dealt = sized.join(granted.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("shard", place)
     shards = dealt.groupBy("source", "shard", "seats").agg(F.sum("size").alias("shard_size"))
 
@@ -82,7 +84,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", block: int = 64, shard_doc
         return shards_of_one[["source", "shard", "shard_size", "quota"]]
 
     quotas = shards.groupBy("source").applyInPandas(to_shards, "source string, shard long, shard_size long, quota long")
-    in_order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), F.col(key), "size")
+    in_order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "mark"), F.col(key), "size")
     spans = dealt.withColumn("end", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
     q = quotas.select(F.col("source").alias("of"), F.col("shard").alias("at"), "shard_size", "quota")
     spans = spans.join(q, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("at")), "left").drop("of", "at")
