@@ -19,6 +19,7 @@ told by 64-bit hashes; partial sums of the base score travel as 32-bit numbers,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -421,7 +422,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                 with pa.ipc.new_stream(sink, plain.schema) as w:
                     w.write_batch(plain)
                 none = pa.nulls(1, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number % buckets], pa.int64()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), none, none, none], names)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([crc32(name.encode()) % buckets], pa.int64()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), none, none, none], names)
                 mark = (doc << 1 | np.where(held[i:j], 0, 1)[doc]).astype(np.uint16)
                 for what, some, owner, other in ((1, both, keys, None), (2, tail & ~after, word, history), (4, tail & after, word, history), (3, after & ~tail, history, word), (5, after & tail, history, word)):
                     if not some.any():
