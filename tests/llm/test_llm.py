@@ -663,6 +663,69 @@ def test_empty_tables(spark, docs):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def without_repeated_lines(rows):
+    """(key, text) rows without lines of three-line windows that stand earlier, by key and position."""
+    first, out = {}, []
+    lines = sorted((k, (t or "").split("\n")) for k, t in rows)
+    for k, ls in lines:
+        for p in range(len(ls) - 2):
+            first.setdefault(tuple(ls[p : p + 3]), (k, p))
+    for k, ls in lines:
+        gone = {q for p in range(len(ls) - 2) if first[tuple(ls[p : p + 3])] != (k, p) for q in (p, p + 1, p + 2)}
+        out.append((k, "\n".join(x for p, x in enumerate(ls) if p not in gone)))
+    return out
+
+
+def smallest_of_groups(rows):
+    """Keys that are the smallest of what links reach."""
+    sets, label = {k: shingle_set(t) for k, t in rows}, {k: k for k, _ in rows}
+    moved = True
+    while moved:
+        moved = False
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if label[j] < label[i] and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    label[i], moved = label[j], True
+    return {k for k, top in label.items() if k == top}
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Every stage on what the one before has left, against loops over all rows."""
+    import corpus_pipeline
+
+    draw = random.Random(4)
+    line = lambda: " ".join(f"w{draw.randrange(300)}" for _ in range(7))
+    shared = [line() for _ in range(6)]
+    rows = []
+    for i in range(80):
+        ls = [line() for _ in range(draw.randrange(2, 9))]
+        if i % 7 == 0:
+            ls[1:1] = shared[: draw.choice([2, 3, 5])]
+        if i % 5 == 1:
+            ls = rows[draw.randrange(len(rows))][1].split("\n")
+            ls[0] = " ".join(draw.choice([w] * 20 + ["x"]) for w in ls[0].split(" "))
+        rows.append((i, "\n".join(ls), "en", f"s{i % 3}", 1))
+    items = [(1, rows[8][1].split("\n")[0] + " " + rows[8][1].split("\n")[1]), (2, "k l m n o p q r s t u v w x y")]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = sorted((r.doc_id, r.text) for r in docs.collect())
+        docs = common.written(stage(spark, docs, str(tmp_path)), name)
+        seen[name] = before, sorted(docs.collect(), key=lambda r: r.doc_id)
+    texts = {name: [(r.doc_id, r.text) for r in after] for name, (_, after) in seen.items() if name != "source_mixing"}
+    assert texts["language_id"] == seen["language_id"][0]  # one language, nothing to reject
+    assert texts["line_dedup"] == without_repeated_lines(seen["line_dedup"][0]) != seen["line_dedup"][0]
+    kept = smallest_of_groups(seen["near_duplicates"][0])
+    assert texts["near_duplicates"] == [x for x in seen["near_duplicates"][0] if x[0] in kept] and len(kept) < 80
+    hashed = [decontaminate.word_hashes(t.encode()) for _, t in items]
+    hit = {k for k, t in seen["benchmark_decontamination"][0] for o in hashed for d in range(-len(o), len(t.split())) if decontaminate.overlap(decontaminate.word_hashes(t.encode()), o, d, 13, 0.8)}
+    assert texts["benchmark_decontamination"] == [x for x in seen["benchmark_decontamination"][0] if x[0] not in hit] and hit
+    mixed = seen["source_mixing"][1]
+    assert [(r.doc_id, r.size) for r in mixed] == [(k, len(t.split())) for k, t in seen["source_mixing"][0]]
+    assert sorted((r.doc_id, r.taken) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [(r.doc_id, r.taken) for r in mixed]
+
+
 def test_pipeline_stages_take_odd_tables(spark, tmp_path):
     import corpus_pipeline
 
