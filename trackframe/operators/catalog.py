@@ -66,12 +66,17 @@ def far_enough(candidates: DataFrame, taken: DataFrame, gap: float) -> DataFrame
     return candidates.join(too_close(candidates.select(*keys), taken, gap), keys, "left_anti")
 
 
-def in_valid_range(candidates: DataFrame, ranges: DataFrame, anchored: DataFrame) -> DataFrame:
-    """Candidates inside one range of their video. Without ranges: no. With ranges but no anchors: yes."""
-    r = ranges.select(F.col("video").alias("_v"), "range_start", "range_end")
-    inside = (F.col("start_sec") >= F.col("range_start")) & (F.col("end_sec") <= F.col("range_end"))
+def in_valid_range(candidates: DataFrame, ranges: DataFrame, anchored: DataFrame, width: float = 600.0) -> DataFrame:
+    """Candidates inside one range of their video. Without ranges: no. With ranges but no anchors: yes.
+
+    Ranges are dealt to time slots, so that a candidate meets only those of the slot where it starts.
+    """
+    slots = F.explode(F.sequence(F.floor(F.col("range_start") / width), F.floor(F.col("range_end") / width)))
+    r = ranges.select(F.col("video").alias("_v"), F.col("range_start").alias("_a"), F.col("range_end").alias("_b"), slots.alias("_slot"))
+    here = (F.col("video") == F.col("_v")) & (F.floor(F.col("start_sec") / width) == F.col("_slot"))
+    inside = (F.col("start_sec") >= F.col("_a")) & (F.col("end_sec") <= F.col("_b"))
     loose = ranges.select("video").distinct().join(anchored.select("video").distinct(), "video", "left_anti")
-    fit = candidates.join(r, (F.col("video") == F.col("_v")) & inside, "left_semi").join(loose, "video", "left_anti")
+    fit = candidates.join(r, here & inside, "left_semi").join(loose, "video", "left_anti")
     return fit.unionByName(candidates.join(loose, "video", "left_semi"))
 
 

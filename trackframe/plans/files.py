@@ -135,6 +135,28 @@ def guarded(s, d):
     return s.read.parquet(path).groupBy("chamber").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
 
 
+def rebuilt_index(s, d):
+    """The index of all metadata records; broken ones and those without a name are left out."""
+    path, index = shared_path(s, "metadata"), shared_path(s, "index")
+    rows = view(s, d, "customers").select(F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("exp"), (F.col("c_custkey") % 500).cast("string"))).alias("experiment_name"), (F.col("c_custkey") % 40).alias("n_clips"))
+    writers.write_metadata(rows, path)
+    writers.rebuild_index(readers.metadata(s, path, "experiment_name string, n_clips long", False), index, "experiment_name")
+    return s.read.parquet(index).select("experiment_name", "n_clips")
+
+
+def written_dataset(s, d):
+    """A dataset's manifest in a folder a split, and its counts as written."""
+    rows = view(s, d, "frames").withColumn("split", F.when(F.col("frame") % 5 == 0, "val").otherwise("train"))
+    return writers.write_dataset(rows, shared_path(s, "dataset"))
+
+
+def listed_files(s, d):
+    """Files below a folder by extension and a word in the name."""
+    path = shared_path(s, "clips")
+    view(s, d, "frames").write.partitionBy("clip").parquet(path)
+    return readers.listing(s, path, ["parquet"], "PART").select(F.regexp_extract("path", "/clip=([^/]+)/", 1).alias("clip")).distinct()
+
+
 def batched_scores(s, d):
     """A detector that sees frames in batches: here the box of a frame is told by its number."""
     frames = view(s, d, "frames").select(F.col("clip").cast("long").alias("clip"), F.col("frame").cast("long").alias("frame"))
@@ -177,6 +199,9 @@ QUERIES = {
     "m3_changed_rows": (changed_rows, "SELECT clip_id, chamber, CASE WHEN clip_id = 4 THEN 'moved' ELSE wave END AS wave FROM {clips} c"),
     "s10_appended_manifest": (appended_manifest, "SELECT chamber, count(*) AS n FROM {clips} c GROUP BY chamber"),
     "m4_guarded": (guarded, "SELECT chamber, count(*) AS n, true AS refused FROM {clips} c GROUP BY chamber"),
+    "m2_rebuilt_index": (rebuilt_index, "SELECT experiment_name, CAST(max(n_clips) AS BIGINT) AS n_clips FROM (SELECT 'exp' || CAST(c_custkey % 500 AS STRING) AS experiment_name, c_custkey % 40 AS n_clips FROM {customers} c WHERE c_custkey % 7 <> 0) z GROUP BY experiment_name"),
+    "m5_written_dataset": (written_dataset, "SELECT CASE WHEN frame % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM {frames} f GROUP BY 1"),
+    "s14_listed_files": (listed_files, "SELECT DISTINCT CAST(clip AS STRING) AS clip FROM {frames} f"),
     "d1_batched_scores": (batched_scores, "SELECT CAST(clip AS BIGINT) AS clip, CAST(frame AS BIGINT) AS frame, frame * 2.0::DOUBLE AS x, (frame % 10) / 10 AS conf FROM {frames} f"),
     "x1_newest_frames": (newest_frames, "SELECT clip, frame, id, conf FROM (SELECT *, max(frame) OVER (PARTITION BY clip) AS top FROM {pred} p) z WHERE frame = top"),
     "x3_streamed_tracks": (streamed_tracks, None),
