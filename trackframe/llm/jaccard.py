@@ -4,11 +4,11 @@ A document's set holds the hashes of its distinct shingles (runs of ``words`` lo
 Jaccard similarity is ``percent`` or more. Steps:
 
 1. Equal sets become one class, with its smallest key. A sketch of bounded size counts how many documents hold a shingle of each hash bucket.
-2. Every class puts its rarest shingles (by the sketch, then by hash), as many as a linked set must share at least one of,
+2. Every class puts its rarest shingles (by the sketch, then by hash), as many as a linked set must share at least two of,
    into index lists, with set size and position. Lists that the sketch tells to be long are dealt to several groups by class.
 3. Index lists are ordered by position in blocks. A block whose position or size bound cannot reach the similarity is skipped whole.
    Short lists give all other pairs. In long lists every set first meets only the list's first set, its most typical one.
-4. Pairs are checked exactly. A set that links to a long list's first set takes over its answers: in the second round, long
+4. Pairs that the first round gives twice are checked exactly; of a linked pair that it gives once at most, a shared shingle is in a long list. A set that links to a long list's first set takes over its answers: in the second round, long
    lists give pairs of sets of different components only; what the first set links to is derived, not searched again. There a list is
    cut into blocks of bounded size, each of one component or of small components together, and each pair of blocks that can hold
    a pair of different components is a group of its own: no list, however long, comes to one task.
@@ -73,9 +73,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def least_overlap(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that linked sets of these sizes share at least."""
+    return -(-(x + y) * percent // (100 + percent))
+
+
 def block_pairs(pos: np.ndarray, size: np.ndarray, group: np.ndarray | None, percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of a list ordered by position that can reach the similarity; blocks that cannot are skipped."""
-    least = lambda x, y: -(-(x + y) * percent // (100 + percent))
+    """Pairs (i < j) of a list ordered by position that can reach the similarity if they share at most one shingle before; blocks that cannot are skipped."""
+    least = lambda x, y: least_overlap(x, y, percent) - 1
     for i in range(0, len(pos), block):
         p, n, g = pos[i : i + block], size[i : i + block], None if group is None else group[i : i + block]
         for j in range(i, len(pos), block):
@@ -185,7 +190,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                         continue
                     done.add(c)
                     seen = sketch.value[bucket_of(s, bits)]
-                    order = np.lexsort((s, seen))[: len(s) - needed(len(s), percent) + 1]
+                    order = np.lexsort((s, seen))[: len(s) - needed(len(s), percent) + 2]
                     cols.append((s[order], np.full(len(order), c, np.int64), np.full(len(order), len(s), np.int32), np.arange(len(order), dtype=np.int32), seen[order] // limit + 1))
                 if not cols:
                     continue
@@ -220,20 +225,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                     pairs.append(np.stack([c[i], c[j]]))
             else:
                 first, rest = np.zeros(n - 1, np.int64), np.arange(1, n)
-                can = np.minimum(size[at] - pos[at], (size[run] - pos[run])[1:]) >= -(-(size[at] + size[run][1:]) * percent // (100 + percent))
+                can = np.minimum(size[at] - pos[at], (size[run] - pos[run])[1:]) >= least_overlap(size[at], size[run][1:], percent) - 1
                 pairs.append(np.stack([c[first[can]], c[rest[can]]]))
                 long.append((int(token[at].astype(np.int64)), c, size[run], pos[run]))
         p = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
         p.sort(axis=0)
-        p = np.unique(p, axis=1)
+        p, times = np.unique(p, axis=1, return_counts=True)
         n, m = p.shape[1], sum(len(x[1]) for x in long)
         wide = lambda k, t: np.concatenate([x[k] for x in long]).astype(t) if long else np.zeros(0, t)
         tokens = np.repeat(np.array([x[0] for x in long], np.int64), [len(x[1]) for x in long]) if long else np.zeros(0, np.int64)
         cat = lambda x, y: pa.concat_arrays([x, y])
-        return pa.table({"a": cat(pa.array(p[0]), pa.array(wide(1, np.int64))), "b": cat(pa.array(p[1]), pa.nulls(m, pa.int64())), "token": cat(pa.nulls(n, pa.int64()), pa.array(tokens)), "size": cat(pa.nulls(n, pa.int32()), pa.array(wide(2, np.int32))), "pos": cat(pa.nulls(n, pa.int32()), pa.array(wide(3, np.int32)))})
+        return pa.table({"a": cat(pa.array(p[0]), pa.array(wide(1, np.int64))), "b": cat(pa.array(p[1]), pa.nulls(m, pa.int64())), "token": cat(pa.nulls(n, pa.int64()), pa.array(tokens)), "size": cat(pa.array(times.astype(np.int32)), pa.array(wide(2, np.int32))), "pos": cat(pa.nulls(n, pa.int32()), pa.array(wide(3, np.int32)))})
 
     searched = written(entries.groupBy("bucket").applyInArrow(search, "a long, b long, token long, size int, pos int"), "searched")
-    pairs = searched.where(F.col("token").isNull()).select("a", "b").distinct()
+    # Of a pair, ``size`` is how often a bucket gives it.
+    pairs = written(searched.where(F.col("token").isNull()).groupBy("a", "b").agg(F.sum("size").alias("times")).where("times > 1").select("a", "b"), "pairs")
     lists = searched.where(F.col("token").isNotNull()).select("token", F.col("a").alias("class"), "size", "pos")
 
     reps = written(meta.where(F.col("n_shingles") > 0).groupBy("class").agg(F.min(key).alias("rep")), "classes")
