@@ -546,8 +546,10 @@ def test_decontamination_matches_brute_force(spark):
             best = max((decontaminate.overlap(h, o, d, 13, 0.8) for d in range(-len(o), len(h))), default=0)
             want += [(i, k, best)] if best and words not in items[:k] else []
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
-    got = [(r.doc_id, r.item_id, r.n_agree) for r in decontaminate.contaminated(odd(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()]
-    assert sorted(got) == sorted(want) and len(want) > 60
+    table = odd(spark.createDataFrame(rows, "doc_id long, text string"))
+    for known in (0, decontaminate.KNOWN):
+        got = [(r.doc_id, r.item_id, r.n_agree) for r in decontaminate.contaminated(table, bench, known=known).collect()]
+        assert sorted(got) == sorted(want) and len(want) > 60
 
 
 PAGE = '<html><head><title>t</title><script>if (a < b) "</p>"</script></head><body><nav><a>menu</a></nav><div class="ad">buy</div><article><h1>A &amp; B</h1><p>one <b>two</b><br>three<p>four</p><div class="comments"><p>me</p></div></article><footer>f</footer></body></html>'

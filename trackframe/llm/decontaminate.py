@@ -3,7 +3,8 @@
 A fixed mask keeps some of the words in a span and ignores the others, so a hash over the kept words survives
 substitutions at the ignored places. Four steps:
 
-1. Every item's masked hashes become a table of seeds. A bit table of bounded size (16 MB at most) tells which hashes can be among them.
+1. Every item's masked hashes become a table of seeds. A bit table of bounded size (16 MB at most) tells which hashes can be among them, and
+   up to ``KNOWN`` seeds are sent to the tasks, which spares hits that are none; the result is the same without.
 2. One scan hashes all documents and keeps, of those with a hash that passes the bit table, their words' hashes and the hits.
 3. Hits and seeds are joined on the hash. A document, an item and a diagonal (where the item would start) that share
    at least as many hits as any allowed overlap has are a candidate.
@@ -40,6 +41,8 @@ SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: (*MASKS, "10111",
 LEAST_HITS = {8: 2, 9: 3, 11: 2, 12: 3, 13: 3}
 #: The bit table has 2 to the power of this many bits at most.
 MOST_BITS = 27
+#: Up to so many distinct seeds (16 MB) tasks know them all, and a hash that is none of them is no hit; of more they know the bit table alone.
+KNOWN = 2_000_000
 #: Characters stripped from the ends of words.
 EDGES = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
@@ -86,10 +89,10 @@ def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Passing:
-    """A bit table of masked hashes, and the masks in use."""
+    """A bit table of masked hashes, the hashes themselves in order where they are few, and the masks in use."""
 
-    def __init__(self, bits: int, table: np.ndarray, masks: list[str]):
-        self.bits, self.table, self.masks = bits, table, masks
+    def __init__(self, bits: int, table: np.ndarray, masks: list[str], known: np.ndarray | None = None):
+        self.bits, self.table, self.masks, self.known = bits, table, masks, known
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of ``h`` that pass, and where they start."""
@@ -98,6 +101,9 @@ class Passing:
             x = masked(h, mask)
             slot = x >> np.uint64(64 - self.bits)
             at = np.flatnonzero(self.table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            if self.known is not None and len(at):
+                near = np.minimum(np.searchsorted(self.known, x[at]), len(self.known) - 1)
+                at = at[self.known[near] == x[at]]
             found.append(x[at])
             places.append(at)
         return np.concatenate(found), np.concatenate(places)
@@ -121,7 +127,7 @@ def overlap(h: np.ndarray, item: np.ndarray, diagonal: int, least: int, share: f
     return int(same[first[end] : end].sum())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 13, share: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 13, share: float = 0.8, known: int = KNOWN) -> DataFrame:
     """(key, item, n_agree, item_words): overlaps of documents with benchmark items, the best for each pair."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
@@ -155,7 +161,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     for r in parts:
         table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     lengths = [r[0] for r in items.select(F.least("n", F.lit(6))).distinct().collect()]
-    shared = spark.sparkContext.broadcast(Passing(bits, table.reshape(-1), sorted({m for n in lengths for m in masks_of(n)})))
+    distinct_seeds = seeds.select("seed").distinct()
+    few = distinct_seeds.count() <= known
+    every = np.sort(np.array([r[0] for r in distinct_seeds.collect()], np.int64).view(np.uint64)) if few else None  # at most ``known``
+    shared = spark.sparkContext.broadcast(Passing(bits, table.reshape(-1), sorted({m for n in lengths for m in masks_of(n)}), every))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing, task, number = shared.value, TaskContext.get().partitionId(), 0
