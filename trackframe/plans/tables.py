@@ -369,7 +369,9 @@ SELECT video, round(min_by(u, frame), 3) AS start, round(max_by(u, frame), 3) AS
     ),
     "r3_hold_out": (
         lambda s, d: catalog.hold_out(view(s, d, "frames"), 0.15, 5).groupBy("clip", "split").agg(F.count("*").alias("n")),
-        f"WITH k AS (SELECT clip, row_number() OVER (ORDER BY {md5_order(5, 'CAST(clip AS STRING)')}) AS r, count(*) OVER () AS m FROM (SELECT DISTINCT clip FROM {{frames}} f) y) SELECT f.clip, CASE WHEN r <= greatest(1, floor(m * 0.15)) THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM {{frames}} f JOIN k ON k.clip = f.clip GROUP BY ALL",
+        f"""WITH k AS (SELECT clip, row_number() OVER (ORDER BY {md5_order(5, 'CAST(clip AS STRING)')}) AS r, count(*) OVER () AS m FROM (SELECT DISTINCT clip FROM {{frames}} f) y),
+e AS (SELECT clip, row_number() OVER (ORDER BY {md5_order(5, 'k')}) AS fr, count(*) OVER () AS fm FROM (SELECT clip, CAST(clip AS STRING) || '|' || CAST(frame AS STRING) AS k FROM {{frames}} f) y)
+SELECT e.clip, CASE WHEN CASE WHEN greatest(1, floor(m * 0.15)) >= m THEN fr <= greatest(1, floor(fm * 0.15)) ELSE r <= greatest(1, floor(m * 0.15)) END THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM e JOIN k ON k.clip = e.clip GROUP BY ALL""",
     ),
     "r3_hold_out_frames": (
         lambda s, d: catalog.hold_out(view(s, d, "frames").where("clip = 0"), 0.15, 5),
