@@ -17,6 +17,8 @@ from trackframe.operators.scratch import shared_path
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words whose hash a Python worker remembers; beyond that it starts anew.
 REMEMBERED = 300_000
+#: A bit table has 2 to the power of this many bits at most.
+MOST_BITS = 27
 #: Bytes of text that a task handles at once.
 SLICE_BYTES = 6_000_000
 
@@ -118,3 +120,34 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 def keyed(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: other columns, whatever their names, stay out of the plan."""
     return docs.select(*(F.col(f"`{n}`") for n in names))
+
+
+def bit_table(df: DataFrame, column: str) -> np.ndarray:
+    """Which 64-bit numbers can be in a column: by their first bits, 16 bits a number up to 2^MOST_BITS. Tasks make the parts, the driver puts 256 together."""
+    bits = min(max(16, (df.count() * 16).bit_length()), MOST_BITS)
+
+    def to_bits(part: pa.Table) -> pa.Table:
+        table = np.zeros(1 << bits - 8, bool)
+        table[(_spread(part.column("x").to_numpy()) >> np.uint64(64 - bits)).astype(np.int64) & (1 << bits - 8) - 1] = True
+        return pa.table([pa.array([part.column("part")[0].as_py()], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(0)
+            yield pa.RecordBatch.from_arrays([x, pa.array((_spread(x.to_numpy()) >> np.uint64(56)).astype(np.int32))], ["x", "part"])
+
+    parts = df.select(F.col(column).alias("x")).mapInArrow(parted, "x long, part int").groupBy("part").applyInArrow(to_bits, "part int, bits binary").collect()
+    table = np.zeros((256, 1 << bits - 11), np.uint8)
+    for r in parts:
+        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.reshape(-1)
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    return mix(x.view(np.uint64))
+
+
+def passing(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the numbers can be in the column that a bit table was made of."""
+    slot = _spread(x) >> np.uint64(64 - (len(table).bit_length() + 2))
+    return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
