@@ -105,6 +105,18 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def runs(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows of about ``limit`` together; a larger row stands alone."""
+    start = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > limit:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about ``limit`` bytes each; a longer text stands alone."""
     start = size = 0

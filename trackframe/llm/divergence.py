@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import bit_table, keyed, passing, slices, text_bytes, written
+from trackframe.llm.common import bit_table, keyed, passing, runs, written
 
 #: ASCII letters in lower case, bytes beyond ASCII as they are, all else a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Bytes of text that a task handles at once: the more, the fewer rows are shuffled.
+SLICE = 24_000_000
 #: Sources and terms that a task compares at once.
 BLOCK, CHUNK = 128, 1024
 #: Up to so many groups of language and source are broadcast; more are joined.
@@ -40,34 +42,40 @@ BROADCAST = 100_000
 class Terms:
     """The terms of a slice of documents: distinct ones with their digests, and which stands where."""
 
-    def __init__(self, texts: list[bytes], bits: int):
-        each = [t.translate(LETTERS).split() for t in texts]
-        found = pa.array([w for words in each for w in words], pa.binary()).dictionary_encode()
+    def __init__(self, texts: pa.Array, bits: int):
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        letters = pa.py_buffer(bytes(memoryview(data)[ends[0] : ends[-1]]).translate(LETTERS) if data else b"")
+        lists = pc.split_pattern(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends - ends[0]), letters]), b" ")
+        words, places = lists.flatten(), np.asarray(lists.offsets)
+        some = pc.binary_length(words).to_numpy() > 0
+        found = words.filter(pa.array(some)).dictionary_encode()
         self.index, self.terms = found.indices.to_numpy().astype(np.int64), found.dictionary
-        self.doc = np.repeat(np.arange(len(each)), [len(words) for words in each])
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(places))[some]
         names = self.terms.to_pylist()
         self.digest = (np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)) >> np.uint64(64 - bits)).view(np.int64)
         self.distinct, self.of_term = np.unique(self.digest, return_inverse=True)
+        self.width = max(len(names), 1)
 
-    def counted(self, group: np.ndarray, of_place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(group, what stands there, how often) over all places, given each document's group."""
-        found, n = np.unique(group[self.doc] * width + of_place, return_counts=True)
-        return found // max(width, 1), found % max(width, 1), n
+    def counted(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, term, how often) over all places, given each document's group; in order."""
+        found, n = np.unique(group[self.doc] * self.width + self.index, return_counts=True)
+        return found // self.width, found % self.width, n
 
-    def documents(self, group: np.ndarray, of_place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As ``counted``, but the number of documents."""
-        seen = np.unique(self.doc * width + of_place)
-        found, n = np.unique(group[seen // max(width, 1)] * width + seen % max(width, 1), return_counts=True)
-        return found // max(width, 1), found % max(width, 1), n
+    def documents(self, group: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, what, documents), ``of`` telling what a term counts as; in order."""
+        seen = np.unique(self.doc * self.width + of[self.index])
+        found, n = np.unique(group[seen // self.width] * self.width + seen % self.width, return_counts=True)
+        return found // self.width, found % self.width, n
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[Terms, list[pa.Array], list[np.ndarray]]]:
     """The terms of slices of rows (text, group columns), with each group column's distinct values and rows' indices."""
     for b in batches:
-        texts = text_bytes(b, "text")
-        for i, j in slices(texts):
+        texts = b.column(0).cast(pa.binary())
+        for i, j in runs(pc.binary_length(texts).to_numpy(), SLICE):
             columns = [b.column(k).slice(i, j - i).dictionary_encode() for k in range(1, b.num_columns)]
-            yield Terms(texts[i:j], bits), [c.dictionary for c in columns], [c.indices.to_numpy().astype(np.int64) for c in columns]
+            yield Terms(texts.slice(i, j - i), bits), [c.dictionary for c in columns], [c.indices.to_numpy().astype(np.int64) for c in columns]
 
 
 def frequent(docs: DataFrame, least: int, bits: int) -> DataFrame:
@@ -75,7 +83,7 @@ def frequent(docs: DataFrame, least: int, bits: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, (langs,), (lang,) in _sliced(batches, bits):
-            group, at, n = t.documents(lang, t.of_term[t.index], len(t.distinct))
+            group, at, n = t.documents(lang, t.of_term)
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(group)), pa.array(t.distinct[at]), pa.array(n)], ["lang", "digest", "df"])
 
     counted = docs.select("text", "lang").mapInArrow(count, "lang string, digest long, df long")
@@ -88,44 +96,50 @@ def counted(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, (langs, sources), (lang, source) in _sliced(batches, bits):
-            group, at, n = t.counted(lang * len(sources) + source, t.of_term[t.index], len(t.distinct))
-            keep = passing(shared.value, t.distinct)[at]
-            group, at, n = group[keep], at[keep], n[keep]
-            if not len(at):
+            group, term, n = t.counted(lang * len(sources) + source)
+            keep = passing(shared.value, t.digest)[term]
+            group, term, n = group[keep], term[keep], n[keep]
+            if not len(term):
                 continue
-            # The strings: by language, digest and term in order, those at the ends of each digest's run.
+            # Terms of one digest are one row of a group.
+            width = len(t.distinct)
+            rows, of_row = np.unique(group * width + t.of_term[term], return_inverse=True)
+            sums = np.zeros(len(rows), np.int64)
+            np.add.at(sums, of_row, n)
+            group, at = rows // width, rows % width
+            # The strings: by language, digest and place in string order, those at the ends of each digest's run.
             order = pc.sort_indices(t.terms).to_numpy()
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            seen = np.unique((lang[t.doc] * len(t.distinct) + t.of_term[t.index]) * len(order) + place[t.index])
-            of = seen // len(order)
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            ends = np.append(starts[1:], len(of)) - 1
-            row_of = np.searchsorted(of[starts], group // len(sources) * len(t.distinct) + at)
-            once = np.zeros(len(at), bool)
-            once[np.unique(row_of, return_index=True)[1]] = True
-            first, last = (t.terms.take(pa.array(np.where(once, order[seen[x] % len(order)][row_of], -1), mask=~once)).cast(pa.string()) for x in (starts, ends))
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))), pa.array(t.distinct[at]), pa.array(n), first, last], ["lang", "source", "digest", "n", "first", "last"])
+            kinds = group // len(sources) * width + at
+            seen = np.unique(kinds[of_row] * len(order) + place[term])
+            starts = np.flatnonzero(np.diff(seen // len(order), prepend=-1))
+            ends = np.append(starts[1:], len(seen)) - 1
+            own, first_row, of_kind = np.unique(kinds, return_index=True, return_inverse=True)
+            once = np.zeros(len(rows), bool)
+            once[first_row] = True
+            first, last = (t.terms.take(pa.array(order[seen[x] % len(order)][of_kind], mask=~once)).cast(pa.string()) for x in (starts, ends))
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))), pa.array(t.distinct[at]), pa.array(sums), first, last], ["lang", "source", "digest", "n", "first", "last"])
 
     return written(docs.select("text", "lang", "source").mapInArrow(count, "lang string, source string, digest long, n long, first string, last string"), "counted")
 
 
 def split_terms(docs: DataFrame, mixed: DataFrame, least: int, bits: int) -> DataFrame:
-    """(lang, source, digest, number, n, total, term): the terms of digests that several share, counted by their strings."""
+    """(lang, source, digest, number, n, term): the terms of digests that several share, counted by their strings."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(mixed, "digest"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, (langs, sources), (lang, source) in _sliced(batches, bits):
             both = lang * len(sources) + source
-            group, at, n = t.counted(both, t.index, len(t.terms))
-            _, _, df = t.documents(both, t.index, len(t.terms))
+            group, at, n = t.counted(both)
+            _, _, df = t.documents(both, np.arange(t.width))
             keep = passing(shared.value, t.digest)[at]
             group, at, n, df = group[keep], at[keep], n[keep], df[keep]
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))), pa.array(t.digest[at]), t.terms.take(pa.array(at)).cast(pa.string()), pa.array(n), pa.array(df)], ["lang", "source", "digest", "term", "n", "df"])
 
     rows = docs.select("text", "lang", "source").mapInArrow(count, "lang string, source string, digest long, term string, n long, df long")
     rows = written(rows.join(mixed, ["lang", "digest"], "left_semi").groupBy("lang", "source", "digest", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "split")
-    numbers = rows.groupBy("lang", "digest", "term").agg(F.sum("n").alias("total"), F.sum("df").alias("df")).where(F.col("df") >= least).drop("df")
+    numbers = rows.groupBy("lang", "digest", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= least).drop("df")
     numbers = numbers.withColumn("number", F.row_number().over(Window.partitionBy("lang", "digest").orderBy("term")))
     return written(rows.drop("df").join(numbers, ["lang", "digest", "term"]), "numbered")
 
@@ -134,16 +148,18 @@ def vocabulary(docs: DataFrame, least: int = 30, bits: int = 64) -> tuple[DataFr
     """Kept terms (lang, digest, number, total, term) and their counts (lang, digest, number, source, n); ``docs`` has text, lang and source without nulls."""
     kept = frequent(docs, least, bits)
     partial = counted(docs, bit_table(kept, "digest"), bits)
-    ends = partial.groupBy("lang", "digest").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.max("last").alias("last"))
+    ends = partial.where("first IS NOT NULL").groupBy("lang", "digest").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     known = written(ends.join(kept, ["lang", "digest"]), "ends")
     alone, mixed = known.where("first = last"), known.where("first <> last").select("lang", "digest")
-    terms = alone.select("lang", "digest", F.lit(0).alias("number"), "total", F.col("first").alias("term"))
+    terms = alone.select("lang", "digest", F.lit(0).alias("number"), F.col("first").alias("term"))
     counts = partial.groupBy("lang", "digest", "source").agg(F.sum("n").alias("n")).join(alone.select("lang", "digest"), ["lang", "digest"]).select("lang", "digest", F.lit(0).alias("number"), "source", "n")
     if not mixed.isEmpty():
         split = split_terms(docs, mixed, least, bits)
-        terms = terms.unionByName(split.select("lang", "digest", "number", "total", "term").distinct())
+        terms = terms.unionByName(split.select("lang", "digest", "number", "term").distinct())
         counts = counts.unionByName(split.select("lang", "digest", "number", "source", "n"))
-    return written(terms, "terms"), written(counts, "counts")
+    counts = written(counts, "counts")
+    totals = counts.groupBy("lang", "digest", "number").agg(F.sum("n").alias("total"))
+    return written(terms.join(totals, ["lang", "digest", "number"]), "terms"), counts
 
 
 def share(n: str, of: str) -> Column:
@@ -151,10 +167,10 @@ def share(n: str, of: str) -> Column:
     return F.expr(f"1 + (CAST({n} + 5 AS DECIMAL(20,0)) * CAST(1000000000 AS DECIMAL(10,0))) div CAST({of} + 5 * kept AS DECIMAL(20,0))")
 
 
-def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 30, top: int = 50, bits: int = 64, broadcast: int = BROADCAST) -> DataFrame:
+def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 30, top: int = 50, bits: int = 64, broadcast: int = BROADCAST, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(lang, source, part, item, value, rank): for each language and source, how far each other source is (``pair``), and the terms it has most above its language (``term``).
 
-    ``bits`` is the width of a digest. A source's probability of a term is smoothed by 5 places.
+    ``bits`` is the width of a digest; ``block`` sources and about ``chunk`` terms are compared at once. A source's probability of a term is smoothed by 5 places.
     """
     docs = keyed(docs, text, lang, source).select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))))
     terms, counts = vocabulary(docs, least, bits)
@@ -163,7 +179,7 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1  # a row a source
     groups = docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["places", "kept", "everywhere"])
     groups = groups.select("*", place.alias("place"), F.count("*").over(Window.partitionBy("lang")).alias("sources"))
-    groups = written(groups.withColumns({"none": F.when(F.col("kept") > 0, share("0", "places")).otherwise(0), "chunks": F.greatest(F.ceil(F.col("kept") / CHUNK), F.lit(1)), "blocks": F.ceil(F.col("sources") / BLOCK)}), "groups")
+    groups = written(groups.withColumns({"none": F.when(F.col("kept") > 0, share("0", "places")).otherwise(0), "chunks": F.greatest(F.ceil(F.col("kept") / chunk), F.lit(1)), "blocks": F.ceil(F.col("sources") / block)}), "groups")
     small = groups.count() <= broadcast
     few = F.broadcast(groups) if small else groups
     of_group = counts.join(few, ["lang", "source"]).withColumn("p", share("n", "places"))
@@ -175,7 +191,7 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     leading = above.withColumn("place", F.rank().over(by_value)).where(F.col("place") <= top)
     named = leading.join(terms.select("lang", "digest", "number", F.col("term").alias("item")), ["lang", "digest", "number"]).select("lang", "source", F.lit("term").alias("part"), "item", "value")
 
-    pairs = compared(of_group, groups).select("lang", F.explode(F.array(F.struct(F.col("i").alias("one"), F.col("j").alias("other")), F.struct(F.col("j").alias("one"), F.col("i").alias("other")))).alias("x"), "value").select("lang", "x.one", "x.other", "value")
+    pairs = compared(of_group, groups, terms, block).select("lang", F.explode(F.array(F.struct(F.col("i").alias("one"), F.col("j").alias("other")), F.struct(F.col("j").alias("one"), F.col("i").alias("other")))).alias("x"), "value").select("lang", "x.one", "x.other", "value")
     names = few.select("lang", F.col("place"), "source")
     pairs = pairs.join(names.withColumnRenamed("place", "one"), ["lang", "one"]).join(names.select("lang", F.col("place").alias("other"), F.col("source").alias("item")), ["lang", "other"])
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
@@ -183,14 +199,19 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     return pairs.withColumn("rank", rank).unionByName(named.withColumn("rank", rank).where(F.col("rank") <= top))
 
 
-def compared(of_group: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, i, j, value): summed differences of all terms between the sources with places i < j, block by block and chunk by chunk."""
-    mine = F.floor(F.col("place") / BLOCK)
+def compared(of_group: DataFrame, groups: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(lang, i, j, value): summed differences of all terms between the sources with places i < j, block by block and chunk by chunk.
+
+    A task gets the terms that its sources have, and how many the chunk has in all: in the others both sources have their least share.
+    """
+    mine = F.floor(F.col("place") / block)
     sides = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("low"), F.greatest(mine, o).alias("high")))).alias("side")
     chunk = F.pmod(F.xxhash64("digest", "number"), F.col("chunks")).alias("chunk")
-    rows = of_group.select("lang", chunk, "place", "digest", "number", "p", sides)
-    none = groups.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "place", "blocks", F.col("none").alias("p")).select("lang", "chunk", "place", F.lit(None).cast("long").alias("digest"), F.lit(None).cast("int").alias("number"), "p", sides)
-    every = rows.unionByName(none).select("lang", "chunk", "side.low", "side.high", "place", "digest", "number", "p")
+    rows = of_group.select("lang", chunk, "place", "digest", "number", "p", F.lit(0).cast("long").alias("terms"), sides)
+    sizes = terms.join(groups.select("lang", "chunks").distinct(), "lang").groupBy("lang", chunk).agg(F.count("*").alias("terms"))
+    none = groups.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "place", "blocks", F.col("none").alias("p")).join(sizes, ["lang", "chunk"], "left").fillna(0, ["terms"])
+    none = none.select("lang", "chunk", "place", F.lit(None).cast("long").alias("digest"), F.lit(None).cast("int").alias("number"), "p", "terms", sides)
+    every = rows.unionByName(none).select("lang", "chunk", "side.low", "side.high", "place", "digest", "number", "p", "terms")
 
     def compare(table: pa.Table) -> pa.Table:
         lang, low, high = (table.column(c)[0].as_py() for c in ("lang", "low", "high"))
@@ -203,10 +224,11 @@ def compared(of_group: DataFrame, groups: DataFrame) -> DataFrame:
         term = term.reshape(-1)
         shares = np.repeat(none[:, None], int(term.max(initial=-1)) + 1, axis=1)
         shares[np.searchsorted(places, place[~base]), term] = p[~base]
-        block, out = places // BLOCK, []
-        for k in np.flatnonzero(block == low).tolist():
-            others = np.flatnonzero((block == high) & (places > places[k]))
-            out.append((np.full(len(others), places[k]), places[others], np.abs(shares[others] - shares[k]).sum(1)))
+        others_too = int(table.column("terms").to_numpy().max()) - shares.shape[1]
+        of, out = places // block, []
+        for k in np.flatnonzero(of == low).tolist():
+            others = np.flatnonzero((of == high) & (places > places[k]))
+            out.append((np.full(len(others), places[k]), places[others], np.abs(shares[others] - shares[k]).sum(1) + others_too * np.abs(none[others] - none[k])))
         i, j, value = (np.concatenate(x).astype(np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
         return pa.table({"lang": pa.array([lang] * len(i), pa.string()), "i": i, "j": j, "value": value})
 
