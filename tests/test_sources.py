@@ -85,21 +85,6 @@ def test_guarded_writes(spark, tmp_path):
     assert writers.with_provenance(table, run="r").first().run == "r"
 
 
-@pytest.mark.parametrize("method", ["single", "slots", "gated", "kalman"])
-def test_stream_agrees_with_batch_and_resumes(spark, tmp_path, method):
-    rows = [(c, f, 1, float(f), 0.0, 10.0, 10.0, 0.9) for c in (0, 1) for f in (1, 2, 3, 5, 6, 8)]
-    src, out = tmp_path / "in", tmp_path / "out"
-    for k, part in enumerate((rows[:3] + rows[6:8], rows[3:6] + rows[8:])):
-        spark.createDataFrame(part, online.DETECTIONS).coalesce(1).write.mode("append").parquet(str(src))
-        stream = online.live_frames(spark, str(src))
-        online.collect_new(online.track_stream(stream, method), str(out), str(tmp_path / "ck"))
-        online.collect_newest(stream, str(tmp_path / "newest"), str(tmp_path / "ck2"))
-    got = sorted((r.clip, r.frame, round(r.x, 6), r.conf) for r in spark.read.parquet(str(out)).collect())
-    want = sorted((r.clip, r.frame, round(r.x, 6), r.conf) for r in track(spark.createDataFrame(rows, online.DETECTIONS), method).collect())
-    assert got == want
-    assert {(r.clip, r.frame) for r in spark.read.parquet(str(tmp_path / "newest")).collect()} == {(0, 3), (1, 2), (0, 8), (1, 8)}
-
-
 def test_metadata_index_and_dataset(spark, tmp_path):
     rows = spark.createDataFrame([("e1", 3, None), ("e2", 4, "n"), (None, 5, "x")], "experiment_name string, n_clips long, notes string")
     writers.write_metadata(rows, str(tmp_path / "meta"))

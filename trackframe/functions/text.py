@@ -58,7 +58,8 @@ def stem(path: Column) -> Column:
 
 
 def frame_stem(clip: Column, frame: Column) -> Column:
-    return F.concat(clip, F.lit("_f"), F.lpad(frame.cast("string"), 6, "0"))
+    """Six digits, or more where the number has more."""
+    return F.concat(clip, F.lit("_f"), F.format_string("%06d", frame.cast("long")))
 
 
 def file_date(name: Column) -> Column:
@@ -143,16 +144,18 @@ def local_string(unix: Column, zone: str = "America/New_York", fmt: str = "yyyy-
     return F.when(F.isnan(unix) | unix.isNull(), F.lit("—")).otherwise(F.date_format(at, fmt))
 
 
-def label_issues(line: Column, classes: int) -> Column:
-    """What is wrong with a ``cls cx cy w h`` line, as an array; NaN coordinates pass."""
+def label_issues(line: Column, classes: int | None) -> Column:
+    """What is wrong with a ``cls cx cy w h`` line, as an array; NaN coordinates pass, blank lines too. ``classes`` None sets no upper bound."""
     parts = F.split(F.trim(line), r"\s+")
     cls = F.try_element_at(parts, F.lit(1)).try_cast("int")
     at = [F.try_element_at(parts, F.lit(i)).try_cast("double") for i in range(2, 6)]
+    blank = F.trim(F.regexp_replace(line, r"\s", " ")) == ""
     five = F.size(parts) == 5
+    above = F.lit(False) if classes is None else cls >= classes
     numeric = cls.isNotNull() & at[0].isNotNull() & at[1].isNotNull() & at[2].isNotNull() & at[3].isNotNull()
     outside = lambda c: (c < 0) | (c > 1) & ~F.isnan(c)
     issue = lambda condition, name: F.when(condition, F.lit(name))
-    return F.array_compact(F.array(issue(~five, "fields"), issue(five & ~numeric, "not_numeric"), issue(five & numeric & ((cls < 0) | (cls >= classes)), "class"), issue(five & numeric & (outside(at[0]) | outside(at[1]) | outside(at[2]) | outside(at[3])), "range")))
+    return F.array_compact(F.array(issue(~five & ~blank, "fields"), issue(five & ~numeric, "not_numeric"), issue(five & numeric & ((cls < 0) | above), "class"), issue(five & numeric & (outside(at[0]) | outside(at[1]) | outside(at[2]) | outside(at[3])), "range")))
 
 
 def fingerprint(document: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from trackframe.functions.text import stem
 from trackframe.operators.ranks import placed, seeded
 
+#: A date, and maybe a time and a zone.
+ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp")
 
 
@@ -33,9 +35,16 @@ def browse_clips(clips: DataFrame, labels: DataFrame, chamber=None, video_part:
 
 
 def since(rows: DataFrame, column: str, start: str) -> DataFrame:
-    """Rows whose time (ISO text, zone ignored) is not before ``start``; blank and unreadable ones go."""
-    at = F.try_to_timestamp(F.regexp_replace(F.substring(column, 1, 19), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return rows.where(at >= F.to_timestamp(F.lit(start)))
+    """Rows whose time (ISO 8601 text, a date alone being its midnight, zone ignored) is not before ``start``; blank and unreadable ones go."""
+    at = lambda c: F.when(c.rlike(ISO), F.regexp_replace(F.regexp_replace(c, r"(Z|[+-]\d{2}:?\d{2})$", ""), r"([T ]\d{2})$", "$1:00").try_cast("timestamp_ntz"))
+    return rows.where(at(F.col(column)) >= at(F.lit(start)))
+
+
+def filter_experiments(rows: DataFrame, chamber_type: str | None = None, dataset_name: str | None = None, start: str | None = None) -> DataFrame:
+    """Experiments of a chamber type and a dataset that started at ``start`` or later; what is not given does not matter."""
+    for column, value in (("chamber_type", chamber_type), ("dataset_name", dataset_name)):
+        rows = rows.where(F.col(column) == value) if value else rows
+    return since(rows, "started_at", start) if start else rows
 
 
 def long_enough(videos: DataFrame, clip_sec: float, margin: float = 10.0) -> DataFrame:
@@ -93,27 +102,33 @@ def orphans(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def with_fallback(rows: DataFrame, table: DataFrame, name: str = "video", value: str = "value") -> DataFrame:
-    """``value`` under the exact name, else under its stem, else under ``_default``."""
-    t = lambda k: table.select(F.col("name").alias(f"_{k}"), F.col("value").alias(f"_v{k}"))
-    out = rows.join(t("n"), F.col(name) == F.col("_n"), "left").join(t("s"), stem(F.col(name)) == F.col("_s"), "left")
-    out = out.join(F.broadcast(t("d").where("_d = '_default'").limit(1)), F.lit(True), "left")
+    """``value`` under the exact name, else under a name of the same stem, else under ``_default``.
+
+    Of several rows of one name or stem the first by ``pos`` counts where the table has that column, else the first by name.
+    """
+    first = F.struct(*(F.col(c) for c in ("pos", "name") if c in table.columns))
+    t = lambda k, of: table.groupBy(of.alias(f"_{k}")).agg(F.min_by("value", first).alias(f"_v{k}"))
+    out = rows.join(t("n", F.col("name")), F.col(name) == F.col("_n"), "left").join(t("s", stem(F.col("name"))), stem(F.col(name)) == F.col("_s"), "left")
+    out = out.join(F.broadcast(t("d", F.col("name")).where("_d = '_default'")), F.lit(True), "left")  # one row
     return out.withColumn(value, F.coalesce("_vn", "_vs", "_vd")).drop("_n", "_vn", "_s", "_vs", "_d", "_vd")
 
 
 def uncovered(expected: DataFrame, table: DataFrame, name: str = "video") -> DataFrame:
-    """Names that have an entry neither by name nor by stem."""
-    entries = table.select(F.col("name").alias("_n"))
-    return expected.join(entries, F.col(name) == F.col("_n"), "left_anti").join(entries, stem(F.col(name)) == F.col("_n"), "left_anti")
+    """Names that have an entry neither by name nor by stem, the stems of both sides being compared."""
+    return expected.join(table.select(stem(F.col("name")).alias("_s")), stem(F.col(name)) == F.col("_s"), "left_anti")
 
 
 def reconcile(old: DataFrame, listing: DataFrame) -> DataFrame:
-    """Catalogue (path, size, missing) against a listing (path, size, readable): new, refreshed, unreadable or missing."""
+    """Catalogue (path, size, missing) against a listing (path, size, readable): new, refreshed, unreadable or missing.
+
+    Unreadable files are missing too, with the size known before if there is one; newly missing are those alone that the listing lost.
+    """
     o, n = old.select("path", F.col("size").alias("old_size"), F.col("missing").alias("was_missing")), listing.select("path", F.col("size").alias("new_size"), "readable")
     j = o.join(n, "path", "full_outer")
     status = F.when(F.col("new_size").isNull(), "missing").when(~F.col("readable"), "unreadable").when(F.col("old_size").isNull(), "new").otherwise("refreshed")
     gone = status.isin("missing", "unreadable")
-    size = F.when(gone, F.coalesce("old_size", "new_size")).otherwise(F.col("new_size"))
-    return j.select("path", size.alias("size"), gone.alias("missing"), status.alias("status"), (gone & ~F.coalesce("was_missing", F.lit(False))).alias("newly_missing"))
+    size = F.when(gone, F.col("old_size")).otherwise(F.col("new_size"))
+    return j.select("path", size.alias("size"), gone.alias("missing"), status.alias("status"), ((status == "missing") & ~F.coalesce("was_missing", F.lit(False))).alias("newly_missing"))
 
 
 def ratio_split(rows: DataFrame, ratios: dict[str, float], stratum: str | None, key: str, seed: int) -> DataFrame:
@@ -238,6 +253,25 @@ def next_pending(items: DataFrame, current: int, total: int, pending: Column, in
 
 
 def next_number(names: DataFrame, prefix: str, name: str = "name") -> DataFrame:
-    """Largest numeric suffix after ``prefix`` plus one, as two digits."""
-    n = F.regexp_extract(name, f"^{prefix}_?([0-9]+)$", 1).try_cast("int")
-    return names.agg(F.lpad((F.coalesce(F.max(n), F.lit(0)) + 1).cast("string"), 2, "0").alias("next_number"))
+    """Largest number that follows ``prefix`` at once in a name, plus one, as two digits or as many as it has; 01 where there is none."""
+    rest = F.when(F.startswith(F.col(name), F.lit(prefix)), F.substr(F.col(name), F.lit(len(prefix) + 1)))
+    n = F.when(rest.rlike("^[0-9]+$"), rest.try_cast("long"))
+    return names.agg(F.format_string("%02d", F.coalesce(F.max(n), F.lit(0)) + 1).alias("next_number"))
+
+
+def union_listing(*listings: DataFrame, key: str = "path") -> DataFrame:
+    """Rows of several listings, each ``key`` once: the first listing's row where several have it."""
+    both = None
+    for i, rows in enumerate(listings):
+        one = rows.withColumn("_from", F.lit(i))
+        both = one if both is None else both.unionByName(one, allowMissingColumns=True)
+    return both.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_from"))).where("_r = 1").drop("_r", "_from")
+
+
+def combined(parts: dict[str, DataFrame], name: str = "origin") -> DataFrame:
+    """Rows of several sources one after another, with the source's name in ``name``; columns that a part lacks are null."""
+    out = None
+    for origin, rows in parts.items():
+        one = rows.withColumn(name, F.lit(origin))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out

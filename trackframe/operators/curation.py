@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.functions.geometry import iou
 from trackframe.functions.text import hamming
+from trackframe.operators.scans import scan_frames
 from trackframe.operators.scratch import written
 
 # Thresholds of the simulation.
@@ -41,15 +41,19 @@ def simulate(values: DataFrame, boxes: DataFrame, train_share: float = 0.85) ->
     return rows.select("threshold", "kept", train.alias("train"), (F.col("kept") - train).alias("val"))
 
 
-def _keep(boxes: pd.DataFrame, differs) -> pd.DataFrame:
-    out, last = [], None
-    for frame, rows in boxes.sort_values(["frame", "id"]).groupby("frame", sort=True):
-        own = dict(zip(rows["id"], rows[list(BOX)].to_numpy()))
-        shared = [] if last is None else sorted(own.keys() & last.keys())
-        if last is None or not shared or differs(np.array([last[i] for i in shared]), np.array([own[i] for i in shared])):
-            out.append(frame)
-            last = own
-    return pd.DataFrame({"clip": [boxes["clip"].iloc[0]] * len(out), "frame": out})
+class _Keeper:
+    """Keeps a frame that shares no track with the last kept one, or differs from it."""
+
+    def __init__(self, differs):
+        self.differs, self.last = differs, None
+
+    def __call__(self, frame: int, columns: list[np.ndarray]) -> list[tuple]:
+        own = dict(zip(columns[0].tolist(), np.stack(columns[1:], axis=1).astype(float)))
+        shared = [] if self.last is None else sorted(own.keys() & self.last.keys())
+        if shared and not self.differs(np.array([self.last[i] for i in shared]), np.array([own[i] for i in shared])):
+            return []
+        self.last = own
+        return [(frame,)]
 
 
 def _least_iou(a: np.ndarray, b: np.ndarray) -> float:
@@ -63,11 +67,23 @@ def _most_moved(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.hypot(*((b[:, :2] + b[:, 2:] / 2) - (a[:, :2] + a[:, 2:] / 2)).T).max())
 
 
+def fresh_starts(boxes: DataFrame) -> DataFrame:
+    """``boxes`` with ``_part``: the last frame at or before theirs whose tracks are all new in the clip. Nothing before such a frame matters after it."""
+    first = F.min("frame").over(Window.partitionBy("clip", "id"))
+    new = F.min((F.col("frame") == F.col("_first")).cast("int")).over(Window.partitionBy("clip", "frame"))
+    part = F.max(F.when(F.col("_new") == 1, F.col("frame"))).over(Window.partitionBy("clip").orderBy("frame"))
+    return boxes.withColumn("_first", first).withColumn("_new", new).withColumn("_part", part.cast("long")).drop("_first", "_new")
+
+
 def keep_frames(boxes: DataFrame, threshold: float, rule: str = "iou") -> DataFrame:
-    """Frames that differ from the last kept one: rule iou, least shared IoU below; displacement, a centre moved at least so far. One clip a group."""
+    """Frames that differ from the last kept one: rule iou, least shared IoU below; displacement, a centre moved at least so far.
+
+    Frames are scanned in order with the last kept one alone in memory; parts of a clip that start with new tracks only run in parallel.
+    """
     test = (lambda a, b: _least_iou(a, b) < threshold) if rule == "iou" else (lambda a, b: _most_moved(a, b) >= threshold)
     kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
-    return boxes.select("clip", "frame", "id", *BOX).groupBy("clip").applyInPandas(lambda pdf: _keep(pdf, test), f"clip {kinds['clip']}, frame {kinds['frame']}")
+    rows = fresh_starts(boxes.select("clip", "frame", "id", *BOX))
+    return scan_frames(rows, ["clip", "_part"], ["id", *BOX], lambda key: _Keeper(test), f"clip {kinds['clip']}, _part long, frame {kinds['frame']}", [F.asc("id")]).drop("_part")
 
 
 def first_wins(hashes: DataFrame, threshold: int, bits: int = 64, write=None) -> DataFrame:

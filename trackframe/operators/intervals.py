@@ -67,6 +67,13 @@ def by_day(spans: DataFrame) -> DataFrame:
     return out.where("to_hour > from_hour")
 
 
+def interval_summary(classes: DataFrame) -> DataFrame:
+    """By group of ``onset_classes``: onsets by interval, those before a gap, and the mean seconds of all but skipped ones."""
+    counts = [F.count_if(F.col("interval") == k).alias(k) for k in ("skip", "cluster", "drift", "normal")]
+    mean = F.round(F.avg(F.when(F.col("interval") != "skip", F.col("seconds"))), 6)
+    return classes.groupBy("grp").agg(*counts, F.count_if(F.col("kind") == "pre_reboot").alias("pre_reboot"), mean.alias("mean"))
+
+
 def duration_class(seconds: Column, intended: float) -> Column:
     """Within 10 % normal, up to half more long, beyond that very_long, else short."""
     part = seconds / intended

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.operators.matching import assign, match
+from trackframe.operators.matching import assign, frame_pairs, match
+from trackframe.operators.scratch import written
 
 ALPHAS = [0.05 + i * 0.05 for i in range(19)]
 
@@ -60,19 +62,43 @@ def hota(gt: DataFrame, pred: DataFrame, variant: str = "matched") -> DataFrame:
     return grid.groupBy("clip").agg(F.round(F.avg(F.sqrt(det * ass)), 4).alias("hota"), F.round(F.avg(det), 4).alias("deta"), F.round(F.avg(ass), 4).alias("assa"))
 
 
+def components(pairs: DataFrame, write=None) -> DataFrame:
+    """``pairs`` (clip, gid, pid, ...) with ``part``, the smallest gid that a chain of pairs of the clip leads to.
+
+    Round after round a pair takes the smallest number among the pairs that share its pid, then its gid, and then the number that this number's own
+    gid has by now, which halves the way along chains. ``write`` cuts the lineage of each round (default: a written table).
+    """
+    write = write or written
+    now = write(pairs.withColumn("part", F.col("gid")))
+    while True:
+        over_p = now.withColumn("_p", F.min("part").over(Window.partitionBy("clip", "pid")))
+        over_g = over_p.withColumn("_g", F.min("_p").over(Window.partitionBy("clip", "gid")))
+        of = over_g.groupBy(F.col("clip").alias("_clip"), F.col("gid").alias("_gid")).agg(F.min("_g").alias("_at"))
+        after = write(over_g.join(of, (F.col("clip") == F.col("_clip")) & (F.col("_g") == F.col("_gid"))).select(*pairs.columns, F.col("part").alias("_was"), F.least("_g", "_at").alias("part")))
+        now = after.drop("_was")
+        if after.where("part <> _was").isEmpty():
+            return now
+
+
 def idf1_global(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """IDF1 by the identity assignment with most frames in common: one small table of id pairs a clip."""
-    from trackframe.operators.matching import frame_pairs
+    """IDF1 by the identity assignment with most frames in common.
 
+    Ids that no chain of overlaps connects cannot compete, so each component of the id pairs of a clip is solved alone: a single pair needs no
+    solver, and the clips of one long timeline spread over tasks by component.
+    """
     overlap = frame_pairs(gt, pred).where(F.col("iou") >= threshold).groupBy("clip", "gid", "pid").agg(F.count("*").alias("n"))
+    kind = {f.name: f.dataType.simpleString() for f in overlap.schema}
+    parted = components(overlap).withColumn("_size", F.count("*").over(Window.partitionBy("clip", "part")))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="gid", columns="pid", values="n", fill_value=0).to_numpy()
-        rows = assign(-table)
-        return pd.DataFrame({"clip": [pdf["clip"].iloc[0]], "idtp": [int(sum(table[i, j] for i, j in enumerate(rows) if j >= 0))]})
-
-    kind = gt.schema["clip"].dataType.simpleString()
-    idtp = overlap.groupBy("clip").applyInPandas(best, f"clip {kind}, idtp long")
+        (gids, i), (pids, j) = np.unique(pdf["gid"], return_inverse=True), np.unique(pdf["pid"], return_inverse=True)
+        table = np.zeros((len(gids), len(pids)))
+        table[i, j] = pdf["n"]
+        chosen = assign(-table)
+        return pd.DataFrame({"clip": [pdf["clip"].iloc[0]], "idtp": [int(sum(table[a, b] for a, b in enumerate(chosen) if b >= 0))]})
+
+    solved = parted.where("_size > 1").select("clip", "part", "gid", "pid", "n").groupBy("clip", "part").applyInPandas(best, f"clip {kind['clip']}, idtp long")
+    idtp = parted.where("_size = 1").select("clip", F.col("n").alias("idtp")).unionByName(solved).groupBy("clip").agg(F.sum("idtp").alias("idtp"))
     out = totals(gt, pred).join(idtp, "clip", "left").na.fill(0, ["idtp"])
     return out.select("clip", "idtp", F.round(ratio(2.0 * F.col("idtp"), F.col("n_gt") + F.col("n_pred")), 4).alias("idf1"))
 

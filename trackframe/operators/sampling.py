@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackframe.operators.catalog import far_enough, in_valid_range
+from trackframe.operators.ranks import placed, seeded
+from trackframe.operators.scratch import written
+
 #: Slots of the unit interval for weighted draws.
 SLOTS = 4096
 
@@ -16,37 +22,76 @@ def uniform(seed: int, *parts) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**8))
 
 
-def draw_candidates(videos: DataFrame, tries: int, duration: float, seed: int) -> DataFrame:
-    """Numbered candidate clips: a video with probability in proportion to its frames, then a start in [5, seconds - duration - 5]."""
+def draw_candidates(videos: DataFrame, tries: int, duration: float, seed: int, after: int = 0) -> DataFrame:
+    """Candidate clips numbered ``after`` + 1 to ``tries``: a video with probability in proportion to its frames, then a start in [5, seconds - duration - 5]."""
     order = Window.orderBy("video")  # a row a video
     w = videos.withColumn("_hi", F.sum("frames").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("frames").over(Window.partitionBy()))
     w = w.select("video", "seconds", ((F.col("_hi") - F.col("frames")) / F.col("_all")).alias("_lo"), (F.col("_hi") / F.col("_all")).alias("_hi"))
     # Both sides meet in slots of the unit interval, so that a try sees only the videos of its slot.
     slot = lambda c: F.floor(F.least(c, F.lit(1 - 1e-12)) * SLOTS)
     w = w.withColumn("_slot", F.explode(F.sequence(slot(F.col("_lo")), slot(F.col("_hi")))))
-    t = videos.sparkSession.range(1, tries + 1).select(F.col("id").alias("try")).withColumns({"_u": uniform(seed, F.col("try"), "video"), "_s": uniform(seed, F.col("try"), "start")})
+    t = videos.sparkSession.range(after + 1, tries + 1).select(F.col("id").alias("try")).withColumns({"_u": uniform(seed, F.col("try"), "video"), "_s": uniform(seed, F.col("try"), "start")})
     picked = t.withColumn("_at", slot(F.col("_u"))).join(w, (F.col("_at") == F.col("_slot")) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
     start = F.lit(5.0) + F.col("_s") * (F.col("seconds") - duration - 10.0)
     return picked.select("try", "video", F.round(start, 6).alias("start_sec"), F.round(start + duration, 6).alias("end_sec"))
 
 
-def accept(candidates: DataFrame, n: int, gap: float) -> DataFrame:
-    """The first ``n`` candidates in order of their number that keep ``gap`` to all accepted before them in their video."""
+class _Taken:
+    """Accepted intervals of a video in order. They never overlap, so a new one can only come too near to its two neighbours."""
+
+    def __init__(self, gap: float):
+        self.gap, self.starts, self.ends = gap, [], []
+
+    def take(self, start: float, end: float) -> bool:
+        at = bisect.bisect_left(self.starts, start)
+        if at and start < self.ends[at - 1] + self.gap or at < len(self.starts) and end > self.starts[at] - self.gap:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
+def accepted(candidates: DataFrame, gap: float) -> DataFrame:
+    """Candidates in order of their number that keep ``gap`` to all accepted before them in their video."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple[float, float]] = []
-        keep = []
-        for i, r in enumerate(pdf.sort_values("try").itertuples(index=False)):
-            ok = all(not (r.start_sec < e + gap and r.end_sec > s - gap) for s, e in taken)
-            keep.append(ok)
-            if ok:
-                taken.append((r.start_sec, r.end_sec))
-        return pdf.sort_values("try")[keep]
-
-    kept = candidates.select("try", "video", "start_sec", "end_sec").groupBy("video").applyInPandas(one, candidates.select("try", "video", "start_sec", "end_sec").schema)
+        taken, rows = _Taken(gap), pdf.sort_values("try")
+        return rows[[taken.take(r.start_sec, r.end_sec) for r in rows.itertuples(index=False)]]
+
+    rows = candidates.select("try", "video", "start_sec", "end_sec")
+    return rows.groupBy("video").applyInPandas(one, rows.schema)
+
+
+def accept(candidates: DataFrame, n: int, gap: float) -> DataFrame:
+    """The first ``n`` accepted candidates."""
+    return accepted(candidates, gap).orderBy("try").limit(n)
+
+
+def sample_clips(videos: DataFrame, n: int, duration: float, seed: int, taken: DataFrame, ranges: DataFrame, anchored: DataFrame, gap: float = 60.0, most: int = 100) -> DataFrame:
+    """``n`` clips (try, video, start_sec, end_sec) that keep ``gap`` to the ``taken`` ones and to each other and lie in a valid range.
+
+    Tries come in rounds that double, from ``n`` on, until ``n`` are accepted or ``most`` times ``n`` are spent. A try depends on earlier ones alone, so
+    rounds give what one long loop gives. Accepted clips of earlier rounds take part in the next one's order with their numbers.
+    """
+    schema = "try long, video string, start_sec double, end_sec double"
+    kept, lo, hi = videos.sparkSession.createDataFrame([], schema), 0, n
+    while lo < most * n:
+        fresh = in_valid_range(far_enough(draw_candidates(videos, hi, duration, seed, lo), taken, gap), ranges, anchored)
+        kept = written(accepted(kept.unionByName(fresh.select(*kept.columns)), gap), "accepted")
+        if kept.count() >= n:
+            break
+        lo, hi = hi, min(2 * hi, most * n)
     return kept.orderBy("try").limit(n)
 
 
+def audit_frames(videos: DataFrame, anchors: DataFrame, n: int, seed: int, grid: int = 100) -> DataFrame:
+    """``n`` seeded frames a video (video, frames) for checking: multiples of ``grid`` that are no anchor of it (video, frame)."""
+    last = F.col("frames") - 1
+    every = videos.where("frames > 0").select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / grid))).alias("_k")).select("video", (F.col("_k") * grid).alias("frame"))
+    free = every.join(anchors.select("video", F.col("frame").cast("long").alias("frame")).distinct(), ["video", "frame"], "left_anti")
+    return placed(free, seeded(seed, F.col("video"), F.col("frame")), F.col("frame"), ["video"]).where(F.col("_r") <= n).select("video", "frame")
+
+
 def segments(spans: DataFrame, n: int, length: int, seed: int) -> DataFrame:
     """``n`` segments of ``length`` frames for each video (video, first, last), without overlap and sorted; as many as fit where fewer do, the whole range where it is shorter.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,7 +54,7 @@ def last_anchor(anchors: DataFrame, probes: DataFrame, value: str) -> DataFrame:
 
 
 def day_offsets(readings: DataFrame) -> DataFrame:
-    """(video, frame, day_offset): one day more from each reading whose time of day ``tod`` falls by over 12 hours; unread rows keep the offset."""
+    """(video, frame, day_offset): one day more from each reading whose time of day ``tod`` falls by over 12 hours; unread rows are left out."""
     order = Window.partitionBy("video").orderBy("frame")
     read = readings.where("tod IS NOT NULL").withColumn("_fall", (F.col("tod") - F.lag("tod").over(order) < -43200).cast("int"))
     return read.withColumn("day_offset", F.coalesce(F.sum("_fall").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("long")).drop("_fall")
@@ -67,11 +67,17 @@ def monotone(anchors: DataFrame) -> DataFrame:
     return known.where("_m IS NULL OR unix > _m").drop("_m")
 
 
+def with_seconds(anchors: DataFrame, fixed: Column) -> DataFrame:
+    """Anchors whose missing time is ``fixed`` where that is known: readings that only lacked their seconds, marked ``seconds`` in ``fix``."""
+    known = F.col("unix").isNull() & fixed.isNotNull()
+    return anchors.withColumns({"unix": F.coalesce("unix", fixed), "fix": F.when(known, "seconds")})
+
+
 def repair(anchors: DataFrame, mode: str = "reference", tolerance: float = 120.0) -> DataFrame:
     """(video, frame, unix, fix): missing times interpolated over the monotone anchors.
 
     reference: known times stay as they are. repair: those off by more than ``tolerance`` seconds are replaced too.
-    With fewer than two clean anchors a video stays unchanged.
+    With fewer than two clean anchors a video stays unchanged. What ``fix`` says already stays for the other rows.
     """
     clean = monotone(anchors)
     enough = clean.groupBy("video").count().where("count >= 2").select("video")
@@ -80,7 +86,7 @@ def repair(anchors: DataFrame, mode: str = "reference", tolerance: float = 120.0
     missing = F.col("unix").isNull() & F.col("_ok")
     off = F.col("_ok") & (F.abs(F.col("unix") - F.col("_line")) > tolerance) if mode == "repair" else F.lit(False)
     fixed = F.coalesce(missing | off, F.lit(False))
-    return rows.select("video", "frame", F.when(fixed, F.col("_line")).otherwise(F.col("unix")).alias("unix"), F.when(fixed & F.col("unix").isNull(), "interpolated").when(fixed, "outlier").alias("fix"))
+    return rows.select("video", "frame", F.when(fixed, F.col("_line")).otherwise(F.col("unix")).alias("unix"), F.when(fixed & F.col("unix").isNull(), "interpolated").when(fixed, "outlier").otherwise(F.col("fix") if "fix" in anchors.columns else F.lit(None)).alias("fix"))
 
 
 def accuracy(checks: DataFrame) -> DataFrame:
@@ -91,15 +97,16 @@ def accuracy(checks: DataFrame) -> DataFrame:
 
 
 def repair_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """By video: missing before and after, filled, recovery in percent, and steps that do not rise after repair."""
+    """By video: missing before and after, repaired by their seconds, interpolated, the share of both in percent (0 where nothing was missing),
+    and steps back in time after repair; equal times are none."""
     order = Window.partitionBy("video").orderBy("frame")
     b = before.groupBy("video").agg(F.count_if(F.col("unix").isNull()).alias("missing_before"))
-    known = after.where("unix IS NOT NULL").withColumn("_bad", (F.col("unix") <= F.lag("unix").over(order)).cast("int"))
+    known = after.where("unix IS NOT NULL").withColumn("_bad", (F.col("unix") < F.lag("unix").over(order)).cast("int"))
     bad = known.groupBy("video").agg(F.coalesce(F.sum("_bad"), F.lit(0)).alias("violations"))
-    a = after.groupBy("video").agg(F.count_if(F.col("unix").isNull()).alias("missing_after"), F.count_if(F.col("fix") == "interpolated").alias("interpolated"))
+    a = after.groupBy("video").agg(F.count_if(F.col("unix").isNull()).alias("missing_after"), F.count_if(F.col("fix") == "seconds").alias("repaired"), F.count_if(F.col("fix") == "interpolated").alias("interpolated"))
     out = b.join(a, "video").join(bad, "video", "left").na.fill(0, ["violations"])
-    percent = F.when(F.col("missing_before") > 0, F.round(100.0 * (F.col("missing_before") - F.col("missing_after")) / F.col("missing_before"), 4)).otherwise(F.lit(100.0))
-    return out.select("video", "missing_before", "missing_after", "interpolated", percent.alias("recovery"), "violations")
+    percent = F.round(100.0 * (F.col("repaired") + F.col("interpolated")) / F.greatest("missing_before", F.lit(1)), 4)
+    return out.select("video", "missing_before", "missing_after", "repaired", "interpolated", percent.alias("recovery"), "violations")
 
 
 def spans(anchors: DataFrame, videos: DataFrame) -> DataFrame:

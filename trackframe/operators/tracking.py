@@ -1,4 +1,4 @@
-"""Order-dependent trackers: small numpy kernels, one clip a group, in batch and as streams."""
+"""Order-dependent trackers: small numpy kernels over frames in order, in batch and as streams; their state is plain numbers."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from trackframe.operators.matching import assign
+from trackframe.operators.scans import scan_frames
 from trackframe.operators.tracks import fill_gaps
+from trackframe.sources.writers import unfinished_rows, write_partitions
 
 
 def iou_table(a: np.ndarray, b: np.ndarray, eps: float = 0.0) -> np.ndarray:
@@ -29,9 +32,17 @@ def best_n(boxes: np.ndarray, conf: np.ndarray, n: int) -> np.ndarray:
 class Slots:
     """Identities 1..n: every frame is matched to the frame before without a limit; leftovers take the lowest free id, else a new one."""
 
+    VISITS, STATE = "once", "ids array<long>, boxes array<double>"
+
     def __init__(self, n: int = 9):
         self.n, self.ids, self.boxes = n, np.zeros(0, int), np.zeros((0, 4))
 
+    def dump(self) -> tuple:
+        return self.ids.tolist(), self.boxes.ravel().tolist()
+
+    def load(self, ids: list, boxes: list) -> None:
+        self.ids, self.boxes = np.array(ids, int), np.array(boxes, float).reshape(-1, 4)
+
     def update(self, boxes: np.ndarray, conf: np.ndarray) -> list[tuple[int, np.ndarray, float]]:
         keep = best_n(boxes, conf, self.n)
         boxes, conf = boxes[keep], conf[keep]
@@ -51,10 +62,18 @@ class Slots:
 class Gated:
     """Optimal matching of at least ``least`` IoU; unmatched tracks end, unmatched boxes get new ids; an empty frame changes nothing."""
 
+    VISITS, STATE = "seen", "next long, ids array<long>, boxes array<double>"
+
     def __init__(self, n: int = 9, least: float = 0.3):
         self.n, self.least, self.next = n, least, 1
         self.ids, self.boxes = np.zeros(0, int), np.zeros((0, 4))
 
+    def dump(self) -> tuple:
+        return self.next, self.ids.tolist(), self.boxes.ravel().tolist()
+
+    def load(self, next_id: int, ids: list, boxes: list) -> None:
+        self.next, self.ids, self.boxes = next_id, np.array(ids, int), np.array(boxes, float).reshape(-1, 4)
+
     def update(self, boxes: np.ndarray, conf: np.ndarray) -> list[tuple[int, np.ndarray, float]]:
         keep = best_n(boxes, conf, self.n)
         boxes, conf = boxes[keep], conf[keep]
@@ -106,12 +125,26 @@ class Filter:
 
 
 class Kalman:
-    """Predict, drop filters unmatched for over ``max_age`` frames, match at ``least`` IoU, update; every live filter is given out."""
+    """Predict, drop filters unmatched for over ``max_age`` frames, match at ``least`` IoU, update; every live filter is given out.
+
+    Only frames with detections count, so that a filter ages by them alone."""
+
+    VISITS, STATE = "seen", "next long, ids array<long>, ages array<long>, x array<double>, covariance array<double>"
 
     def __init__(self, n: int = 9, least: float = 0.2, max_age: int = 5):
         self.n, self.least, self.max_age, self.next = n, least, max_age, 1
         self.live: list[Filter] = []
 
+    def dump(self) -> tuple:
+        return self.next, [f.id for f in self.live], [f.age for f in self.live], [v for f in self.live for v in f.x.tolist()], [v for f in self.live for v in f.P.ravel().tolist()]
+
+    def load(self, next_id: int, ids: list, ages: list, x: list, covariance: list) -> None:
+        self.next, self.live = next_id, []
+        for i, (ident, age) in enumerate(zip(ids, ages)):
+            f = Filter(np.zeros(4), int(ident))
+            f.age, f.x, f.P = int(age), np.array(x[8 * i : 8 * i + 8], float), np.array(covariance[64 * i : 64 * i + 64], float).reshape(8, 8)
+            self.live.append(f)
+
     def update(self, boxes: np.ndarray, conf: np.ndarray) -> list[tuple[int, np.ndarray, float]]:
         keep = best_n(boxes, conf, self.n)
         boxes = boxes[keep]
@@ -135,9 +168,17 @@ class Single:
     """One target: position and velocity, predicted in every frame from the first on. The first detection sets the position alone; later
     ones update. Gives the detection's confidence, or 0.5 when coasting; nothing before the first detection."""
 
+    VISITS, STATE = "all", "x array<double>, covariance array<double>, ready boolean"
+
     def __init__(self) -> None:
         self.x, self.P, self.ready = np.zeros(4), np.eye(4) * 1000.0, False
 
+    def dump(self) -> tuple:
+        return self.x.tolist(), self.P.ravel().tolist(), self.ready
+
+    def load(self, x: list, covariance: list, ready: bool) -> None:
+        self.x, self.P, self.ready = np.array(x, float), np.array(covariance, float).reshape(4, 4), bool(ready)
+
     def update(self, boxes: np.ndarray, conf: np.ndarray) -> list[tuple[int, np.ndarray, float]]:
         move, see = np.eye(4) + np.eye(4, k=2), np.eye(2, 4)
         best = int(np.argmax(conf)) if len(conf) else -1
@@ -165,37 +206,48 @@ def step(tracker, xywh: np.ndarray, conf: np.ndarray) -> list[tuple]:
     return [(i, b[0], b[1], b[2] - b[0], b[3] - b[1], c) for i, b, c in tracker.update(boxes, conf)]
 
 
-def run_frames(tracker, pdf: pd.DataFrame, first: int | None = None) -> list[tuple]:
-    """Every frame from ``first`` (default: the first there is) to the last, in order, empty ones too."""
-    pdf = pdf.sort_values(["frame", "conf", "id"], ascending=[True, False, True])
-    frame, xywh, conf = pdf["frame"].to_numpy(), pdf[["x", "y", "w", "h"]].to_numpy(float), pdf["conf"].to_numpy(float)
-    out: list[tuple] = []
-    first = int(frame[0]) if first is None else first
-    cuts = np.searchsorted(frame, np.arange(first, int(frame[-1]) + 2))
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        out += [(first + k, *r) for r in step(tracker, xywh[a:b], conf[a:b])]
-    return out
-
-
-def run_clip(pdf: pd.DataFrame, method: str, first: int | None = None, **options) -> pd.DataFrame:
-    out = pd.DataFrame(run_frames(METHODS[method](**options), pdf, first), columns=["frame", "id", "x", "y", "w", "h", "conf"])
-    out.insert(0, "clip", pdf["clip"].iloc[0])
-    return out
-
-
-def track(detections: DataFrame, method: str = "gated", max_gap: int | None = None, first: int | None = None, **options) -> DataFrame:
-    """Identities for detections (clip, frame, id as order, box, conf); parallel by clip, from frame ``first`` on (default: the first with a
-    detection). ``max_gap`` fills short gaps afterwards."""
-    kind = detections.schema["clip"].dataType.simpleString()
-    rows = detections.select("clip", "frame", "id", "x", "y", "w", "h", "conf")
-    out = rows.groupBy("clip").applyInPandas(lambda pdf: run_clip(pdf, method, first, **options), OUT.format(kind))
+class Walk:
+    """A tracker's way through the frames of a clip, from ``first`` on (default: the first with a detection).
+
+    ``visit`` tells what happens between two frames with detections: all, the tracker steps through every empty frame; once, through one of them,
+    which is as good where an empty frame clears the state; seen, none. Each method has its own rule, which ``visit`` overrides.
+    """
+
+    def __init__(self, method: str, first: int | None = None, visit: str | None = None, **options):
+        self.tracker = METHODS[method](**options)
+        self.visit = visit or self.tracker.VISITS
+        self.last = None if first is None else first - 1
+
+    def __call__(self, frame: int, columns: list[np.ndarray]) -> list[tuple]:
+        """Rows (frame, id, x, y, w, h, conf) for a frame's x, y, w, h and conf, and for the empty frames before it."""
+        out, frame = [], int(frame)
+        gap = 0 if self.last is None else frame - self.last - 1
+        if gap > 0 and self.visit != "seen":
+            for number in range(self.last + 1, frame if self.visit == "all" else self.last + 2):
+                out += [(number, *r) for r in step(self.tracker, np.zeros((0, 4)), np.zeros(0))]
+        self.last = frame
+        return out + [(frame, *r) for r in step(self.tracker, np.stack(columns[:4], axis=1).astype(float), columns[4])]
+
+
+def track(detections: DataFrame, method: str = "gated", max_gap: int | None = None, first: int | None = None, visit: str | None = None, **options) -> DataFrame:
+    """Identities for detections (clip, frame, id as order, box, conf), from frame ``first`` on (default: the first with a
+    detection). ``max_gap`` fills short gaps afterwards.
+
+    A clip is scanned in order with the tracker's state alone in memory. Clips run in parallel; a method that forgets everything in an empty frame
+    runs in parallel over its runs of consecutive frames as well.
+    """
+    kind, by = detections.schema["clip"].dataType.simpleString(), ["clip"]
+    rows = detections.select("clip", "frame", "id", "x", "y", "w", "h", F.col("conf").cast("double").alias("conf"))
+    schema = OUT.format(kind)
+    if (visit or METHODS[method].VISITS) == "once":
+        rows = rows.withColumn("_run", F.col("frame").cast("long") - F.dense_rank().over(Window.partitionBy("clip").orderBy("frame")))
+        by, schema = ["clip", "_run"], schema.replace(", frame", ", _run long, frame", 1)
+    out = scan_frames(rows, by, ["x", "y", "w", "h", "conf"], lambda key: Walk(method, first, visit, **options), schema, [F.desc("conf"), F.asc("id")]).drop("_run")
     return out if max_gap is None else fill_gaps(out, max_gap, whole=True)
 
 
 def compare(detections: DataFrame, methods: dict[str, dict]) -> DataFrame:
     """Every method over every clip, with its name."""
-    from pyspark.sql import functions as F
-
     parts = [track(detections, **options).select(F.lit(name).alias("method"), "clip", "frame", "id", "x", "y", "w", "h") for name, options in methods.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -203,6 +255,20 @@ def compare(detections: DataFrame, methods: dict[str, dict]) -> DataFrame:
     return out
 
 
+def compare_into(detections: DataFrame, methods: dict[str, dict], path: str, force: bool = False) -> DataFrame:
+    """Every method over every clip, stored below ``path`` by method and clip and read again. What is there already is not computed again unless forced.
+
+    A method is one job, whose clips come whole or not at all, so a run that was lost goes on where it stopped.
+    """
+    for name, options in methods.items():
+        todo = detections.withColumn("method", F.lit(name))
+        todo = (todo if force else unfinished_rows(todo, path, ["method", "clip"])).drop("method")
+        tracks = track(todo, **options).select(F.lit(name).alias("method"), "clip", "frame", "id", "x", "y", "w", "h")
+        write_partitions(tracks, path, ["method", "clip"], ["frame", "id"])
+    kind = detections.schema["clip"].dataType.simpleString()
+    return detections.sparkSession.read.schema(f"method string, clip {kind}, frame long, id long, x double, y double, w double, h double").parquet(path)
+
+
 def score_frames(frames: DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: int = 32) -> DataFrame:
     """Detections of ``detect`` for batches of at most ``batch`` frames; it may keep a model between calls."""
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from trackframe.operators import metrics, tracking
+from trackframe.operators import metrics, runs, tracking
 from trackframe.operators.scratch import shared_path
 from trackframe.plans.fixtures import view
-from trackframe.sources import readers, writers
+from trackframe.sources import readers, versions, writers
 from trackframe.streaming import online
 
-#: Documents that the videos of a table are dealt to.
-DOCUMENTS = 16
+#: Videos that one JSON document holds, more or less: documents grow in number with the table, not in size.
+VIDEOS_A_DOCUMENT = 200
 
 
 def mot_files(s, d):
@@ -29,21 +29,35 @@ def detection_files(s, d):
 
 
 def track_files(s, d):
-    path = shared_path(s, "tracks")
-    writers.write_tracks(view(s, d, "pred").withColumn("filled", F.lit(False)), path)
-    return readers.tracks(s, path, 100, 200, view(s, d, "frames").where("frame % 10 = 0")).groupBy("clip").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n"), F.round(F.sum("conf"), 3).alias("conf"))
+    """Tracks with times written by clip; a second run over all clips adds nothing, a forced one replaces the clips that it has."""
+    path, rows = shared_path(s, "tracks"), view(s, d, "pred").withColumn("filled", F.lit(False))
+    times = view(s, d, "frames").select("clip", "frame", (F.col("frame") * 0.5).alias("unix"))
+    writers.write_tracks(rows.where("clip % 2 = 0"), path, times=times)
+    writers.write_tracks(rows.where("clip % 4 = 0"), path, force=True, times=times)
+    writers.write_tracks(rows, path, times=times)
+    writers.write_tracks(rows, path, times=times)
+    found = readers.tracks(s, path, 100, 200, view(s, d, "frames").where("frame % 10 = 0"))
+    return found.groupBy("clip").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n"), F.round(F.sum("conf"), 3).alias("conf"), F.sum("unix_time").alias("unix"))
+
+
+def mot_row_files(s, d):
+    """The stored form of eight columns, written by clip and read again."""
+    path = shared_path(s, "rows")
+    writers.write_mot_rows(view(s, d, "pred"), path)
+    return readers.mot(s, path).groupBy("clip").agg(F.count("*").alias("n"), F.sum("frame").alias("frames"), F.round(F.sum("conf"), 2).alias("conf"))
 
 
 def documents(rows, key: str, value):
-    """JSON documents that map ``key`` to ``value``, some for the whole table."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(DOCUMENTS))
+    """JSON documents that map ``key`` to ``value``, each for some of the rows."""
+    n = -(-rows.count() // VIDEOS_A_DOCUMENT)
+    bucket = F.pmod(F.xxhash64(key), F.lit(max(n, 1)))
     return rows.groupBy(bucket.alias("b")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), value)))).alias("value")).select("value")
 
 
 def written(s, label: str, docs):
     """One file a document."""
     path = shared_path(s, label)
-    docs.repartition(DOCUMENTS, F.xxhash64("value")).withColumn("n", F.monotonically_increasing_id()).write.partitionBy("n").text(path)
+    docs.withColumn("n", F.monotonically_increasing_id()).write.partitionBy("n").text(path)
     return f"{path}/*"
 
 
@@ -55,9 +69,17 @@ def anchor_files(s, d):
 
 
 def roi_files(s, d):
-    corner = lambda x, y: F.array(F.lit(x) + F.col("clip") % 7, F.lit(y))
-    clips = view(s, d, "frames").select("clip").distinct().withColumn("roi", F.when(F.col("clip") % 3 == 0, F.array(corner(1.0, 2.0), corner(3.0, 4.0), corner(5.0, 6.0))).otherwise(F.array(corner(1.0, 2.0), corner(3.0, 4.0), corner(5.0, 6.0), corner(7.0, 8.0))))
-    return readers.rois(s, written(s, "rois", documents(clips, "clip", F.col("roi")))).select("video", readers.roi_ok(F.col("corners")).alias("ok"), F.round(F.aggregate("corners", F.lit(0.0), lambda a, p: a + p[0]), 6).alias("x"))
+    """Regions entry by entry: some have three corners, some a word for a number, some are no list."""
+    corner = lambda x, y: F.array((F.lit(x) + F.col("clip") % 7).cast("string"), F.lit(y).cast("string"))
+    four = [corner(1.0, 2.0), corner(3.0, 4.0), corner(5.0, 6.0), corner(7.0, 8.0)]
+    odd = F.array(*four[:3], F.array(F.lit("left"), F.lit("8")))
+    text = F.when(F.col("clip") % 3 == 0, F.to_json(F.array(*four[:3]))).when(F.col("clip") % 5 == 0, F.to_json(odd)).when(F.col("clip") % 11 == 0, F.lit('"none"')).otherwise(F.to_json(F.array(*four)))
+    clips = view(s, d, "frames").select("clip").distinct().select("clip", text.alias("roi"))
+    n = -(-clips.count() // VIDEOS_A_DOCUMENT)
+    entry = F.concat(F.lit('"'), F.col("clip").cast("string"), F.lit('": '), "roi")
+    docs = clips.groupBy(F.pmod(F.xxhash64("clip"), F.lit(max(n, 1))).alias("b")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value")).select("value")
+    x = F.round(F.aggregate("corners", F.lit(0.0), lambda a, p: a + F.coalesce(p[0], F.lit(0.0))), 6)
+    return readers.rois(s, written(s, "rois", docs)).select("video", readers.roi_ok(F.col("corners")).alias("ok"), x.alias("x"))
 
 
 def pair_files(s, d):
@@ -90,18 +112,45 @@ def score_files(s, d):
 
 def label_files(s, d):
     path = shared_path(s, "labels")
-    rows = view(s, d, "lines").where("frame % 10 = 0 AND id <= 4").select("clip", F.col("line").alias("value"))
-    rows.write.partitionBy("clip").text(path)
+    view(s, d, "lines").select("clip", F.col("line").alias("value")).repartition("clip").write.partitionBy("clip").text(path)
     return readers.label_lines(s, path).groupBy("clip").agg(F.count("*").alias("n"), F.sum(F.size(F.split("line", " "))).alias("fields"))
 
 
+def metric_files(s, d):
+    """Runs' metrics written as a CSV file a run, with headers that differ, and their best epochs."""
+    path = shared_path(s, "runs")
+    rows = view(s, d, "metrics").select("run", "epoch", F.concat_ws(",", F.col("epoch").cast("string"), F.coalesce(F.nullif("a", F.lit("")), F.col("b"))).alias("line"))
+    head = F.when(F.substring("run", -1, 1).isin("1", "4", "7"), " epoch, metrics/mAP50-95").otherwise("epoch,metrics/mAP50-95(B)")
+    text = rows.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    text.select("run", F.concat(head, F.lit("\n"), "lines").alias("value")).repartition("run").write.partitionBy("run").text(path)
+    score = runs.first_filled("a", "b")
+    found = readers.run_metrics(s, path, "run=*/part-*").select("run", "epoch", F.col("metrics")["metrics/mAP50-95(B)"].alias("a"), F.col("metrics")["metrics/mAP50-95"].alias("b"))
+    return runs.best_epochs(found, score)
+
+
+def keypoint_files(s, d):
+    """Wide keypoint files of the embeddings, two individuals of two points each, read as nested detections."""
+    path, cells = shared_path(s, "keypoints"), []
+    for i in range(4):
+        cells += [F.format_string("%.4f", F.get("embedding", F.lit(3 * i + k)).cast("double")) for k in range(3)]
+    rows = s.read.parquet(f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / 500).alias("file"), "vec_id", F.concat_ws(",", F.col("vec_id").cast("string"), *cells).alias("line"))
+    head = ["scorer" + ",net" * 12, "individuals" + ",zoe" * 6 + ",amy" * 6, "bodyparts" + (",tail" * 3 + ",nose" * 3) * 2, "coords" + ",x,y,likelihood" * 4]
+    text = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    text.select("file", F.concat(F.lit("\n".join(head) + "\n"), "lines").alias("value")).repartition("file").write.partitionBy("file").text(path)
+    points = readers.keypoint_detections(s, f"{path}/file=*").select(F.col("frame").alias("vec_id"), "track_id", F.posexplode("keypoints").alias("place", "k"))
+    return points.select("vec_id", "track_id", "place", "k.label", "k.x", "k.y", "k.likelihood")
+
+
 def provenance(s, d):
-    """Rows with where they come from, written once: a second write is refused unless forced."""
-    path = shared_path(s, "guarded")
-    rows = writers.with_provenance(view(s, d, "clips").select("clip_id", "chamber"), run="r1", wave="w")
-    writers.write_guarded(rows, path, partition_by=["chamber"])
-    writers.write_guarded(rows, path, force=True, partition_by=["chamber"])
-    return writers.run_summary(s.read.parquet(path).withColumn("chamber", F.col("chamber").cast("string")), ["run", "wave"])
+    """Runs entered at their start and finished with an end and the outcomes of their inputs, and rows that say which run made them."""
+    path, table = shared_path(s, "guarded"), shared_path(s, "runs")
+    rows = view(s, d, "clips").select("clip_id", "chamber", F.when(F.col("clip_id") % 7 == 0, "failed").when(F.col("clip_id") % 5 == 0, "skipped").otherwise("ok").alias("status"))
+    for run in ("r1", "r2"):
+        versions.start_run(s, table, run, "2024-01-01T00:00:00", wave="w")
+    writers.write_guarded(writers.with_provenance(rows, run="r1"), path, partition_by=["chamber"])
+    versions.finish_run(s, table, "r1", "2024-01-01T01:00:00", s.read.parquet(path))
+    made = writers.run_summary(s.read.parquet(path), ["run"])
+    return versions.read_version(s, table).join(made, "run", "left").select("run", "wave", "started_at", "ended_at", "n_ok", "n_failed", "n_skipped", "n_rows")
 
 
 def range_files(s, d):
@@ -112,8 +161,12 @@ def range_files(s, d):
 
 
 def changed_rows(s, d):
-    """One row's field changed in a table."""
-    return writers.update_rows(view(s, d, "clips").select("clip_id", "chamber", "wave"), "clip_id", 4, wave="moved")
+    """A table changed in place: a row's field, then rows by key over it; both read the table that they write."""
+    path = shared_path(s, "changed")
+    versions.write_version(view(s, d, "clips").select("clip_id", "chamber", "wave"), path)
+    versions.update_in(s, path, "clip_id", 4, wave="moved")
+    versions.upsert_into(versions.read_version(s, path).where("clip_id % 6 = 0").withColumn("chamber", F.lit("new")), path, ["clip_id"])
+    return versions.read_version(s, path)
 
 
 def appended_manifest(s, d):
@@ -145,9 +198,13 @@ def rebuilt_index(s, d):
 
 
 def written_dataset(s, d):
-    """A dataset's manifest in a folder a split, and its counts as written."""
-    rows = view(s, d, "frames").withColumn("split", F.when(F.col("frame") % 5 == 0, "val").otherwise("train"))
-    return writers.write_dataset(rows, shared_path(s, "dataset"))
+    """A dataset's manifest in a folder a split, its counts as written, and how many links have their own name."""
+    rows = view(s, d, "frames").select("clip", "frame", F.lit("ch").alias("chamber"), F.lit("w").alias("wave"), F.when(F.col("frame") % 5 == 0, "val").otherwise("train").alias("split"))
+    path = shared_path(s, "dataset")
+    counts = writers.write_dataset(rows, path, ["mouse"], '{"name": "full"}')
+    links = s.read.parquet(f"{path}/manifest").groupBy("split").agg(F.countDistinct("link").alias("links"))
+    record = s.read.json(f"{path}/dataset").select(F.col("classes")[0].alias("class"), "recipe_hash")
+    return counts.join(links, "split").crossJoin(record)  # one record
 
 
 def listed_files(s, d):
@@ -165,15 +222,23 @@ def batched_scores(s, d):
 
 def detections_stream(s, d, label: str):
     path = shared_path(s, label)
-    view(s, d, "pred").select(*(F.col(c).cast("long").alias(c) for c in ("clip", "frame", "id")), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "conf"))).write.parquet(path)
+    rows = view(s, d, "pred").select(*(F.col(c).cast("long").alias(c) for c in ("clip", "frame", "id")), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "conf")))
+    rows.repartition("clip").write.parquet(path)
     return online.live_frames(s, path, files_per_trigger=1_000_000)
 
 
 def newest_frames(s, d):
-    """Live detections whose whole backlog comes in one trigger: the newest frame of each clip is left."""
+    """Live detections whose whole backlog comes in one trigger: the newest frame of each clip is given out, all others are counted."""
     target = shared_path(s, "newest")
-    online.collect_newest(detections_stream(s, d, "live"), target, shared_path(s, "newest-state"))
-    return s.read.schema(online.DETECTIONS).parquet(target).select("clip", "frame", "id", "conf")
+    online.collect_new(online.newest(detections_stream(s, d, "live")), target, shared_path(s, "newest-state"))
+    return s.read.parquet(target).select("clip", "frame", "id", "conf", "counter", "dropped")
+
+
+def every_frame(s, d):
+    """The same with every frame given out and numbered."""
+    target = shared_path(s, "every")
+    online.collect_new(online.newest(detections_stream(s, d, "live"), "all"), target, shared_path(s, "every-state"))
+    return s.read.parquet(target).groupBy("clip").agg(F.count("*").alias("n"), F.max("counter").alias("counter"), F.max("dropped").alias("dropped"))
 
 
 def streamed_tracks(s, d):
@@ -183,26 +248,70 @@ def streamed_tracks(s, d):
     return s.read.parquet(target).select("clip", "frame", "id", *(F.round(c, 4).alias(c) for c in "xywh"))
 
 
+def streamed_top(s, d):
+    """How many rows of each clip a stream of detections brings, the stream read as a source on its own."""
+    target = shared_path(s, "source")
+    online.collect_new(detections_stream(s, d, "live").select("clip", "frame", "conf"), target, shared_path(s, "source-state"))
+    return s.read.parquet(target).groupBy("clip").agg(F.count("*").alias("n"), F.max("frame").alias("last"), F.round(F.sum("conf"), 3).alias("conf"))
+
+
+def collected_batches(s, d):
+    """Batches taken in two runs of which the second brings the first's again, then the gaps by wave and split."""
+    path, target, state = shared_path(s, "batches"), shared_path(s, "collected"), shared_path(s, "collected-state")
+    rows = view(s, d, "clips").select(F.col("chamber").alias("source"), "wave", F.col("layout").alias("split"), F.col("video").alias("batch"), "clip_id")
+    for part in (rows.where("batch < 'vid_2'"), rows):
+        part.write.mode("append").parquet(path)
+        stream = s.readStream.schema(rows.schema).parquet(path)
+        online.collect_batches(stream, target, state)
+    expected = rows.select("wave", "split").distinct().unionByName(rows.select("wave", F.lit("extra").alias("split")).distinct())
+    taken = s.read.parquet(f"{target}/rows").groupBy("wave", "split").agg(F.count("*").alias("rows"), F.countDistinct("clip_id").alias("clips"))
+    return online.finalise(s, target, expected).join(taken, ["wave", "split"], "left")
+
+
+def compared_methods(s, d):
+    """Two methods over all clips, stored by method and clip in two runs; the second computes only what the first lacks."""
+    path, methods = shared_path(s, "compared"), {"gated": {"method": "gated"}, "slots": {"method": "slots"}}
+    tracking.compare_into(view(s, d, "pred").where("clip % 2 = 0"), methods, path)
+    return tracking.compare_into(view(s, d, "pred"), methods, path).groupBy("method", "clip").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+def registered_methods(s, d):
+    """Every tracker of the registry over all clips: frames and boxes that each gives."""
+    out = None
+    for name in tracking.METHODS:
+        rows = tracking.track(view(s, d, "pred"), name).groupBy(F.lit(name).alias("method")).agg(F.countDistinct("clip", "frame").alias("frames"), F.count("*").alias("boxes"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 QUERIES = {
     "s1_mot_files": (mot_files, "SELECT CAST(clip AS STRING) AS clip, count(*) AS n, sum(frame) AS frames, sum(x) AS x, sum(w) AS w FROM {pred} p GROUP BY clip"),
     "s3_detection_files": (detection_files, "SELECT CAST(clip AS STRING) AS clip, count(*) AS n, CAST(min(frame) AS INT) AS first, sum(x + w) AS x2, round(sum(conf), 4) AS conf FROM {pred} p GROUP BY clip"),
-    "s5_track_range": (track_files, "SELECT CAST(clip AS INT) AS clip, CAST(min(frame) AS INT) AS first, CAST(max(frame) AS INT) AS last, count(*) AS n, round(sum(conf), 3) AS conf FROM {pred} p WHERE frame BETWEEN 100 AND 200 AND frame % 10 = 0 GROUP BY clip"),
+    "s5_track_range": (track_files, "SELECT CAST(p.clip AS INT) AS clip, CAST(min(frame) AS INT) AS first, CAST(max(frame) AS INT) AS last, count(*) AS n, round(sum(conf), 3) AS conf, sum(frame) * 0.5::DOUBLE AS unix FROM {pred} p WHERE frame BETWEEN 100 AND 200 AND frame % 10 = 0 AND (clip, frame) IN (SELECT (clip, frame) FROM {frames} f) GROUP BY clip"),
+    "s2_row_files": (mot_row_files, "SELECT CAST(clip AS STRING) AS clip, count(*) AS n, sum(frame) AS frames, round(sum(conf), 2) AS conf FROM {pred} p GROUP BY clip"),
+    "s12_metric_files": (metric_files, "SELECT run, epoch, score FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, epoch) AS r FROM (SELECT run, CAST(epoch AS INT) AS epoch, TRY_CAST(CASE WHEN coalesce(nullif(a, ''), b) = '' THEN '0' ELSE coalesce(nullif(a, ''), b) END AS DOUBLE) AS score FROM {metrics} m) y WHERE score > -1) z WHERE r = 1"),
+    "s15_keypoint_files": (keypoint_files, "SELECT vec_id, CAST(t + 1 AS INT) AS track_id, CAST(k AS INT) AS place, CASE k WHEN 0 THEN 'tail' ELSE 'nose' END AS label, CAST(printf('%.4f', embedding[6 * t + 3 * k + 1]::DOUBLE) AS DOUBLE) AS x, CAST(printf('%.4f', embedding[6 * t + 3 * k + 2]::DOUBLE) AS DOUBLE) AS y, CAST(printf('%.4f', embedding[6 * t + 3 * k + 3]::DOUBLE) AS DOUBLE) AS likelihood FROM embeddings, range(0, 2) a(t), range(0, 2) b(k)"),
     "s6_anchor_files": (anchor_files, "SELECT CAST(video AS STRING) AS video, count(*) AS n, sum(frame) AS frames, round(sum(unix) / count(*), 2) AS unix FROM {known} k GROUP BY video HAVING count(*) >= 2"),
-    "s7_roi_files": (roi_files, "SELECT CAST(clip AS STRING) AS video, clip % 3 <> 0 AS ok, CASE WHEN clip % 3 = 0 THEN 9 + 3 * (clip % 7) ELSE 16 + 4 * (clip % 7) END::DOUBLE AS x FROM (SELECT DISTINCT clip FROM {frames} f) z"),
+    "s7_roi_files": (roi_files, "SELECT CAST(clip AS STRING) AS video, clip % 3 <> 0 AND clip % 5 <> 0 AND clip % 11 <> 0 AS ok, CASE WHEN clip % 3 = 0 OR clip % 5 = 0 THEN 9 + 3 * (clip % 7) WHEN clip % 11 = 0 THEN NULL ELSE 16 + 4 * (clip % 7) END::DOUBLE AS x FROM (SELECT DISTINCT clip FROM {frames} f) z"),
     "s9_pair_files": (pair_files, "SELECT sum(n) AS n, max(n) - 1 AS last, round(sum(s), 2) AS seconds FROM (SELECT count(*) AS n, sum(end_ts - start_ts) AS s FROM {stimuli} s GROUP BY grp) z"),
     "s11_manifest_files": (manifest_files, "SELECT chamber, '' AS wave, CASE WHEN clip_id % 2 = 0 THEN 'ok' ELSE '' END AS notes, count(*) AS n, sum(start_sec) AS seconds FROM {clips} c GROUP BY ALL"),
-    "s13_label_files": (label_files, "SELECT 'clip=' || CAST(clip AS STRING) AS clip, count(*) AS n, sum(len(string_split(line, ' '))) AS fields FROM {lines} l WHERE frame % 10 = 0 AND id <= 4 GROUP BY clip"),
+    "s13_label_files": (label_files, "SELECT 'clip=' || CAST(clip AS STRING) AS clip, count(*) AS n, sum(len(string_split(line, ' '))) AS fields FROM {lines} l GROUP BY clip"),
     "s16_metadata_files": (metadata_files, "SELECT 'exp' || CAST(c_custkey AS STRING) AS experiment_name, CAST(nation AS BIGINT) AS n_clips, CAST(NULL AS STRING) AS notes FROM {customers} c"),
     "s17_score_files": (score_files, None),
-    "m8_provenance": (provenance, "SELECT 'r1' AS run, 'w' AS wave, count(*) AS n_rows FROM {clips} c"),
+    "m8_provenance": (provenance, "SELECT 'r1' AS run, 'w' AS wave, '2024-01-01T00:00:00' AS started_at, '2024-01-01T01:00:00' AS ended_at, count(*) FILTER (clip_id % 7 <> 0 AND clip_id % 5 <> 0) AS n_ok, count(*) FILTER (clip_id % 7 = 0) AS n_failed, count(*) FILTER (clip_id % 7 <> 0 AND clip_id % 5 = 0) AS n_skipped, count(*) AS n_rows FROM {clips} c UNION ALL SELECT 'r2', 'w', '2024-01-01T00:00:00', '', 0, 0, 0, NULL"),
     "s8_range_files": (range_files, "SELECT video, range_start, range_end FROM {ranges} r"),
-    "m3_changed_rows": (changed_rows, "SELECT clip_id, chamber, CASE WHEN clip_id = 4 THEN 'moved' ELSE wave END AS wave FROM {clips} c"),
+    "m3_changed_rows": (changed_rows, "SELECT clip_id, CASE WHEN clip_id % 6 = 0 THEN 'new' ELSE chamber END AS chamber, CASE WHEN clip_id = 4 THEN 'moved' ELSE wave END AS wave FROM {clips} c"),
     "s10_appended_manifest": (appended_manifest, "SELECT chamber, count(*) AS n FROM {clips} c GROUP BY chamber"),
     "m4_guarded": (guarded, "SELECT chamber, count(*) AS n, true AS refused FROM {clips} c GROUP BY chamber"),
     "m2_rebuilt_index": (rebuilt_index, "SELECT experiment_name, CAST(max(n_clips) AS BIGINT) AS n_clips FROM (SELECT 'exp' || CAST(c_custkey % 500 AS STRING) AS experiment_name, c_custkey % 40 AS n_clips FROM {customers} c WHERE c_custkey % 7 <> 0) z GROUP BY experiment_name"),
-    "m5_written_dataset": (written_dataset, "SELECT CASE WHEN frame % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM {frames} f GROUP BY 1"),
+    "m5_written_dataset": (written_dataset, """SELECT CASE WHEN frame % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n, count(*) AS links, 'mouse' AS class, sha256('{"name":"full"}') AS recipe_hash FROM {frames} f GROUP BY 1"""),
     "s14_listed_files": (listed_files, "SELECT DISTINCT CAST(clip AS STRING) AS clip FROM {frames} f"),
     "d1_batched_scores": (batched_scores, "SELECT CAST(clip AS BIGINT) AS clip, CAST(frame AS BIGINT) AS frame, frame * 2.0::DOUBLE AS x, (frame % 10) / 10 AS conf FROM {frames} f"),
-    "x1_newest_frames": (newest_frames, "SELECT clip, frame, id, conf FROM (SELECT *, max(frame) OVER (PARTITION BY clip) AS top FROM {pred} p) z WHERE frame = top"),
+    "x1_newest_frames": (newest_frames, "SELECT clip, frame, id, conf, 1::BIGINT AS counter, frames - 1 AS dropped FROM (SELECT p.*, top, frames FROM {pred} p JOIN (SELECT clip, max(frame) AS top, count(DISTINCT frame) AS frames FROM {pred} q GROUP BY clip) t ON t.clip = p.clip) z WHERE frame = top"),
+    "x1_every_frame": (every_frame, "SELECT clip, count(*) AS n, count(DISTINCT frame) AS counter, 0::BIGINT AS dropped FROM {pred} p GROUP BY clip"),
+    "s20_streamed_source": (streamed_top, "SELECT clip, count(*) AS n, max(frame) AS last, round(sum(conf), 3) AS conf FROM {pred} p GROUP BY clip"),
+    "x4_collected_batches": (collected_batches, "WITH b AS (SELECT wave, layout AS split, count(DISTINCT (chamber, video)) AS n, count(*) AS rows, count(DISTINCT clip_id) AS clips FROM {clips} c GROUP BY wave, layout) SELECT wave, split, n, false AS missing, rows, clips FROM b UNION ALL SELECT DISTINCT wave, 'extra', 0, true, NULL::BIGINT, NULL::BIGINT FROM b"),
+    "q9_compared_methods": (compared_methods, None),
+    "d3_registered_methods": (registered_methods, None),
     "x3_streamed_tracks": (streamed_tracks, None),
 }

@@ -33,7 +33,7 @@ WHEN 10 THEN T12(ts) || ' EST' WHEN 11 THEN T24(ts) WHEN 12 THEN S12(ts) || '  E
     "images": "SELECT 'c' || CAST(clip AS STRING) AS clip, 'f' || CAST(frame AS STRING) AS stem, CASE frame % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' WHEN 2 THEN 'jpeg' ELSE 'bmp' END AS ext FROM {frames} f WHERE frame % 97 <> 0 UNION ALL SELECT 'c' || CAST(clip AS STRING), 'f' || CAST(frame AS STRING), 'png' FROM {frames} f WHERE frame % 5 = 0 AND frame % 4 <> 0 AND frame % 97 <> 0",
     "labels_of": "SELECT 'c' || CAST(clip AS STRING) AS clip, 'f' || CAST(frame AS STRING) AS stem, frame FROM {frames} f WHERE frame % 7 <> 0",
     "lines": "SELECT clip, frame, id, CASE q % 29 WHEN 1 THEN '0 0.5 0.5 0.1' WHEN 2 THEN '0 0.5 word 0.1 0.1' WHEN 3 THEN '7 0.5 0.5 0.1 0.1' WHEN 4 THEN '0 1.5 0.5 0.1 0.1' ELSE '0 0.25 0.5 0.125 0.125' END AS line, q FROM {gt} g",
-    "metrics": "SELECT 'run' || CAST(run AS STRING) AS run, epoch, CASE WHEN run % 3 = 0 THEN '' ELSE score END AS a, CASE WHEN run % 3 = 0 THEN score ELSE '' END AS b FROM (SELECT l_suppkey AS run, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS epoch, CASE WHEN l_quantity = 13 THEN ' ' ELSE CAST(CAST(round(l_discount*100) AS INT) AS STRING) END AS score FROM {lineitem}) m",
+    "metrics": "SELECT 'run' || CAST(run AS STRING) AS run, epoch, CASE WHEN run % 3 = 0 THEN '' ELSE score END AS a, CASE WHEN run % 3 = 0 THEN score ELSE '' END AS b FROM (SELECT l_suppkey AS run, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS epoch, CASE WHEN l_quantity = 13 THEN ' ' WHEN l_quantity = 14 THEN '' ELSE CAST(CAST(round(l_discount*100) AS INT) AS STRING) END AS score FROM {lineitem}) m",
     "totals_of": "SELECT l_suppkey AS candidate, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS quality, CAST(count(*) AS DOUBLE) AS cost, CAST(1 AS DOUBLE) AS fixed FROM {lineitem} GROUP BY l_suppkey",
     "old_catalog": "SELECT p_name || CAST(p_partkey AS STRING) AS path, CAST(p_size AS BIGINT) AS size, p_partkey % 8 = 0 AS missing FROM {part} WHERE p_partkey % 10 <> 0",
     "new_listing": "SELECT p_name || CAST(p_partkey AS STRING) AS path, CAST(p_size + 1 AS BIGINT) AS size, p_partkey % 33 <> 0 AS readable FROM {part} WHERE p_partkey % 10 <> 1",
@@ -41,6 +41,13 @@ WHEN 10 THEN T12(ts) || ' EST' WHEN 11 THEN T24(ts) WHEN 12 THEN S12(ts) || '  E
     "meta": "SELECT DISTINCT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) AS dir, 'experiment' AS kind FROM {part} WHERE p_size % 2 = 0 UNION SELECT DISTINCT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) || '/phase1', 'batch' FROM {part} WHERE p_size % 5 = 0",
     "experiments": "SELECT DISTINCT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) AS dir, p_brand AS root, 'collective' AS chamber_type, 'exp' || CAST(p_size AS STRING) AS name FROM {part} WHERE p_size % 2 = 0",
     "runs_of": "SELECT DISTINCT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) || '/phase1' AS dir, p_brand AS root, 'collective' AS chamber_type, 'exp' || CAST(p_size + 1 AS STRING) AS experiment_name FROM {part} WHERE p_size % 3 = 0",
+    "traced": """SELECT DISTINCT path, CAST(is_dir = 1 AS BOOLEAN) AS is_dir FROM (SELECT path, 0 AS is_dir FROM {artifacts} a
+UNION ALL SELECT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) || '/phase1/out' || CAST(p_partkey % 9 AS STRING) || '/tracks.' || CASE p_partkey % 3 WHEN 0 THEN 'parquet' WHEN 1 THEN 'TXT' ELSE 'png' END, 0 FROM {part}
+UNION ALL SELECT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) || '/phase1/_meta.json', 0 FROM {part}
+UNION ALL SELECT '/ws/' || p_brand || '/models/exp' || CAST(p_size AS STRING) || '/eval/ds/eval_config.yaml', 0 FROM {part}
+UNION ALL SELECT '/ws/' || p_brand || '/sets/d' || CAST(p_size AS STRING) || '/manifest.csv', 0 FROM {part}
+UNION ALL SELECT '/ws/' || p_brand || '/sets/d' || CAST(p_size AS STRING), 1 FROM {part}) z""",
+    "datasets": "SELECT DISTINCT '/ws/' || p_brand || '/sets/d' || CAST(p_size AS STRING) AS dir FROM {part} WHERE p_size % 3 = 0",
     "videos": "SELECT video, count(*) * 900 AS frames, CAST(count(*) * 30 AS DOUBLE) AS seconds, CAST(min(clip_id) % 2 * 30 AS DOUBLE) AS fps FROM {clips} c GROUP BY video",
     "customers": "SELECT c_custkey, 'Cam' || CAST(c_custkey AS STRING) || CASE c_custkey % 5 WHEN 0 THEN '_RGB' WHEN 1 THEN '_IR' WHEN 2 THEN '_RGB_IR' WHEN 3 THEN '_Bird' ELSE '' END || '.mkv' AS file, c_nationkey AS nation FROM {customer}",
 }

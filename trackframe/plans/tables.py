@@ -33,6 +33,16 @@ def typed(s, d):
     return e.select("event_id", t.user_time(F.concat(F.lit(" "), text), "UTC").alias("unix"))
 
 
+def lost_seconds(s, d):
+    """Anchors of which half of those without a time had only lost their seconds."""
+    e = s.read.parquet(f"{d}/events.parquet").select("event_id", (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000) * 60.0).alias("minute"))
+    a = view(s, d, "anchors").join(e, "event_id")
+    return timemap.with_seconds(a, F.when(F.col("event_id") % 34 == 0, F.col("minute"))).select("video", "frame", "unix", "fix")
+
+
+LOST = "ax AS (SELECT a.video, a.frame, a.unix AS was, coalesce(a.unix, CASE WHEN a.event_id % 34 = 0 THEN floor(epoch(e.ts) / 60) * 60 END) AS unix FROM {anchors} a JOIN {events} e ON e.event_id = a.event_id)"
+
+
 def accuracy_checks(s, d):
     a = view(s, d, "known")
     return a.select(F.col("video") % 50, (F.pmod(F.col("event_id") * 7, F.lit(41)) / 10 - 2.0).alias("delta")).toDF("video", "delta")
@@ -97,14 +107,14 @@ def catalog_rows(s, d):
     return catalog.reconcile(view(s, d, "old_catalog"), view(s, d, "new_listing"))
 
 
-RECON = "SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL OR NOT n.readable THEN coalesce(o.size, n.size) ELSE n.size END AS size, n.path IS NULL OR NOT n.readable AS missing, CASE WHEN n.path IS NULL THEN 'missing' WHEN NOT n.readable THEN 'unreadable' WHEN o.path IS NULL THEN 'new' ELSE 'refreshed' END AS status, (n.path IS NULL OR NOT n.readable) AND NOT coalesce(o.missing, false) AS newly_missing FROM {old_catalog} o FULL JOIN {new_listing} n ON o.path = n.path"
+RECON = "SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL OR NOT n.readable THEN o.size ELSE n.size END AS size, n.path IS NULL OR NOT n.readable AS missing, CASE WHEN n.path IS NULL THEN 'missing' WHEN NOT n.readable THEN 'unreadable' WHEN o.path IS NULL THEN 'new' ELSE 'refreshed' END AS status, n.path IS NULL AND NOT coalesce(o.missing, false) AS newly_missing FROM {old_catalog} o FULL JOIN {new_listing} n ON o.path = n.path"
 
 
 def best_runs(s, d):
     return runs.best_epochs(view(s, d, "metrics"), runs.first_filled("a", "b"))
 
 
-BEST = "be AS (SELECT run, epoch, score FROM (SELECT run, epoch, TRY_CAST(coalesce(nullif(trim(a), ''), nullif(trim(b), '')) AS DOUBLE) AS score, row_number() OVER (PARTITION BY run ORDER BY TRY_CAST(coalesce(nullif(trim(a), ''), nullif(trim(b), '')) AS DOUBLE) DESC NULLS LAST, epoch) AS r FROM {metrics} m) z WHERE r = 1 AND score > -1)"
+BEST = "be AS (SELECT run, epoch, score FROM (SELECT run, epoch, CASE WHEN coalesce(nullif(a, ''), b) = '' THEN 0 ELSE TRY_CAST(coalesce(nullif(a, ''), b) AS DOUBLE) END AS score, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN coalesce(nullif(a, ''), b) = '' THEN 0 ELSE TRY_CAST(coalesce(nullif(a, ''), b) AS DOUBLE) END DESC NULLS LAST, epoch) AS r FROM {metrics} m) z WHERE r = 1 AND score > -1)"
 HEX = "CAST(('0x' || substr(md5('9|' || CAST(i AS STRING) || '|WHAT'), 1, 8)) AS BIGINT)::DOUBLE / 4294967296"
 
 BATCH = "chamber AS source, wave, layout AS split, video AS batch"
@@ -201,8 +211,13 @@ SELECT a.video, a.frame, round(CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHE
         "SELECT video, count(*) AS n, round(avg(abs(delta)), 6) AS mean_abs, round(quantile_cont(abs(delta), 0.5), 6) AS median_abs, round(max(abs(delta)), 6) AS max_abs, round(avg(CAST(abs(delta) < 2 AS INT)), 6) AS share_ok, CASE WHEN avg(CAST(abs(delta) < 2 AS INT)) >= 0.95 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT video % 50 AS video, (event_id * 7 % 41)::DOUBLE / 10 - 2 AS delta FROM {known} k) z GROUP BY video",
     ),
     "a18_repair_report": (
-        lambda s, d: timemap.repair_report(view(s, d, "anchors"), timemap.repair(view(s, d, "anchors"))).select("video", "missing_before", "missing_after", "interpolated", "recovery"),
-        "WITH mo AS (SELECT video, count(*) AS n FROM (SELECT *, max(unix) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {known} k) z WHERE m IS NULL OR unix > m GROUP BY video), b AS (SELECT a.video, count(*) FILTER (unix IS NULL) AS missing_before, any_value(coalesce(n, 0)) AS n FROM {anchors} a LEFT JOIN mo ON mo.video = a.video GROUP BY a.video) SELECT video, missing_before, CASE WHEN n >= 2 THEN 0 ELSE missing_before END AS missing_after, CASE WHEN n >= 2 THEN missing_before ELSE 0 END AS interpolated, CASE WHEN missing_before = 0 OR n >= 2 THEN 100.0 ELSE 0.0 END AS recovery FROM b",
+        lambda s, d: timemap.repair_report(view(s, d, "anchors"), timemap.repair(lost_seconds(s, d))),
+        f"""WITH {LOST}, mo AS (SELECT video, frame, unix FROM (SELECT *, max(unix) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ax WHERE unix IS NOT NULL) z WHERE m IS NULL OR unix > m),
+seg AS (SELECT video, frame AS p, unix AS v, lead(frame) OVER o AS p2, lead(unix) OVER o AS v2, min(frame) OVER (PARTITION BY video) AS lo, count(*) OVER (PARTITION BY video) AS n FROM mo WINDOW o AS (PARTITION BY video ORDER BY frame)),
+af AS (SELECT a.video, a.frame, was, a.unix AS known, CASE WHEN a.unix IS NULL AND n >= 2 THEN CASE WHEN a.frame < lo OR p2 IS NULL THEN v ELSE v + (v2 - v) * (a.frame - p) / (p2 - p) END ELSE a.unix END AS unix FROM ax a LEFT JOIN seg ON seg.video = a.video AND ((a.frame >= p AND (p2 IS NULL OR a.frame < p2)) OR (a.frame < lo AND p = lo))),
+st AS (SELECT video, count(*) FILTER (unix < before) AS violations FROM (SELECT video, unix, lag(unix) OVER (PARTITION BY video ORDER BY frame) AS before FROM af WHERE unix IS NOT NULL) z GROUP BY video)
+SELECT af.video, count(*) FILTER (was IS NULL) AS missing_before, count(*) FILTER (unix IS NULL) AS missing_after, count(*) FILTER (was IS NULL AND known IS NOT NULL) AS repaired, count(*) FILTER (known IS NULL AND unix IS NOT NULL) AS interpolated, round(100.0::DOUBLE * count(*) FILTER (was IS NULL AND unix IS NOT NULL) / greatest(count(*) FILTER (was IS NULL), 1), 4) AS recovery, any_value(coalesce(violations, 0)) AS violations
+FROM af LEFT JOIN st ON st.video = af.video GROUP BY af.video""",
     ),
     "a20_spans": (
         lambda s, d: timemap.spans(view(s, d, "known"), view(s, d, "known").groupBy("video").agg((F.max("frame") - 249).alias("total_frames"))).select("video", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("hours", 4).alias("hours"), "n_samples"),
@@ -231,7 +246,7 @@ SELECT video, round(min_by(u, frame), 3) AS start, round(max_by(u, frame), 3) AS
         "WITH z AS (SELECT grp, start_ts, end_ts, unnest(generate_series(CAST(floor(start_ts / 86400) AS BIGINT), CAST(floor(end_ts / 86400) AS BIGINT))) AS k FROM {valid} v), r AS (SELECT grp, DATE '1970-01-01' + CAST(k AS INT) AS day, round(greatest(start_ts - k * 86400, 0) / 3600, 6) AS from_hour, round(least(end_ts - k * 86400, 86400) / 3600, 6) AS to_hour FROM z) SELECT * FROM r WHERE to_hour > from_hour",
     ),
     "a13_interval_summary": (
-        lambda s, d: onsets(s, d).groupBy("grp").agg(*(F.count_if(F.col("interval") == k).alias(k) for k in ("skip", "cluster", "drift", "normal")), F.count_if(F.col("kind") == "pre_reboot").alias("pre_reboot"), F.round(F.avg(F.when(F.col("interval") != "skip", F.col("seconds"))), 6).alias("mean")),
+        lambda s, d: intervals.interval_summary(onsets(s, d)),
         f"WITH {KINDS} SELECT grp, " + ", ".join(f"count(*) FILTER (interval = '{k}') AS {k}" for k in ("skip", "cluster", "drift", "normal")) + ", count(*) FILTER (kind = 'pre_reboot') AS pre_reboot, round(avg(seconds) FILTER (interval <> 'skip'), 6) AS mean FROM oc GROUP BY grp",
     ),
     "a14_duration_summary": (
@@ -248,12 +263,12 @@ SELECT video, round(min_by(u, frame), 3) AS start, round(max_by(u, frame), 3) AS
         "SELECT c_custkey, CASE WHEN lower(file) LIKE '%ir%' AND lower(file) NOT LIKE '%rgb%' THEN 'ir' ELSE 'rgb' END AS a, CASE WHEN lower(file) LIKE '%rgb%' THEN 'rgb' WHEN lower(file) LIKE '%ir%' THEN 'ir' ELSE 'unknown' END AS b FROM {customers} c",
     ),
     "p7_names": (
-        lambda s, d: view(s, d, "clips").select("clip_id", t.clip_name(F.col("chamber"), F.col("wave"), t.stem(F.col("source_video")), F.col("start_sec"), True).alias("name"), t.frame_stem(F.col("video"), F.col("clip_id") % 1000000).alias("frame")),
-        "SELECT clip_id, chamber || '_' || wave || '_' || replace(source_video, '.mkv', '') || '_s' || CAST(CAST(start_sec AS INT) AS STRING) || '_transformed.mp4' AS name, video || '_f' || lpad(CAST(clip_id % 1000000 AS STRING), 6, '0') AS frame FROM {clips} c",
+        lambda s, d: view(s, d, "clips").select("clip_id", t.clip_name(F.col("chamber"), F.col("wave"), t.stem(F.col("source_video")), F.col("start_sec"), True).alias("name"), t.frame_stem(F.col("video"), F.col("clip_id") * 37).alias("frame")),
+        "SELECT clip_id, chamber || '_' || wave || '_' || replace(source_video, '.mkv', '') || '_s' || CAST(CAST(start_sec AS INT) AS STRING) || '_transformed.mp4' AS name, video || '_f' || printf('%06d', clip_id * 37) AS frame FROM {clips} c",
     ),
     "p14_label_issues": (
-        lambda s, d: view(s, d, "lines").select("clip", "frame", "id", F.array_join(t.label_issues(F.col("line"), 1), ",").alias("issues")),
-        "SELECT clip, frame, id, CASE q % 29 WHEN 1 THEN 'fields' WHEN 2 THEN 'not_numeric' WHEN 3 THEN 'class' WHEN 4 THEN 'range' ELSE '' END AS issues FROM {lines} l",
+        lambda s, d: view(s, d, "lines").select("clip", "frame", "id", F.array_join(t.label_issues(F.when(F.col("q") % 29 == 5, F.lit(" \t ")).otherwise(F.col("line")), 1), ",").alias("issues"), F.array_join(t.label_issues(F.col("line"), None), ",").alias("unbounded")),
+        "SELECT clip, frame, id, CASE q % 29 WHEN 1 THEN 'fields' WHEN 2 THEN 'not_numeric' WHEN 3 THEN 'class' WHEN 4 THEN 'range' ELSE '' END AS issues, CASE q % 29 WHEN 1 THEN 'fields' WHEN 2 THEN 'not_numeric' WHEN 4 THEN 'range' ELSE '' END AS unbounded FROM {lines} l",
     ),
     "p15_roi_shape": (
         lambda s, d: view(s, d, "customers").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.lit("[[1,2],[3,4],[5,6],[7,8]]")).when(F.col("c_custkey") % 3 == 1, F.lit("[[1,2],[3,4],[5,6]]")).otherwise(F.lit("[[1,2],[3],[5,6],[7,8]]")).alias("j")).select("c_custkey", roi_ok(F.from_json("j", "array<array<double>>")).alias("ok")),
@@ -265,7 +280,7 @@ SELECT video, round(min_by(u, frame), 3) AS start, round(max_by(u, frame), 3) AS
     ),
     "p24_metric_names": (
         lambda s, d: view(s, d, "metrics").select("run", "epoch", runs.first_filled("a", "b").alias("score")),
-        "SELECT run, epoch, TRY_CAST(coalesce(nullif(trim(a), ''), nullif(trim(b), '')) AS DOUBLE) AS score FROM {metrics} m",
+        "SELECT run, epoch, CASE WHEN coalesce(nullif(a, ''), b) = '' THEN 0 ELSE TRY_CAST(coalesce(nullif(a, ''), b) AS DOUBLE) END AS score FROM {metrics} m",
     ),
     "p18_evenly_spaced": (
         lambda s, d: view(s, d, "videos").select("video", F.explode(t.evenly_spaced(F.col("frames").cast("int"), 7)).alias("i")),
@@ -293,8 +308,8 @@ SELECT video, round(min_by(u, frame), 3) AS start, round(max_by(u, frame), 3) AS
         "SELECT clip_id FROM {clips} c WHERE chamber = 'ch_3' AND lower(source_video) LIKE '%vid_1%' AND clip_id % 3 = 0",
     ),
     "f3_since": (
-        lambda s, d: catalog.since(s.read.parquet(f"{d}/events.parquet").select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("started_at"), "ts"), "started_at", "2024-01-15 00:00:00").select("event_id"),
-        "SELECT event_id FROM events WHERE event_id % 9 <> 0 AND date_trunc('second', ts) >= TIMESTAMP '2024-01-15 00:00:00'",
+        lambda s, d: catalog.since(s.read.parquet(f"{d}/events.parquet").select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("")).when(F.col("event_id") % 9 == 1, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 9 == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("started_at"), "ts"), "started_at", "2024-01-15T06:00").select("event_id"),
+        "SELECT event_id FROM events WHERE event_id % 9 <> 0 AND date_trunc(CASE WHEN event_id % 9 = 1 THEN 'day' ELSE 'second' END, ts) >= TIMESTAMP '2024-01-15 06:00:00'",
     ),
     "f4_long_enough": (
         lambda s, d: catalog.long_enough(view(s, d, "videos").drop("seconds"), 3000.0).select("video", "fps", F.round("seconds", 6).alias("seconds")),
@@ -326,11 +341,11 @@ SELECT video, round(min_by(u, frame), 3) AS start, round(max_by(u, frame), 3) AS
         "SELECT clip_id FROM {clips} c WHERE clip_path NOT IN (SELECT clip_path FROM {clips} d WHERE clip_id % 3 = 0)",
     ),
     "j15_fallback": (
-        lambda s, d: catalog.with_fallback(view(s, d, "customers").select("c_custkey", F.col("file").alias("video")), view(s, d, "customers").where("c_custkey % 4 < 2").select(F.when(F.col("c_custkey") % 4 == 0, F.col("file")).otherwise(t.stem(F.col("file"))).alias("name"), F.col("c_custkey").alias("value")).unionByName(s.range(1).select(F.lit("_default").alias("name"), F.lit(-1).cast("long").alias("value")))).select("c_custkey", "value"),
+        lambda s, d: catalog.with_fallback(view(s, d, "customers").select("c_custkey", F.col("file").alias("video")), view(s, d, "customers").where("c_custkey % 4 < 2").select(F.when(F.col("c_custkey") % 4 == 0, F.col("file")).otherwise(F.concat(t.stem(F.col("file")), F.lit(".mp4"))).alias("name"), F.col("c_custkey").alias("value")).unionByName(s.range(1).select(F.lit("_default").alias("name"), F.lit(-1).cast("long").alias("value")))).select("c_custkey", "value"),
         "SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN c_custkey ELSE -1 END AS value FROM {customers} c",
     ),
     "j16_uncovered": (
-        lambda s, d: catalog.uncovered(view(s, d, "customers").select(F.col("file").alias("video")), view(s, d, "customers").where("c_custkey % 4 < 2").select(F.when(F.col("c_custkey") % 4 == 0, F.col("file")).otherwise(t.stem(F.col("file"))).alias("name"))),
+        lambda s, d: catalog.uncovered(view(s, d, "customers").select(F.col("file").alias("video")), view(s, d, "customers").where("c_custkey % 4 < 2").select(F.when(F.col("c_custkey") % 4 == 0, F.col("file")).otherwise(F.concat(t.stem(F.col("file")), F.lit(".mp4"))).alias("name"))),
         "SELECT file AS video FROM {customers} c WHERE c_custkey % 4 >= 2",
     ),
     "j17_reconcile": (catalog_rows, RECON),
@@ -363,6 +378,11 @@ SELECT video, round(min_by(u, frame), 3) AS start, round(max_by(u, frame), 3) AS
         f"WITH v AS (SELECT video, seconds, sum(frames) OVER (ORDER BY video) AS hi, frames, sum(frames) OVER () AS a FROM {{videos}} v), t AS (SELECT i, {HEX.replace('WHAT', 'video')} AS u, {HEX.replace('WHAT', 'start')} AS s FROM range(1, 2001) r(i)) SELECT i AS try, video, round(5 + s * (seconds - 13), 6) AS start_sec, round(5 + s * (seconds - 13) + 3, 6) AS end_sec FROM t JOIN v ON u >= (hi - frames)::DOUBLE / a AND u < hi::DOUBLE / a",
     ),
     "r1_accepted": (lambda s, d: sampling.accept(catalog.far_enough(sampling.draw_candidates(view(s, d, "videos"), 2000, 3.0, 9), view(s, d, "taken"), 5.0), 100, 60.0), None),
+    "r1_sampled": (lambda s, d: sampling.sample_clips(view(s, d, "videos"), 100, 3.0, 9, view(s, d, "taken"), view(s, d, "ranges"), view(s, d, "anchored"), 5.0), None),
+    "r6_audit_grid": (
+        lambda s, d: sampling.audit_frames(view(s, d, "known").groupBy("video").agg((F.max("frame") + 1).alias("frames")), view(s, d, "known"), 5, 8),
+        "SELECT video, frame FROM (SELECT video, frame, row_number() OVER (PARTITION BY video ORDER BY md5('8|' || CAST(video AS STRING) || '|' || CAST(frame AS STRING)), frame) AS r FROM (SELECT video, unnest(range(0, CAST(m AS BIGINT) + 1, 100)) AS frame FROM (SELECT video, max(frame) AS m FROM {known} k GROUP BY video) x) y ANTI JOIN {known} k2 ON k2.video = y.video AND k2.frame = y.frame) z WHERE r <= 5",
+    ),
     "r2_ratio_split": (
         split_frames,
         f"SELECT clip, frame, CASE WHEN r <= round_even(0.6::DOUBLE * n, 0) THEN 'train' WHEN r <= round_even(0.8::DOUBLE * n, 0) THEN 'val' ELSE 'test' END AS split FROM (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY {md5_order(42, 'k')}, k) AS r, count(*) OVER (PARTITION BY clip) AS n FROM (SELECT clip, frame, CAST(clip AS STRING) || '/' || CAST(frame AS STRING) AS k FROM {{frames}} f) y) z",
@@ -392,24 +412,24 @@ SELECT video, first + x + i * 50 AS first, first + x + i * 50 + 49 AS last FROM
         f"SELECT clip, frame FROM (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY {md5_order(8, 'k')}) AS r FROM (SELECT clip, frame, CAST(clip AS STRING) || '/' || CAST(frame AS STRING) AS k FROM {{frames}} f WHERE frame % 100 <> 0 AND frame % 10 = 0) y) z WHERE r <= 5",
     ),
     "k3_listing": (
-        lambda s, d: catalog.listing_by(view(s, d, "clips").select("clip_id", "start_sec"), "start_sec").limit(20).select(F.col("start_sec")).distinct(),
-        "SELECT DISTINCT start_sec FROM (SELECT start_sec FROM {clips} c ORDER BY CAST(start_sec AS STRING) DESC LIMIT 20) z",
+        lambda s, d: catalog.listing_by(view(s, d, "clips").select("clip_id", "start_sec"), "start_sec").limit(200).agg(F.concat_ws(",", F.collect_list(F.col("start_sec").cast("string"))).alias("listed")),
+        "SELECT string_agg(t, ',' ORDER BY t DESC) AS listed FROM (SELECT CAST(start_sec AS STRING) AS t FROM {clips} c ORDER BY 1 DESC LIMIT 200) z",
     ),
     "k6_next_number": (
-        lambda s, d: catalog.next_number(view(s, d, "customers").select(F.concat(F.lit("batch_"), (F.col("c_custkey") % 57).cast("string")).alias("name")), "batch"),
-        "SELECT lpad(CAST(max(c_custkey % 57) + 1 AS STRING), 2, '0') AS next_number FROM {customers} c",
+        lambda s, d: catalog.next_number(view(s, d, "customers").select(F.concat(F.lit("ch.1_batch"), F.when(F.col("c_custkey") % 3 == 0, F.lit("_999")).when(F.col("c_custkey") % 5 == 0, F.lit("7b")).otherwise((F.col("c_custkey") % 157).cast("string"))).alias("name")), "ch.1_batch"),
+        "SELECT printf('%02d', max(c_custkey % 157) + 1) AS next_number FROM {customers} c WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0",
     ),
     "k7_next_pending": (
         lambda s, d: catalog.next_pending(view(s, d, "clips"), 501, 1_000_000_000, F.col("clip_id") % 5 == 2, "clip_id").select("clip_id"),
         "SELECT arg_min(clip_id, ((clip_id - 502) % 1000000000 + 1000000000) % 1000000000) AS clip_id FROM {clips} c WHERE clip_id % 5 = 2",
     ),
     "u3_union_listing": (
-        lambda s, d: view(s, d, "clips").where("clip_id % 2 = 0").select("source_video").union(view(s, d, "clips").where("clip_id % 3 = 0").select("source_video")).dropDuplicates(["source_video"]),
+        lambda s, d: catalog.union_listing(view(s, d, "clips").where("clip_id % 2 = 0").select("source_video"), view(s, d, "clips").where("clip_id % 3 = 0").select("source_video"), key="source_video"),
         "SELECT source_video FROM {clips} c WHERE clip_id % 2 = 0 UNION SELECT source_video FROM {clips} d WHERE clip_id % 3 = 0",
     ),
     "u5_concat": (
-        lambda s, d: view(s, d, "taken").unionByName(view(s, d, "candidates")).groupBy("video").agg(F.count("*").alias("n")),
-        "SELECT video, count(*) AS n FROM (SELECT * FROM {taken} t UNION ALL SELECT * FROM {candidates} c) z GROUP BY video",
+        lambda s, d: catalog.combined({"taken": view(s, d, "taken"), "new": view(s, d, "candidates")}).groupBy("video", "origin").agg(F.count("*").alias("n")),
+        "SELECT video, origin, count(*) AS n FROM (SELECT *, 'taken' AS origin FROM {taken} t UNION ALL SELECT *, 'new' FROM {candidates} c) z GROUP BY video, origin",
     ),
     "m1_upsert": (
         lambda s, d: catalog.upsert(view(s, d, "old_catalog").withColumn("note", F.lit(None).cast("string")), view(s, d, "new_listing").select("path", F.col("size"), F.col("readable").alias("missing"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("note")).withColumn("at", F.when(F.col("note") == "a", 2).otherwise(1)), ["path"], "at").drop("at"),
@@ -444,9 +464,12 @@ SELECT video, first + x + i * 50 AS first, first + x + i * 50 + 49 AS last FROM
         "SELECT path, dir, coalesce(kind, 'unknown') AS kind, depth FROM (SELECT a.path, m.dir, m.kind, CAST(len(string_split(a.path, '/')) - len(string_split(m.dir, '/')) AS INT) AS depth, row_number() OVER (PARTITION BY a.path ORDER BY length(m.dir) DESC NULLS LAST) AS r FROM {artifacts} a LEFT JOIN {meta} m ON starts_with(a.path, m.dir || '/')) z WHERE r = 1",
     ),
     "j19_trace": (
-        lambda s, d: runs.trace(view(s, d, "artifacts"), view(s, d, "experiments"), view(s, d, "runs_of")),
-        """SELECT path, CASE WHEN e.dir IS NOT NULL THEN 'experiment' WHEN b.dir IS NOT NULL THEN 'batch' ELSE 'unknown' END AS kind, coalesce(e.dir, x.dir) AS experiment_dir, b.dir AS batch_dir FROM {artifacts} a
-LEFT JOIN {experiments} e ON starts_with(a.path, e.dir || '/') LEFT JOIN {runs_of} b ON starts_with(a.path, b.dir || '/') LEFT JOIN {experiments} x ON x.root = b.root AND x.chamber_type = b.chamber_type AND x.name = b.experiment_name""",
+        lambda s, d: runs.trace(view(s, d, "traced"), view(s, d, "experiments"), view(s, d, "runs_of"), view(s, d, "datasets")),
+        """SELECT path, kind, CASE WHEN kind IN ('eval', 'experiment_artifact') THEN edir WHEN kind = 'batch_output' THEN x.dir END AS experiment_dir, batch_dir, CASE WHEN kind = 'dataset' THEN CASE WHEN is_dir THEN path ELSE parent END END AS dataset_dir
+FROM (SELECT *, CASE WHEN kind = 'batch_output' THEN coalesce(bdir, parent) END AS batch_dir FROM (SELECT a.path, is_dir, regexp_replace(a.path, '/[^/]*$', '') AS parent, e.dir AS edir, b.dir AS bdir,
+  CASE WHEN a.path LIKE '%/eval_config.yaml' THEN 'eval' WHEN a.path LIKE '%/_meta.json' OR (b.dir IS NOT NULL AND (a.path LIKE '%.parquet' OR a.path LIKE '%.TXT')) THEN 'batch_output' WHEN a.path LIKE '%/manifest.csv' OR t.dir IS NOT NULL THEN 'dataset' WHEN e.dir IS NOT NULL THEN 'experiment_artifact' ELSE 'unknown' END AS kind
+  FROM {traced} a LEFT JOIN {experiments} e ON starts_with(a.path, e.dir || '/') LEFT JOIN {runs_of} b ON starts_with(a.path, b.dir || '/') LEFT JOIN {datasets} t ON t.dir = a.path AND is_dir) y) z
+LEFT JOIN {runs_of} r ON r.dir = batch_dir LEFT JOIN {experiments} x ON x.root = r.root AND x.chamber_type = r.chamber_type AND x.name = r.experiment_name""",
     ),
     "a21_softmax": (
         lambda s, d: heatmap.softmax(grid(s, d)).select("frame", "kp", "yy", "xx", F.round("p", 8).alias("p")),

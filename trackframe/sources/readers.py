@@ -56,7 +56,10 @@ def anchors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rois(spark: SparkSession, path: str) -> DataFrame:
-    return json_documents(spark, path, "map<string,array<array<double>>>").select(F.explode("doc").alias("video", "corners"))
+    """(video, corners) entry by entry: a corner's value that is no number is null, an entry that is no list of lists has null corners."""
+    entries = json_documents(spark, path, "map<string,string>").select(F.explode("doc").alias("video", "v"))
+    corners = F.transform(F.from_json("v", "array<array<string>>"), lambda p: F.transform(p, lambda x: x.try_cast("double")))
+    return entries.select("video", corners.alias("corners"))
 
 
 def roi_ok(corners: Column) -> Column:
@@ -81,12 +84,16 @@ def manifest(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
     return raw.select(*(F.coalesce(F.trim(F.col(f"`{have[c]}`")), F.lit("")).alias(c) if c in have else F.lit("").alias(c) for c in columns))
 
 
-def run_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """results.csv of all runs under ``root`` as (run, epoch, metrics map): headers may differ from run to run."""
-    lines = spark.read.text(f"{root}/*/results.csv", wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/results\.csv$", 1).alias("run"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("l"))
-    cut = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x))
-    rows = lines.select("run", cut(F.get("l", F.lit(0))).alias("names"), F.posexplode(F.slice("l", 2, 1_000_000_000)).alias("n", "line"))
-    pairs = F.map_from_entries(F.filter(F.arrays_zip(F.col("names"), cut("line").alias("values")), lambda e: e["names"].isNotNull()))
+def run_metrics(spark: SparkSession, root: str, files: str = "*/results.csv") -> DataFrame:
+    """(run, epoch, metrics map) of all runs under ``root``, a folder a run (``name`` or ``run=name``) with a file by ``files``; runs without it are skipped.
+
+    Headers may differ from run to run. Names are trimmed, values stay as they are, so that a blank one can be told from an empty one.
+    """
+    run = F.regexp_replace(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1), "^run=", "")
+    lines = spark.read.text(f"{root}/{files}", wholetext=True).select(run.alias("run"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("l"))
+    names = F.transform(F.split(F.get("l", F.lit(0)), ","), lambda x: F.trim(x))
+    rows = lines.select("run", names.alias("names"), F.posexplode(F.slice("l", 2, 1_000_000_000)).alias("n", "line"))
+    pairs = F.map_from_entries(F.filter(F.arrays_zip(F.col("names"), F.split("line", ",").alias("values")), lambda e: e["names"].isNotNull()))
     return rows.select("run", (F.col("n") + 1).alias("row"), pairs.alias("metrics")).select("run", F.coalesce(F.col("metrics")["epoch"].try_cast("int"), F.col("row").cast("int")).alias("epoch"), "metrics")
 
 
@@ -115,6 +122,25 @@ def keypoint_csv(spark: SparkSession, path: str) -> DataFrame:
     return cells.groupBy("video", "frame", F.col("c.who").alias("individual"), F.col("c.part").alias("bodypart")).agg(pick("x"), pick("y"), pick("likelihood"))
 
 
+def keypoint_detections(spark: SparkSession, path: str) -> DataFrame:
+    """(video, frame, track_id, x, y, w, h, keypoints) of wide keypoint files: one nested detection an individual and frame, without a box.
+
+    ``track_id`` is the individual's place among the header's individuals, from 1; its keypoints (label, x, y, likelihood) stand in the
+    order of the header. Only the first scorer's columns count.
+    """
+    lines = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("video"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("l"))
+    head = lambda i: F.slice(F.split(F.get("l", F.lit(i)), ","), 2, 1_000_000)
+    heads = lines.select("video", head(0).alias("scorer"), head(1).alias("who"), head(2).alias("part"), head(3).alias("coord"), F.explode(F.slice("l", 5, 1_000_000_000)).alias("line"))
+    values = F.slice(F.split("line", ","), 2, 1_000_000).alias("v")
+    rows = heads.select("video", F.get(F.split("line", ","), F.lit(0)).try_cast("long").alias("frame"), F.array_distinct("who").alias("all"), F.get("scorer", F.lit(0)).alias("first"), F.posexplode(F.arrays_zip("scorer", "who", "part", "coord", values)).alias("i", "c"))
+    own = rows.where(F.col("c.scorer") == F.col("first")).select("video", "frame", F.array_position("all", F.col("c.who")).cast("int").alias("track_id"), "i", "c.*")
+    pick = lambda k: F.max(F.when(F.col("coord") == k, F.col("v").try_cast("double"))).alias(k)
+    points = own.groupBy("video", "frame", "track_id", F.col("part").alias("label")).agg(F.min("i").alias("i"), pick("x"), pick("y"), pick("likelihood"))
+    nested = points.groupBy("video", "frame", "track_id").agg(F.array_sort(F.collect_list(F.struct("i", "label", "x", "y", "likelihood"))).alias("p"))
+    keypoints = F.transform("p", lambda p: F.struct(*(p[k].alias(k) for k in ("label", "x", "y", "likelihood"))))
+    return nested.select("video", "frame", "track_id", *(F.lit(0.0).alias(k) for k in "xywh"), keypoints.alias("keypoints"))
+
+
 def metadata(spark: SparkSession, path: str, schema: str, whole_files: bool = True) -> DataFrame:
     """JSON records by a fixed schema: unknown keys go, absent ones are null, unreadable files (or lines) are skipped."""
     rows = spark.read.option("multiLine", whole_files).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema + ", _bad string").json(path)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.operators.tracks import mot_line, track_table
+from trackframe.functions.text import fingerprint, link_name
+from trackframe.operators.tracks import mot_line, mot_row, track_table
 
 
 def write_mot(tracks: DataFrame, path: str, base: int = 0) -> None:
@@ -16,10 +17,44 @@ def write_mot(tracks: DataFrame, path: str, base: int = 0) -> None:
     tracks.repartition("clip").sortWithinPartitions("clip", "frame", "id").select("clip", line.alias("value")).write.partitionBy("clip").text(path)
 
 
-def write_tracks(filled: DataFrame, path: str, force: bool = False) -> None:
-    """Narrow types, sorted by frame and id, zstd, a folder a clip."""
-    rows = track_table(filled).repartition("clip").sortWithinPartitions("clip", "frame", "id")
-    rows.write.mode("overwrite" if force else "errorifexists").option("compression", "zstd").partitionBy("clip").parquet(path)
+def write_mot_rows(tracks: DataFrame, path: str) -> None:
+    """The stored form of eight columns without a header (frame, id, x, y, w, h, conf, class), a folder a clip; without confidence or class 1."""
+    c = lambda k: F.coalesce(F.col(k), F.lit(1)) if k in tracks.columns else F.lit(1)
+    line = mot_row(F.col("frame"), F.col("id"), tuple(F.col(k) for k in "xywh"), c("conf"), c("class"))
+    tracks.repartition("clip").sortWithinPartitions("clip", "frame", "id").select("clip", line.alias("value")).write.partitionBy("clip").text(path)
+
+
+def finished(spark: SparkSession, path: str, by: Sequence[str], least_bytes: int = 1024) -> DataFrame:
+    """Partitions (columns ``by``, as text) below ``path`` whose files have more than ``least_bytes`` together; contents are not read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in by))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("path", "length")
+    value = lambda c: F.url_decode(F.replace(F.regexp_extract("path", rf"/{c}=([^/]+)/", 1), F.lit("+"), F.lit("%2B")))
+    return files.groupBy(*(value(c).alias(c) for c in by)).agg(F.sum("length").alias("_bytes")).where(F.col("_bytes") > least_bytes).drop("_bytes")
+
+
+def unfinished_rows(rows: DataFrame, path: str, by: Sequence[str], least_bytes: int = 1024) -> DataFrame:
+    """Rows whose partition below ``path`` is not there yet, or too small to be whole."""
+    done = finished(rows.sparkSession, path, by, least_bytes).select(*(F.col(c).alias(f"_done_{c}") for c in by))
+    same = F.lit(True)
+    for c in by:
+        same = same & (F.col(c).cast("string") == F.col(f"_done_{c}"))
+    return rows.join(done, same, "left_anti")
+
+
+def write_partitions(rows: DataFrame, path: str, by: Sequence[str], order: Sequence[str] = ()) -> None:
+    """Replace the partitions that ``rows`` has, each whole at the job's end, and leave all others."""
+    rows.repartition(*by).sortWithinPartitions(*by, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
+
+
+def write_tracks(filled: DataFrame, path: str, force: bool = False, times: DataFrame | None = None) -> None:
+    """Narrow types, sorted by frame and id, zstd, a folder a clip. Clips that are there already are skipped; with ``force`` they are replaced, others stay.
+
+    ``times`` (clip, frame, unix) adds ``unix_time`` to the stored table.
+    """
+    rows = track_table(filled if force else unfinished_rows(filled, path, ["clip"]), times)
+    write_partitions(rows, path, ["clip"], ["frame", "id"])
 
 
 def write_detections(dets: DataFrame, path: str) -> None:
@@ -91,7 +126,18 @@ def rebuild_index(found: DataFrame, path: str, key: str) -> None:
     last.select(key, "r.*").write.mode("overwrite").parquet(path)
 
 
-def write_dataset(manifest: DataFrame, path: str) -> DataFrame:
-    """Write the manifest in a folder a split and return the counts by split as written."""
-    manifest.write.mode("errorifexists").partitionBy("split").parquet(path)
-    return manifest.sparkSession.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
+def write_dataset(manifest: DataFrame, path: str, classes: Sequence[str] = ("animal",), recipe: str = "{}") -> DataFrame:
+    """Write the manifest in a folder a split, and beside it what freezes the dataset; return the counts by split as written.
+
+    ``dataset`` holds one JSON record: the class names in order, the recipe as given and its fingerprint, and the splits. A manifest with
+    chamber, wave, clip and frame gets the name of each link in ``link``.
+    """
+    spark = manifest.sparkSession
+    names = [c for c in ("chamber", "wave", "clip", "frame") if c in manifest.columns]
+    rows = manifest.withColumn("link", link_name(*(F.col(c).cast("string") for c in names))) if len(names) == 4 else manifest
+    rows.write.mode("errorifexists").partitionBy("split").parquet(f"{path}/manifest")
+    counts = spark.read.parquet(f"{path}/manifest").groupBy("split").agg(F.count("*").alias("n"))
+    splits = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "n")))).alias("splits"))  # a row a split
+    record = splits.select(F.array(*map(F.lit, classes)).alias("classes"), F.lit(recipe).alias("recipe"), fingerprint(F.lit(recipe)).alias("recipe_hash"), "splits")
+    record.select(F.to_json(F.struct("*")).alias("value")).write.mode("errorifexists").text(f"{path}/dataset")
+    return counts
