@@ -5,7 +5,7 @@ Terms are runs of letters (ASCII letters in lower case, and all characters beyon
 1. A scan counts, for each language and digest, the documents that hold it; digests in at least ``least`` documents stay. Terms
    that share a digest can only raise that number, so no term is lost.
 2. A second scan, behind a bit table of the digests that stayed, counts them by language and source, and names the smallest and
-   the largest string seen under each. Those strings are written beside the first row of a digest in a slice, not shuffled with the counts.
+   the largest string seen under each. Those strings are rows of their own, once a task as a rule, and are not shuffled with the counts.
 3. Where the smallest and largest string of a digest differ, it stands for several terms: a third scan counts those by their strings,
    and each gets a number beside the digest. With 64 bits that is rare, and exact when it happens.
 4. Probabilities in billionths are exact whole numbers. Differences between sources are summed in blocks of sources and chunks of terms;
@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import bit_table, keyed, passing, runs, written
+from trackframe.llm.common import bit_table, keyed, mix, passing, runs, written
 
 #: ASCII letters in lower case, bytes beyond ASCII as they are, all else a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of text that a task handles at once: the more, the fewer rows are shuffled.
-SLICE = 24_000_000
+SLICE = 8_000_000
+#: Counts that a task holds, and strings that it remembers to have given.
+HELD, TOLD = 1_500_000, 1_000_000
 #: Sources and terms that a task compares at once.
 BLOCK, CHUNK = 128, 1024
 #: Up to so many groups of language and source are broadcast; more are joined.
@@ -90,36 +92,71 @@ def frequent(docs: DataFrame, least: int, bits: int) -> DataFrame:
     return written(counted.groupBy("lang", "digest").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select("lang", "digest"), "frequent")
 
 
+class Sums:
+    """Counts of a task by group and digest, added up over its slices until they are many."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
+
+    def add(self, langs: list[str], sources: list[str], group: np.ndarray, digest: np.ndarray, n: np.ndarray) -> None:
+        own, at = np.unique(group, return_inverse=True)
+        codes = [self.groups.setdefault((langs[g // len(sources)], sources[g % len(sources)]), len(self.groups)) for g in own.tolist()]
+        self.held.append((np.array(codes, np.int64)[at], digest, n))
+        self.rows += len(n)
+
+    def taken(self) -> pa.RecordBatch | None:
+        """All that is held, in rows (lang, source, digest, n, null, null)."""
+        if not self.rows:
+            return None
+        code, digest, n = (np.concatenate(c) for c in zip(*self.held))
+        order = np.lexsort((digest, code))
+        code, digest = code[order], digest[order]
+        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (digest[1:] != digest[:-1])))
+        names, at = list(self.groups), pa.array(code[first])
+        self.held, self.rows = [], 0
+        return pa.RecordBatch.from_arrays([*(pa.array([g[k] for g in names], pa.string()).take(at) for k in (0, 1)), pa.array(digest[first]), pa.array(np.add.reduceat(n[order], first)), *(pa.nulls(len(first), pa.string()) for _ in range(2))], ROWS)
+
+
+ROWS = ["lang", "source", "digest", "n", "first", "last"]
+
+
 def counted(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
-    """(lang, source, digest, n, first, last) by slice for digests that pass the bit table; the strings stand on one row of a language and digest."""
+    """Rows (lang, source, digest, n, null, null) of counts and (lang, '', digest, 0, first, last) of strings, for digests that pass the bit table.
+
+    A task adds its counts up, and gives a digest's strings again only where they are others than before.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, told = Sums(), np.zeros(0, np.uint64)
         for t, (langs, sources), (lang, source) in _sliced(batches, bits):
             group, term, n = t.counted(lang * len(sources) + source)
             keep = passing(shared.value, t.digest)[term]
             group, term, n = group[keep], term[keep], n[keep]
-            if not len(term):
-                continue
-            # Terms of one digest are one row of a group.
-            width = len(t.distinct)
-            rows, of_row = np.unique(group * width + t.of_term[term], return_inverse=True)
-            sums = np.zeros(len(rows), np.int64)
-            np.add.at(sums, of_row, n)
-            group, at = rows // width, rows % width
-            # The strings: by language, digest and place in string order, those at the ends of each digest's run.
-            order = pc.sort_indices(t.terms).to_numpy()
+            names = langs.to_pylist()
+            sums.add(names, sources.to_pylist(), group, t.digest[term], n)
+            if sums.rows > HELD:
+                yield sums.taken()
+            # Strings: by language, digest and place in string order, those at the ends of each digest's run.
+            width, order = len(t.distinct), pc.sort_indices(t.terms).to_numpy()
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            kinds = group // len(sources) * width + at
-            seen = np.unique(kinds[of_row] * len(order) + place[term])
-            starts = np.flatnonzero(np.diff(seen // len(order), prepend=-1))
-            ends = np.append(starts[1:], len(seen)) - 1
-            own, first_row, of_kind = np.unique(kinds, return_index=True, return_inverse=True)
-            once = np.zeros(len(rows), bool)
-            once[first_row] = True
-            first, last = (t.terms.take(pa.array(order[seen[x] % len(order)][of_kind], mask=~once)).cast(pa.string()) for x in (starts, ends))
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))), pa.array(t.distinct[at]), pa.array(sums), first, last], ["lang", "source", "digest", "n", "first", "last"])
+            seen = np.unique((group // len(sources) * width + t.of_term[term]) * len(order) + place[term])
+            kind, ends = seen // max(len(order), 1), order[seen % max(len(order), 1)]
+            at = np.flatnonzero(np.diff(kind, prepend=-1))
+            first, last, kind = ends[at], ends[np.append(at[1:], len(kind))[: len(at)] - 1], kind[at]
+            known = np.fromiter((xxhash.xxh3_64_intdigest(x, 1) for x in t.terms.to_pylist()), np.uint64, len(order))
+            spoken = np.array([xxhash.xxh64_intdigest(x or "") for x in names], np.uint64)
+            key = mix(mix(t.distinct[kind % max(width, 1)].view(np.uint64) ^ spoken[kind // max(width, 1)]) ^ known[first]) ^ known[last]
+            fresh = ~np.isin(key, told)
+            told = np.union1d(told, key[fresh])[-TOLD:]
+            kind, first, last = kind[fresh], first[fresh], last[fresh]
+            strings = [t.terms.take(pa.array(x)).cast(pa.string()) for x in (first, last)]
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(kind // max(width, 1))), pa.array([""] * len(kind), pa.string()), pa.array(t.distinct[kind % max(width, 1)]), pa.array(np.zeros(len(kind), np.int64)), *strings], ROWS)
+        if sums.rows:
+            yield sums.taken()
 
     return written(docs.select("text", "lang", "source").mapInArrow(count, "lang string, source string, digest long, n long, first string, last string"), "counted")
 
@@ -152,7 +189,7 @@ def vocabulary(docs: DataFrame, least: int = 30, bits: int = 64) -> tuple[DataFr
     known = written(ends.join(kept, ["lang", "digest"]), "ends")
     alone, mixed = known.where("first = last"), known.where("first <> last").select("lang", "digest")
     terms = alone.select("lang", "digest", F.lit(0).alias("number"), F.col("first").alias("term"))
-    counts = partial.groupBy("lang", "digest", "source").agg(F.sum("n").alias("n")).join(alone.select("lang", "digest"), ["lang", "digest"]).select("lang", "digest", F.lit(0).alias("number"), "source", "n")
+    counts = partial.where("first IS NULL").groupBy("lang", "digest", "source").agg(F.sum("n").alias("n")).join(alone.select("lang", "digest"), ["lang", "digest"]).select("lang", "digest", F.lit(0).alias("number"), "source", "n")
     if not mixed.isEmpty():
         split = split_terms(docs, mixed, least, bits)
         terms = terms.unionByName(split.select("lang", "digest", "number", "term").distinct())
