@@ -71,7 +71,9 @@ def test_track_files_by_clip(spark, tmp_path):
     filled = lambda clips, shift=0.0: detections(spark, clips, shift).withColumn("filled", F.lit(False))
     times = spark.createDataFrame([(1, 0, 99.5)], "clip long, frame long, unix double")
     writers.write_tracks(filled([1]), path, times=times)
-    writers.write_tracks(filled([1, 2], 700.0), path)
+    with pytest.raises(FileExistsError):
+        writers.write_tracks(filled([1, 2], 700.0), path)
+    writers.write_tracks(filled([1, 2], 700.0), path, resume=True)
     rows = spark.read.parquet(path)
     assert {(r.clip, r.x) for r in rows.groupBy("clip").agg(F.min("x").alias("x")).collect()} == {(1, 0.0), (2, 700.0)}
     assert rows.schema["id"].dataType.simpleString() == "smallint"

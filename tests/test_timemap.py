@@ -193,7 +193,7 @@ def test_traced_batches_find_their_experiment(spark):
     e = spark.createDataFrame([("/w/exp", "/w", "t", "exp")], "dir string, root string, chamber_type string, name string")
     b = spark.createDataFrame([("/w/out/b1", "/w", "t", "exp")], "dir string, root string, chamber_type string, experiment_name string")
     got = {r.path: (r.kind, r.experiment_dir, r.batch_dir) for r in runs.trace(a, e, b).collect()}
-    assert got == {"/w/out/b1/x.parquet": ("batch", "/w/exp", "/w/out/b1"), "/w/out/b1/a/b/c/d/e/deep": ("unknown", None, None), "/w/exp/p/r/best.pt": ("experiment", "/w/exp", None), "/z/y": ("unknown", None, None)}
+    assert got == {"/w/out/b1/x.parquet": ("batch_output", "/w/exp", "/w/out/b1"), "/w/out/b1/a/b/c/d/e/deep": ("unknown", None, None), "/w/exp/p/r/best.pt": ("experiment_artifact", "/w/exp", None), "/z/y": ("unknown", None, None)}
 
 
 def test_shared_folder_is_needed_on_a_cluster(spark):

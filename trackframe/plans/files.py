@@ -34,8 +34,8 @@ def track_files(s, d):
     times = view(s, d, "frames").select("clip", "frame", (F.col("frame") * 0.5).alias("unix"))
     writers.write_tracks(rows.where("clip % 2 = 0"), path, times=times)
     writers.write_tracks(rows.where("clip % 4 = 0"), path, force=True, times=times)
-    writers.write_tracks(rows, path, times=times)
-    writers.write_tracks(rows, path, times=times)
+    writers.write_tracks(rows, path, times=times, resume=True)
+    writers.write_tracks(rows, path, times=times, resume=True)
     found = readers.tracks(s, path, 100, 200, view(s, d, "frames").where("frame % 10 = 0"))
     return found.groupBy("clip").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n"), F.round(F.sum("conf"), 3).alias("conf"), F.sum("unix_time").alias("unix"))
 

@@ -87,13 +87,14 @@ def manifest(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
 def run_metrics(spark: SparkSession, root: str, files: str = "*/results.csv") -> DataFrame:
     """(run, epoch, metrics map) of all runs under ``root``, a folder a run (``name`` or ``run=name``) with a file by ``files``; runs without it are skipped.
 
-    Headers may differ from run to run. Names are trimmed, values stay as they are, so that a blank one can be told from an empty one.
+    Headers may differ from run to run. Names and values are trimmed, but values of blanks alone, which are no empty ones.
     """
     run = F.regexp_replace(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1), "^run=", "")
     lines = spark.read.text(f"{root}/{files}", wholetext=True).select(run.alias("run"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("l"))
     names = F.transform(F.split(F.get("l", F.lit(0)), ","), lambda x: F.trim(x))
     rows = lines.select("run", names.alias("names"), F.posexplode(F.slice("l", 2, 1_000_000_000)).alias("n", "line"))
-    pairs = F.map_from_entries(F.filter(F.arrays_zip(F.col("names"), F.split("line", ",").alias("values")), lambda e: e["names"].isNotNull()))
+    values = F.transform(F.split("line", ","), lambda x: F.when(F.trim(x) == "", x).otherwise(F.trim(x)))
+    pairs = F.map_from_entries(F.filter(F.arrays_zip(F.col("names"), values.alias("values")), lambda e: e["names"].isNotNull()))
     return rows.select("run", (F.col("n") + 1).alias("row"), pairs.alias("metrics")).select("run", F.coalesce(F.col("metrics")["epoch"].try_cast("int"), F.col("row").cast("int")).alias("epoch"), "metrics")
 
 

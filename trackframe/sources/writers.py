@@ -48,13 +48,18 @@ def write_partitions(rows: DataFrame, path: str, by: Sequence[str], order: Seque
     rows.repartition(*by).sortWithinPartitions(*by, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
-def write_tracks(filled: DataFrame, path: str, force: bool = False, times: DataFrame | None = None) -> None:
-    """Narrow types, sorted by frame and id, zstd, a folder a clip. Clips that are there already are skipped; with ``force`` they are replaced, others stay.
+def write_tracks(filled: DataFrame, path: str, force: bool = False, times: DataFrame | None = None, resume: bool = False) -> None:
+    """Narrow types, sorted by frame and id, zstd, a folder a clip.
 
-    ``times`` (clip, frame, unix) adds ``unix_time`` to the stored table.
+    Where a clip is there already the write is refused; with ``resume`` such clips are skipped, with ``force`` they are replaced. Other clips stay as
+    they are. ``times`` (clip, frame, unix) adds ``unix_time`` to the stored table.
     """
-    rows = track_table(filled if force else unfinished_rows(filled, path, ["clip"]), times)
-    write_partitions(rows, path, ["clip"], ["frame", "id"])
+    fresh = filled if force else unfinished_rows(filled, path, ["clip"])
+    if not force and not resume:
+        there = finished(filled.sparkSession, path, ["clip"]).join(filled.select(F.col("clip").cast("string").alias("clip")).distinct(), "clip").limit(5).collect()
+        if there:
+            raise FileExistsError(f"{path} has clips already: {[r.clip for r in there]}")
+    write_partitions(track_table(fresh, times), path, ["clip"], ["frame", "id"])
 
 
 def write_detections(dets: DataFrame, path: str) -> None:
