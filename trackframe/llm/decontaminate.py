@@ -7,11 +7,14 @@ substitutions at the ignored places. Four steps:
    up to ``KNOWN`` seeds are sent to the tasks, which spares hits that are none; the result is the same without.
 2. One scan hashes all documents and keeps, of those with a hash that passes the bit table, their words' hashes and the hits.
 3. Hits and seeds are joined on the hash. A document, an item and a diagonal (where the item would start) that share
-   at least as many hits as any allowed overlap has are a candidate.
+   at least as many hits as any allowed overlap has are a candidate. A seed of more than ``COMMON`` items would give all documents with a
+   common phrase with all its items. So where an overlap has several hits, such seeds are left out of this join: an overlap that has any
+   other hit is found by that, and counts the item's common seeds as hits. One that has common hits alone has two of them as far apart as
+   ``WITHIN`` tells, so those are joined in pairs, on both hashes and their distance.
 4. Around the hits the words are compared along the diagonal, and an overlap of at least ``least`` words of which ``share``
    agree is reported. Words are compared in lower case without punctuation at their ends.
 
-The masks miss none, for a share of 0.8 or more: of L words at most L // 5 differ, so the equal ones lie in at most L // 5 + 1
+The masks miss none, for a share of 0.8 or more, and a smaller share is refused: of L words at most L // 5 differ, so the equal ones lie in at most L // 5 + 1
 runs, and from 6 words on one run has four words or two runs of at least two are parted by a single word. Items of five words have
 two masks more; shorter ones must stand in the text word by word.
 
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import REMEMBERED, keyed, mix, slices, text_bytes, unused, written
+from trackframe.llm.common import REMEMBERED, bit_table, keyed, mix, passing, slices, text_bytes, unused, written
 
 #: 1 keeps a word, 0 ignores it.
 MASKS = ("1111", "11011")
@@ -39,8 +42,10 @@ MASKS = ("1111", "11011")
 SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: (*MASKS, "10111", "11101")}
 #: The least number of hits on a diagonal for an item's words to be allowed an overlap, 1 where none is given; the last for all longer items.
 LEAST_HITS = {8: 2, 9: 3, 11: 2, 12: 3, 13: 3}
-#: The bit table has 2 to the power of this many bits at most.
-MOST_BITS = 27
+#: Seeds of more items than this are joined in pairs.
+COMMON = 16
+#: By words of an item, as above: every allowed overlap has two hits whose starts are so many words apart, from and to.
+WITHIN = {8: (2, 3), 9: (3, 3), 11: (1, 7), 12: (2, 7), 13: (3, 13)}
 #: Up to so many distinct seeds (16 MB) tasks know them all, and a hash that is none of them is no hit; of more they know the bit table alone.
 KNOWN = 2_000_000
 #: Characters stripped from the ends of words.
@@ -88,25 +93,47 @@ def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate([np.arange(len(r)) for r in rows]).astype(np.int32)
 
 
-class Passing:
-    """A bit table of masked hashes, the hashes themselves in order where they are few, and the masks in use."""
-
-    def __init__(self, bits: int, table: np.ndarray, masks: list[str], known: np.ndarray | None = None):
-        self.bits, self.table, self.masks, self.known = bits, table, masks, known
+def hits_of(h: np.ndarray, masks: list[str], table: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Masked hashes of ``h`` that pass the bit table, and are among the ``known`` ones where those are few, and where they start."""
+    found, places = [h[:0]], [np.zeros(0, np.int64)]
+    for mask in masks:
+        x = masked(h, mask)
+        at = np.flatnonzero(passing(table, x))
+        if known is not None and len(at):
+            near = np.minimum(np.searchsorted(known, x[at]), len(known) - 1)
+            at = at[known[near] == x[at]]
+        found.append(x[at])
+        places.append(at)
+    return np.concatenate(found), np.concatenate(places)
+
+
+def paired(seeds: np.ndarray, places: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """One hash for each two hits that start ``low`` to ``high`` words apart, of both and their distance, and where the first starts."""
+    order = np.argsort(places, kind="stable")
+    seeds, places = seeds[order].view(np.uint64), places[order].astype(np.int64)
+    begin, end = np.searchsorted(places, places + low), np.searchsorted(places, places + high, "right")
+    n = end - begin
+    first = np.repeat(np.arange(len(seeds)), n)
+    second = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    apart = (places[second] - places[first]).astype(np.uint64)
+    return mix(seeds[first] + mix(seeds[second] + apart * np.uint64(0x9E3779B97F4A7C15))).view(np.int64), places[first]
+
+
+def pairs_of(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """(pair, key, start) of rows (key, n, hits): hits are structs of seed and place, n the words of an item, null for a document."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widest = min(a for a, _ in WITHIN.values()), max(b for _, b in WITHIN.values())
+        for b in batches:
+            each = []
+            for n, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                low, high = widest if n is None else WITHIN[min(n, max(WITHIN))]
+                each.append(paired(np.array([h["seed"] for h in hits], np.int64), np.array([h["place"] for h in hits], np.int64), low, high))
+            times = pa.array(np.repeat(np.arange(len(each)), [len(x) for x, _ in each]))
+            if each:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in each])), b.column(0).take(times), pa.array(np.concatenate([p for _, p in each]))], ["pair", key, "start"])
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of ``h`` that pass, and where they start."""
-        found, places = [h[:0]], [np.zeros(0, np.int64)]
-        for mask in self.masks:
-            x = masked(h, mask)
-            slot = x >> np.uint64(64 - self.bits)
-            at = np.flatnonzero(self.table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-            if self.known is not None and len(at):
-                near = np.minimum(np.searchsorted(self.known, x[at]), len(self.known) - 1)
-                at = at[self.known[near] == x[at]]
-            found.append(x[at])
-            places.append(at)
-        return np.concatenate(found), np.concatenate(places)
+    return rows.mapInArrow(pair, f"pair long, {key} {kind}, start long")
 
 
 def overlap(h: np.ndarray, item: np.ndarray, diagonal: int, least: int, share: float) -> int:
@@ -127,8 +154,10 @@ def overlap(h: np.ndarray, item: np.ndarray, diagonal: int, least: int, share: f
     return int(same[first[end] : end].sum())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 13, share: float = 0.8, known: int = KNOWN) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 13, share: float = 0.8, known: int = KNOWN, common: int = COMMON) -> DataFrame:
     """(key, item, n_agree, item_words): overlaps of documents with benchmark items, the best for each pair."""
+    if not 0.8 <= share <= 1:
+        raise ValueError("the masks find overlaps of which 0.8 or more agree")
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
 
@@ -149,32 +178,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), b.column(0).take(pa.array(times)), b.column(1).take(pa.array(times)), pa.array(places, pa.int32())], ["seed", "item", "n", "place"])
 
     seeds = written(items.mapInArrow(to_seeds, f"seed long, item {item_kind}, n int, place int"), "seeds")
-    bits = min(max(16, (seeds.count() * 16).bit_length()), MOST_BITS)
-
-    def to_bits(part: pa.Table) -> pa.Table:
-        table = np.zeros(1 << bits - 8, bool)
-        table[(part.column("seed").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) & (1 << bits - 8) - 1] = True
-        return pa.table([pa.array([part.column("part")[0].as_py()], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
-
-    parts = seeds.select("seed", F.shiftrightunsigned("seed", 56).cast("int").alias("part")).groupBy("part").applyInArrow(to_bits, "part int, bits binary").collect()  # 256 parts of a table of bounded size
-    table = np.zeros((256, 1 << bits - 11), np.uint8)
-    for r in parts:
-        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    per_seed = written(seeds.groupBy("seed").agg(F.count_distinct("item").alias("items")), "per_seed")
+    total, most = per_seed.agg(F.count("*"), F.coalesce(F.max("items"), F.lit(0))).first()
+    table = bit_table(per_seed, "seed")
     lengths = [r[0] for r in items.select(F.least("n", F.lit(6))).distinct().collect()]
-    distinct_seeds = seeds.select("seed").distinct()
-    few = distinct_seeds.count() <= known
-    every = np.sort(np.array([r[0] for r in distinct_seeds.collect()], np.int64).view(np.uint64)) if few else None  # at most ``known``
-    shared = spark.sparkContext.broadcast(Passing(bits, table.reshape(-1), sorted({m for n in lengths for m in masks_of(n)}), every))
+    every = np.sort(per_seed.select("seed").toArrow().column(0).to_numpy().view(np.uint64)) if total <= known else None
+    shared = spark.sparkContext.broadcast((sorted({m for n in lengths for m in masks_of(n)}), table, every))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passing, task, number = shared.value, TaskContext.get().partitionId(), 0
+        (masks, bits, exact), task, number = shared.value, TaskContext.get().partitionId(), 0
         for b in batches:
             texts = text_bytes(b, text)
             for i, j in slices(texts):
                 rows: list[tuple] = []
                 each = [word_hashes(t) for t in texts[i:j]]
                 begin = np.cumsum([0, *(len(h) for h in each)])
-                found, at = passing.hits(np.concatenate(each))
+                found, at = hits_of(np.concatenate(each), masks, bits, exact)
                 doc = np.searchsorted(begin, at, "right") - 1
                 order = np.argsort(doc, kind="stable")
                 docs_of, first = np.unique(doc[order], return_index=True)
@@ -189,8 +208,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     enough = F.lit(1)
     for n, h in LEAST_HITS.items():
         enough = F.when(F.col("n") >= n if n == max(LEAST_HITS) else F.col("n") == n, h).otherwise(enough)
-    diagonals = hits.join(seeds, "seed").groupBy("row", "item", "n", (F.col("position") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("hits")).where(F.col("hits") >= enough)
-    candidates = diagonals.groupBy("row", "item").agg(F.collect_list("diagonal").alias("diagonals"))
+    counted = written(seeds.join(per_seed, "seed"), "counted")
+    shares = F.col("items") > common
+    extra = counted.where(shares).groupBy("item").agg(F.count("*").alias("extra"))
+    direct = counted.where(~shares | (enough == 1)).join(extra, "item", "left").fillna(0, ["extra"])
+    diagonal = (F.col("position") - F.col("place")).alias("diagonal")
+    diagonals = hits.join(direct, "seed").groupBy("row", "item", "n", "extra", diagonal).agg(F.count("*").alias("hits")).where(F.col("hits") + F.col("extra") >= enough).select("row", "item", "diagonal")
+    if most > common:
+        of = lambda place: F.collect_list(F.struct("seed", F.col(place).alias("place"))).alias("hits")
+        in_items = pairs_of(counted.where(shares & (enough > 1)).groupBy("item", "n").agg(of("place")), "item", item_kind)
+        in_docs = hits.join(per_seed.where(shares).select("seed"), "seed", "left_semi").groupBy("row").agg(F.lit(None).cast("int").alias("n"), of("position"))
+        pairs = pairs_of(in_docs, "row", "string").withColumnRenamed("start", "position").join(in_items.withColumnRenamed("start", "place"), "pair")
+        diagonals = diagonals.unionByName(pairs.select("row", "item", diagonal))
+    candidates = diagonals.groupBy("row", "item").agg(F.collect_set("diagonal").alias("diagonals"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
