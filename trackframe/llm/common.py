@@ -105,6 +105,20 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting, which is many times faster than a hash table here."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def values_of(x: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls."""
+    _, offsets, data = x.buffers()
+    ends = np.frombuffer(offsets, np.int32)[x.offset : x.offset + len(x) + 1].tolist() if len(x) else []
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def runs(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Bounds of runs of rows of about ``limit`` together; a larger row stands alone."""
     start = total = 0

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import bit_table, keyed, mix, passing, runs, written
+from trackframe.llm.common import bit_table, distinct, keyed, mix, passing, runs, values_of, written
 
 #: ASCII letters in lower case, bytes beyond ASCII as they are, all else a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -54,10 +54,10 @@ class Terms:
         found = words.filter(pa.array(some)).dictionary_encode()
         self.index, self.terms = found.indices.to_numpy().astype(np.int64), found.dictionary
         self.doc = np.repeat(np.arange(len(texts)), np.diff(places))[some]
-        names = self.terms.to_pylist()
-        self.digest = (np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)) >> np.uint64(64 - bits)).view(np.int64)
+        self.names = values_of(self.terms)
+        self.digest = (np.fromiter(map(xxhash.xxh64_intdigest, self.names), np.uint64, len(self.names)) >> np.uint64(64 - bits)).view(np.int64)
         self.distinct, self.of_term = np.unique(self.digest, return_inverse=True)
-        self.width = max(len(names), 1)
+        self.width = max(len(self.names), 1)
 
     def counted(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(group, term, how often) over all places, given each document's group; in order."""
@@ -66,7 +66,7 @@ class Terms:
 
     def documents(self, group: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(group, what, documents), ``of`` telling what a term counts as; in order."""
-        seen = np.unique(self.doc * self.width + of[self.index])
+        seen = distinct(self.doc * self.width + of[self.index])
         found, n = np.unique(group[seen // self.width] * self.width + seen % self.width, return_counts=True)
         return found // self.width, found % self.width, n
 
@@ -143,15 +143,15 @@ def counted(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
             width, order = len(t.distinct), pc.sort_indices(t.terms).to_numpy()
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            seen = np.unique((group // len(sources) * width + t.of_term[term]) * len(order) + place[term])
+            seen = distinct((group // len(sources) * width + t.of_term[term]) * len(order) + place[term])
             kind, ends = seen // max(len(order), 1), order[seen % max(len(order), 1)]
             at = np.flatnonzero(np.diff(kind, prepend=-1))
             first, last, kind = ends[at], ends[np.append(at[1:], len(kind))[: len(at)] - 1], kind[at]
-            known = np.fromiter((xxhash.xxh3_64_intdigest(x, 1) for x in t.terms.to_pylist()), np.uint64, len(order))
+            known = np.fromiter((xxhash.xxh3_64_intdigest(x, 1) for x in t.names), np.uint64, len(order))
             spoken = np.array([xxhash.xxh64_intdigest(x or "") for x in names], np.uint64)
             key = mix(mix(t.distinct[kind % max(width, 1)].view(np.uint64) ^ spoken[kind // max(width, 1)]) ^ known[first]) ^ known[last]
             fresh = ~np.isin(key, told)
-            told = np.union1d(told, key[fresh])[-TOLD:]
+            told = distinct(np.concatenate([told, key[fresh]]))[-TOLD:]
             kind, first, last = kind[fresh], first[fresh], last[fresh]
             strings = [t.terms.take(pa.array(x)).cast(pa.string()) for x in (first, last)]
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(kind // max(width, 1))), pa.array([""] * len(kind), pa.string()), pa.array(t.distinct[kind % max(width, 1)]), pa.array(np.zeros(len(kind), np.int64)), *strings], ROWS)
