@@ -185,7 +185,7 @@ def test_katz_sums_to_one_and_beats_the_base(spark, docs):
     for r in out:
         w = [*(texts[r.doc_id] or "").encode().lower().split(), b"\n"]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in counts for x in w), total)
-        assert r.base_score == pytest.approx(sum(math.log10((counts.get(x, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for x in w))
+        assert r.base_score == pytest.approx(math.fsum(math.log10((counts.get(x, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for x in w), abs=1e-9, rel=1e-12)
     assert sum(r.score for r in out if r.held_out) > sum(r.base_score for r in out if r.held_out)
     model, _ = katz.count_words(docs.where(~held))
     pairs, table = katz.count_pairs(docs.where(~held), model, 8)
@@ -665,6 +665,15 @@ def test_empty_tables(spark, docs):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_rows_without_a_key_go_to_no_shard(spark):
+    """A third of all rows without a key, copies of each other and of rows with one: they stay whole, and only the others are compared."""
+    text = " ".join(f"k{i}" for i in range(80))
+    rows = [(None, text)] * 200 + [(None, None), (3, text), (5, text + " end"), (7, "short")]
+    out = repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.n_words, r.n_removed) for r in out if r.doc_id is None) == [(0, 0)] + [(80, 0)] * 200
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in out if r.doc_id is not None} == {3: (80, 0), 5: (81, 80), 7: (1, 0)}
+
+
 def without_repeated_lines(rows):
     """(key, text) rows without lines of three-line windows that stand earlier, by key and position."""
     first, out = {}, []

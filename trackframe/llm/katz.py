@@ -13,7 +13,7 @@ probability in the successor's bucket, a total and a backoff weight in the histo
 Words are lower-case (A-Z) runs of characters other than white space; a document ends with one end token, which is also
 the history of its first word. Null and empty texts are the end token alone. Rows that share a key, and repeated rows, are scored each. A very
 long text is scored whole, in a slice of its own. With nothing to train on every word is unknown; an empty table gives an empty one. Words are
-told by 64-bit hashes; partial sums of the base score travel as 32-bit numbers, to seven digits. Only key and text are read.
+told by 64-bit hashes; sums are of 64-bit numbers, partial ones too. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -183,7 +183,7 @@ def pieces(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
 
 
 #: Types of partial sums: score, pairs seen, words known, base score.
-SUMS = (np.float64, np.uint32, np.uint32, np.float32)
+SUMS = (np.float64, np.uint32, np.uint32, np.float64)
 #: Kinds of rows by what the other word of a pair is: a frequent one's class, or a hash.
 OTHERS = {2: np.uint16, 4: np.uint64, 3: np.uint16, 5: np.uint64}
 

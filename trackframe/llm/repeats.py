@@ -15,7 +15,7 @@ in a document with a smaller key is removed. Four steps:
 
 Null text has no words. A document shorter than the window stays whole; a very long one is one document of its shard and is
 located and cut whole. Rows that share a key are one document in the comparison and are returned each. Rows with a null key
-are compared with nothing and stay whole. An empty table gives an empty one. Only key and text are read.
+are compared with nothing, go to no shard and stay whole. An empty table gives an empty one. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
         out: list[tuple] = []
         for k, words in zip(keys, lists):
             n = len(words)
-            if k is None or n < window:
+            if n < window:
                 out.append((k, n, 0, b" ".join(words), None, None))
                 continue
             if k in copied:
@@ -156,7 +156,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
         shard_of = pa.array(table.column("shard").to_pylist(), pa.int32())
         return pa.Table.from_arrays([*(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), lists, shard_of], [key, "n_words", "n_removed", "kept", "text", "found", "shard"])
 
-    dealt = docs.select(key, text, shard.alias("shard")).groupBy("shard")
+    keyless = docs.where(F.col(key).isNull())
+    dealt = docs.where(F.col(key).isNotNull()).select(key, text, shard.alias("shard")).groupBy("shard")
     located = bucketed(dealt.cogroup(copies.unionByName(places).groupBy("shard")).applyInArrow(locate, found_schema), "located", "shard")
 
     pending = located.where(F.col("text").isNotNull())
@@ -186,7 +187,12 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
             kept.append(b" ".join(w for w, g in zip(t.split(b" "), gone.tolist()) if not g))
         return pa.Table.from_arrays([pa.array(keys, key_type), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], [key, "n_words", "n_removed", "kept"])
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [t.split() for t in text_bytes(b, text)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in lists], pa.int64()), pa.array([0] * len(lists), pa.int64()), pa.array([b" ".join(w) for w in lists], pa.binary())], [key, "n_words", "n_removed", "kept"])
+
     out_schema = f"`{key}` {kind}, n_words long, n_removed long, kept binary"
     done = located.where(F.col("text").isNull()).select(key, "n_words", "n_removed", "kept")
-    both = done.unionByName(pending.select(key, "n_words", "text", "shard").groupBy("shard").cogroup(later.groupBy("shard")).applyInArrow(cut, out_schema))
+    both = done.unionByName(pending.select(key, "n_words", "text", "shard").groupBy("shard").cogroup(later.groupBy("shard")).applyInArrow(cut, out_schema)).unionByName(keyless.mapInArrow(whole, out_schema))
     return both.select(key, "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").cast("string").alias("kept"))
