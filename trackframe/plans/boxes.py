@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as g
 from trackframe.functions import text as t
-from trackframe.operators import curation, matching, metrics, tracking, tracks
+from trackframe.operators import catalog, curation, matching, metrics, tracking, tracks
 from trackframe.plans.fixtures import view
 from trackframe.sources import writers
 
@@ -62,6 +62,17 @@ def rectified(s, d):
     return view(s, d, "gt").withColumn("c", c).select("clip", "frame", "id", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
 
 
+def rectified_by_clip(s, d):
+    """Every clip in the region of its video, which is kept under the name of another file of the same stem."""
+    corners = lambda shift: F.array(*(F.array(F.lit(float(a)) + shift, F.lit(float(b))) for a, b in ROI))
+    clips = view(s, d, "frames").select("clip").distinct()
+    regions = clips.where("clip % 7 <> 0").select(F.concat(F.lit("c"), F.col("clip").cast("string"), F.lit(".mp4")).alias("name"), corners(8.0 * (F.col("clip") % 5)).alias("value"))
+    regions = regions.unionByName(s.range(1).select(F.lit("_default").alias("name"), corners(F.lit(0.0)).alias("value")))
+    of = catalog.with_fallback(clips.withColumn("video", F.concat(F.lit("c"), F.col("clip").cast("string"), F.lit(".mkv"))), regions).select("clip", "value")
+    u, v = g.rectify(F.col("x"), F.col("y"), g.sort_corners(F.col("value")), F.lit(640.0), F.lit(640.0))
+    return view(s, d, "gt").join(of, "clip").select("clip", "frame", "id", F.round(u, 3).alias("u"), F.round(v, 3).alias("v"))
+
+
 RECTIFY = """WITH k AS (SELECT 315.0::DOUBLE x0, 61.0::DOUBLE y0, 889.0::DOUBLE x1, 63.0::DOUBLE y1, 870.0::DOUBLE x2, 629.0::DOUBLE y2, 327.0::DOUBLE x3, 622.0::DOUBLE y3),
 k2 AS (SELECT *, x0-x1+x2-x3 AS sx, y0-y1+y2-y3 AS sy, x1-x2 AS dx1, x3-x2 AS dx2, y1-y2 AS dy1, y3-y2 AS dy2 FROM k),
 k3 AS (SELECT *, (sx*dy2-dx2*sy)/(dx1*dy2-dx2*dy1) AS g, (dx1*sy-sx*dy1)/(dx1*dy2-dx2*dy1) AS h FROM k2),
@@ -87,6 +98,7 @@ QUERIES = {
         f"SELECT clip, gid, count(*) AS pairs, round(sum(iou), 6) AS total FROM ({PAIRS}) q GROUP BY clip, gid",
     ),
     "p3_rectify": (rectified, RECTIFY),
+    "p3_region_by_clip": (rectified_by_clip, RECTIFY.replace("{gt} t", "(SELECT clip, frame, id, x - CASE WHEN clip % 7 = 0 THEN 0 ELSE 8 * (clip % 5) END AS x, y FROM {gt} g0) t").replace(", 4)", ", 3)")),
     "p4_output_size": (
         lambda s, d: view(s, d, "gt").withColumn("c", F.array(F.array("x", "y"), F.array(F.col("x") + F.col("w"), F.col("y") + 3), F.array(F.col("x") + F.col("w") + 7, F.col("y") + F.col("h")), F.array(F.col("x") - 2, F.col("y") + F.col("h") + 1))).select("clip", "frame", "id", g.output_size(F.col("c"))[0].alias("width"), g.output_size(F.col("c"))[1].alias("height")),
         "SELECT clip, frame, id, CAST(trunc(greatest(sqrt((w+9)*(w+9) + 1), sqrt(w*w + 9))) AS INT) AS width, CAST(trunc(greatest(sqrt(49 + (h-3)*(h-3)), sqrt(4 + (h+1)*(h+1)))) AS INT) AS height FROM {gt} g",
