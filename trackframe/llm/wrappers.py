@@ -8,7 +8,8 @@ remembers on how many pages it stands, how much text it holds, how much of that
 The wrapper decides what is main text. A slot with one and the same text on ``SAME`` pages or more is template. Elements that
 their tag or name tells to be menus, headers, footers, sidebars, notices, adverts, forms or comments are left out, unless hardly
 any other prose that varies is left, as with a body in class "related-work": then the heaviest of them counts as plain. Of the rest the
-wrapper's content is the element, sought from the top, that holds most of the varying text, with headings of the first level before it. Every
+wrapper's content is the element, sought from the top, that holds most of the varying text, with headings of the first level before it. Inside it,
+the slots decide on a single element whose name is a compound of a word such as menu, share or widget: it stays if at least half of its characters are prose that varies. Every
 page is then matched against its host's wrapper, and the texts in content slots are its main text, in page order.
 
 Pages of a host are aligned where they are read, and the wrappers of a host's parts are aligned in groups of at most about ``FAN``, level
@@ -27,7 +28,6 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -57,8 +57,8 @@ DEPTH = 100
 SAME = 4
 #: Wrappers that are aligned in one group.
 FAN = 64
-#: Longer lists of siblings than such that the product of two is this are aligned in one pass.
-PAIRS = 4_000_000
+#: Words of ``OUTSIDE_NAME`` for elements that do something: a compound of one of them ("menu-ideas") may also name a part of the text.
+FUNCTION = re.compile(r"nav|navbar|navigation|menu\w*|toolbar|widgets?|share|sharing|social|form|login|side", re.I)
 
 
 def label(tag: str, attributes: str) -> str:
@@ -72,6 +72,14 @@ def outside(name: str) -> bool:
     return tag in OUTSIDE or bool(named and OUTSIDE_NAME.search(named))
 
 
+def compound(name: str) -> bool:
+    """Whether an element is to be left out only for compounds of ``FUNCTION`` words with words that tell nothing."""
+    tag, _, named = name.partition(".")
+    told = [re.split("[-_]", w) for w in named.split() if OUTSIDE_NAME.search(w)]
+    plain = lambda part: FUNCTION.fullmatch(part) or not OUTSIDE_NAME.search(part)
+    return tag not in OUTSIDE and all(all(map(plain, parts)) and not all(map(FUNCTION.fullmatch, parts)) for parts in told)
+
+
 # A node is [name, children, many, optional, texts]; the name is an element's label, "#" for text, "()" for a group of siblings. In a page, the
 # texts of a slot are a tuple of (place, hash, characters, characters in links); in a wrapper, a list: pages, the text's hash (0 if it
 # varies), characters, characters in links.
@@ -222,35 +230,54 @@ def regroup(nodes: list[list], other: list[list]) -> list[list]:
     return nodes
 
 
+def common_rows(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and every prefix of ``b``; one bit of a whole number a place of ``b``."""
+    at: dict[str, int] = {}
+    for j, name in enumerate(b):
+        at[name] = at.get(name, 0) | 1 << j
+    v = every_place = (1 << len(b)) - 1
+    for name in a:
+        u = v & at.get(name, 0)
+        v = (v + u | v - u) & every_place
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits, dtype=np.int64)])
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, found by halving ``a``: memory grows with the lists, not with their product."""
+    out, parts = [], [(0, len(a), 0, len(b))]
+    while parts:
+        i, j, k, m = parts.pop()
+        if i == j or k == m:
+            continue
+        if j == i + 1 or m == k + 1:
+            one = next(((x, y) for x in range(i, j) for y in range(k, m) if a[x] == b[y]), None)
+            out += [one] if one else []
+            continue
+        mid = (i + j) // 2
+        cut = k + int((common_rows(a[i:mid], b[k:m]) + common_rows(a[mid:j][::-1], b[k:m][::-1])[::-1]).argmax())
+        parts += [(i, mid, k, cut), (mid, j, cut, m)]
+    return sorted(out)
+
+
 def matched(a: list[str], b: list[str]) -> Iterator[tuple[int | None, int | None]]:
-    """Places of equal names in two lists, in the order of both, and between them the places that only one has."""
+    """Places of equal names in two lists, as many as both can have in order, and between them the places that only one has."""
     if a == b:
         yield from zip(range(len(a)), range(len(b)))
         return
-    if len(a) * len(b) > PAIRS:
-        places: dict[str, list[int]] = {}
-        for j in range(len(b) - 1, -1, -1):
-            places.setdefault(b[j], []).append(j)
-        k = 0
-        for i, name in enumerate(a):
-            here = places.get(name, [])
-            while here and here[-1] < k:
-                here.pop()
-            if here:
-                j = here.pop()
-                yield from ((None, x) for x in range(k, j))
-                yield i, j
-                k = j + 1
-            else:
-                yield i, None
-        yield from ((None, x) for x in range(k, len(b)))
-        return
-    for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            yield from zip(range(i, j), range(k, m))
-        else:
-            yield from ((x, None) for x in range(i, j))
-            yield from ((None, x) for x in range(k, m))
+    most = min(len(a), len(b))
+    head = next((i for i in range(most) if a[i] != b[i]), most)
+    tail = next((i for i in range(most - head) if a[-1 - i] != b[-1 - i]), most - head)
+    names = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
+    x, y = ([i for i in range(head, len(n) - tail) if n[i] in names] for n in (a, b))
+    between = [(x[i], y[j]) for i, j in common([a[i] for i in x], [b[j] for j in y])] if names else []
+    k = m = 0
+    for i, j in [*zip(range(head), range(head)), *between, *((len(a) - t, len(b) - t) for t in range(tail, -1, -1))]:
+        yield from ((q, None) for q in range(k, i))
+        yield from ((None, q) for q in range(m, j))
+        if i < len(a):
+            yield i, j
+        k, m = i + 1, j + 1
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
@@ -296,6 +323,11 @@ def prose(node: list, plain: set[int] | None = None) -> int:
     return sum(prose(k, plain) for k in kids)
 
 
+def held(node: list) -> int:
+    """Characters in a node's slots."""
+    return node[4][2] + sum(map(held, node[1]))
+
+
 def every(nodes: list[list]) -> Iterator[list]:
     for n in nodes:
         yield n
@@ -327,7 +359,7 @@ def content(wrapper: list[list]) -> None:
         for n in nodes:
             if n[0] == "#":
                 n[3] = n[3] if n[4][1] and n[4][0] >= SAME else 2
-            elif id(n) in plain or not outside(n[0]):
+            elif id(n) in plain or not outside(n[0]) or compound(n[0]) and not n[2] and 2 * prose(n) >= held(n) > 0:
                 n[3] = 2
                 mark(n[1])
 
