@@ -136,6 +136,28 @@ def test_dealt_lists_lose_no_link(spark, monkeypatch):
     assert got == label
 
 
+@pytest.mark.parametrize("listed", [50_000, 10])
+def test_every_link_is_listed_and_counted(spark, monkeypatch, listed):
+    monkeypatch.setattr(jaccard, "LIST", listed)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    draw = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(draw.choice([w] * 60 + [f"x{draw.randrange(30)}"]) for w in base)) for i in range(100)]
+    rows += [(200 + i, t) for i, t in rows[:20]] + [(300 + i, " ".join(base)) for i in range(30)] + [(400, None), (401, ""), (402, "a b"), (403, "A b"), (None, rows[0][1]), (5, " ".join(base))]
+    sets = [shingle_set(t) for _, t in rows]
+    like = [[100 * len(a & b) >= 80 * len(a | b) for b in sets if a and b] if a else [] for a in sets]
+    members, links = jaccard.near_links(odd(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = members.collect()
+    order = lambda x: (x[0] is None, x)
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=order) == sorted(((k, len(s), max(sum(n) - 1, 0)) for (k, _), s, n in zip(rows, sets, like)), key=order)
+    of = {(r.doc_id, r.n_shingles): r["class"] for r in got if r.doc_id not in (None, 5)}
+    name = {frozenset(s): of[k, len(s)] for (k, _), s in zip(rows, sets) if k not in (None, 5)}
+    kinds = [s for s in {frozenset(s) for s in sets} if s and s in name]
+    want = {tuple(sorted((name[a], name[b]))) for a in kinds for b in kinds if a != b and 100 * len(a & b) >= 80 * len(a | b)}
+    pairs = [(r.a, r.b) for r in links.collect()]
+    assert len(pairs) == len(set(pairs)) and {p for p in pairs if set(p) <= set(name.values())} == want and len(want) > 100
+
+
 def test_rows_that_share_a_key_are_one_document(spark):
     a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
     rows = [(4, a), (5, a), (5, b), (6, b), (7, "c d e f g h"), (8, None), (8, "")]
@@ -315,6 +337,24 @@ def test_pii_repeated_rows_and_clashing_names(spark):
     assert len(out) == 4 and out[0] == out[1] and out[0][1] == 1 and out[0][3] == len(out[0][2].split(",")) and out[2:] == [(2, 0, "", 0), (3, 0, "", 0)]
 
 
+def test_pii_finds_secrets_that_its_patterns_do_not_match():
+    draw = random.Random(9)
+    some = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    hexed, mixed = "0123456789abcdef", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    filler = lambda n: " ".join(f"w{draw.randrange(50)}" if draw.random() < 0.1 else draw.choice(["the", "of", "state-of-the-art-2020", "in", "1999", "a-4"]) for _ in range(n))
+    model = pii.teach([f"{filler(20)} {draw.choice(['token', 'key', 'password'])} = {some(hexed, 32)} {filler(20)}" for _ in range(80)])
+    cases, found, wrong = 0, 0, 0
+    for cue in ("Authorization: Bearer {}", "my login is {} please", "passphrase {} was sent"):
+        for secret in (some(hexed, 40), some(mixed, 28) + "7", "sk-" + some(mixed, 32) + "7"):
+            for _ in range(20):
+                text = f"{filler(15)} {cue.format(secret)} {filler(15)}"
+                assert not pii.ASSIGNED.search(text)
+                at = text.index(secret)
+                spans = pii.added_spans(model, text, pii.base_spans(text))
+                cases, found, wrong = cases + 1, found + (("secret", at, at + len(secret)) in spans), wrong + sum(s[1:] != (at, at + len(secret)) for s in spans)
+    assert found >= 0.7 * cases and wrong <= 0.05 * cases, (found, wrong, cases)
+
+
 def test_pii_segmentation_is_the_best_of_all():
     """The dynamic program against every segmentation of a short island."""
     model = pii.teach([f"call +1 (068) 555-27{i:02d} or token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\"" for i in range(20)])
@@ -626,6 +666,39 @@ def test_a_teaser_does_not_win_over_the_body():
     assert host_text([f"<article class=teaser><p>{prose(draw, 5)}</p></article><div class=m>" + "".join(f"<p>{p}</p>" for p in ps) + "</div>" for ps in body]) == ["\n".join(ps) for ps in body]
 
 
+def test_most_siblings_are_matched_at_every_size():
+    def most(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j] + 1 if x == y else 0, row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    draw = random.Random(5)
+    for size in [8] * 500 + [60] * 20 + [400] * 2:
+        a, b = ([draw.choice("abcdefghij"[: draw.randint(1, 10)]) for _ in range(draw.randint(0, size))] for _ in range(2))
+        pairs = list(wrappers.matched(a, b))
+        assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
+        both = [(i, j) for i, j in pairs if i is not None and j is not None]
+        assert all(a[i] == b[j] for i, j in both) and len(both) == most(a, b)
+    a, b = ([str(draw.randrange(40)) for _ in range(n)] for n in (2_300, 2_500))
+    few = lambda n: sum(i is not None and j is not None for i, j in wrappers.matched(a[:n], b[:n]))
+    assert few(2_500) == most(a, b)
+
+
+def test_compounds_of_function_names_are_told_by_their_slots():
+    said = lambda i, k: " ".join(f"w{i}x{k}y{j}" for j in range(20))
+    page = lambda i, inside: f"<body><article><h1>t{i}</h1><p>{said(i, 1)}</p>{inside}<p>{said(i, 2)}</p></article></body>"
+    for name in ("menu-ideas", "widget-review", "share-story"):
+        pages = [page(i, f"<div class='{name}'><p>{said(i, 3)}</p></div>") for i in range(6)]
+        assert host_text(pages) == [f"t{i}\n{said(i, 1)}\n{said(i, 3)}\n{said(i, 2)}" for i in range(6)]
+    for name, inside in (("menu-ideas", "<a>{}</a>"), ("menu-ideas", "same on every page"), ("share-story", "short {i}"), ("comment-list", "{}"), ("sidebar-widget", "{}"), ("menu", "{}"), ("share-form", "{}")):
+        pages = [page(i, f"<div class='{name}'>{inside.format(said(i, 3), i=i)}</div>") for i in range(6)]
+        assert host_text(pages) == [f"t{i}\n{said(i, 1)}\n{said(i, 2)}" for i in range(6)], name
+
+
 @pytest.mark.parametrize("html", ["<a " * 30_000, '<a "' * 30_000, "<div>" * 30_000 + "x", "<x><li>" * 10_000, "</q>" * 30_000, "<!--" * 30_000, "".join(f"<div class={'ab'[i * 7919 % 101 % 2]}>t{i}</div>" for i in range(5_000))])
 def test_odd_pages_take_no_long_time(html):
     import time

@@ -12,7 +12,8 @@ Jaccard similarity is ``percent`` or more. Steps:
    lists give pairs of sets of different components only; what the first set links to is derived, not searched again. There a list is
    cut into blocks of bounded size, each of one component or of small components together, and each pair of blocks that can hold
    a pair of different components is a group of its own: no list, however long, comes to one task.
-5. Components by smallest label with pointer jumping, over written tables.
+5. ``near_links``, which gives every link, pairs the classes of a long list in such blocks without regard to components.
+6. Components by smallest label with pointer jumping, over written tables.
 
 With fewer words than a shingle the whole sequence is the set's one element; without words the set is empty and links with
 nothing. Null text counts as empty. Rows that share a key are one document: what each of them links to is one component. An empty
@@ -114,13 +115,17 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             return labels
 
 
-def block_members(lists: DataFrame, so_far: DataFrame, block: int = BLOCK) -> DataFrame:
+def block_members(lists: DataFrame, so_far: DataFrame | None, block: int = BLOCK) -> DataFrame:
     """Entries of index lists (token, class, size, pos), with their component as ``group``, in every pair of blocks (one, two) they take part in.
 
     Lists of one component are left out. A component with more than ``block`` entries in a list has blocks of its own, which are
     paired with all but each other; the others share blocks, which are paired with all and with themselves (side 0).
+    Without ``so_far`` each class is a component.
     """
-    grouped = lists.join(so_far.select(F.col("node").alias("class"), F.col("component").alias("group")), "class", "left").withColumn("group", F.coalesce("group", "class"))
+    if so_far is None:
+        grouped = lists.withColumn("group", F.col("class"))
+    else:
+        grouped = lists.join(so_far.select(F.col("node").alias("class"), F.col("component").alias("group")), "class", "left").withColumn("group", F.coalesce("group", "class"))
     grouped = written(grouped.select("token", "class", "size", "pos", "group"), "lists")
     # Most lists are of one component by now: only the others go on.
     tokens = written(grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") < F.col("high")).select("token"), "tokens")
@@ -142,8 +147,8 @@ def block_members(lists: DataFrame, so_far: DataFrame, block: int = BLOCK) -> Da
     return placed.join(each.select("token", "one", "two", "m.block", "m.side"), ["token", "block"]).select("token", F.xxhash64("one").alias("one"), F.xxhash64("two").alias("two"), "class", "size", "pos", "group", "side")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id): components by their smallest key."""
+def join_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, n_shingles, class), (class, rep: its smallest key) and links (a, b) of different classes: ``every`` one, or enough for the components."""
     spark = docs.sparkSession
     docs = keyed(docs, key, text)
     kind = docs.schema[key].dataType.simpleString()
@@ -267,7 +272,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         return two.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
     first = written(verified(pairs), "links")
-    so_far = components(first)
+    so_far = None if every else components(first)
 
     def across(part: pa.Table) -> pa.Table:
         cls, size, pos, group, side = (part.column(k).to_numpy().astype(np.int64) for k in ("class", "size", "pos", "group", "side"))
@@ -282,18 +287,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         return pa.table({"a": pa.array(p[0]), "b": pa.array(p[1])})
 
     second = written(verified(block_members(lists, so_far).groupBy("token", "one", "two").applyInArrow(across, "a long, b long").distinct()), "links")
+    return meta, reps, first.unionByName(second)
+
 
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(key, n_shingles, component_id): components by their smallest key."""
+    meta, reps, links = join_sets(docs, key, text, words, percent, False)
     # Links in keys; the class with the smallest key gives the component's name.
     rep = lambda c, name: reps.select(F.col("class").alias(c), F.col("rep").alias(name))
     # Rows that share a key tie their classes together.
     by_key = meta.where((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy(key).agg(F.min("class").alias("a"), F.max("class").alias("last")).where(F.col("a") < F.col("last"))
     tied = meta.where(F.col("n_shingles") > 0).join(by_key, key).where(F.col("class") > F.col("a")).select("a", F.col("class").alias("b"))
-    links = first.unionByName(second).unionByName(tied).join(rep("a", "x"), "a").join(rep("b", "y"), "b").select("x", "y")
+    links = links.unionByName(tied).join(rep("a", "x"), "a").join(rep("b", "y"), "b").select("x", "y")
     final = components(links, "x", "y")
     named = reps.join(final, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     return meta.join(named, "class", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
+def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (key, n_shingles, class, n_links) by row, and (a, b), every link of two classes once, the smaller class first.
+
+    Rows of equal sets are one class, 0 for the empty set. ``n_links`` counts the other rows that a row is linked with, those of its
+    class included; rows that share a key count one by one. No list is cut: pairs of a long list are made in blocks.
+    """
+    meta, _, links = join_sets(docs, key, text, words, percent, True)
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    rows = written(meta.where(F.col("n_shingles") > 0).groupBy("class").agg(F.count("*").alias("rows")), "rows")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(rows, F.col("b") == F.col("class")).groupBy("a").agg(F.sum("rows").alias("others"))
+    count = rows.join(others, F.col("class") == F.col("a"), "left").select("class", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return meta.join(count, "class", "left").select(key, "n_shingles", "class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest key. A null key stays."""
     gone = unused(docs, "gone")
