@@ -1,5 +1,6 @@
 """Tables that change in place, resumed outputs, lineage, samples, and values that were wrong once."""
 
+import hashlib
 import random
 
 import pytest
@@ -164,6 +165,18 @@ def test_audit_takes_no_anchor(spark):
     assert sampling.audit_frames(videos, anchors, 3, 1).where("video = 'v'").count() == 3
 
 
+def test_audit_of_long_videos(spark):
+    """Parts of a video's grid give what the whole grid gives, and no join is broadcast by a guess of the grid's size."""
+    videos = spark.createDataFrame([("long", 250_001), ("edge", 102_400), ("v", 901)], "video string, frames long")
+    taken = {"long": {*range(0, 250_001, 700)}, "edge": {102_300, 150}, "v": {f * 100 for f in range(8)}}
+    anchors = spark.createDataFrame([(v, f) for v, fs in taken.items() for f in fs] * 2, "video string, frame long")
+    got = sampling.audit_frames(videos, anchors, 40, 3)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = lambda v, f: (hashlib.md5(f"3|{v}|{f}".encode()).hexdigest(), f)
+    free = {v: sorted((f for f in range(0, n, 100) if f not in taken[v]), key=lambda f: plain(v, f)) for v, n in (("long", 250_001), ("edge", 102_400), ("v", 901))}
+    assert sorted(map(tuple, got.collect())) == sorted((v, f) for v, fs in free.items() for f in fs[:40])
+
+
 def test_lineage_by_precedence(spark):
     paths = [
         ("/w/models/expA/phase1/yolo8n/weights/best.pt", False), ("/w/datasets/full_v1", True), ("/w/datasets/full_v1/manifest.csv", False), ("/w/models/expA/eval/full_v1/eval_config.yaml", False),

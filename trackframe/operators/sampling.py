@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.operators.catalog import far_enough, in_valid_range
-from trackframe.operators.ranks import placed, seeded
+from trackframe.operators.ranks import seeded
 from trackframe.operators.scratch import written
 
 #: Slots of the unit interval for weighted draws.
 SLOTS = 4096
+#: Grid places of a video that one row holds.
+PART = 1024
 
 
 def uniform(seed: int, *parts) -> Column:
@@ -85,11 +87,22 @@ def sample_clips(videos: DataFrame, n: int, duration: float, seed: int, taken: D
 
 
 def audit_frames(videos: DataFrame, anchors: DataFrame, n: int, seed: int, grid: int = 100) -> DataFrame:
-    """``n`` seeded frames a video (video, frames) for checking: multiples of ``grid`` that are no anchor of it (video, frame)."""
-    last = F.col("frames") - 1
-    every = videos.where("frames > 0").select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / grid))).alias("_k")).select("video", (F.col("_k") * grid).alias("frame"))
-    free = every.join(anchors.select("video", F.col("frame").cast("long").alias("frame")).distinct(), ["video", "frame"], "left_anti")
-    return placed(free, seeded(seed, F.col("video"), F.col("frame")), F.col("frame"), ["video"]).where(F.col("_r") <= n).select("video", "frame")
+    """``n`` seeded frames a video (video, frames) for checking: multiples of ``grid`` that are no anchor of it (video, frame).
+
+    A video's multiples come in parts of ``PART``, each one row that meets the anchors of its part and gives its first ``n`` alone; so neither the
+    grid nor a long video's share of it is shuffled, and no join is broadcast by a size that was guessed before the parts were counted.
+    """
+    span = F.lit(grid * PART)
+    last = F.floor((F.col("frames") - 1) / grid)
+    parts = videos.where("frames > 0").select("video", last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / PART))).alias("_p"))
+    known = anchors.select("video", F.col("frame").cast("long").alias("frame")).where((F.col("frame") >= 0) & (F.col("frame") % grid == 0))
+    known = known.groupBy("video", F.floor(F.col("frame") / span).alias("_p")).agg(F.collect_set("frame").alias("_known"))
+    every = F.transform(F.sequence(F.col("_p") * PART, F.least(F.col("_last"), (F.col("_p") + 1) * PART - 1)), lambda k: k * grid)
+    free = F.array_except(every, F.coalesce("_known", F.array().cast("array<bigint>")))
+    hashed = F.transform(free, lambda f: F.struct(seeded(seed, F.col("video"), f).alias("_h"), f.alias("frame")))
+    first = parts.join(known.hint("merge"), ["video", "_p"], "left").select("video", F.explode(F.slice(F.sort_array(hashed), 1, n)).alias("c")).select("video", "c.*")
+    place = F.row_number().over(Window.partitionBy("video").orderBy("_h", "frame"))
+    return first.withColumn("_r", place).where(F.col("_r") <= n).select("video", "frame")
 
 
 def segments(spans: DataFrame, n: int, length: int, seed: int) -> DataFrame:
