@@ -141,3 +141,15 @@ def test_gated_filled_and_compare(spark):
 def test_repeated_ids_are_counted(spark):
     t = spark.createDataFrame([(0, 1, 1, 0.0, 0.0, 1.0, 1.0), (0, 1, 1, 2.0, 0.0, 1.0, 1.0), (0, 2, 1, 0.0, 0.0, 1.0, 1.0)], BOXES)
     assert matching.repeated_ids(t).first().repeated == 1 and matching.unique_ids(t).count() == 2
+
+
+def test_small_and_large_solver_agree(monkeypatch):
+    """With ties as frames have them: most boxes overlap nothing."""
+    draw = np.random.default_rng(2)
+    for _ in range(300):
+        cost = 1 - np.where(draw.random(draw.integers(1, 9, 2)) < 0.6, 0, np.round(draw.random(), 1))
+        few = matching.assign(cost).tolist()
+        assert few == matching.assign_few(cost.tolist())
+        monkeypatch.setattr(matching, "SMALL", 0)
+        assert few == matching.assign(cost).tolist()
+        monkeypatch.undo()

@@ -173,3 +173,32 @@ def test_collected_batches_are_taken_once(spark, tmp_path):
     expected = spark.createDataFrame([("w1", "train"), ("w1", "val"), ("w2", "train")], "wave string, split string")
     assert {tuple(r) for r in online.finalise(spark, target, expected).collect()} == {("w1", "train", 1, False), ("w1", "val", 1, False), ("w2", "train", 0, True)}
     assert {r.n for r in online.finalise(spark, str(tmp_path / "none"), expected).collect()} == {0}
+
+
+@pytest.mark.parametrize("method", list(tracking.METHODS))
+def test_frames_of_few_boxes_need_no_arrays(method, monkeypatch):
+    """What made the trackers slow: an array solver, an IoU table and matrix inverses for every frame."""
+
+    def refuse(*_):
+        raise AssertionError("an array kernel ran on a frame of few boxes")
+
+    rows = moving(clips=2)
+    for owner, name in ((tracking, "assign"), (tracking, "iou_table"), (np.linalg, "inv")):
+        monkeypatch.setattr(owner, name, refuse)
+    assert walked(rows, method)
+
+
+def test_filters_equal_their_matrix_form():
+    """The filter by coordinates against the one of eight by eight matrices, through updates and frames without."""
+    draw, box = np.random.default_rng(5), np.array([10.0, 20.0, 40.0, 60.0])
+    own, move, see = tracking.Filter(tuple(box), 1), np.eye(8) + np.eye(8, k=4), np.eye(4, 8)
+    x, p = np.concatenate([own.measure(box), np.zeros(4)]), np.diag([10.0, 10, 20, 20, 100, 100, 100, 100])
+    for i in range(60):
+        own.predict()
+        x, p = move @ x, move @ p @ move.T + np.diag([1.0, 1, 10, 10, 0.1, 0.1, 1, 1])
+        if i % 4:
+            box = box + draw.normal(0, 3, 4)
+            own.update(tuple(box))
+            gain = p @ see.T @ np.linalg.inv(see @ p @ see.T + np.diag([1.0, 1, 10, 10]))
+            x, p = x + gain @ (np.array(own.measure(box)) - see @ x), (np.eye(8) - gain @ see) @ p
+        assert np.allclose([*own.x, *own.v], x, rtol=1e-12) and np.allclose(tracking.matrix([own.centre, own.centre, own.size, own.size]), p.ravel(), rtol=1e-12)

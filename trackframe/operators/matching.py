@@ -12,6 +12,10 @@ from trackframe.functions.geometry import iou
 FRAME = ["clip", "frame"]
 
 
+#: Costs of up to so many pairs are solved on plain numbers, which a frame's few boxes are too few for arrays to repay.
+SMALL = 400
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """Column of each row (-1: none) in a cheapest assignment of min(n, m) pairs: shortest augmenting paths, O(n^3).
 
@@ -20,6 +24,8 @@ def assign(cost: np.ndarray) -> np.ndarray:
     cost = np.asarray(cost, float)
     if not cost.size:
         return np.full(cost.shape[0], -1)
+    if cost.size <= SMALL and np.isfinite(cost).all():
+        return np.array(assign_few(cost.tolist()))
     if cost.shape[0] > cost.shape[1]:
         across = assign(cost.T)
         out = np.full(cost.shape[0], -1)
@@ -60,6 +66,51 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def assign_few(cost: list[list[float]]) -> list[int]:
+    """``assign`` for a few finite costs as lists, in the same steps and with the same result to the bit; at least one row and column."""
+    n, m = len(cost), len(cost[0])
+    if n > m:
+        out = [-1] * n
+        for column, row in enumerate(assign_few([list(c) for c in zip(*cost)])):
+            out[row] = column
+        return out
+    nearest = [row.index(min(row)) for row in cost]
+    if len(set(nearest)) == n:  # every row has its cheapest column
+        return nearest
+    u, v = [0.0] * (n + 1), [0.0] * (m + 1)
+    owner, way = [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], j0 = i, 0
+        least, used, free = [np.inf] * (m + 1), [0], list(range(1, m + 1))
+        while True:
+            i0 = owner[j0]
+            row, ui, delta, j1 = cost[i0 - 1], u[i0], np.inf, 0
+            for j in free:
+                reduced = row[j - 1] - ui - v[j]
+                if reduced < least[j]:
+                    least[j], way[j] = reduced, j0
+                if least[j] < delta:
+                    delta, j1 = least[j], j
+            for j in used:
+                u[owner[j]] += delta
+                v[j] -= delta
+            for j in free:
+                least[j] -= delta
+            j0 = j1
+            if owner[j0] == 0:
+                break
+            free.remove(j0)
+            used.append(j0)
+        while j0:
+            owner[j0] = owner[way[j0]]
+            j0 = way[j0]
+    out = [-1] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            out[owner[j] - 1] = j - 1
+    return out
+
+
 def unique_ids(boxes: DataFrame) -> DataFrame:
     """One box an id and frame: the first by position."""
     first = Window.partitionBy("clip", "frame", "id").orderBy("x", "y", "w", "h")

@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def scan_frames(rows: DataFrame, by: Sequence[str], values: Sequence[str], begin: Callable[[tuple], Callable], schema: str, order: Sequence[Column] = ()) -> DataFrame:
+def scan_frames(rows: DataFrame, by: Sequence[str], values: Sequence[str], begin: Callable[[tuple], Callable], schema: str, order: Sequence[Column] = (), lists: bool = False) -> DataFrame:
     """``begin(key)`` gives a function that is called with each frame of the key, in order, as (frame, arrays of ``values``); it returns rows.
 
     A returned row, put behind the key's values, is a row of ``schema``. Inside a frame rows stand in ``order``. Rows without a frame are left out.
+    With ``lists`` the values come as lists, which cost less than arrays where a frame has few rows.
     """
     ordered = rows.where("frame IS NOT NULL").select(*by, "frame", *values).repartition(*by).sortWithinPartitions(*by, "frame", *order)
     kinds, n = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema), len(by)
@@ -31,7 +32,8 @@ def scan_frames(rows: DataFrame, by: Sequence[str], values: Sequence[str], begin
 
         def finished() -> None:
             if held:
-                out.extend((*key, *r) for r in step(frame, [np.concatenate(c) for c in zip(*held)] if len(held) > 1 else held[0]))
+                join = (lambda c: sum(c, [])) if lists else np.concatenate
+                out.extend([(*key, *r) for r in step(frame, [join(c) for c in zip(*held)] if len(held) > 1 else held[0])])
 
         for batch in batches:
             if not batch.num_rows:
@@ -40,10 +42,13 @@ def scan_frames(rows: DataFrame, by: Sequence[str], values: Sequence[str], begin
             frames, columns = batch.column(n).to_numpy(), [c.to_numpy(zero_copy_only=False) for c in batch.columns[n + 1 :]]
             changes = np.any([c[1:] != c[:-1] for c in (*codes, frames)], axis=0)
             starts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
-            new_key = np.any([np.diff(c, prepend=c[0] - 1) != 0 for c in codes], axis=0)
+            new_key = np.any([np.diff(c, prepend=c[0] - 1) != 0 for c in codes], axis=0).tolist()
+            frames = frames.tolist()
+            if lists:
+                columns = [c.tolist() for c in columns]
             for a, b in zip(starts, starts[1:]):
                 of = tuple(batch.column(i)[a].as_py() for i in range(n)) if new_key[a] else key
-                if (of, frames[a]) != (key, frame):
+                if frames[a] != frame or of != key:
                     finished()
                     held = []
                     if step is None or of != key:
