@@ -93,3 +93,14 @@ def test_metadata_index_and_dataset(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "index")).select("experiment_name", "n_clips", "notes").collect()} == {("e1", 3, None), ("e2", 4, "n")}
     manifest = spark.createDataFrame([("train", 1), ("train", 2), ("val", 3)], "split string, frame long")
     assert {(r.split, r.n) for r in writers.write_dataset(manifest, str(tmp_path / "ds")).collect()} == {("train", 2), ("val", 1)}
+
+
+def files_by_clip(path):
+    return {p.name: len(list(p.glob("part-*"))) for p in path.glob("clip=*")}
+
+
+def test_detections_have_one_file_a_clip(spark, tmp_path):
+    rows = spark.range(400).repartition(8).selectExpr("id % 5 AS clip", "id AS frame_idx", "1.0D AS x1", "2.0D AS y1", "3.0D AS x2", "4.0D AS y2", "0.5D AS conf")
+    writers.write_detections(rows, str(tmp_path / "d"))
+    assert files_by_clip(tmp_path / "d") == {f"clip={i}": 1 for i in range(5)}
+    assert readers.detections_csv(spark, str(tmp_path / "d")).groupBy("clip").count().where("count = 80").count() == 5

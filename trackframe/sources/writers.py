@@ -63,8 +63,9 @@ def write_tracks(filled: DataFrame, path: str, force: bool = False, times: DataF
 
 
 def write_detections(dets: DataFrame, path: str) -> None:
+    """A folder a clip with one file."""
     r = lambda c, n: F.round(c, n).alias(c)
-    dets.select("clip", "frame_idx", *(r(c, 2) for c in ("x1", "y1", "x2", "y2")), r("conf", 4)).write.partitionBy("clip").option("header", True).csv(path)
+    dets.repartition("clip").select("clip", "frame_idx", *(r(c, 2) for c in ("x1", "y1", "x2", "y2")), r("conf", 4)).write.partitionBy("clip").option("header", True).csv(path)
 
 
 def append_manifest(rows: DataFrame, path: str) -> None:
