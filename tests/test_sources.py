@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from trackframe.functions import text
 from trackframe.operators.tracking import track
 from trackframe.plans import files
 from trackframe.sources import readers, writers
@@ -113,3 +114,10 @@ def test_listed_clips_have_one_file_each(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "shared_path", lambda *_: str(tmp_path / "l"))
     assert sorted(r.clip for r in files.listed_files(spark, "").collect()) == [str(i) for i in range(5)]
     assert files_by_clip(tmp_path / "l") == {f"clip={i}": 1 for i in range(5)}
+
+
+def test_label_issues_split_a_line_once(spark):
+    lines = {"0 0.1 0.2 0.3 0.4": "", "0 0.1 0.2 0.3": "fields", " \t ": "", "": "", "0 x 0.2 0.3 0.4": "not_numeric", "1 0.1 0.2 0.3 0.4": "class", "-1 0.1 0.2 0.3 1.4": "class,range", "0 NaN 0.2 0.3 0.4": "", " 0\t0.1  0.2 0.3 -0.4 ": "range", "0.5 1 1 1 1": "not_numeric", "0 0 0 0 0 0": "fields"}
+    frame = spark.createDataFrame([(x,) for x in (*lines, None)], "line string").repartition(2).select("line", F.array_join(text.label_issues(F.col("line"), 1), ",").alias("i"))
+    assert {r.line: r.i for r in frame.collect()} == {**lines, None: ""}
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -146,16 +146,22 @@ def local_string(unix: Column, zone: str = "America/New_York", fmt: str = "yyyy-
 
 def label_issues(line: Column, classes: int | None) -> Column:
     """What is wrong with a ``cls cx cy w h`` line, as an array; NaN coordinates pass, blank lines too. ``classes`` None sets no upper bound."""
-    parts = F.split(F.trim(line), r"\s+")
-    cls = F.try_element_at(parts, F.lit(1)).try_cast("int")
-    at = [F.try_element_at(parts, F.lit(i)).try_cast("double") for i in range(2, 6)]
     blank = F.trim(F.regexp_replace(line, r"\s", " ")) == ""
-    five = F.size(parts) == 5
-    above = F.lit(False) if classes is None else cls >= classes
-    numeric = cls.isNotNull() & at[0].isNotNull() & at[1].isNotNull() & at[2].isNotNull() & at[3].isNotNull()
     outside = lambda c: (c < 0) | (c > 1) & ~F.isnan(c)
     issue = lambda condition, name: F.when(condition, F.lit(name))
-    return F.array_compact(F.array(issue(~five & ~blank, "fields"), issue(five & ~numeric, "not_numeric"), issue(five & numeric & ((cls < 0) | above), "class"), issue(five & numeric & (outside(at[0]) | outside(at[1]) | outside(at[2]) | outside(at[3])), "range")))
+
+    def values(parts: Column) -> Column:
+        at = [F.try_element_at(parts, F.lit(i)).try_cast("double").alias(f"c{i}") for i in range(2, 6)]
+        return F.struct(F.size(parts).alias("n"), F.try_element_at(parts, F.lit(1)).try_cast("int").alias("cls"), *at)
+
+    def issues(v: Column) -> Column:
+        cls, at, five = v["cls"], [v[f"c{i}"] for i in range(2, 6)], v["n"] == 5
+        above = F.lit(False) if classes is None else cls >= classes
+        numeric = cls.isNotNull() & at[0].isNotNull() & at[1].isNotNull() & at[2].isNotNull() & at[3].isNotNull()
+        return F.array_compact(F.array(issue(~five & ~blank, "fields"), issue(five & ~numeric, "not_numeric"), issue(five & numeric & ((cls < 0) | above), "class"), issue(five & numeric & (outside(at[0]) | outside(at[1]) | outside(at[2]) | outside(at[3])), "range")))
+
+    # Lambdas name the fields and their values, so that a line is split and read once instead of once for every condition.
+    return F.get(F.transform(F.transform(F.array(F.split(F.trim(line), r"\s+")), values), issues), F.lit(0))
 
 
 def fingerprint(document: Column) -> Column:
