@@ -121,3 +121,18 @@ def test_label_issues_split_a_line_once(spark):
     frame = spark.createDataFrame([(x,) for x in (*lines, None)], "line string").repartition(2).select("line", F.array_join(text.label_issues(F.col("line"), 1), ",").alias("i"))
     assert {r.line: r.i for r in frame.collect()} == {**lines, None: ""}
     assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_many_documents_of_pairs_in_one_file(spark, tmp_path):
+    rows = spark.range(50).coalesce(1).selectExpr("concat('[[', id, ',', id + 1, '],[', id + 5, ',', id + 9, ']]') AS value")
+    rows.write.text(str(tmp_path / "p"))
+    got = readers.interval_pairs(spark, str(tmp_path / "p"), lines=True)
+    assert sorted(map(tuple, got.collect())) == sorted(x for i in range(50) for x in ((0, float(i), i + 1.0), (1, i + 5.0, i + 9.0)))
+
+
+def test_pair_files_grow_with_bytes(spark, tmp_path, monkeypatch):
+    """Not with the groups: 300 of them do not give 300 files."""
+    monkeypatch.setattr(files, "view", lambda *_: spark.range(900).selectExpr("id % 300 AS grp", "CAST(id AS DOUBLE) AS start_ts", "id + 2.0D AS end_ts"))
+    monkeypatch.setattr(files, "shared_path", lambda *_: str(tmp_path / "p"))
+    assert tuple(files.pair_files(spark, "").first()) == (900, 2, 1800.0)
+    assert len(list((tmp_path / "p").rglob("part-*"))) <= 8

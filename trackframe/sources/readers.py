@@ -43,9 +43,9 @@ def tracks(spark: SparkSession, path: str, first: int | None = None, last: int |
     return out if frames is None else out.join(frames.select("frame").distinct(), "frame", "left_semi")
 
 
-def json_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Whole JSON files as one typed column ``doc``."""
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("doc"), F.col("_metadata.file_path").alias("path"))
+def json_documents(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """Whole JSON files as one typed column ``doc``; with ``lines`` a file holds many documents, one a line."""
+    return spark.read.text(path, wholetext=not lines).select(F.from_json("value", kind).alias("doc"), F.col("_metadata.file_path").alias("path"))
 
 
 def anchors(spark: SparkSession, path: str) -> DataFrame:
@@ -73,8 +73,9 @@ def valid_ranges(spark: SparkSession, path: str, zone: str = "America/New_York")
     return rows.select("video", at(F.col("r.start")).alias("range_start"), at(F.col("r.end")).alias("range_end"))
 
 
-def interval_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return json_documents(spark, path, "array<array<double>>").select(F.posexplode("doc").alias("seq", "p")).select(F.col("seq").cast("long"), F.col("p")[0].alias("start_ts"), F.col("p")[1].alias("end_ts"))
+def interval_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pairs of each document in order; ``lines``: one document a line, for as many documents as would not do as files of their own."""
+    return json_documents(spark, path, "array<array<double>>", lines).select(F.posexplode("doc").alias("seq", "p")).select(F.col("seq").cast("long"), F.col("p")[0].alias("start_ts"), F.col("p")[1].alias("end_ts"))
 
 
 def manifest(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
