@@ -136,3 +136,14 @@ def test_pair_files_grow_with_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "shared_path", lambda *_: str(tmp_path / "p"))
     assert tuple(files.pair_files(spark, "").first()) == (900, 2, 1800.0)
     assert len(list((tmp_path / "p").rglob("part-*"))) <= 8
+
+
+def test_label_lines_take_names_without_patterns(spark, tmp_path):
+    """Names are cut from the path of every line; a pattern on each cost more than reading the line."""
+    (tmp_path / "clip=a b").mkdir()
+    for name in ("f1.txt", "_x.txt", "train.txt"):
+        (tmp_path / "clip=a b" / name).write_text("0 1\n0 2\n")
+    rows = readers.label_lines(spark, str(tmp_path))
+    assert sorted((r.frame_stem, r.line) for r in rows.collect()) == [("f1", "0 1"), ("f1", "0 2")]
+    counts = rows.groupBy("clip").count()
+    assert counts.count() == 1 and "regexp" not in counts._jdf.queryExecution().optimizedPlan().toString()

@@ -101,9 +101,9 @@ def run_metrics(spark: SparkSession, root: str, files: str = "*/results.csv") ->
 
 def label_lines(spark: SparkSession, path: str) -> DataFrame:
     """(clip, frame_stem, line): all label files below ``path``; files that start with _ and index lists are skipped."""
-    file = F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)
+    file, clip = F.substring_index("_metadata.file_path", "/", -1), F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1)
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
-    rows = rows.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("clip"), file.alias("file"), F.col("value").alias("line"))
+    rows = rows.select(clip.alias("clip"), file.alias("file"), F.col("value").alias("line"))
     return rows.where(~F.col("file").startswith("_") & ~F.col("file").isin("train.txt", "val.txt", "test.txt")).select("clip", stem(F.col("file")).alias("frame_stem"), "line")
 
 
