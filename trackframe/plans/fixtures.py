@@ -93,12 +93,37 @@ def needs(sql: str) -> list[str]:
     return out
 
 
+#: Rows of a table that one task groups, more or less: tasks grow in number with the table, not in size.
+ROWS_A_TASK = 500_000
+
+#: Keys by which a view groups nearly every row of a table, which is dealt by them to tasks of ROWS_A_TASK.
+DEALT = {("gt", "lineitem"): ("l_orderkey", "l_linenumber")}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def parts(spark: SparkSession, rows: DataFrame) -> int | None:
+    """Tasks that share a table of so many rows; None for a table that one task could take, which is left to Spark."""
+    n = -(-rows.count() // ROWS_A_TASK)  # Parquet's own counts
+    return max(n, spark.sparkContext.defaultParallelism) if n > 1 else None
+
+
+def source(spark: SparkSession, sf_dir: str, name: str, of: str) -> DataFrame:
+    """A view or table as the view ``of`` reads it."""
+    if name in VIEWS:
+        return view(spark, sf_dir, name)
+    rows, keys = table(spark, sf_dir, name), DEALT.get((of, name))
+    n = parts(spark, rows) if keys else None
+    return rows.repartition(n, *keys) if n else rows
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the tables in ``sf_dir``."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     sql = spark_text(VIEWS[name])
-    names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{n: view(spark, sf_dir, n) if n in VIEWS else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(sql, **{n: source(spark, sf_dir, n, name) for n in set(re.findall(r"\{(\w+)\}", sql))})
 
 
 def oracle(sql: str) -> str:
