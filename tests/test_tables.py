@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackframe.functions import text as t
-from trackframe.operators import catalog, metrics, runs, sampling, timemap, tracking
+from trackframe.operators import catalog, metrics, runs, sampling, timemap, tracking, tracks
 from trackframe.sources import readers, versions, writers
 
 BOXES = "clip long, frame long, id long, x double, y double, w double, h double, conf double"
@@ -265,3 +265,20 @@ def test_listings_without_doubles(spark):
     one, two = (spark.createDataFrame(r, "path string, kind string") for r in ([("a", "rgb")], [("a", "ir"), ("b", "ir")]))
     assert {tuple(r) for r in catalog.union_listing(one, two).collect()} == {("a", "rgb"), ("b", "ir")}
     assert {(r.path, r.origin) for r in catalog.combined({"x": one, "y": two}).collect()} == {("a", "x"), ("a", "y"), ("b", "y")}
+
+
+def test_tracks_are_dealt_once_and_to_any_number_of_tasks(spark):
+    rows = spark.range(400).select((F.col("id") % 3).alias("clip"), (F.col("id") % 5).alias("id"), (F.col("id") * 3).alias("frame"), *(F.col("id").cast("double").alias(c) for c in "xywh"), (F.col("id") % 7 / 10).alias("conf"))
+    times = rows.select("clip", "frame", (F.col("frame") * 2.0).alias("unix")).where("frame % 2 = 0")
+    plan = tracks.fill_gaps(rows, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    forms = (
+        lambda parts: tracks.fill_gaps(rows, 2, parts=parts),
+        lambda parts: tracks.track_table(tracks.fill_gaps(rows, 2, parts=parts), times, parts).fillna(-1.0),
+        lambda parts: tracks.top_n(rows, 2, parts=parts),
+        lambda parts: tracks.postfilter(rows, 2, parts),
+    )
+    for form in forms:
+        whole, shared = form(None), form(11)
+        assert "clip" in shared.columns and sorted(map(repr, whole.collect())) == sorted(map(repr, shared.collect())) != []
+        assert ", 11), REPARTITION_BY_NUM" in shared._jdf.queryExecution().executedPlan().toString()

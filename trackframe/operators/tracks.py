@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 BOX = ("x", "y", "w", "h")
 
 
-def top_n(boxes: DataFrame, n: int, least_conf: float = 0.0) -> DataFrame:
-    """The ``n`` most confident boxes of each frame; ties by ``id``."""
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` to ``parts`` tasks, for tables that grow while Spark's number of shuffle partitions does not; None leaves them as they are."""
+    return rows.repartition(parts, *keys) if parts else rows
+
+
+def top_n(boxes: DataFrame, n: int, least_conf: float = 0.0, parts: int | None = None) -> DataFrame:
+    """The ``n`` most confident boxes of each frame; ties by ``id``. ``parts``: tasks that share the frames."""
     best = Window.partitionBy("clip", "frame").orderBy(F.desc("conf"), "id")
-    return boxes.where(F.col("conf") >= least_conf).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    return dealt(boxes.where(F.col("conf") >= least_conf), parts, "clip", "frame").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
 def most_seen(boxes: DataFrame, n: int) -> DataFrame:
@@ -27,27 +32,29 @@ def compact_ids(boxes: DataFrame) -> DataFrame:
     return boxes.join(ids, ["clip", "id"]).withColumn("id", F.col("new_id")).drop("new_id")
 
 
-def postfilter(boxes: DataFrame, n: int) -> DataFrame:
-    """Clean another tracker's output: top ``n`` a frame, then the ``n`` most seen ids, renumbered."""
-    kept = top_n(boxes, n).drop("rank")
-    return compact_ids(kept.join(most_seen(kept, n).select("clip", "id"), ["clip", "id"], "left_semi"))
+def postfilter(boxes: DataFrame, n: int, parts: int | None = None) -> DataFrame:
+    """Clean another tracker's output: top ``n`` a frame, then the ``n`` most seen ids, renumbered. ``parts``: tasks that share the frames, and the tracks."""
+    kept = top_n(boxes, n, parts=parts).drop("rank")
+    return compact_ids(dealt(kept, parts, "clip", "id").join(most_seen(kept, n).select("clip", "id"), ["clip", "id"], "left_semi"))
 
 
 #: What a filled row has in columns other than its box.
 FILLED = {"conf": 1.0, "class": 1, "vis": -1.0}
 
 
-def fill_gaps(tracks: DataFrame, max_gap: int = 30, whole: bool = False) -> DataFrame:
+def fill_gaps(tracks: DataFrame, max_gap: int = 30, whole: bool = False, parts: int | None = None) -> DataFrame:
     """Linear positions for missing frames of each track, with ``filled`` marking them.
 
     By default the first ``max_gap`` frames of every gap are filled, longer gaps included; with ``whole`` a gap is
     filled if it has at most ``max_gap`` frames and else left empty. Of several boxes in a frame the first stays. ``conf``, ``class``
-    and ``vis`` are carried where they are there; filled rows, and rows without a value, have 1, 1 and -1.
+    and ``vis`` are carried where they are there; filled rows, and rows without a value, have 1, 1 and -1. Both windows take the
+    tracks as they are dealt once; ``parts``: tasks that share them.
     """
     more = [c for c in FILLED if c in tracks.columns]
     own = Window.partitionBy("clip", "id")
     first = Window.partitionBy("clip", "id", "frame").orderBy(*BOX)
-    once = tracks.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("clip", "id", "frame", *BOX, *more)
+    by_track = dealt(tracks, parts, "clip", "id") if parts else tracks.repartition("clip", "id")
+    once = by_track.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("clip", "id", "frame", *BOX, *more)
     order = own.orderBy("frame")
     ahead = once.withColumn("_next", F.lead(F.struct("frame", *BOX)).over(order))
     gap = F.col("_next.frame") - F.col("frame") - 1
@@ -60,15 +67,15 @@ def fill_gaps(tracks: DataFrame, max_gap: int = 30, whole: bool = False) -> Data
     return rows.select("clip", "id", (F.col("frame") + F.col("_s")).alias("frame"), *map(place, BOX), *map(value, more), (F.col("_s") > 0).alias("filled"))
 
 
-def track_table(filled: DataFrame, times: DataFrame | None = None) -> DataFrame:
-    """Narrow types for storage. Rows without confidence or class have 1. ``times`` (clip, frame, unix) adds ``unix_time``, NaN where unknown."""
+def track_table(filled: DataFrame, times: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """Narrow types for storage. Rows without confidence or class have 1. ``times`` (clip, frame, unix) adds ``unix_time``, NaN where unknown; ``parts``: tasks that share that join."""
     c = F.col
     or_one = lambda k: c(k) if k in filled.columns else F.lit(1.0)
     out = filled.select("clip", c("frame").cast("int"), c("id").cast("smallint"), *(c(k).cast("float") for k in BOX), or_one("conf").cast("float").alias("conf"), or_one("class").cast("tinyint").alias("class"))
     if times is None:
         return out
     at = times.select("clip", c("frame").cast("int").alias("frame"), c("unix").cast("double").alias("unix_time"))
-    return out.join(at, ["clip", "frame"], "left").withColumn("unix_time", F.coalesce("unix_time", F.lit(float("nan"))))
+    return dealt(out, parts, "clip", "frame").join(dealt(at, parts, "clip", "frame"), ["clip", "frame"], "left").withColumn("unix_time", F.coalesce("unix_time", F.lit(float("nan"))))
 
 
 def trail(boxes: DataFrame, length: int = 20) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trackframe.functions import geometry as g
 from trackframe.functions import text as t
 from trackframe.operators import catalog, curation, matching, metrics, tracking, tracks
-from trackframe.plans.fixtures import view
+from trackframe.plans.fixtures import parts, table, view
 from trackframe.sources import writers
 
 XYWH = "xywh"
@@ -37,8 +37,13 @@ r AS (SELECT *, unnest(range(0, 1 + CASE WHEN nf - frame > 1 THEN %s ELSE 0 END)
 SELECT clip, id, frame + s AS frame, round(CASE WHEN s > 0 THEN x + (nx - x) * s / (nf - frame) ELSE x END, 6) AS x, round(CASE WHEN s > 0 THEN y + (ny - y) * s / (nf - frame) ELSE y END, 6) AS y, round(CASE WHEN s > 0 THEN w + (nw - w) * s / (nf - frame) ELSE w END, 6) AS w, round(CASE WHEN s > 0 THEN h + (nh - h) * s / (nf - frame) ELSE h END, 6) AS h, round(CASE WHEN s > 0 THEN 1 ELSE conf END, 6) AS conf, s > 0 AS filled FROM r"""
 
 
+def shares(s, d):
+    """Tasks that share boxes, by the rows of the table that they come from."""
+    return parts(s, table(s, d, "lineitem"))
+
+
 def filled(s, d, whole):
-    out = tracks.fill_gaps(view(s, d, "pred"), 5, whole)
+    out = tracks.fill_gaps(view(s, d, "pred"), 5, whole, shares(s, d))
     return out.select("clip", "id", "frame", *(F.round(c, 6).alias(c) for c in (*XYWH, "conf")), "filled")
 
 
@@ -185,7 +190,7 @@ QUERIES = {
         "SELECT clip, printf('%d,%d,%.2f,%.2f,%.2f,%.2f,%.2f,1', frame, id, x, y, w, h, conf) AS line FROM {pred} p",
     ),
     "s4_track_table": (
-        lambda s, d: tracks.track_table(tracks.fill_gaps(view(s, d, "pred"), 5), view(s, d, "frames").select("clip", "frame", (F.col("frame") * 2.5).alias("unix"))).groupBy("clip", "id").agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.sum("class").alias("classes"), F.round(F.sum("conf"), 3).alias("conf"), F.round(F.sum(F.nanvl("unix_time", F.lit(0.0))), 1).alias("unix")),
+        lambda s, d: tracks.track_table(tracks.fill_gaps(view(s, d, "pred"), 5, parts=shares(s, d)), view(s, d, "frames").select("clip", "frame", (F.col("frame") * 2.5).alias("unix")), shares(s, d)).groupBy("clip", "id").agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.sum("class").alias("classes"), F.round(F.sum("conf"), 3).alias("conf"), F.round(F.sum(F.nanvl("unix_time", F.lit(0.0))), 1).alias("unix")),
         "WITH o AS (" + FILL % "least(nf - frame - 1, 5)" + ") SELECT o.clip, CAST(id AS SMALLINT) AS id, count(*) AS n, CAST(min(o.frame) AS INT) AS first, count(*) AS classes, round(sum(conf), 3) AS conf, round(sum(CASE WHEN f.frame IS NULL THEN 0 ELSE o.frame * 2.5 END), 1)::DOUBLE AS unix FROM o LEFT JOIN {frames} f ON f.clip = o.clip AND f.frame = o.frame GROUP BY o.clip, id",
     ),
     "s19_yolo_texts": (
