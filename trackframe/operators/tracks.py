@@ -35,7 +35,8 @@ def compact_ids(boxes: DataFrame) -> DataFrame:
 def postfilter(boxes: DataFrame, n: int, parts: int | None = None) -> DataFrame:
     """Clean another tracker's output: top ``n`` a frame, then the ``n`` most seen ids, renumbered. ``parts``: tasks that share the frames, and the tracks."""
     kept = top_n(boxes, n, parts=parts).drop("rank")
-    return compact_ids(dealt(kept, parts, "clip", "id").join(most_seen(kept, n).select("clip", "id"), ["clip", "id"], "left_semi"))
+    seen = most_seen(kept, n).select("clip", "id")  # each once, so that an inner join, which stays behind the dealing, keeps every box once
+    return compact_ids(dealt(kept, parts, "clip", "id").join(seen, ["clip", "id"]))
 
 
 #: What a filled row has in columns other than its box.

@@ -148,7 +148,7 @@ QUERIES = {
     "a5_idf1_global": (lambda s, d: metrics.idf1_global(view(s, d, "gt"), view(s, d, "pred")), None),
     "a6_merged_timeline": (merged, "WITH " + MERGED + hota_sql("g1", "p1")),
     "k1_top_n": (
-        lambda s, d: tracks.top_n(view(s, d, "pred"), 3).select("clip", "frame", "id", "conf", "rank"),
+        lambda s, d: tracks.top_n(view(s, d, "pred"), 3, parts=shares(s, d)).select("clip", "frame", "id", "conf", "rank"),
         "SELECT clip, frame, id, conf, rank FROM (SELECT *, row_number() OVER (PARTITION BY clip, frame ORDER BY conf DESC, id) AS rank FROM {pred} p) z WHERE rank <= 3",
     ),
     "f5_confident": (
@@ -164,7 +164,7 @@ QUERIES = {
         "SELECT clip, id, count(*) AS n FROM (SELECT clip, dense_rank() OVER (PARTITION BY clip ORDER BY id) AS id FROM {pred} p) z GROUP BY clip, id",
     ),
     "q5_postfilter": (
-        lambda s, d: tracks.postfilter(view(s, d, "pred"), 4).select("clip", "frame", "id", "x", "y"),
+        lambda s, d: tracks.postfilter(view(s, d, "pred"), 4, shares(s, d)).select("clip", "frame", "id", "x", "y"),
         "WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip, frame ORDER BY conf DESC, id) AS r FROM {pred} p) z WHERE r <= 4), k AS (SELECT clip, id, row_number() OVER (PARTITION BY clip ORDER BY count(*) DESC, id) AS r FROM t GROUP BY clip, id) SELECT t.clip, frame, CAST(dense_rank() OVER (PARTITION BY t.clip ORDER BY t.id) AS INT) AS id, x, y FROM t JOIN k ON t.clip = k.clip AND t.id = k.id AND k.r <= 4",
     ),
     "w1_gap_fill": (lambda s, d: filled(s, d, False), FILL % "least(nf - frame - 1, 5)"),
