@@ -147,3 +147,13 @@ def test_label_lines_take_names_without_patterns(spark, tmp_path):
     assert sorted((r.frame_stem, r.line) for r in rows.collect()) == [("f1", "0 1"), ("f1", "0 2")]
     counts = rows.groupBy("clip").count()
     assert counts.count() == 1 and "regexp" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_metric_files_grow_with_bytes(spark, tmp_path, monkeypatch):
+    """Not with the runs: 300 of them do not give 300 files; headers differ, and a blank value stays unreadable."""
+    rows = spark.range(900).selectExpr("concat('run', id % 300) AS run", "1 + id DIV 300 AS epoch", "CASE WHEN id % 300 = 7 THEN ' ' ELSE CAST(id DIV 300 AS STRING) END AS a", "'' AS b")
+    monkeypatch.setattr(files, "view", lambda *_: rows)
+    monkeypatch.setattr(files, "shared_path", lambda *_: str(tmp_path / "m"))
+    best = {r.run: (r.epoch, r.score) for r in files.metric_files(spark, "").collect()}
+    assert best == {f"run{i}": (3, 2.0) for i in range(300) if i != 7}
+    assert len(list((tmp_path / "m").rglob("part-*"))) <= 8

@@ -91,7 +91,12 @@ def run_metrics(spark: SparkSession, root: str, files: str = "*/results.csv") ->
     Headers may differ from run to run. Names and values are trimmed, but values of blanks alone, which are no empty ones.
     """
     run = F.regexp_replace(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1), "^run=", "")
-    lines = spark.read.text(f"{root}/{files}", wholetext=True).select(run.alias("run"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("l"))
+    return metrics_of(spark.read.text(f"{root}/{files}", wholetext=True).select(run.alias("run"), "value"))
+
+
+def metrics_of(texts: DataFrame) -> DataFrame:
+    """(run, epoch, metrics map) of runs' CSV files as texts (run, value), however they are stored; see ``run_metrics``."""
+    lines = texts.select("run", F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("l"))
     names = F.transform(F.split(F.get("l", F.lit(0)), ","), lambda x: F.trim(x))
     rows = lines.select("run", names.alias("names"), F.posexplode(F.slice("l", 2, 1_000_000_000)).alias("n", "line"))
     values = F.transform(F.split("line", ","), lambda x: F.when(F.trim(x) == "", x).otherwise(F.trim(x)))
