@@ -96,8 +96,8 @@ def needs(sql: str) -> list[str]:
 #: Rows of a table that one task groups, more or less: tasks grow in number with the table, not in size.
 ROWS_A_TASK = 500_000
 
-#: Keys by which a view groups nearly every row of a table, which is dealt by them to tasks of ROWS_A_TASK.
-DEALT = {("gt", "lineitem"): ("l_orderkey", "l_linenumber")}
+#: Keys by which a view groups or orders nearly every row of a table, which is dealt by them to tasks of ROWS_A_TASK.
+DEALT = {("gt", "lineitem"): ("l_orderkey", "l_linenumber"), ("metrics", "lineitem"): ("l_suppkey",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
